@@ -1,0 +1 @@
+"""Training-data operators on Spark. Nothing outside this package imports it."""
