@@ -5,9 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from riskloom.llm.decontamination import contained_items
 from riskloom.llm.exact_dedup import radix_dedup
+from riskloom.llm.line_dedup import dedup_lines
+from riskloom.llm.lm_scoring import held_out_expr, score_texts
+from riskloom.llm.packing import pack
 from riskloom.llm.sharding import claim_slots, place
+from riskloom.llm.simhash import fingerprint_hex, near_dedup
 
 SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(64)], 8191
 
@@ -16,17 +22,44 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup(_docs(spark, sf_dir))
+    return found.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_docs(spark, sf_dir), lambda c: held_out_expr(c, 5, 1))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(_docs(spark, sf_dir).select("doc_id"), SHARDS, SLOTS).select("doc_id", "slot", "shard")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(_docs(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_docs(spark, sf_dir), with_ids=False)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_dedup(_docs(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash_near_dedup": op1_simhash_near_dedup,
+        "op2_lm_scoring": op2_lm_scoring,
+        "op3_decontamination": op3_decontamination,
         "op4_sharding": op4_sharding,
+        "op5_line_dedup": op5_line_dedup,
+        "op6_packing": op6_packing,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
@@ -41,6 +74,31 @@ FROM d JOIN g ON d.t = g.t
 """
 
 
+OP5_SQL = """
+WITH l AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.*, r.key IS NOT NULL AND k.doc_id <> r.last AS lost FROM k LEFT JOIN r ON k.key = r.key)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (lost) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+_WORDS = "list_filter(string_split_regex({0}, '[' || chr(32) || chr(9) || '-' || chr(13) || ']+'), lambda w: w <> '')".format(_LOWERED)
+
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM d WHERE len(w) >= 5),
+bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM b WHERE len(w) >= 5),
+n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
+h AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs ON ds.s = bs.s GROUP BY doc_id, item_id)
+SELECT doc_id, h.item_id, n_shared, n_item FROM h JOIN n ON h.item_id = n.item_id WHERE n_shared >= n_item * 0.8
+"""
+
+
 def op4_sql() -> str:
     owners = ",".join(map(str, claim_slots(SHARDS, SLOTS)))
     return f"""
@@ -50,4 +108,4 @@ SELECT doc_id, slot, CAST(([{owners}])[slot + 1] AS INTEGER) AS shard FROM d
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": op4_sql(), "op10_exact_dedup": OP10_SQL}
+    return {"op3_decontamination": OP3_SQL, "op4_sharding": op4_sql(), "op5_line_dedup": OP5_SQL, "op10_exact_dedup": OP10_SQL}
