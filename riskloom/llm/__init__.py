@@ -1 +1,10 @@
-"""Training-data operators on Spark. Nothing outside this package imports it."""
+"""Training-data operators on Spark. Nothing outside this package imports it.
+
+What tasks need of this package travels with them by value, so executors need no copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

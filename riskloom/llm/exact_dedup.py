@@ -16,7 +16,7 @@ exactly one stays; an empty table gives an empty result; other columns are ignor
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import ascii_lower, lookup, write_table
@@ -39,6 +39,11 @@ def _result(rows: DataFrame) -> DataFrame:
     )
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 of a text's normalised form, as reported in text_sha256 (it plays no part in finding copies)."""
+    return F.sha2(ascii_lower(F.coalesce(text, F.lit(""))).cast("binary"), 256)
+
+
 def radix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first: int = 32, growth: int = 32) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     body = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary").alias("body"))

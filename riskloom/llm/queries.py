@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.decontamination import contained_items
 from riskloom.llm.exact_dedup import radix_dedup
+from riskloom.llm.language_id import identify
 from riskloom.llm.line_dedup import dedup_lines
 from riskloom.llm.lm_scoring import held_out_expr, score_texts
 from riskloom.llm.packing import pack
+from riskloom.llm.quality import judge
 from riskloom.llm.sharding import claim_slots, place
 from riskloom.llm.simhash import fingerprint_hex, near_dedup
+from riskloom.llm.toxicity import score_toxicity
 
 SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(64)], 8191
 
@@ -48,6 +51,18 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir), with_ids=False)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_docs(spark, sf_dir), lambda c: held_out_expr(c, 5, 0))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), lambda c: held_out_expr(c, 3, 1))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_dedup(_docs(spark, sf_dir))
 
@@ -60,6 +75,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sharding": op4_sharding,
         "op5_line_dedup": op5_line_dedup,
         "op6_packing": op6_packing,
+        "op7_language_id": op7_language_id,
+        "op8_quality_classifier": op8_quality_classifier,
+        "op9_toxicity": op9_toxicity,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
