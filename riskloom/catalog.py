@@ -1,20 +1,627 @@
-"""Every registered query of the scoring engine with its SQL counterpart."""
+"""Every registered query of the scoring engine, with its SQL counterpart.
+
+Conventions: an event of type error and an embedding with an odd label are frauds; query sets are every hundredth event
+and every tenth embedding, self excluded; ties go to the smaller id; centroids are at most 64 fixed events, so what is
+broadcast does not grow with the data.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskloom import catalog_sql as Q
+from riskloom.functions import dates as D
+from riskloom.functions import scalars as S
+from riskloom.operators import calibrate, clustering, features, ivf, knn, tree
+from riskloom.plans import scoring
+from riskloom.sources import requests
+
+Query = Callable[[SparkSession, str], DataFrame]
+DIMS, WIDE = S.DIMS, 64
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _register(sql: str | None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.event_vectors(_table(spark, sf_dir, "events"))
+
+
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.embedding_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def _queries_of(members: DataFrame, every: int = 100) -> DataFrame:
+    return members.where(F.col("vec_id") % every == 0)
+
+
+def _centroids(members: DataFrame) -> DataFrame:
+    step = Q.CENTROID_STEP
+    return members.where((F.col("vec_id") % step == 0) & (F.col("vec_id") < step * Q.CENTROIDS)).select((F.col("vec_id") / step).cast("int").alias("cluster_id"), "q")
+
+
+class _Index:
+    """The event index with its query set. Members are cached, as every plan reads them more than once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.vectors = _events(spark, sf_dir).cache()
+        self.centroids = _centroids(self.vectors)
+        self.members = clustering.assign_nearest(self.vectors, self.centroids).cache()
+        self.clusters = ivf.with_offsets(ivf.cluster_table(self.members, DIMS))
+        self.queries = _queries_of(self.vectors)
+        self.pairs = ivf.centroid_distances(self.queries, self.centroids, self.clusters, DIMS)
+
+
+def _items(q: Column, dims: int) -> list[Column]:
+    return [F.get(q, i).alias(f"q{i}") for i in range(dims)]
+
+
+# ---------------------------------------------------------------- scalars
+
+
+@_register("SELECT event_id, " + Q.clamp(Q.ratio("value", "100")) + " AS x FROM events")
+def clamp01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("event_id", S.clamp01(S.ratio(F.col("value"), 100)).alias("x"))
+
+
+@_register(f"SELECT event_id, {Q.MCC_CASE.format('CAST(event_id % 12 AS INTEGER)')} AS risk FROM events")
+def mcc_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = F.array(*[F.lit(c) for c in [*S.MCC_RISK, "0000", "54"]])
+    return _table(spark, sf_dir, "events").select("event_id", S.mcc_risk(F.get(codes, (F.col("event_id") % 12).cast("int"))).alias("risk"))
+
+
+@_register("SELECT event_id, CAST(CASE WHEN x >= 0 THEN floor(x + 0.5) ELSE ceil(x - 0.5) END AS BIGINT) AS r FROM (SELECT event_id, (event_id - 500) / 2 AS x FROM events)")
+def round_half_away(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("event_id", S.round_half_away((F.col("event_id") - 500) / 2).alias("r"))
+
+
+@_register(f"WITH {Q.EMB} SELECT vec_id, {', '.join(f'CAST(q[{i + 1}] AS INTEGER) AS q{i}' for i in range(WIDE))} FROM emb")
+def quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _embeddings(spark, sf_dir).select("vec_id", *_items(F.col("q"), WIDE))
+
+
+@_register("SELECT vec_id, CAST(len(p) AS INTEGER) AS n, p[1] AS first, p[14] AS last FROM (SELECT vec_id, list_concat(embedding[1:vec_id % 20 + 1], list_transform(range(14), lambda x: 0::FLOAT))[1:14] AS p FROM embeddings)")
+def pad_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = F.slice("embedding", F.lit(1), (F.col("vec_id") % 20 + 1).cast("int"))
+    p = _table(spark, sf_dir, "embeddings").select("vec_id", S.pad_truncate(cut).alias("p"))
+    return p.select("vec_id", F.size("p").alias("n"), F.get("p", 0).alias("first"), F.get("p", 13).alias("last"))
+
+
+@_register("SELECT event_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS is_fraud FROM events")
+def label_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("event_type") == "error", "fraud").otherwise(F.col("event_type"))
+    return _table(spark, sf_dir, "events").select("event_id", S.label_encode(label).alias("is_fraud"))
+
+
+@_register(f"WITH {Q.EMB} SELECT a.vec_id, {Q.wide_distance('a', 'b')} AS dist FROM emb a JOIN emb b ON b.vec_id = a.vec_id + 1")
+def l2_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _embeddings(spark, sf_dir)
+    b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("q").alias("v"))
+    return a.join(b, "vec_id").select("vec_id", S.l2(F.col("q"), F.col("v"), WIDE).alias("dist"))
+
+
+@_register("SELECT event_id, least(n, 5) / 5 AS fraud_score, n <= 2 AS approved FROM (SELECT event_id, event_id % 8 AS n FROM events)")
+def score_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id") % 8
+    return _table(spark, sf_dir, "events").select("event_id", S.fraud_score(n).alias("fraud_score"), S.approved(n).alias("approved"))
+
+
+@_register("SELECT event_id, CAST(bit_count(event_id) + bit_count(user_id) AS INTEGER) AS bits, (user_id >> (event_id % 16)) & 1 = 1 AS is_set FROM events")
+def bitset_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.array("user_id", "event_id")
+    return _table(spark, sf_dir, "events").select("event_id", S.bitset_popcount(words).alias("bits"), S.bit_is_set(words, F.col("event_id") % 16).alias("is_set"))
+
+
+# ---------------------------------------------------------------- dates
+
+
+@_register("SELECT event_id, date_trunc('second', ts) AS parsed FROM events")
+def parse_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 2 == 0, "Z").otherwise("+03:00"))
+    return _table(spark, sf_dir, "events").select("event_id", D.parse_ts(text).alias("parsed"))
+
+
+@_register("SELECT o_orderkey, CAST(isodow(o_orderdate) - 1 AS INTEGER) AS dow, count(*) AS n FROM orders GROUP BY ALL")
+def day_of_week(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").groupBy("o_orderkey", D.day_of_week(F.col("o_orderdate")).alias("dow")).agg(F.count("*").alias("n"))
+
+
+@_register("SELECT event_id, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER) AS days FROM events")
+def days_since_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("event_id", D.days_since_epoch(F.col("ts")).alias("days"))
+
+
+@_register("SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events")
+def epoch_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("event_id", D.epoch_seconds(F.col("ts")).alias("sec"))
+
+
+# ---------------------------------------------------------------- requests
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, body): every event as a scoring request; one in eleven is broken, in one of three ways."""
+    t = features.event_transactions(_table(spark, sf_dir, "events"))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    last = F.date_format(F.timestamp_seconds("last_sec"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    body = F.to_json(
+        F.struct(
+            F.struct(S.f32(F.col("amount")).alias("amount"), "installments", stamp("ts").alias("requested_at")).alias("transaction"),
+            F.struct(S.f32(F.col("customer_avg")).alias("avg_amount"), "tx_count_24h", F.when(F.col("is_known"), F.array(F.lit("A"), F.lit("M"))).otherwise(F.array(F.lit("A"))).alias("known_merchants")).alias("customer"),
+            F.struct(F.lit("M").alias("id"), F.lit("5411").alias("mcc"), S.f32(F.col("merchant_avg")).alias("avg_amount")).alias("merchant"),
+            F.struct("is_online", "card_present", S.f32(F.col("km_from_home")).alias("km_from_home")).alias("terminal"),
+            F.when(F.col("last_sec").isNotNull(), F.struct(last.alias("timestamp"), S.f32(F.col("km_from_last")).alias("km_from_current"))).alias("last_transaction"),
+        )
+    )
+    broken = F.element_at(F.array(F.lit(""), F.lit('{"transaction":'), F.regexp_replace(body, '"amount":[0-9.E]+,"inst', '"amount":null,"inst')), (F.col("event_id") % 3 + 1).cast("int"))
+    return t.select("event_id", F.when(F.col("event_id") % 11 == 5, broken).otherwise(body).alias("body"))
+
+
+@_register("SELECT event_id, event_id % 11 = 5 AS malformed FROM events")
+def parse_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests.parse_payload(_bodies(spark, sf_dir)).select("event_id", "malformed")
+
+
+@_register(f"WITH {Q.EV} SELECT event_id, CAST(value AS FLOAT) AS amount, event_id % 12 + 1 AS installments, date_trunc('second', ts) AS ts, n24 AS tx_count_24h, seen AS is_known, coalesce(last_sec, -1) AS last_sec, CAST(k * 10 AS FLOAT) AS km_from_home FROM hist WHERE event_id % 11 <> 5")
+def flatten_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = requests.flatten_payload(requests.parse_payload(_bodies(spark, sf_dir)).where(~F.col("malformed")))
+    return flat.select("event_id", "amount", "installments", "ts", "tx_count_24h", "is_known", F.coalesce("last_sec", F.lit(-1)).alias("last_sec"), "km_from_home")
+
+
+@_register(f"WITH {Q.EV} SELECT vec_id AS event_id, {', '.join(f'q{i}' if i != 12 else '1500 AS q12' for i in range(DIMS))} FROM ev WHERE vec_id % 11 <> 5")
+def request_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scoring.request_vectors(_bodies(spark, sf_dir), "event_id").where(~F.col("malformed"))
+    return found.select(F.col("vec_id").alias("event_id"), *_items(F.col("q"), DIMS))
+
+
+@_register("SELECT vec_id, CAST(len(embedding) >= 1 AS INTEGER) * 14 AS n, embedding[1] AS first, CAST(label % 2 AS INTEGER) AS is_fraud FROM embeddings WHERE vec_id % 7 <> 0")
+def scan_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("label") % 2 == 1, "fraud").otherwise("legit")
+    body = F.to_json(F.struct(F.col("embedding").alias("vector"), F.when(F.col("vec_id") % 7 != 0, label).alias("label"), F.lit(1).alias("other")))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.from_json(body, requests.VECTORS).alias("o")).select("vec_id", "o.*")
+    kept = rows.where(F.col("vector").isNotNull() & F.col("label").isNotNull())
+    return kept.select("vec_id", F.size(S.pad_truncate(F.col("vector"))).alias("n"), F.get("vector", 0).alias("first"), S.label_encode(F.col("label")).alias("is_fraud"))
+
+
+@_register("SELECT event_id, event_type <> 'error' AS expected_approved, CAST(value AS FLOAT) AS amount FROM events WHERE event_id % 11 <> 5")
+def scan_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = _table(spark, sf_dir, "events").select("event_id", (F.col("event_type") != "error").alias("ok"))
+    bodies = _bodies(spark, sf_dir).where("event_id % 11 <> 5").join(ids, "event_id")
+    entry = F.concat(F.lit('{"entries":[{"request":'), F.col("body"), F.lit(',"expected_approved":'), F.col("ok").cast("string"), F.lit(',"expected_fraud_score":0.0}]}'))
+    rows = bodies.select("event_id", F.from_json(entry, requests.ENTRIES).alias("f")).select("event_id", F.explode("f.entries").alias("e"))
+    return rows.select("event_id", "e.expected_approved", F.col("e.request.transaction.amount").alias("amount"))
+
+
+@_register("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'score' WHEN event_id % 4 = 1 THEN 'ready' WHEN event_id % 4 = 2 THEN 'other' ELSE 'incomplete' END AS route, CASE WHEN event_id % 4 = 0 THEN props END AS body FROM events")
+def http_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    post = F.concat(F.lit("POST /fraud-score HTTP/1.1\r\nHost: x\r\nCONTENT-length: "), F.octet_length("props").cast("string"), F.lit("\r\n\r\n"), F.col("props"))
+    kinds = F.array(F.concat(post, F.lit("tail")), F.lit("GET /ready HTTP/1.1\r\n\r\n"), F.lit("PUT /nothing HTTP/1.1\r\n\r\n"), F.expr("substring(post, 1, length(post) - 1)"))
+    rows = _table(spark, sf_dir, "events").select("event_id", "props").withColumn("post", post)
+    return requests.read_http(rows.select("event_id", F.get(kinds, (F.col("event_id") % 4).cast("int")).alias("value"))).select("event_id", "route", "body")
+
+
+# ---------------------------------------------------------------- features
+
+
+@_register(f"WITH {Q.EV} SELECT vec_id, label, {Q.Q_LIST} FROM ev")
+def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).select("vec_id", "label", *_items(F.col("q"), DIMS))
+
+
+@_register(f"WITH {Q.EV} SELECT event_id FROM hist WHERE seen")
+def known_merchant_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = features.event_base(_table(spark, sf_dir, "events"))
+    first = base.groupBy("user_id", "k").agg(F.min(F.struct("ts", "event_id")).alias("first"))
+    known = base.join(first, ["user_id", "k"]).where(F.struct("ts", "event_id") > F.col("first"))
+    return known.select("event_id")
+
+
+@_register(f"WITH {Q.EV} SELECT event_id, {Q.RISK} AS risk FROM hist")
+def mcc_lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = ["5411", "5812", "5912", "5944", "7801", "7802", "7995", "4511", "5311"]
+    table = spark.createDataFrame([(i, S.MCC_RISK[c]) for i, c in enumerate(codes)], "m int, r float")
+    base = features.event_base(_table(spark, sf_dir, "events")).withColumn("m", F.col("k") % 11)
+    return base.join(F.broadcast(table), "m", "left").select("event_id", F.coalesce("r", S.f32(S.MCC_DEFAULT)).alias("risk"))
+
+
+@_register(f"WITH {Q.EV} SELECT event_id, coalesce(last_sec, -1) AS last_sec, coalesce(last_k, -1) AS last_k FROM hist")
+def last_event_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.user_history(features.event_base(_table(spark, sf_dir, "events"))).select("event_id", F.coalesce("last_sec", F.lit(-1)).alias("last_sec"), F.coalesce("last_k", F.lit(-1)).alias("last_k"))
+
+
+@_register(f"WITH {Q.EV} SELECT event_id, n24 AS n FROM hist")
+def tx_count_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.user_history(features.event_base(_table(spark, sf_dir, "events"))).select("event_id", F.col("tx_count_24h").alias("n"))
+
+
+# ---------------------------------------------------------------- index build
+
+
+@_register(f"WITH {Q.ASSIGNED} SELECT vec_id, cluster_id, cdist FROM assigned")
+def assign_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _Index(spark, sf_dir).members.select("vec_id", "cluster_id", "cdist")
+
+
+@_register(f"WITH {Q.ASSIGNED} SELECT cluster_id, count(*) AS n FROM assigned GROUP BY cluster_id")
+def cluster_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _Index(spark, sf_dir).members.groupBy("cluster_id").agg(F.count("*").alias("n"))
+
+
+@_register(f"WITH {Q.ASSIGNED} SELECT cluster_id, {', '.join(f'min(q{i}) AS lo{i}, max(q{i}) AS hi{i}' for i in range(DIMS))} FROM assigned GROUP BY cluster_id")
+def cluster_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = ivf.cluster_table(_Index(spark, sf_dir).members, DIMS)
+    return boxes.select("cluster_id", *[F.get(c, i).alias(f"{n}{i}") for c, n in (("bbox_min", "lo"), ("bbox_max", "hi")) for i in range(DIMS)])
+
+
+@_register(f"WITH {Q.ASSIGNED} SELECT cluster_id, {', '.join(f'CAST(floor(sum(q{i}) / count(*)) AS INTEGER) AS q{i}' for i in range(DIMS))} FROM assigned GROUP BY cluster_id")
+def lloyd_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.lloyd_step(_Index(spark, sf_dir).members, DIMS).select("cluster_id", *_items(F.col("q"), DIMS))
+
+
+@_register(f"WITH {Q.ASSIGNED} SELECT count(*) AS n, CAST(sum(cdist) AS BIGINT) AS total, sum(cdist) / count(*) AS mean FROM assigned")
+def kmeans_sse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.sse(_Index(spark, sf_dir).members)
+
+
+@_register(f"WITH {Q.EV}, c AS (SELECT * FROM ev WHERE vec_id IN (0, {Q.CENTROID_STEP}, {2 * Q.CENTROID_STEP})) SELECT ev.vec_id, min({Q.distance('ev', 'c')}) AS min_dist FROM ev, c GROUP BY ev.vec_id")
+def min_distance_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _events(spark, sf_dir).cache()
+    chosen = _centroids(vectors).where("cluster_id < 3")
+    first = clustering.update_min_distance(vectors, chosen.where("cluster_id = 0"))
+    return clustering.update_min_distance(first, chosen.where("cluster_id > 0")).select("vec_id", "min_dist")
+
+
+@_register(f"WITH {Q.ASSIGNED}, s AS (SELECT vec_id, cdist, sum(cdist) OVER (ORDER BY vec_id) AS running, sum(cdist) OVER () AS total FROM assigned) SELECT vec_id, cdist AS weight, CAST(running AS BIGINT) AS running FROM s WHERE running >= 0.375 * total ORDER BY vec_id LIMIT 1")
+def weighted_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.weighted_pick(_Index(spark, sf_dir).members, 0.375, "cdist")
+
+
+@_register(f"WITH {Q.ASSIGNED}, sizes AS (SELECT cluster_id, count(*) AS n FROM assigned GROUP BY cluster_id) SELECT cluster_id, n, CAST(ceil(n / 8) AS BIGINT) AS n_blocks, CAST(coalesce(sum(ceil(n / 8)) OVER (ORDER BY cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS block_offset FROM sizes")
+def block_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _Index(spark, sf_dir).clusters.select("cluster_id", "n", "n_blocks", "block_offset")
+
+
+_LAYOUT = f"WITH {Q.ASSIGNED}, l AS (SELECT vec_id, cluster_id, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY cdist, vec_id) - 1 AS INTEGER) AS pos FROM assigned) "
+
+
+@_register(_LAYOUT + "SELECT vec_id, cluster_id, CAST(pos // 8 AS INTEGER) AS block, CAST(pos % 8 AS INTEGER) AS lane FROM l")
+def block_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivf.member_layout(_Index(spark, sf_dir).members).select("vec_id", "cluster_id", "block", "lane")
+
+
+@_register(_LAYOUT + "SELECT vec_id, cluster_id, pos FROM l")
+def cluster_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivf.member_layout(_Index(spark, sf_dir).members).select("vec_id", "cluster_id", "pos")
+
+
+@_register(f"WITH {Q.ASSIGNED} SELECT cluster_id FROM c WHERE cluster_id IN (SELECT cluster_id FROM assigned)")
+def nonempty_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _Index(spark, sf_dir)
+    return index.centroids.select("cluster_id").join(index.clusters, "cluster_id", "left_semi")
+
+
+# ---------------------------------------------------------------- search
+
+
+@_register(f"WITH {Q.PAIRS} SELECT query_id, cluster_id, cdist FROM pairs")
+def centroid_cross_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _Index(spark, sf_dir).pairs.select("query_id", "cluster_id", "cdist")
+
+
+@_register(f"WITH {Q.PAIRS} SELECT query_id, cluster_id, turn FROM turns WHERE turn < 33")
+def topk_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivf.probes(_Index(spark, sf_dir).pairs).select("query_id", "cluster_id", "turn")
+
+
+@_register(f"WITH {Q.PAIRS}, f AS (SELECT query_id, cluster_id FROM turns WHERE turn < 2) SELECT f.query_id, a.vec_id, {Q.distance('x', 'a')} AS dist FROM f JOIN assigned a ON a.cluster_id = f.cluster_id JOIN ev x ON x.vec_id = f.query_id WHERE a.vec_id <> f.query_id")
+def probe_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _Index(spark, sf_dir)
+    wanted = ivf.probes(index.pairs, 2).select("query_id", "q", "cluster_id")
+    return ivf.scan(wanted, index.members, DIMS).select("query_id", "vec_id", "dist")
+
+
+_EXACT = f"WITH {Q.NEAR} SELECT query_id, vec_id, dist, label, rank FROM nn"
+
+
+@_register(_EXACT)
+def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _events(spark, sf_dir).cache()
+    return knn.knn_exact(_queries_of(vectors), vectors)
+
+
+@_register(f"WITH {Q.WIDE_NEAR} SELECT query_id, vec_id, dist, label, rank FROM nn")
+def knn_exact_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _embeddings(spark, sf_dir)
+    return knn.knn_exact(_queries_of(vectors, 10), vectors)
+
+
+@_register(_EXACT)
+def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _Index(spark, sf_dir)
+    return ivf.search_exact(x.queries, x.members, x.centroids, x.clusters, DIMS)
+
+
+@_register(f"WITH {Q.PAIRS} SELECT query_id, cluster_id, lb FROM pairs")
+def bbox_lower_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _Index(spark, sf_dir).pairs.select("query_id", "cluster_id", "lb")
+
+
+def _bounds(index: _Index) -> DataFrame:
+    first = ivf.probes(index.pairs, 1).select("query_id", "q", "cluster_id")
+    return ivf.kth_distance(knn.rank_neighbours(ivf.scan(first, index.members, DIMS), S.TOP_K))
+
+
+@_register(f"WITH {Q.FIRST} SELECT pairs.query_id, count(*) FILTER (lb >= worst) AS pruned, count(*) FILTER (lb < worst) AS kept FROM pairs JOIN bound ON pairs.query_id = bound.query_id WHERE worst IS NOT NULL GROUP BY pairs.query_id")
+def bbox_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _Index(spark, sf_dir)
+    both = index.pairs.join(_bounds(index).where("worst IS NOT NULL"), "query_id")
+    return both.groupBy("query_id").agg(F.count_if(F.col("lb") >= F.col("worst")).alias("pruned"), F.count_if(F.col("lb") < F.col("worst")).alias("kept"))
+
+
+@_register(f"WITH {Q.FIRST} SELECT pairs.query_id, cluster_id, lb FROM pairs JOIN bound ON pairs.query_id = bound.query_id AND lb < worst")
+def bbox_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _Index(spark, sf_dir)
+    return index.pairs.join(_bounds(index), "query_id").where("lb < worst").select("query_id", "cluster_id", "lb")
+
+
+@_register(f"WITH {Q.EV} SELECT a.vec_id AS query_id, b.vec_id, {Q.distance('a', 'b')} AS dist FROM ev a JOIN ev b ON b.vec_id % 50 = 7 AND a.vec_id % 100 = 0 WHERE {Q.distance('a', 'b')} < 150000000")
+def partial_distance_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _events(spark, sf_dir).cache()
+    pairs = vectors.where("vec_id % 50 = 7").select("vec_id", F.col("q").alias("v")).join(_queries_of(vectors).select(F.col("vec_id").alias("query_id"), "q"))
+    near = ivf.prune_blocks(pairs, F.lit(150_000_000), DIMS)
+    return near.select("query_id", "vec_id", S.l2(F.col("q"), F.col("v")).alias("dist"))
+
+
+@_register(f"WITH {Q.PAIRS} SELECT query_id, cluster_id FROM turns WHERE turn >= 33")
+def unprobed_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _Index(spark, sf_dir).pairs
+    return pairs.select("query_id", "cluster_id").join(ivf.probes(pairs).select("query_id", "cluster_id"), ["query_id", "cluster_id"], "left_anti")
+
+
+@_register(f"WITH {Q.FIRST} SELECT query_id, n_found, worst FROM bound")
+def kth_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bounds(_Index(spark, sf_dir)).select("query_id", "n_found", "worst")
+
+
+@_register(f"WITH {Q.NEAR} SELECT query_id, CAST(sum(label) AS INTEGER) AS n FROM nn GROUP BY query_id")
+def fraud_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _events(spark, sf_dir).cache()
+    queries_ = _queries_of(vectors)
+    return knn.vote(knn.knn_exact(queries_, vectors), queries_)
+
+
+@_register(f"WITH {Q.FIRST} SELECT query_id, n = 5 AND worst <= {DIMS * ivf.EARLY_PER_DIM} AS exits, n <= 4 AS repairs FROM bound")
+def early_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _Index(spark, sf_dir)
+    first = ivf.probes(index.pairs, 1).select("query_id", "q", "cluster_id")
+    near = knn.rank_neighbours(ivf.scan(first, index.members, DIMS), S.TOP_K)
+    found = near.groupBy("query_id").agg(F.sum("label").alias("n")).join(ivf.kth_distance(near), "query_id")
+    worst = F.coalesce("worst", F.lit((1 << 63) - 1))
+    return found.select("query_id", ((F.col("n") == 5) & (worst <= DIMS * ivf.EARLY_PER_DIM)).alias("exits"), (F.col("n") <= 4).alias("repairs"))
+
+
+@_register(f"WITH {Q.NEAR} SELECT query_id, CAST(sum(label) AS INTEGER) AS n FROM nn GROUP BY query_id HAVING sum(label) <= 4")
+def repair_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fraud_count(spark, sf_dir).where("n <= 4")
+
+
+@_register(None)
+def repair_fast_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _Index(spark, sf_dir)
+    return ivf.search_cascade(x.queries, x.members, x.centroids, x.clusters, DIMS)
+
+
+@_register(f"WITH {Q.NEAR} SELECT query_id, CAST(sum(label) AS INTEGER) AS n, sum(label) <= 2 AS approved, sum(label) / 5 AS fraud_score FROM nn GROUP BY query_id")
+def score_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _events(spark, sf_dir).cache()
+    return scoring.score_exact(_queries_of(vectors), vectors).drop("response")
+
+
+@_register(None)
+def score_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _Index(spark, sf_dir)
+    leaves = _leaves(x.vectors, spark).withColumn("safe", F.col("purity_milli") >= Q.SAFE_A)
+    return scoring.score_staged(x.queries, x.members, x.centroids, x.clusters, _tree(spark), leaves)
+
+
+# ---------------------------------------------------------------- tree
+
+
+def _tree(spark: SparkSession) -> DataFrame:
+    return tree.balanced_tree(spark, Q.TREE_FEATS, Q.TREE_THRESHOLDS)
+
+
+def _leaves(vectors: DataFrame, spark: SparkSession) -> DataFrame:
+    placed = tree.predict(vectors, _tree(spark))
+    return tree.leaf_statistics(placed.select("leaf_id", (F.col("label") * 5).alias("n"), (F.col("vec_id") % 256).cast("int").alias("part")))
+
+
+@_register("SELECT * FROM (VALUES " + ", ".join(map(str, Q.tree_rows())) + ") AS t(node_id, feat, thr, \"left\", \"right\")")
+def tree_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree(spark)
+
+
+@_register(f"WITH {Q.EV} SELECT vec_id, {Q.LEAF} AS leaf_id FROM ev")
+def tree_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.predict(_events(spark, sf_dir), _tree(spark)).select("vec_id", "leaf_id")
+
+
+@_register(f"WITH {Q.EV} SELECT vec_id, {Q.LEAF} AS leaf_id FROM ev")
+def tree_predict_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = tree.leaf_boxes(_tree(spark), DIMS)
+    inside = F.lit(True)
+    for i in range(DIMS):
+        inside = inside & (F.get("q", i) > F.get("low", i)) & (F.get("q", i) <= F.get("high", i))
+    return _events(spark, sf_dir).join(F.broadcast(boxes), inside).select("vec_id", "leaf_id")
+
+
+@_register(f"WITH {Q.LEAVES} SELECT ev.vec_id, l.leaf_id, l.count, l.purity_milli, l.n_parts FROM (SELECT vec_id, {Q.LEAF} AS leaf_id FROM ev) ev JOIN leaves l ON ev.leaf_id = l.leaf_id")
+def leaf_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _events(spark, sf_dir).cache()
+    leaves = tree.partition_count(_leaves(vectors, spark)).drop("part_bitset")
+    return tree.leaf_lookup(tree.predict(vectors, _tree(spark)), leaves).select("vec_id", "leaf_id", "count", "purity_milli", "n_parts")
+
+
+@_register(f"WITH {Q.LEAVES} SELECT vec_id FROM ev WHERE {Q.LEAF} IN (SELECT leaf_id FROM leaves WHERE purity_milli >= {Q.SAFE_A})")
+def safe_leaf_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _events(spark, sf_dir).cache()
+    safe = _leaves(vectors, spark).where(F.col("purity_milli") >= Q.SAFE_A)
+    return tree.predict(vectors, _tree(spark)).join(F.broadcast(safe), "leaf_id", "left_semi").select("vec_id")
+
+
+# ---------------------------------------------------------------- calibration
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(entries, leaves): the query events scored by neighbours, with their leaf; the leaf table."""
+    vectors = _events(spark, sf_dir).cache()
+    entries = _queries_of(vectors)
+    leaves = _leaves(vectors, spark).cache()
+    n = knn.vote(knn.knn_exact(entries, vectors), entries)
+    placed = tree.leaf_lookup(tree.predict(entries, _tree(spark)), leaves.select("leaf_id", F.col("count").alias("tree_n"), "purity_milli"))
+    rows = placed.join(n, placed["vec_id"] == n["query_id"]).select("query_id", "leaf_id", "n", "tree_n", "purity_milli", (F.col("label") == 0).alias("expected_approved"))
+    return rows.cache(), leaves
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    scored, leaves = _scored(spark, sf_dir)
+    ids = spark.range(len(Q.TREE_FEATS) + 1).select(F.col("id").cast("int").alias("leaf_id"))
+    return calibrate.judge_leaves(scored, ids, Q.MIN_OBS), leaves
+
+
+@_register(f"WITH {Q.SCORED} SELECT leaf_id, count(*) AS n_obs FROM scored GROUP BY leaf_id")
+def leaf_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibrate.leaf_counts(_scored(spark, sf_dir)[0])
+
+
+@_register(f"WITH {Q.SCORED}, each AS (SELECT leaf_id, n, count(*) AS c FROM scored GROUP BY leaf_id, n) SELECT leaf_id, count(*) AS n_distinct, string_agg(n || ':' || c, ' ' ORDER BY n) AS hist FROM each GROUP BY leaf_id")
+def leaf_score_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = calibrate.leaf_score_histogram(_scored(spark, sf_dir)[0])
+    text = F.concat_ws(" ", F.transform(F.map_entries("hist"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))))
+    return found.select("leaf_id", "n_distinct", text.alias("hist"))
+
+
+@_register(f"WITH {Q.SCORED} SELECT count(*) FILTER (n > 2 AND NOT expected_approved) AS tp, count(*) FILTER (n <= 2 AND expected_approved) AS tn, count(*) FILTER (n > 2 AND expected_approved) AS fp, count(*) FILTER (n <= 2 AND NOT expected_approved) AS fn FROM scored")
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibrate.confusion(_scored(spark, sf_dir)[0])
+
+
+@_register(f"WITH {Q.JUDGED} SELECT leaf_id, knn_n AS n, n_obs FROM judged WHERE reason IS NULL")
+def safe_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibrate.safe_leaves(_judged(spark, sf_dir)[0])
+
+
+@_register(f"WITH {Q.JUDGED} SELECT reason, count(*) AS n_leaves FROM judged WHERE reason IS NOT NULL GROUP BY reason")
+def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibrate.reject_reasons(_judged(spark, sf_dir)[0])
+
+
+@_register(f"WITH {Q.JUDGED} SELECT CAST(sum(CASE WHEN reason IS NULL THEN n_obs ELSE 0 END) AS BIGINT) AS n_safe, CAST(sum(coalesce(n_obs, 0)) AS BIGINT) AS n_all, sum(CASE WHEN reason IS NULL THEN n_obs ELSE 0 END) / sum(coalesce(n_obs, 0)) AS coverage FROM judged")
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibrate.coverage(_judged(spark, sf_dir)[0])
+
+
+@_register(f"WITH {Q.LEAVES} SELECT count(*) FILTER (purity_milli = 1000) AS pure, count(*) FILTER (purity_milli >= 950 AND purity_milli < 1000) AS high, count(*) FILTER (purity_milli < 950) AS rest FROM leaves")
+def purity_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibrate.purity_tiers(_leaves(_events(spark, sf_dir), spark))
+
+
+@_register(f"WITH {Q.JUDGED} SELECT leaf_id, n_obs, n_knn, purity_milli FROM judged WHERE n_obs IS NOT NULL ORDER BY n_obs DESC, leaf_id LIMIT 30")
+def top_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibrate.top_leaves(_judged(spark, sf_dir)[0])
+
+
+def _shipped(leaves: DataFrame, least: int) -> DataFrame:
+    return leaves.where(F.col("purity_milli") >= least).select("leaf_id", F.col("count").alias("n"))
+
+
+_SHIP_A = f"a AS (SELECT leaf_id, count AS n FROM leaves WHERE purity_milli >= {Q.SAFE_A}), b AS (SELECT leaf_id, count AS n FROM leaves WHERE purity_milli >= {Q.SAFE_B}), found AS (SELECT leaf_id FROM judged WHERE reason IS NULL)"
+
+
+@_register(f"WITH {Q.JUDGED}, {_SHIP_A} SELECT a.leaf_id, a.n AS shipped_n, coalesce(n_obs, 0) AS n_obs, coalesce(knn_n, -1) AS knn_n FROM a LEFT JOIN judged j ON a.leaf_id = j.leaf_id WHERE n_obs IS NULL OR n_knn <> 1 OR knn_n <> a.n")
+def audit_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, leaves = _judged(spark, sf_dir)
+    found = calibrate.audit(_shipped(leaves, Q.SAFE_A), judged)
+    return found.select("leaf_id", "shipped_n", F.coalesce("n_obs", F.lit(0)).alias("n_obs"), F.coalesce("knn_n", F.lit(-1)).alias("knn_n"))
+
+
+@_register(f"WITH {Q.JUDGED} SELECT coalesce(string_agg(CAST(leaf_id AS VARCHAR), ',' ORDER BY leaf_id), '') AS leaf_ids FROM judged WHERE reason IS NULL")
+def safe_leaf_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibrate.safe_leaf_ids(_judged(spark, sf_dir)[0]).select(F.concat_ws(",", F.transform("leaf_ids", lambda x: x.cast("string"))).alias("leaf_ids"))
+
+
+@_register(f"WITH {Q.JUDGED}, {_SHIP_A} SELECT leaf_id FROM a UNION SELECT leaf_id FROM found")
+def union_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, leaves = _judged(spark, sf_dir)
+    return calibrate.union_safe(_shipped(leaves, Q.SAFE_A), calibrate.safe_leaves(judged))
+
+
+@_register(f"WITH {Q.JUDGED}, {_SHIP_A} SELECT leaf_id FROM found EXCEPT SELECT leaf_id FROM a")
+def added_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, leaves = _judged(spark, sf_dir)
+    return calibrate.added_safe(_shipped(leaves, Q.SAFE_A), calibrate.safe_leaves(judged))
+
+
+@_register(f"WITH {Q.JUDGED}, {_SHIP_A} SELECT leaf_id FROM a INTERSECT SELECT leaf_id FROM b")
+def safe_ab_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaves = _leaves(_events(spark, sf_dir), spark).cache()
+    return _shipped(leaves, Q.SAFE_A).select("leaf_id").intersect(_shipped(leaves, Q.SAFE_B).select("leaf_id"))
+
+
+@_register(f"WITH {Q.JUDGED} SELECT CAST(leaf_id // 16 AS INTEGER) AS row, string_agg(CASE WHEN reason IS NULL THEN 'true' ELSE 'false' END, ', ' ORDER BY leaf_id) AS line FROM judged GROUP BY leaf_id // 16")
+def emit_safe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibrate.emit_rows(_judged(spark, sf_dir)[0])
+
+
+# ---------------------------------------------------------------- streaming
+
+
+@_register("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch form of the daily windows; the tests hold the stream's result against it."""
+    from riskloom.streaming.scoring_stream import window_counts
+
+    return window_counts(_table(spark, sf_dir, "events"))
+
+
+@_register(f"WITH {Q.NEAR_5411} SELECT event_id AS query_id, CASE WHEN event_id % 11 = 5 THEN 0 ELSE coalesce(n, 0) END AS n FROM e LEFT JOIN votes ON e.event_id = votes.query_id")
+def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch form of request scoring, malformed requests included; the tests hold the stream's result against it."""
+    vectors = _events(spark, sf_dir).cache()
+    bodies = _bodies(spark, sf_dir).where("event_id % 100 = 0 OR event_id % 1100 = 5")
+    return scoring.score_requests(bodies, "event_id", vectors).select("query_id", "n")
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").groupBy("label").agg(F.count("*").alias("n"))
+    """The flagship: exact neighbours of the embeddings' query set, voted and scored."""
+    vectors = _embeddings(spark, sf_dir)
+    return scoring.score_exact(_queries_of(vectors, 10), vectors)
+
+
+@_register(f"WITH {Q.WIDE_NEAR} SELECT query_id, CAST(sum(label) AS INTEGER) AS n, sum(label) <= 2 AS approved, sum(label) / 5 AS fraud_score FROM nn GROUP BY query_id")
+def score_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entry(spark, sf_dir).drop("response")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
