@@ -79,7 +79,8 @@ class CrossParser:
             base = len(rows)
             rows.extend([{c: base + s for c, s in m.items()} for m in suffix_automaton(data)])
             self.bits.append(np.log2(max(2, len(data))))
-        self.table = np.full((max(1, len(rows)), self.width), -1, np.int32)
+        self.dead = len(rows)  # after a symbol that the sample lacks: a phrase of its own, which the next symbol ends
+        self.table = np.full((len(rows) + 1, self.width), -1, np.int32)
         for k, m in enumerate(rows):
             for c, s in m.items():
                 self.table[k, self.symbol[c]] = s
@@ -102,7 +103,7 @@ class CrossParser:
         live = np.searchsorted(-length, -np.arange(self.block), "left")  # blocks longer than t
         roots = np.array(self.roots, np.int64)
         first = np.stack([self.table[r * self.width : (r + 1) * self.width] for r in self.roots]).astype(np.int64)
-        first = np.where(first < 0, roots[:, None], first)
+        first = np.where(first < 0, self.dead, first)
         for k in range(n):
             state = np.full(len(owner), roots[k], np.int64)
             count = np.ones(len(owner), np.int64)
@@ -111,7 +112,8 @@ class CrossParser:
                 c = codes[at[:m] + t]
                 new = self.table[state[:m] * self.width + c].astype(np.int64)
                 ends = new < 0
-                count[:m] += ends
+                if t:
+                    count[:m] += ends
                 state[:m] = np.where(ends, first[k][c], new)
             out[k] = np.bincount(owner, count, len(texts))
         return out
