@@ -44,7 +44,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, near_dedup(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    # eight bits stand for a similarity of 0.8 and more of five-word shingles; a chance link shares next to none of them
+    found = near_dedup(docs, limit=8, node_rows=1024, verify=0.5)
+    return _without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@
 2. Equal fingerprints are one code. Two codes at distance ``limit`` or less agree on at least one of ``limit + 1`` bit
    segments, so every code enters one top node per segment: (mask, code & mask). A top node with more than ``node_rows``
    codes is refined exactly: its free bits are cut into ``limit + 1`` segments again, of which one must agree once more.
-   So no node is unbounded, whatever the data, and no pair is lost.
+   So no node is unbounded, whatever the data, and no pair is lost. For a limit over EXACT_LIMIT, segments would be too
+   short to tell codes apart; then the masks are random bit sets, as many as a recall of 0.95 at the limit takes.
 3. Codes are dealt by top node and sorted by Gray rank. In each node a binary hierarchy over the Gray order keeps in
    every inner node the bits all its codes share (mask and pattern), children only what their parent lacks. A search
    goes down with accumulated differences and drops a whole subtree when they exceed the limit.
@@ -18,6 +19,8 @@ never name a component unless it has no other; an empty table gives an empty res
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +29,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import lookup, small_batches, write_table
+from riskloom.llm.common import BROADCAST_BYTES, lookup, small_batches, write_table
+from riskloom.llm.decontamination import shingle_hashes, words_of
 
 BITS = 64
 LEAF = 16
+#: Up to this limit top nodes are segments, and no link is lost; above it they are random masks with a stated recall.
+EXACT_LIMIT = 3
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -87,10 +93,26 @@ def _free(mask: int) -> list[int]:
     return [b for b in range(BITS) if not mask >> b & 1]
 
 
+def table_masks(n: int, limit: int, recall: float = 0.95, seed: int = 11) -> list[int]:
+    """Masks (signed) of bits, on one of which two codes at distance ``limit`` agree with that probability; nearer ones with a higher one.
+
+    A mask has about log2(n) bits, so a node holds a few of n unrelated codes at any n; the number of masks follows. They
+    are runs of random permutations of the bits, so masks of one permutation do not overlap.
+    """
+    rng = random.Random(seed)
+    size = min(40, max(8, round(math.log2(max(2, n))) - 2))
+    agree = math.prod((BITS - size - i) / (BITS - i) for i in range(limit))
+    out: list[int] = []
+    while len(out) < math.ceil(math.log(1 - recall) / math.log(1 - agree)):
+        order = rng.sample(range(BITS), BITS)
+        out += [_signed(sum(1 << b for b in order[k : k + size])) for k in range(0, BITS - size + 1, size)]
+    return out
+
+
 def top_nodes(codes: DataFrame, limit: int, node_rows: int) -> DataFrame:
     """(mask, value, fp): every code in its top nodes, none of which holds more than node_rows codes."""
     parts = limit + 1
-    level = _segments(list(range(BITS)), parts)
+    level = _segments(list(range(BITS)), parts) if limit <= EXACT_LIMIT else table_masks(codes.count(), limit)
     nodes = codes.select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m in level])).alias("mask")).select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("value"), "fp")
     done = []
     while True:
@@ -171,9 +193,10 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _node_links(codes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    found = list(GrayTree(codes).pairs(limit))
-    i, j = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-    label = _forest(len(codes), i, j)
+    label = np.arange(len(codes))
+    for i, j in GrayTree(codes).pairs(limit):  # only the forest is kept from block to block
+        linked = np.nonzero(label != np.arange(len(codes)))[0]
+        label = _forest(len(codes), np.concatenate([i, linked]), np.concatenate([j, label[linked]]))
     linked = np.nonzero(label != np.arange(len(codes)))[0]
     return codes[linked], codes[label[linked]]
 
@@ -242,11 +265,35 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, limit: int = 2, node_rows: int = 4096) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the smallest doc_id reachable over links)."""
+def verified(edges: DataFrame, codes: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """edges without those whose documents (one for each code) share less than ``least`` of their distinct shingles.
+
+    codes: fp and first, a doc_id or null; an edge with a null is kept. docs: doc_id and text. Only documents of codes
+    that have a link are read with their text.
+    """
+    edges = write_table(edges, "links")
+    ids = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).distinct()
+    ids = write_table(ids.join(codes.where("first IS NOT NULL"), "fp").select("fp", F.col("first").alias("_id")), "linked")
+    some = F.broadcast(ids) if ids.count() * 48 <= BROADCAST_BYTES else ids
+    sets = docs.join(some, F.col("doc_id") == F.col("_id")).select("fp", F.array_distinct(shingle_hashes(words_of(F.col("text")), words, [])).alias("s"))
+    sets = write_table(sets.groupBy("fp").agg(F.max("s").alias("s")), "linked-shingles")  # one row, even if rows repeat a doc_id
+    both = edges.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a", "left").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b", "left")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    alike = shared >= least * (F.size("sa") + F.size("sb") - shared)
+    return both.where(F.coalesce(alike, F.lit(True)) | F.col("sa").isNull() | F.col("sb").isNull()).select("a", "b")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, limit: int = 2, node_rows: int = 4096, verify: float | None = None, verify_words: int = 5) -> DataFrame:
+    """One row per document: doc_id, fp, component_id (the smallest doc_id reachable over links).
+
+    With ``verify``, links between documents that share less of their distinct shingles of ``verify_words`` words are dropped.
+    """
     marked = write_table(fingerprints(docs, id_col, text_col, words), "fingerprints")
     codes = write_table(marked.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "codes")
-    stars = components(links(codes.select("fp"), limit, node_rows))
+    found = links(codes.select("fp"), limit, node_rows)
+    if verify is not None:
+        found = verified(found, codes, docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), verify_words, verify)
+    stars = components(found)
     rooted = codes.join(stars.withColumnRenamed("a", "fp"), "fp", "left").select("fp", "n", "first", F.coalesce("b", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root")
     classes = write_table(named.select(F.pmod("fp", F.lit(1 << 30)).alias("part"), "fp", "n", "component_id"), "classes")

@@ -196,3 +196,43 @@ def test_components_of_long_chains(spark):
     edges = [(i + 1, i) for i in range(300)] + [(1000 + i, 1000) for i in range(1, 50)]
     found = {r["a"]: r["b"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(found[i] == 0 for i in range(1, 301)) and all(found[1000 + i] == 1000 for i in range(1, 50))
+
+
+def test_wide_limits_find_nine_of_ten_links(spark):
+    import random
+
+    rng = random.Random(9)
+    codes, pairs = [], 0
+    for _ in range(300):
+        c = rng.getrandbits(64)
+        codes.append(c)
+        for _ in range(3):
+            d = c
+            for b in rng.sample(range(64), rng.randrange(3, 9)):
+                d ^= 1 << b
+            codes.append(d)
+    signed = [c - (1 << 64) if c >> 63 else c for c in codes]
+    root = {r["a"]: r["b"] for r in components(links(spark.createDataFrame([(c,) for c in signed], "fp long").distinct(), limit=8, node_rows=30)).collect()}
+    label = {c: root.get(c, c) for c in signed}
+    hit = 0
+    for k in range(0, len(codes), 4):
+        for j in (1, 2, 3):
+            pairs += 1
+            hit += label[signed[k]] == label[signed[k + j]]
+    assert hit >= 0.9 * pairs
+    assert len({label[signed[k]] for k in range(0, len(codes), 4)}) == 300  # and unrelated codes stay apart
+
+
+def test_verified_links_share_shingles(spark):
+    from .conftest import words
+    import random
+
+    rng = random.Random(2)
+    base = words(rng, 300)
+    near = base.replace(base.split()[150], "changed", 1)
+    rows = [(1, base), (2, near), (3, words(rng, 300)), (4, None), (5, ""), (None, base.upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup(docs, limit=8, verify=0.5).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, None: 1}
+    apart = {r["doc_id"]: r["component_id"] for r in near_dedup(docs, limit=8, verify=0.999).collect()}
+    assert apart[2] == 2
