@@ -107,3 +107,23 @@ def fit_centroids(members: DataFrame, k: int, dims: int, iterations: int = 15, s
     model = KMeans(k=k, maxIter=iterations, tol=0.0, seed=seed).fit(vectors)
     rows = [(i, [int(np.floor(x + 0.5)) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return members.sparkSession.createDataFrame(rows, "cluster_id int, q array<int>")
+
+
+def seed_centroids(members: DataFrame, k: int, seed: int = 7) -> DataFrame:
+    """(cluster_id, q): k members picked one after another, each with a chance in proportion to its squared distance to those before.
+
+    Two passes over members a centre, so for small k; ``fit_centroids`` seeds large k in a few passes.
+    """
+    rng = np.random.default_rng(seed)
+    spark = members.sparkSession
+    first = members.select("vec_id", "q", F.xxhash64("vec_id", F.lit(seed)).alias("turn")).orderBy("turn", "vec_id").limit(1).collect()
+    picked = [(0, list(first[0]["q"]))] if first else []
+    while picked and len(picked) < k:
+        chosen = spark.createDataFrame(picked, "cluster_id int, q array<int>")
+        near = assign_nearest(members, chosen).select("vec_id", "q", F.col("cdist").alias("min_dist"))
+        hit = weighted_pick(near, float(rng.random())).select("vec_id")
+        row = near.join(F.broadcast(hit), "vec_id").where("min_dist > 0").select("q").limit(1).collect()
+        if not row:  # every member is a centre already
+            break
+        picked.append((len(picked), list(row[0]["q"])))
+    return spark.createDataFrame(picked, "cluster_id int, q array<int>")

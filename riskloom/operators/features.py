@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import scalars as S
@@ -115,3 +115,9 @@ def event_vectors(events: DataFrame) -> DataFrame:
 def embedding_vectors(embeddings: DataFrame) -> DataFrame:
     """(vec_id, label, q): the codes of every embedding; an odd label is a fraud."""
     return embeddings.select("vec_id", (F.col("label") % 2).cast("int").alias("label"), S.quantize(F.col("embedding")).alias("q"))
+
+
+def random_vectors(spark: SparkSession, n: int, dims: int = S.DIMS, seed: int = 7) -> DataFrame:
+    """(vec_id, q): n synthetic queries with codes in -10000..9999, the same for the same seed on any cluster."""
+    codes = F.array(*[(F.pmod(F.xxhash64("id", F.lit(i), F.lit(seed)), F.lit(20000)) - 10000).cast("int") for i in range(dims)])
+    return spark.range(n).select(F.col("id").alias("vec_id"), codes.alias("q"))

@@ -148,3 +148,20 @@ def test_staged_scores_use_safe_leaves(spark, index):
     found = {r["query_id"]: r["n"] for r in scoring.score_staged(queries, members, centroids, clusters, nodes, leaves).collect()}
     searched = {r["query_id"]: r["n"] for r in ivf.search_cascade(queries, members, centroids, clusters, DIMS).collect()}
     assert found == {r["vec_id"]: 4 if r["q"][9] <= 5000 else searched[r["vec_id"]] for r in queries.collect()}
+
+
+def test_seeds_are_members_apart_from_each_other(spark, index):
+    vectors = index[0].where("vec_id % 20 = 0")
+    seeds = clustering.seed_centroids(vectors, 5).collect()
+    assert len({tuple(r["q"]) for r in seeds}) == 5
+    assert vectors.select("q").distinct().join(spark.createDataFrame([(list(r["q"]),) for r in seeds], "q array<int>"), "q").count() == 5
+    few = spark.createDataFrame([(1, 0, [1, 1]), (2, 0, [1, 1]), (3, 1, [9, 9])], "vec_id long, label int, q array<int>")
+    assert clustering.seed_centroids(few, 4).count() == 2
+
+
+def test_synthetic_queries_repeat(spark, index):
+    from riskloom.operators.features import random_vectors
+
+    a, b = random_vectors(spark, 50).collect(), random_vectors(spark, 50).repartition(7).orderBy("vec_id").collect()
+    assert a == b and all(-10000 <= x < 10000 for r in a for x in r["q"])
+    assert knn.knn_exact(random_vectors(spark, 20), index[0]).groupBy("query_id").count().where("count = 5").count() == 20
