@@ -4,9 +4,10 @@ A test item is short and a document may be long, so their Jaccard similarity say
 size partitions, documents are partitioned by the size of their shingle set, and each partition has its own signature
 width: the hash range is cut into about as many buckets as a document of that size has shingles, and the signature keeps
 the least hash of every bucket. An item's signatures of all widths are one list. A shingle that a document shares with an
-item is its bucket's minimum with a chance of about 0.6, and an item of q shingles with containment 0.8 has 0.8 q such
-chances (over 0.9998 from q = 11 on), whatever the document's length. Matching minima give candidates;
-these are verified by the exact containment of the item's shingle strings in the document's.
+item is its bucket's minimum with a chance of 3/4 or more, whatever the document's length, and an item of q shingles with
+containment 0.8 has 0.8 q such chances. The shortest item sets how much wider signatures are, so that every item is missed with a
+chance of 1e-4 at most. Matching minima give candidates; these are verified by the exact containment of the item's
+shingle strings in the document's.
 
 * Signatures are made in the row that holds the text: nothing but candidates (doc_id, item_id) is ever shuffled while
   the items' signatures fit ``bound`` bytes, which is checked; beyond it, the signatures of documents join by a shuffle.
@@ -20,6 +21,7 @@ Defined results: null or blank texts and items never match; items or documents t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -74,9 +76,19 @@ def shingle_hashes(words: Column, n: int, also: list[int]) -> Column:
     return _bind(F.transform(words, lambda w: F.xxhash64(w)), made)
 
 
-def width_of(size: Column) -> Column:
-    """The signature width's exponent for a set of that size: the next power of two above it."""
-    return F.least(F.greatest(F.ceil(F.log2(F.greatest(size, F.lit(1)))) + 1, F.lit(LEAST)), F.lit(MOST)).cast("int")
+def width_of(size: Column, extra: int = 1) -> Column:
+    """The signature width's exponent for a set of that size: 2**extra buckets a shingle at least."""
+    return F.least(F.greatest(F.ceil(F.log2(F.greatest(size, F.lit(1)))) + extra, F.lit(LEAST)), F.lit(MOST)).cast("int")
+
+
+def extra_width(least_item: int, threshold: float, miss: float = 1e-4) -> int:
+    """Extra exponent for which an item of least_item shingles is missed with at most that chance.
+
+    With 2**e buckets a shingle, a shared shingle is not its bucket's minimum with a chance of 2**-(e+1) at most, and an
+    item is missed only if none of its shared ones is.
+    """
+    shared = max(1, math.ceil(threshold * least_item))
+    return max(1, math.ceil(-math.log2(miss) / shared) - 1)
 
 
 def signature(hashes: Column, width: Column) -> Column:
@@ -100,8 +112,9 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     tests = write_table(tests.select("item_id", shingles_of(F.col("w"), words).alias("item_shingles"), shingle_hashes(F.col("w"), words, []).alias("h"), F.size("w").alias("n_words")), "items")
     short = sorted(r[0] for r in tests.where(F.col("n_words") < words).select("n_words").distinct().collect())  # fewer than ``words`` numbers
 
+    extra = extra_width(tests.agg(F.min(F.size("item_shingles"))).first()[0] or 1, threshold)
     signed = docs.select(F.col(doc_id).alias("doc_id"), shingle_hashes(words_of(F.col(text)), words, short).alias("h"))
-    signed = signed.select("doc_id", "h", width_of(F.size("h")).alias("width"))
+    signed = signed.select("doc_id", "h", width_of(F.size("h"), extra).alias("width"))
     signed = signed.select("doc_id", "width", F.explode(signature(F.col("h"), F.col("width"))).alias("value"))
     probes = write_table(tests.select("item_id", F.inline(all_signatures(F.col("h")))), "item-signatures")
     near = F.broadcast(probes) if probes.count() * 64 <= bound else probes

@@ -153,3 +153,9 @@ def test_place_keeps_rows_and_columns(awkward, nothing):
     assert found.count() == len(awkward_rows()) and set(awkward.columns) < set(found.columns)
     assert found.groupBy("doc_id").agg(F.count_distinct("shard").alias("n")).where("n > 1").count() == 0
     assert place(nothing, names, 101).count() == 0
+
+
+def test_short_items_widen_signatures():
+    from riskloom.llm.decontamination import extra_width
+
+    assert extra_width(11, 0.8) == 1 and extra_width(1, 0.8) == 13 and extra_width(4, 0.8) == 3
