@@ -44,8 +44,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # eight bits stand for a similarity of 0.8 and more of five-word shingles; a chance link shares next to none of them
-    found = near_dedup(docs, limit=8, node_rows=1024, verify=0.5)
+    # texts that share 0.8 of their five-word shingles or more differ in twelve bits at most, but for a few; each link is verified
+    found = near_dedup(docs, limit=12, verify=0.8)
     return _without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 

@@ -5,12 +5,16 @@
    segments, so every code enters one top node per segment: (mask, code & mask). A top node with more than ``node_rows``
    codes is refined exactly: its free bits are cut into ``limit + 1`` segments again, of which one must agree once more.
    So no node is unbounded, whatever the data, and no pair is lost. For a limit over EXACT_LIMIT, segments would be too
-   short to tell codes apart; then the masks are random bit sets, as many as a recall of 0.95 at the limit takes.
+   short to tell codes apart; then the masks are random bit sets, as many as a recall of 0.8 at the limit takes (nearer
+   codes have more), and a node that is too large is refined by a few random runs of its free bits.
 3. Codes are dealt by top node and sorted by Gray rank. In each node a binary hierarchy over the Gray order keeps in
    every inner node the bits all its codes share (mask and pattern), children only what their parent lacks. A search
    goes down with accumulated differences and drops a whole subtree when they exceed the limit.
 4. Each node emits a spanning forest of its links, not all pairs; connected components come from alternating large-star
    and small-star joins in checkpointed rounds. Documents join their code's class by ``common.lookup``.
+5. Where links must hold for the texts as well (``verify``), a node emits each code's nearest links and the nearest ones
+   between groups. Each code's nearest link is verified by exact shingle sets first; then the links between documents
+   that are not in one component yet, so a ball of near copies is read about once and not once a pair.
 
 Defined results: a text with fewer words than a shingle is one shingle, without words (null, empty, blank) its
 fingerprint is zero and links like any other; repeated rows have equal fingerprints and appear once each; null doc_ids
@@ -36,6 +40,8 @@ BITS = 64
 LEAF = 16
 #: Up to this limit top nodes are segments, and no link is lost; above it they are random masks with a stated recall.
 EXACT_LIMIT = 3
+#: Links that a node emits for each code where links are to be verified, besides those between groups.
+NEAREST = 8
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -89,18 +95,24 @@ def _segments(free: list[int], parts: int) -> list[int]:
     return [_signed(sum(1 << b for b in free[a:z])) for a, z in zip(cuts, cuts[1:], strict=False)]
 
 
+def _random_runs(free: list[int], _: int, runs: int = 3, size: int = 6) -> list[int]:
+    """Masks (signed) of ``runs`` random runs of ``size`` of the free bits, always the same for the same bits."""
+    order = random.Random(sum(1 << b for b in free)).sample(free, len(free))
+    return [_signed(sum(1 << b for b in part)) for k in range(runs) if (part := order[k * size : (k + 1) * size])]
+
+
 def _free(mask: int) -> list[int]:
     return [b for b in range(BITS) if not mask >> b & 1]
 
 
-def table_masks(n: int, limit: int, recall: float = 0.95, seed: int = 11) -> list[int]:
+def table_masks(n: int, limit: int, recall: float = 0.8, seed: int = 11) -> list[int]:
     """Masks (signed) of bits, on one of which two codes at distance ``limit`` agree with that probability; nearer ones with a higher one.
 
-    A mask has about log2(n) bits, so a node holds a few of n unrelated codes at any n; the number of masks follows. They
+    A mask has 12 bits, or more once a node would hold over 256 of n unrelated codes; the number of masks follows. They
     are runs of random permutations of the bits, so masks of one permutation do not overlap.
     """
     rng = random.Random(seed)
-    size = min(40, max(8, round(math.log2(max(2, n))) - 2))
+    size = min(40, max(12, round(math.log2(max(2, n))) - 8))
     agree = math.prod((BITS - size - i) / (BITS - i) for i in range(limit))
     out: list[int] = []
     while len(out) < math.ceil(math.log(1 - recall) / math.log(1 - agree)):
@@ -123,12 +135,11 @@ def top_nodes(codes: DataFrame, limit: int, node_rows: int) -> DataFrame:
         if not masks:
             return _union([*done, nodes])
         done.append(nodes.join(large, ["mask", "value"], "left_anti"))
-        children = {m: [_signed((m | c) & (2**64 - 1)) for c in _segments(_free(m), parts)] for m in masks}
-        cases = F.lit(None).cast("array<bigint>")
-        for m, kids in children.items():
-            cases = F.when(F.col("mask") == m, F.array(*[F.lit(k).cast("long") for k in kids])).otherwise(cases)
+        finer = _segments if limit <= EXACT_LIMIT else _random_runs
+        children = [(m, _signed((m | c) & (2**64 - 1))) for m in masks for c in finer(_free(m), parts)]
+        cuts = F.broadcast(codes.sparkSession.createDataFrame(children, "mask bigint, child bigint"))
         hot = nodes.join(large.select("mask", "value"), ["mask", "value"], "left_semi")
-        nodes = hot.select("fp", F.explode(cases).alias("mask")).select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("value"), "fp").distinct()
+        nodes = hot.join(cuts, "mask").select("fp", F.col("child").alias("mask")).select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("value"), "fp").distinct()
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -201,8 +212,28 @@ def _node_links(codes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return codes[linked], codes[label[linked]]
 
 
-def links(codes: DataFrame, limit: int = 2, node_rows: int = 4096) -> DataFrame:
-    """(a, b): a spanning forest, per top node, of the links between codes; a > b as signed longs."""
+def _nearest_links(codes: np.ndarray, limit: int, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each code's ``nearest`` nearest links to later codes, and the nearest link between any groups that these leave apart."""
+    n = len(codes)
+    some = [np.zeros(0, np.int64)] * 2
+    for i, j in GrayTree(codes).pairs(limit):
+        key = np.sort(((i << 7 | np.bitwise_count(codes[i] ^ codes[j])) << 28) | j)
+        i, j = key >> 35, key & ((1 << 28) - 1)
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < nearest
+        some = [np.concatenate(x) for x in ((some[0], i[keep]), (some[1], j[keep]))]
+        i, j = i[~keep], j[~keep]
+        while len(i):
+            label = _forest(n, *some)
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            order = np.argsort(np.bitwise_count(codes[i] ^ codes[j]), kind="stable")
+            pick = order[np.unique(label[i[order]], return_index=True)[1]]
+            some = [np.concatenate(x) for x in ((some[0], i[pick]), (some[1], j[pick]))]
+    return codes[some[0]], codes[some[1]]
+
+
+def links(codes: DataFrame, limit: int = 2, node_rows: int = 4096, nearest: int | None = None) -> DataFrame:
+    """(a, b): a spanning forest, per top node, of the links between codes, or with ``nearest`` real links alone; a > b as signed longs."""
     nodes = top_nodes(codes, limit, node_rows)
     parts = max(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = nodes.repartition(parts, "mask", "value").withColumn("rank", gray_rank(F.col("fp"))).sortWithinPartitions("mask", "value", "rank").select("mask", "value", "fp")
@@ -235,7 +266,8 @@ def links(codes: DataFrame, limit: int = 2, node_rows: int = 4096) -> DataFrame:
             near &= np.bitwise_count(a ^ b) <= limit
             out.append((a[near], b[near]))
         for k in np.nonzero(sizes > LEAF)[0]:
-            out.append(_node_links(codes_[starts[k] : starts[k] + sizes[k]], limit))
+            own = codes_[starts[k] : starts[k] + sizes[k]]
+            out.append(_node_links(own, limit) if nearest is None else _nearest_links(own, limit, nearest))
         if out:
             a, b = (np.concatenate([x[k] for x in out]).view(np.int64) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
@@ -265,34 +297,54 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def verified(edges: DataFrame, codes: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
-    """edges without those whose documents (one for each code) share less than ``least`` of their distinct shingles.
+def linked_sets(edges: DataFrame, codes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(fp, s): the distinct shingle hashes of the first document of every code that has a link.
 
-    codes: fp and first, a doc_id or null; an edge with a null is kept. docs: doc_id and text. Only documents of codes
-    that have a link are read with their text.
+    codes: fp and first, a doc_id or null; docs: doc_id and text. Only documents of codes with a link are read with their text.
     """
-    edges = write_table(edges, "links")
     ids = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).distinct()
     ids = write_table(ids.join(codes.where("first IS NOT NULL"), "fp").select("fp", F.col("first").alias("_id")), "linked")
     some = F.broadcast(ids) if ids.count() * 48 <= BROADCAST_BYTES else ids
     sets = docs.join(some, F.col("doc_id") == F.col("_id")).select("fp", F.array_distinct(shingle_hashes(words_of(F.col("text")), words, [])).alias("s"))
-    sets = write_table(sets.groupBy("fp").agg(F.max("s").alias("s")), "linked-shingles")  # one row, even if rows repeat a doc_id
+    return write_table(sets.groupBy("fp").agg(F.max("s").alias("s")), "linked-shingles")  # one row, even if rows repeat a doc_id
+
+
+def verified(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """edges without those whose documents' sets share less than ``least`` of their union; an edge without both sets is kept."""
     both = edges.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a", "left").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b", "left")
     shared = F.size(F.array_intersect("sa", "sb"))
     alike = shared >= least * (F.size("sa") + F.size("sb") - shared)
     return both.where(F.coalesce(alike, F.lit(True)) | F.col("sa").isNull() | F.col("sb").isNull()).select("a", "b")
 
 
+def verified_links(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Edges that hold by ``verified`` and connect all that edges which hold connect: nearest ones first, then those between components."""
+    edges = write_table(edges.withColumn("d", F.bit_count(F.col("a").bitwiseXOR(F.col("b")))), "links")
+    down = edges.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
+    up = edges.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a"))
+    first = write_table(down.unionByName(up).distinct(), "links-nearest")
+    good = write_table(verified(first, sets, least), "links-verified")
+    roots = components(good)
+    rest = edges.select("a", "b").join(first, ["a", "b"], "left_anti")
+    for side in ("a", "b"):
+        rest = rest.join(roots.select(F.col("a").alias(side), F.col("b").alias(f"root_{side}")), side, "left")
+    rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    return good.unionByName(verified(write_table(rest, "links-rest"), sets, least))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, limit: int = 2, node_rows: int = 4096, verify: float | None = None, verify_words: int = 5) -> DataFrame:
     """One row per document: doc_id, fp, component_id (the smallest doc_id reachable over links).
 
-    With ``verify``, links between documents that share less of their distinct shingles of ``verify_words`` words are dropped.
+    With ``verify``, links between documents that share less of their distinct shingles of ``verify_words`` words are dropped,
+    and the rest connects only what real links connect.
     """
     marked = write_table(fingerprints(docs, id_col, text_col, words), "fingerprints")
     codes = write_table(marked.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "codes")
-    found = links(codes.select("fp"), limit, node_rows)
+    found = links(codes.select("fp"), limit, node_rows, None if verify is None else NEAREST)
     if verify is not None:
-        found = verified(found, codes, docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), verify_words, verify)
+        found = write_table(found, "links")
+        texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        found = verified_links(found, linked_sets(found, codes, texts, verify_words), verify)
     stars = components(found)
     rooted = codes.join(stars.withColumnRenamed("a", "fp"), "fp", "left").select("fp", "n", "first", F.coalesce("b", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root")
