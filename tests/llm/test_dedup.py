@@ -236,3 +236,30 @@ def test_verified_links_share_shingles(spark):
     assert found == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, None: 1}
     apart = {r["doc_id"]: r["component_id"] for r in near_dedup(docs, limit=8, verify=0.999).collect()}
     assert apart[2] == 2
+
+
+def test_verified_links_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    texts = []
+    for _ in range(4):
+        base = [f"w{rng.randrange(4000)}" for _ in range(200)]
+        for _ in range(40):  # one to nine changed words: on both sides of the similarity of 0.8
+            own = list(base)
+            for at in rng.sample(range(200), rng.randrange(1, 10)):
+                own[at] = f"w{rng.randrange(4000)}"
+            texts.append(" ".join(own))
+    texts += [" ".join(f"w{rng.randrange(4000)}" for _ in range(100)) for _ in range(30)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert 4 < len(set(root[:160])) < 160
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for rows in (4096, 24):  # whole nodes, and nodes that are refined
+        found = {r["doc_id"]: r["component_id"] for r in near_dedup(docs, limit=12, node_rows=rows, verify=0.8).collect()}
+        assert all(root[found[i]] == root[i] for i in found)  # no link that does not hold
+        assert sum(found[i] != root[i] for i in found) <= 4
