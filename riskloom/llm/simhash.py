@@ -12,9 +12,11 @@
    goes down with accumulated differences and drops a whole subtree when they exceed the limit.
 4. Each node emits a spanning forest of its links, not all pairs; connected components come from alternating large-star
    and small-star joins in checkpointed rounds. Documents join their code's class by ``common.lookup``.
-5. Where links must hold for the texts as well (``verify``), a node emits each code's nearest links and the nearest ones
-   between groups. Each code's nearest link is verified by exact shingle sets first; then the links between documents
-   that are not in one component yet, so a ball of near copies is read about once and not once a pair.
+5. Where links must hold for the texts as well (``verify``), every pair within the limit is a candidate, and only verified
+   links take candidates away: in rounds, each code's nearest candidates are verified by exact shingle sets, and nodes are
+   searched again for pairs that these left apart, until none is left. From the second round on, pairs are passed over that
+   cannot share enough, as the counts of their shingles in ranges of hashes differ by too much: a bound, not an estimate.
+   So a ball of near copies is read about once and not once a pair.
 
 Defined results: a text with fewer words than a shingle is one shingle, without words (null, empty, blank) its
 fingerprint is zero and links like any other; repeated rows have equal fingerprints and appear once each; null doc_ids
@@ -34,14 +36,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import BROADCAST_BYTES, lookup, small_batches, write_table
-from riskloom.llm.decontamination import shingle_hashes, words_of
+from riskloom.llm.lm_scoring import _mix
 
 BITS = 64
 LEAF = 16
 #: Up to this limit top nodes are segments, and no link is lost; above it they are random masks with a stated recall.
 EXACT_LIMIT = 3
-#: Links that a node emits for each code where links are to be verified, besides those between groups.
-NEAREST = 8
+#: From which to which of a code's candidates, nearest first, a round verifies those that are still apart; the first round knows no bins.
+ROUNDS = ((0, 1), (0, 4), (4, 32), (32, None))
+#: Ranges of hashes in which shingles are counted, a power of two.
+BINS = 256
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -122,10 +126,10 @@ def table_masks(n: int, limit: int, recall: float = 0.8, seed: int = 11) -> list
 
 
 def top_nodes(codes: DataFrame, limit: int, node_rows: int) -> DataFrame:
-    """(mask, value, fp): every code in its top nodes, none of which holds more than node_rows codes."""
+    """(mask, value, and the columns of codes): every code in its top nodes, none of which holds more than node_rows codes."""
     parts = limit + 1
     level = _segments(list(range(BITS)), parts) if limit <= EXACT_LIMIT else table_masks(codes.count(), limit)
-    nodes = codes.select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m in level])).alias("mask")).select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("value"), "fp")
+    nodes = codes.select(*codes.columns, F.explode(F.array(*[F.lit(m).cast("long") for m in level])).alias("mask")).select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("value"), *codes.columns)
     done = []
     while True:
         nodes = write_table(nodes, "simhash-nodes")
@@ -139,7 +143,7 @@ def top_nodes(codes: DataFrame, limit: int, node_rows: int) -> DataFrame:
         children = [(m, _signed((m | c) & (2**64 - 1))) for m in masks for c in finer(_free(m), parts)]
         cuts = F.broadcast(codes.sparkSession.createDataFrame(children, "mask bigint, child bigint"))
         hot = nodes.join(large.select("mask", "value"), ["mask", "value"], "left_semi")
-        nodes = hot.join(cuts, "mask").select("fp", F.col("child").alias("mask")).select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("value"), "fp").distinct()
+        nodes = hot.join(cuts, "mask").select(*codes.columns, F.col("child").alias("mask")).select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("value"), *codes.columns).distinct()
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -212,69 +216,124 @@ def _node_links(codes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return codes[linked], codes[label[linked]]
 
 
-def _nearest_links(codes: np.ndarray, limit: int, nearest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each code's ``nearest`` nearest links to later codes, and the nearest link between any groups that these leave apart."""
-    n = len(codes)
-    some = [np.zeros(0, np.int64)] * 2
-    for i, j in GrayTree(codes).pairs(limit):
-        key = np.sort(((i << 7 | np.bitwise_count(codes[i] ^ codes[j])) << 28) | j)
-        i, j = key >> 35, key & ((1 << 28) - 1)
-        keep = np.arange(len(i)) - np.searchsorted(i, i) < nearest
-        some = [np.concatenate(x) for x in ((some[0], i[keep]), (some[1], j[keep]))]
-        i, j = i[~keep], j[~keep]
-        while len(i):
-            label = _forest(n, *some)
-            apart = label[i] != label[j]
-            i, j = i[apart], j[apart]
-            order = np.argsort(np.bitwise_count(codes[i] ^ codes[j]), kind="stable")
-            pick = order[np.unique(label[i[order]], return_index=True)[1]]
-            some = [np.concatenate(x) for x in ((some[0], i[pick]), (some[1], j[pick]))]
-    return codes[some[0]], codes[some[1]]
-
-
-def links(codes: DataFrame, limit: int = 2, node_rows: int = 4096, nearest: int | None = None) -> DataFrame:
-    """(a, b): a spanning forest, per top node, of the links between codes, or with ``nearest`` real links alone; a > b as signed longs."""
-    nodes = top_nodes(codes, limit, node_rows)
-    parts = max(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = nodes.repartition(parts, "mask", "value").withColumn("rank", gray_rank(F.col("fp"))).sortWithinPartitions("mask", "value", "rank").select("mask", "value", "fp")
-
-    def run(parts_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for part in parts_:
-            rows = np.column_stack([part.column(k).to_numpy() for k in range(3)])
-            rows = rows if held is None else np.vstack([held, rows])
-            edge = np.nonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1))[0] + 1
-            cut = int(edge[-1]) if len(edge) else 0
-            if cut:
-                yield from done(rows[:cut], edge[:-1])
-            held = rows[cut:]
-        if held is not None and len(held):
-            yield from done(held, np.array([], np.int64))
-
-    def done(rows: np.ndarray, edge: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.concatenate(([0], edge))
-        sizes = np.diff(np.concatenate((starts, [len(rows)])))
-        codes_ = np.ascontiguousarray(rows[:, 2]).view(np.uint64)
-        out = []
-        small = np.repeat(sizes <= LEAF, sizes)  # one leaf: compare it whole
-        group = np.repeat(np.arange(len(sizes)), sizes)
-        for step in range(1, min(LEAF, len(codes_))):
-            a, b = codes_[step:], codes_[:-step]
-            near = (group[step:] == group[:-step]) & small[step:]
-            if not near.any():
-                break
-            near &= np.bitwise_count(a ^ b) <= limit
-            out.append((a[near], b[near]))
-        for k in np.nonzero(sizes > LEAF)[0]:
-            own = codes_[starts[k] : starts[k] + sizes[k]]
-            out.append(_node_links(own, limit) if nearest is None else _nearest_links(own, limit, nearest))
-        if out:
-            a, b = (np.concatenate([x[k] for x in out]).view(np.int64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+def _dealt(nodes: DataFrame) -> DataFrame:
+    """Rows of nodes, dealt by node and in Gray order."""
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return nodes.repartition(parts, "mask", "value").withColumn("rank", gray_rank(F.col("fp"))).sortWithinPartitions("mask", "value", "rank").drop("rank")
+
+
+def _whole_nodes(parts: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole nodes, which the first ``keys`` columns name, and where their nodes start."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for part in parts:
+        if not part.num_rows:
+            continue
+        names = np.column_stack([part.column(k).to_numpy() for k in range(keys)])
+        edge = np.nonzero((names[1:] != names[:-1]).any(axis=1))[0] + 1
+        cut = int(edge[-1]) if len(edge) else 0
+        if last is not None and (names[0] != last).any() and not cut:
+            yield _started(held, keys)
+            held = []
+        if cut:
+            yield _started([*held, part.slice(0, cut)], keys)
+            held = []
+        held.append(part.slice(cut))
+        last = names[-1]
+    if held:
+        yield _started(held, keys)
+
+
+def _started(parts: list[pa.RecordBatch], keys: int) -> tuple[pa.Table, np.ndarray]:
+    table = pa.Table.from_batches(parts)
+    names = np.column_stack([table.column(k).to_numpy() for k in range(keys)])
+    return table, np.concatenate(([0], np.nonzero((names[1:] != names[:-1]).any(axis=1))[0] + 1))
+
+
+def _node_pairs(codes: np.ndarray, starts: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j), i < j, of codes of one node at distance limit or less; all pairs of an i at once."""
+    sizes = np.diff(np.append(starts, len(codes)))
+    small = np.repeat(sizes <= LEAF, sizes)  # one leaf: compare it whole
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    out = []
+    for step in range(1, min(LEAF, len(codes))):
+        near = (group[step:] == group[:-step]) & small[step:]
+        if not near.any():
+            break
+        near &= np.bitwise_count(codes[step:] ^ codes[:-step]) <= limit
+        i = np.nonzero(near)[0]
+        out.append((i, i + step))
+    if out:
+        yield tuple(np.concatenate([x[k] for x in out]) for k in (0, 1))
+    for k in np.nonzero(sizes > LEAF)[0]:
+        for i, j in GrayTree(codes[starts[k] : starts[k] + sizes[k]]).pairs(limit):
+            yield i + starts[k], j + starts[k]
+
+
+def links(codes: DataFrame, limit: int = 2, node_rows: int = 4096) -> DataFrame:
+    """(a, b): a spanning forest, per top node, of the links between codes; a > b as signed longs."""
+    dealt = _dealt(top_nodes(codes, limit, node_rows).select("mask", "value", "fp"))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_nodes(parts, 2):
+            codes_ = table.column(2).to_numpy().view(np.uint64)
+            ends = np.append(starts, len(codes_))[1:]
+            small = np.nonzero(ends - starts <= LEAF)[0]
+            of = np.concatenate([np.arange(starts[k], ends[k]) for k in small]) if len(small) else np.zeros(0, np.int64)
+            lengths = (ends - starts)[small]
+            out = [(codes_[of[i]], codes_[of[j]]) for i, j in _node_pairs(codes_[of], np.cumsum(lengths) - lengths, limit)]
+            out += [_node_links(codes_[starts[k] : ends[k]], limit) for k in np.nonzero(ends - starts > LEAF)[0]]
+            if out:
+                a, b = (np.concatenate([x[k] for x in out]).view(np.int64) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def candidates(nodes: DataFrame, limit: int, first: int, end: int | None, least: float | None) -> DataFrame:
+    """(a, b, null, null): pairs of units of one node, at distance limit or less, whose roots differ; (null, null, mask, value): nodes with more.
+
+    nodes: mask, value, fp, unit, root, and with ``least`` size and bins. Of a unit's pairs with later ones, nearest first, those from ``first`` to ``end`` are taken.
+    With ``least`` only pairs count that can share it: two sets differ in as many shingles at least as the counts of their bins do.
+    """
+    dealt = _dealt(nodes.select("mask", "value", "fp", "unit", "root", *(["size", "bins"] if least is not None else [])))
+    share = 0.0 if least is None else (1 - least) / (1 + least)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_nodes(parts, 2):
+            mask, value, codes_, unit, root = (table.column(k).to_numpy() for k in range(5))
+            codes_ = codes_.view(np.uint64)
+            if least is not None:
+                size = table.column(5).to_numpy()
+                bins = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+            more: set[int] = set()
+            for i, j in _node_pairs(codes_, starts, limit):
+                if least is not None:
+                    able = np.zeros(len(i), bool)
+                    for at in range(0, len(i), 1 << 14):
+                        p, q = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+                        able[at : at + (1 << 14)] = np.abs(bins[p] - bins[q]).sum(axis=1, dtype=np.int64) <= share * (size[p] + size[q]) + 1e-6
+                    i, j = i[able], j[able]
+                order = np.lexsort((j, np.bitwise_count(codes_[i] ^ codes_[j]), i))
+                i, j = i[order], j[order]
+                rank = np.arange(len(i)) - np.searchsorted(i, i)
+                apart = root[i] != root[j]
+                if end is not None:
+                    more.update(np.unique(np.searchsorted(starts, i[apart & (rank >= end)], "right") - 1).tolist())
+                    apart &= rank < end
+                apart &= rank >= first
+                a, b = unit[i[apart]], unit[j[apart]]
+                if len(a):
+                    none = pa.nulls(len(a), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), none, none], ["a", "b", "mask", "value"])
+            if more:
+                at = starts[sorted(more)]
+                none = pa.nulls(len(at), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(mask[at]), pa.array(value[at])], ["a", "b", "mask", "value"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint, mask bigint, value bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b): each node of edges but the smallest of its component, with that smallest one.
 
@@ -297,39 +356,94 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def linked_sets(edges: DataFrame, codes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(fp, s): the distinct shingle hashes of the first document of every code that has a link.
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The sorted distinct hashes of all shingles of a text; of fewer words, of the whole sequence; of none, nothing."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(tokens) < words:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(tokens), 43)] if tokens else [], np.uint64)
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
+    n = len(tokens) - words + 1
+    out = np.zeros(n, np.uint64)
+    for k in range(words):
+        out = _mix(out + np.uint64(0x9E3779B97F4A7C15)) + each[k : k + n]
+    return np.unique(_mix(out))
 
-    codes: fp and first, a doc_id or null; docs: doc_id and text. Only documents of codes with a link are read with their text.
-    """
-    ids = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).distinct()
-    ids = write_table(ids.join(codes.where("first IS NOT NULL"), "fp").select("fp", F.col("first").alias("_id")), "linked")
+
+def unit_of(fp: int, shingles: np.ndarray) -> int:
+    """The unit, a signed long, of texts with this fingerprint."""
+    return _signed(fp)
+
+
+def units(docs: DataFrame, words: int, verify_words: int) -> DataFrame:
+    """(doc_id, fp, unit, size, bins): the number of a text's shingles, and how many, to 255, fall into each of BINS ranges of hashes."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    small_batches(docs.sparkSession)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            fps, found, sizes, bins = [], [], [], []
+            for text in part.column(1).to_pylist():
+                fp, own = fingerprint(text, words), shingle_set(text, verify_words)
+                fps.append(_signed(fp))
+                found.append(unit_of(fp, own))
+                bins.append(np.bincount((own >> np.uint64(65 - BINS.bit_length())).astype(np.int64), minlength=BINS).clip(max=255).astype(np.uint8).tobytes())
+                sizes.append(len(own))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64()), pa.array(found, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bins, pa.binary())], ["doc_id", "fp", "unit", "size", "bins"])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, fp bigint, unit bigint, size bigint, bins binary")
+
+
+def linked_sets(wanted: DataFrame, docs: DataFrame, words: int, verify_words: int) -> DataFrame:
+    """(unit, s): the distinct shingle hashes of the wanted units (unit, first); only documents with such a doc_id are read with their text."""
+    ids = write_table(wanted.select(F.col("first").alias("_id")).distinct(), "linked")
     some = F.broadcast(ids) if ids.count() * 48 <= BROADCAST_BYTES else ids
-    sets = docs.join(some, F.col("doc_id") == F.col("_id")).select("fp", F.array_distinct(shingle_hashes(words_of(F.col("text")), words, [])).alias("s"))
-    return write_table(sets.groupBy("fp").agg(F.max("s").alias("s")), "linked-shingles")  # one row, even if rows repeat a doc_id
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            texts = part.column(0).to_pylist()
+            sets = [shingle_set(x, verify_words) for x in texts]
+            found = [unit_of(fingerprint(x, words), s) for x, s in zip(texts, sets, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["unit", "s"])
+
+    small_batches(docs.sparkSession)
+    sets = docs.join(some, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text").mapInArrow(run, "unit bigint, s array<bigint>")
+    sets = sets.join(wanted.select("unit"), "unit", "left_semi")  # rows may repeat a doc_id with another text
+    return write_table(sets.groupBy("unit").agg(F.max("s").alias("s")), "linked-shingles")
 
 
 def verified(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """edges without those whose documents' sets share less than ``least`` of their union; an edge without both sets is kept."""
-    both = edges.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a", "left").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b", "left")
+    """edges without those whose sets share less than ``least`` of their union."""
+    both = edges.join(sets.select(F.col("unit").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("unit").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    alike = shared >= least * (F.size("sa") + F.size("sb") - shared)
-    return both.where(F.coalesce(alike, F.lit(True)) | F.col("sa").isNull() | F.col("sb").isNull()).select("a", "b")
+    return both.where(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
 
+def verified_components(own: DataFrame, docs: DataFrame, limit: int, node_rows: int, words: int, verify_words: int, least: float) -> DataFrame:
+    """(a, b): the components, as of ``components``, of the units of own (unit, fp, first, size, bins) over all links that hold by ``verified``.
 
-def verified_links(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Edges that hold by ``verified`` and connect all that edges which hold connect: nearest ones first, then those between components."""
-    edges = write_table(edges.withColumn("d", F.bit_count(F.col("a").bitwiseXOR(F.col("b")))), "links")
-    down = edges.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
-    up = edges.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a"))
-    first = write_table(down.unionByName(up).distinct(), "links-nearest")
-    good = write_table(verified(first, sets, least), "links-verified")
-    roots = components(good)
-    rest = edges.select("a", "b").join(first, ["a", "b"], "left_anti")
-    for side in ("a", "b"):
-        rest = rest.join(roots.select(F.col("a").alias(side), F.col("b").alias(f"root_{side}")), side, "left")
-    rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    return good.unionByName(verified(write_table(rest, "links-rest"), sets, least))
+    Rounds: every round verifies some more of the pairs whose ends no verified link connects yet; the last takes all that are left.
+    """
+    nodes = write_table(top_nodes(own.select("fp", "unit"), limit, node_rows), "simhash-units")
+    stars = sets = tried = None
+    for k, (first, end) in enumerate(ROUNDS):
+        rows = nodes
+        if stars is not None:
+            rows = rows.join(own.select("unit", "size", "bins"), "unit").join(stars.select(F.col("a").alias("unit"), F.col("b").alias("root")), "unit", "left")
+        root = F.col("unit") if stars is None else F.coalesce("root", "unit")
+        found = write_table(candidates(rows.withColumn("root", root), limit, first, end, least if k else None), "links")
+        pairs = found.where("a IS NOT NULL").select("a", "b").distinct()
+        pairs = write_table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "links-apart")
+        ends = pairs.select(F.col("a").alias("unit")).unionByName(pairs.select(F.col("b").alias("unit"))).distinct()
+        ends = ends if sets is None else ends.join(sets.select("unit"), "unit", "left_anti")
+        more = linked_sets(write_table(ends.join(own.select("unit", "first"), "unit"), "linked-units"), docs, words, verify_words)
+        sets, tried = (more, pairs) if sets is None else (sets.unionByName(more), tried.unionByName(pairs))
+        good = verified(pairs, sets, least)
+        stars = components(good if stars is None else stars.unionByName(good))
+        left = write_table(found.where("mask IS NOT NULL").select("mask", "value").distinct(), "simhash-left")
+        if not left.limit(1).count():
+            break
+        nodes = write_table(nodes.join(left, ["mask", "value"], "left_semi"), "simhash-units")
+    return stars
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, limit: int = 2, node_rows: int = 4096, verify: float | None = None, verify_words: int = 5) -> DataFrame:
@@ -338,19 +452,20 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     With ``verify``, links between documents that share less of their distinct shingles of ``verify_words`` words are dropped,
     and the rest connects only what real links connect.
     """
-    marked = write_table(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    codes = write_table(marked.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "codes")
-    found = links(codes.select("fp"), limit, node_rows, None if verify is None else NEAREST)
-    if verify is not None:
-        found = write_table(found, "links")
+    if verify is None:
+        marked = write_table(fingerprints(docs, id_col, text_col, words).withColumn("unit", F.col("fp")), "fingerprints")
+        own = write_table(marked.groupBy("unit").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "codes")
+        stars = components(links(own.select(F.col("unit").alias("fp")), limit, node_rows))
+    else:
         texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        found = verified_links(found, linked_sets(found, codes, texts, verify_words), verify)
-    stars = components(found)
-    rooted = codes.join(stars.withColumnRenamed("a", "fp"), "fp", "left").select("fp", "n", "first", F.coalesce("b", "fp").alias("root"))
+        marked = write_table(units(texts, words, verify_words), "fingerprints")
+        own = write_table(marked.groupBy("unit").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("bins").alias("bins")), "codes")
+        stars = verified_components(own, texts, limit, node_rows, words, verify_words, verify)
+    rooted = own.join(stars.withColumnRenamed("a", "unit"), "unit", "left").select("unit", "n", "first", F.coalesce("b", "unit").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root")
-    classes = write_table(named.select(F.pmod("fp", F.lit(1 << 30)).alias("part"), "fp", "n", "component_id"), "classes")
-    keyed = marked.select(F.pmod("fp", F.lit(1 << 30)).alias("part"), "fp", "doc_id")
-    return lookup(keyed, classes, ["part", "fp"], marked.count(), 48, "left", F.xxhash64("doc_id")).select("doc_id", "fp", "component_id")
+    classes = write_table(named.select(F.pmod("unit", F.lit(1 << 30)).alias("part"), "unit", "n", "component_id"), "classes")
+    keyed = marked.select(F.pmod("unit", F.lit(1 << 30)).alias("part"), "unit", "fp", "doc_id")
+    return lookup(keyed, classes, ["part", "unit"], marked.count(), 48, "left", F.xxhash64("doc_id")).select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex(fp: Column) -> Column:

@@ -263,3 +263,21 @@ def test_verified_links_equal_brute_force(spark):
         found = {r["doc_id"]: r["component_id"] for r in near_dedup(docs, limit=12, node_rows=rows, verify=0.8).collect()}
         assert all(root[found[i]] == root[i] for i in found)  # no link that does not hold
         assert sum(found[i] != root[i] for i in found) <= 4
+
+
+def test_many_nearer_siblings_hide_no_copy(spark):
+    import random
+
+    rng = random.Random(4)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared = fresh(200)
+    texts = {fingerprint(t): t for t in (" ".join(shared + fresh(30)) for _ in range(900))}  # siblings: about 0.77 of their shingles
+    texts = list(texts.values())[:700]
+    for _ in range(40):
+        own = shared + fresh(30)
+        texts += [" ".join(own), " ".join(own + fresh(54))]  # a true copy, with more text: over 0.8, and further away than siblings
+    fps = [fingerprint(t) for t in texts]
+    within = [i for i in range(700, 780, 2) if (fps[i] ^ fps[i + 1]).bit_count() <= 10]
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), limit=12, verify=0.8).collect()}
+    hit = sum(found[i + 1] == i for i in within)
+    assert hit >= 0.9 * len(within) > 20, (hit, len(within))
