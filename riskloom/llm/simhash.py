@@ -1,7 +1,7 @@
 """SimHash near-dedup with a Gray-order hierarchical index.
 
 1. ``fingerprints`` makes 64-bit SimHashes of word shingles, in Arrow batches, from whole texts.
-2. Equal fingerprints are one code. Two codes at distance ``limit`` or less agree on at least one of ``limit + 1`` bit
+2. Equal fingerprints are one code (with ``verify``, if the shingle sets are equal too; else they are candidates). Two codes at distance ``limit`` or less agree on at least one of ``limit + 1`` bit
    segments, so every code enters one top node per segment: (mask, code & mask). A top node with more than ``node_rows``
    codes is refined exactly: its free bits are cut into ``limit + 1`` segments again, of which one must agree once more.
    So no node is unbounded, whatever the data, and no pair is lost. For a limit over EXACT_LIMIT, segments would be too
@@ -370,8 +370,8 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 
 def unit_of(fp: int, shingles: np.ndarray) -> int:
-    """The unit, a signed long, of texts with this fingerprint."""
-    return _signed(fp)
+    """The unit, a signed long, of texts with this fingerprint and these distinct shingles."""
+    return _signed(xxhash.xxh3_64_intdigest(shingles.tobytes(), fp))
 
 
 def units(docs: DataFrame, words: int, verify_words: int) -> DataFrame:
@@ -459,6 +459,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         marked = write_table(units(texts, words, verify_words), "fingerprints")
+        # texts of one unit have one fingerprint and one set of shingles
         own = write_table(marked.groupBy("unit").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("bins").alias("bins")), "codes")
         stars = verified_components(own, texts, limit, node_rows, words, verify_words, verify)
     rooted = own.join(stars.withColumnRenamed("a", "unit"), "unit", "left").select("unit", "n", "first", F.coalesce("b", "unit").alias("root"))

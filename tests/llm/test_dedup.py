@@ -281,3 +281,16 @@ def test_many_nearer_siblings_hide_no_copy(spark):
     found = {r["doc_id"]: r["component_id"] for r in near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), limit=12, verify=0.8).collect()}
     hit = sum(found[i + 1] == i for i in within)
     assert hit >= 0.9 * len(within) > 20, (hit, len(within))
+
+
+def test_equal_fingerprints_are_verified(spark):
+    import random
+
+    rng = random.Random(6)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    filler = ["-"] * 90
+    texts = [" ".join(filler + fresh(60)) for _ in range(50)]  # one fingerprint, and little in common
+    texts += [t + " - -" for t in texts[:5]]  # the same shingles but for a few
+    assert len({fingerprint(t) for t in texts}) == 1
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), limit=12, verify=0.8).collect()}
+    assert found == {i: i if i < 50 else i - 50 for i in range(55)}
