@@ -6,7 +6,7 @@
    codes is refined exactly: its free bits are cut into ``limit + 1`` segments again, of which one must agree once more.
    So no node is unbounded, whatever the data, and no pair is lost. For a limit over EXACT_LIMIT, segments would be too
    short to tell codes apart; then the masks are random bit sets, as many as a recall of 0.8 at the limit takes (nearer
-   codes have more), and a node that is too large is refined by a few random runs of its free bits.
+   codes have more), and a node that is too large is cut into blocks, of which each two meet in a task, so it loses no pair.
 3. Codes are dealt by top node and sorted by Gray rank. In each node a binary hierarchy over the Gray order keeps in
    every inner node the bits all its codes share (mask and pattern), children only what their parent lacks. A search
    goes down with accumulated differences and drops a whole subtree when they exceed the limit.
@@ -99,12 +99,6 @@ def _segments(free: list[int], parts: int) -> list[int]:
     return [_signed(sum(1 << b for b in free[a:z])) for a, z in zip(cuts, cuts[1:], strict=False)]
 
 
-def _random_runs(free: list[int], _: int, runs: int = 3, size: int = 6) -> list[int]:
-    """Masks (signed) of ``runs`` random runs of ``size`` of the free bits, always the same for the same bits."""
-    order = random.Random(sum(1 << b for b in free)).sample(free, len(free))
-    return [_signed(sum(1 << b for b in part)) for k in range(runs) if (part := order[k * size : (k + 1) * size])]
-
-
 def _free(mask: int) -> list[int]:
     return [b for b in range(BITS) if not mask >> b & 1]
 
@@ -126,10 +120,13 @@ def table_masks(n: int, limit: int, recall: float = 0.8, seed: int = 11) -> list
 
 
 def top_nodes(codes: DataFrame, limit: int, node_rows: int) -> DataFrame:
-    """(mask, value, and the columns of codes): every code in its top nodes, none of which holds more than node_rows codes."""
+    """(mask, value, the columns of codes, task, side): every code in its top nodes, none of which holds more than node_rows codes, or twice as many in a task of ``in_blocks``."""
     parts = limit + 1
     level = _segments(list(range(BITS)), parts) if limit <= EXACT_LIMIT else table_masks(codes.count(), limit)
+    whole = [F.lit(0).cast("long").alias("task"), F.lit(0).cast("long").alias("side")]
     nodes = codes.select(*codes.columns, F.explode(F.array(*[F.lit(m).cast("long") for m in level])).alias("mask")).select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("value"), *codes.columns)
+    if limit > EXACT_LIMIT:
+        return in_blocks(write_table(nodes, "simhash-nodes"), node_rows)
     done = []
     while True:
         nodes = write_table(nodes, "simhash-nodes")
@@ -137,15 +134,26 @@ def top_nodes(codes: DataFrame, limit: int, node_rows: int) -> DataFrame:
         large = write_table(large, "simhash-large")
         masks = [r["mask"] for r in large.select("mask").distinct().collect()]  # one of a fixed set per level
         if not masks:
-            return _union([*done, nodes])
+            return _union([*done, nodes]).select("*", *whole)
         done.append(nodes.join(large, ["mask", "value"], "left_anti"))
-        finer = _segments if limit <= EXACT_LIMIT else _random_runs
-        children = [(m, _signed((m | c) & (2**64 - 1))) for m in masks for c in finer(_free(m), parts)]
+        children = [(m, _signed((m | c) & (2**64 - 1))) for m in masks for c in _segments(_free(m), parts)]
         cuts = F.broadcast(codes.sparkSession.createDataFrame(children, "mask bigint, child bigint"))
         hot = nodes.join(large.select("mask", "value"), ["mask", "value"], "left_semi")
         nodes = hot.join(cuts, "mask").select(*codes.columns, F.col("child").alias("mask")).select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("value"), *codes.columns).distinct()
 
 
+def in_blocks(nodes: DataFrame, node_rows: int) -> DataFrame:
+    """nodes with task and side: the codes of a larger node fall into blocks by hash, and each two blocks, and each one, meet in a task; no pair is lost."""
+    large = write_table(nodes.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > node_rows), "simhash-large")
+    large = F.broadcast(large) if large.count() * 32 <= BROADCAST_BYTES else large
+    blocks = F.ceil(F.coalesce("n", F.lit(1)) / node_rows)
+    own = nodes.join(large, ["mask", "value"], "left").withColumn("blocks", blocks)
+    own = own.withColumn("side", F.pmod(F.xxhash64(*[c for c in nodes.columns if c not in ("mask", "value")]), F.col("blocks")))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    task = F.shiftleft(F.least("side", "other"), 31) + F.greatest("side", "other")
+    return met.select(*nodes.columns, task.alias("task"), "side")
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for x in frames[1:]:
@@ -219,7 +227,7 @@ def _node_links(codes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
 def _dealt(nodes: DataFrame) -> DataFrame:
     """Rows of nodes, dealt by node and in Gray order."""
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return nodes.repartition(parts, "mask", "value").withColumn("rank", gray_rank(F.col("fp"))).sortWithinPartitions("mask", "value", "rank").drop("rank")
+    return nodes.repartition(parts, "mask", "value", "task").withColumn("rank", gray_rank(F.col("fp"))).sortWithinPartitions("mask", "value", "task", "rank").drop("rank")
 
 
 def _whole_nodes(parts: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -272,11 +280,11 @@ def _node_pairs(codes: np.ndarray, starts: np.ndarray, limit: int) -> Iterator[t
 
 def links(codes: DataFrame, limit: int = 2, node_rows: int = 4096) -> DataFrame:
     """(a, b): a spanning forest, per top node, of the links between codes; a > b as signed longs."""
-    dealt = _dealt(top_nodes(codes, limit, node_rows).select("mask", "value", "fp"))
+    dealt = _dealt(top_nodes(codes, limit, node_rows).select("mask", "value", "task", "fp"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in _whole_nodes(parts, 2):
-            codes_ = table.column(2).to_numpy().view(np.uint64)
+        for table, starts in _whole_nodes(parts, 3):
+            codes_ = table.column(3).to_numpy().view(np.uint64)
             ends = np.append(starts, len(codes_))[1:]
             small = np.nonzero(ends - starts <= LEAF)[0]
             of = np.concatenate([np.arange(starts[k], ends[k]) for k in small]) if len(small) else np.zeros(0, np.int64)
@@ -291,23 +299,26 @@ def links(codes: DataFrame, limit: int = 2, node_rows: int = 4096) -> DataFrame:
 
 
 def candidates(nodes: DataFrame, limit: int, first: int, end: int | None, least: float | None) -> DataFrame:
-    """(a, b, null, null): pairs of units of one node, at distance limit or less, whose roots differ; (null, null, mask, value): nodes with more.
+    """(a, b, nulls): pairs of units of one node, at distance limit or less, whose roots differ; (nulls, mask, value, task): nodes with more.
 
-    nodes: mask, value, fp, unit, root, and with ``least`` size and bins. Of a unit's pairs with later ones, nearest first, those from ``first`` to ``end`` are taken.
+    nodes: mask, value, task, side, fp, unit, root, and with ``least`` size and bins. Of a unit's pairs with later ones, nearest first, those from ``first`` to ``end`` are taken.
     With ``least`` only pairs count that can share it: two sets differ in as many shingles at least as the counts of their bins do.
     """
-    dealt = _dealt(nodes.select("mask", "value", "fp", "unit", "root", *(["size", "bins"] if least is not None else [])))
+    dealt = _dealt(nodes.select("mask", "value", "task", "side", "fp", "unit", "root", *(["size", "bins"] if least is not None else [])))
     share = 0.0 if least is None else (1 - least) / (1 + least)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in _whole_nodes(parts, 2):
-            mask, value, codes_, unit, root = (table.column(k).to_numpy() for k in range(5))
+        for table, starts in _whole_nodes(parts, 3):
+            mask, value, task, side, codes_, unit, root = (table.column(k).to_numpy() for k in range(7))
+            single = task >> 31 == task & ((1 << 31) - 1)
             codes_ = codes_.view(np.uint64)
             if least is not None:
-                size = table.column(5).to_numpy()
-                bins = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+                size = table.column(7).to_numpy()
+                bins = np.frombuffer(b"".join(table.column(8).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
             more: set[int] = set()
             for i, j in _node_pairs(codes_, starts, limit):
+                meet = single[i] | (side[i] != side[j])
+                i, j = i[meet], j[meet]
                 if least is not None:
                     able = np.zeros(len(i), bool)
                     for at in range(0, len(i), 1 << 14):
@@ -325,13 +336,13 @@ def candidates(nodes: DataFrame, limit: int, first: int, end: int | None, least:
                 a, b = unit[i[apart]], unit[j[apart]]
                 if len(a):
                     none = pa.nulls(len(a), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), none, none], ["a", "b", "mask", "value"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), none, none, none], ["a", "b", "mask", "value", "task"])
             if more:
                 at = starts[sorted(more)]
                 none = pa.nulls(len(at), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(mask[at]), pa.array(value[at])], ["a", "b", "mask", "value"])
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(mask[at]), pa.array(value[at]), pa.array(task[at])], ["a", "b", "mask", "value", "task"])
 
-    return dealt.mapInArrow(run, "a bigint, b bigint, mask bigint, value bigint")
+    return dealt.mapInArrow(run, "a bigint, b bigint, mask bigint, value bigint, task bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -439,10 +450,10 @@ def verified_components(own: DataFrame, docs: DataFrame, limit: int, node_rows:
         sets, tried = (more, pairs) if sets is None else (sets.unionByName(more), tried.unionByName(pairs))
         good = verified(pairs, sets, least)
         stars = components(good if stars is None else stars.unionByName(good))
-        left = write_table(found.where("mask IS NOT NULL").select("mask", "value").distinct(), "simhash-left")
+        left = write_table(found.where("mask IS NOT NULL").select("mask", "value", "task").distinct(), "simhash-left")
         if not left.limit(1).count():
             break
-        nodes = write_table(nodes.join(left, ["mask", "value"], "left_semi"), "simhash-units")
+        nodes = write_table(nodes.join(left, ["mask", "value", "task"], "left_semi"), "simhash-units")
     return stars
 
 

@@ -294,3 +294,35 @@ def test_equal_fingerprints_are_verified(spark):
     assert len({fingerprint(t) for t in texts}) == 1
     found = {r["doc_id"]: r["component_id"] for r in near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), limit=12, verify=0.8).collect()}
     assert found == {i: i if i < 50 else i - 50 for i in range(55)}
+
+
+def test_overfull_nodes_lose_no_pair_at_wide_limits(spark):
+    import random
+    from riskloom.llm.simhash import table_masks
+
+    rng = random.Random(8)
+    codes, pairs = set(), []
+    for _ in range(400):  # pairs at twelve bits among codes that share twelve bits
+        c = rng.getrandbits(52) << 12 | 0x5A5
+        d = c
+        for b in rng.sample(range(64), 12):
+            d ^= 1 << b
+        codes |= {c, d}
+        pairs.append((c, d))
+    signed = lambda c: c - (1 << 64) if c >> 63 else c
+    masks = table_masks(len(codes), 12)
+    meet = [(c, d) for c, d in pairs if any(not (c ^ d) & m for m in masks)]
+    found = {r["a"]: r["b"] for r in components(links(spark.createDataFrame([(signed(c),) for c in sorted(codes)], "fp long"), limit=12, node_rows=2)).collect()}
+    root = lambda c: found.get(signed(c), signed(c))
+    hit = sum(root(c) == root(d) for c, d in meet)
+    assert hit == len(meet) >= 0.7 * len(pairs), (hit, len(meet), len(pairs))
+
+
+def test_equal_codes_in_overfull_nodes_are_compared(spark):
+    import random
+
+    rng = random.Random(6)
+    texts = [" ".join(["-"] * 90 + [f"w{rng.randrange(10**6)}" for _ in range(60)]) for _ in range(50)]
+    texts += [t + " - -" for t in texts[:5]]
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), limit=12, node_rows=16, verify=0.8).collect()}
+    assert found == {i: i if i < 50 else i - 50 for i in range(55)}
