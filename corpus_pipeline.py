@@ -1,70 +1,8 @@
-"""A corpus pipeline: quality filter, exact dedup, near-dedup, decontamination, packing.
+"""The corpus pipeline (see riskloom.llm.stages): quality filter, exact dedup, near-dedup, decontamination, packing."""
 
-Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns the columns of documents,
-but for the last, which returns packed sequences. ``run`` writes each stage's result as Parquet in the shared folder and
-reads it again. Dropped documents are named by a narrow table, which is broadcast if a check of its size allows it, so
-texts are not shuffled then. Rows that repeat a doc_id are dropped together by all stages but exact dedup, which leaves
-one row for each doc_id and text; null values and further columns (other than _sha and _gone) pass through.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from riskloom.llm.common import BROADCAST_BYTES, write_table
-from riskloom.llm.decontamination import contained_items
-from riskloom.llm.exact_dedup import radix_dedup, text_digest
-from riskloom.llm.packing import pack
-from riskloom.llm.quality import drop_rejected, judge
-from riskloom.llm.simhash import near_dedup
-
-
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the doc_ids in gone."""
-    gone = write_table(gone.select(F.col("doc_id").alias("_gone")).distinct(), "dropped")
-    gone = F.broadcast(gone) if gone.count() * 32 <= BROADCAST_BYTES else gone
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_rejected(docs, judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-
-
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = radix_dedup(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    found = write_table(found.withColumnsRenamed({"doc_id": "_gone", "text_sha256": "_gone_sha"}), "copies")
-    gone = found.where(~F.col("kept")).select("_gone", "_gone_sha")
-    gone = F.broadcast(gone) if gone.count() * 128 <= BROADCAST_BYTES else gone
-    left = docs.withColumn("_sha", text_digest(F.col("text")))
-    left = left.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_sha") == F.col("_gone_sha")), "left_anti")
-    if found.where(F.col("kept") & (F.col("n") > 1)).limit(1).count():  # rows that agree in doc_id and text: one stays
-        left = left.dropDuplicates(["doc_id", "_sha"])
-    return left.select(*docs.columns)
-
-
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # texts that share 0.8 of their five-word shingles or more differ in twelve bits at most, but for a few; each link is verified
-    found = near_dedup(docs, limit=12, verify=0.8)
-    return _without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, with_ids=False)
-
-
-STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("decontamination", decontaminate), ("packing", packing)]
+from riskloom.llm.stages import STAGES, run
 
 #: The model of the first stage, SimHash and the tokeniser are beyond SQL; the tests use brute force.
 ORACLE_SQL = None
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = write_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

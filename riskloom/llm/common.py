@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,10 +37,38 @@ def write_table(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of very long texts fits a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows + 1):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def remove_table(table: DataFrame) -> None:
+    """Delete a table of ``write_table`` that nothing will read again."""
+    jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df has not."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_row_id(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column that tells its rows apart, although doc_ids may be null or repeat; the same in every job.
+
+    Rows of a table of files are named by file and position, so nothing is copied. Other rows are written with a number first.
+    """
+    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and "_metadata" not in {c.lower() for c in docs.columns}:
+        file, at = F.xxhash64("_metadata.file_path").cast("decimal(20,0)"), F.col("_metadata.row_index")
+        return docs.select("*", (file * F.lit(1 << 40).cast("decimal(13,0)") + at).alias(name))
+    return write_table(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
+def bounded(parts: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of so many rows at most, so that the Python form of very long texts stays small."""
+    for part in parts:
+        for at in range(0, part.num_rows, rows):
+            yield part.slice(at, rows)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -31,6 +31,8 @@ from riskloom.llm.common import BROADCAST_BYTES, ascii_lower, write_table
 
 #: Smallest and largest exponent of a signature's width.
 LEAST, MOST = 4, 30
+#: Tasks over which one signature value is dealt where signatures join by a shuffle.
+SALTS = 32
 
 
 def words_of(text: Column) -> Column:
@@ -117,8 +119,12 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     signed = signed.select("doc_id", "h", width_of(F.size("h"), extra).alias("width"))
     signed = signed.select("doc_id", "width", F.explode(signature(F.col("h"), F.col("width"))).alias("value"))
     probes = write_table(tests.select("item_id", F.inline(all_signatures(F.col("h")))), "item-signatures")
-    near = F.broadcast(probes) if probes.count() * 64 <= bound else probes
-    candidates = signed.join(near, "value").where(F.col("width") >= F.col("from_width")).select("doc_id", "item_id").distinct()
+    if probes.count() * 64 <= bound:
+        met = signed.join(F.broadcast(probes), "value")
+    else:  # a passage that most documents hold is dealt over SALTS tasks
+        salted = probes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = signed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["value", "salt"])
+    candidates = met.where(F.col("width") >= F.col("from_width")).select("doc_id", "item_id").distinct()
     candidates = write_table(candidates, "candidates")
 
     pairs = F.broadcast(candidates) if candidates.count() * 48 <= bound else candidates

@@ -9,7 +9,8 @@ deals the pieces by bucket and a salt, so that one bucket is written by many tas
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed again, each for itself; an empty
 table gives an empty result; all other columns are ignored. Texts over ``chunk`` characters are encoded in chunks that
-end where the pre-tokeniser always splits, so the ids are those of the whole text.
+end where the pre-tokeniser always splits, so the ids are those of the whole text. A special token's string in a text is
+that token's id, as the tokeniser's own file has it.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import small_batches
+from riskloom.llm.common import bounded
 
 #: The pre-tokeniser starts a new piece between a lower-case ASCII letter and one blank with a letter after it.
 _SPLIT = re.compile(r"(?<=[a-z])(?= [A-Za-z])")
+#: Special tokens of the default vocabulary.
+SPECIAL = {"<|endoftext|>": 50256}
 
 
 def vocabulary_path() -> str:
@@ -37,23 +40,26 @@ def vocabulary_path() -> str:
 
 
 class Encoder:
-    """Byte-level BPE by ranks; special tokens' strings in a text are ordinary text."""
+    """Byte-level BPE by ranks; the string of a special token in a text is that token."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, special: dict[str, int]):
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.encoding.encode(text, allowed_special="all", disallowed_special=()), np.uint32)
 
     def ids(self, text: str, chunk: int = 1 << 18) -> np.ndarray:
         if len(text) <= chunk:
-            return np.array(self.encoding.encode_ordinary(text), np.uint32)
+            return self._encode(text)
         out, at = [], 0
         while at < len(text):
             cut = _SPLIT.search(text, at + chunk)
             end = cut.start() if cut else len(text)
-            out.append(np.array(self.encoding.encode_ordinary(text[at:end]), np.uint32))
+            out.append(self._encode(text[at:end]))
             at = end
         return np.concatenate(out)
 
@@ -64,25 +70,25 @@ def binary_lengths(n: int, size: int) -> list[int]:
     return [size] * (n // size) + [1 << k for k in reversed(range(size.bit_length())) if rest >> k & 1]
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 0, path: str | None = None, pattern: str | None = None, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 0, path: str | None = None, pattern: str | None = None, special: dict[str, int] | None = None, with_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, bucket, sequence_id, offset, and ids if asked for.
 
     size: a power of two. path: the vocabulary, as base64 tokens with ranks; it must lie at the same place on all machines.
+    special: strings of special tokens and their ids.
     sequence_id is unique and rises within a task; offset is 0, as a piece is a whole sequence.
     """
     if size < 1 or size & (size - 1):
         raise ValueError("size must be a power of two")
     import public_tokenizers
 
-    path, pattern = path or vocabulary_path(), pattern or public_tokenizers.PATTERN
-    small_batches(docs.sparkSession, 256)
+    path, pattern, special = path or vocabulary_path(), pattern or public_tokenizers.PATTERN, SPECIAL if special is None else special
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket", *["ids"] * with_ids]
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, pattern)
-        for part in parts:
+        encoder = Encoder(path, pattern, special)
+        for part in bounded(parts, 256):
             at, start, length, crc, total, ids = [], [], [], [], [], []
             for i, text in enumerate(part.column(1).to_pylist()):
                 own = np.append(encoder.ids(text or ""), np.uint32(end_id)).astype("<u4")

@@ -56,7 +56,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judge(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("row_id")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return radix_dedup(_docs(spark, sf_dir))
+    return radix_dedup(_docs(spark, sf_dir)).drop("row_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

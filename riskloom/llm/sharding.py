@@ -17,6 +17,8 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import free_name
+
 #: Bound of the table that is broadcast.
 MAX_SLOTS = 1 << 20
 
@@ -52,11 +54,12 @@ def claim_slots(shards: list[str], size: int) -> list[int]:
 def place(docs: DataFrame, shards: list[str], size: int = 8191, key_col: str = "doc_id") -> DataFrame:
     """docs with the columns slot (int), shard (int, the position in shards) and shard_name."""
     spark = docs.sparkSession
-    table = spark.createDataFrame([(i, o, shards[o]) for i, o in enumerate(claim_slots(shards, size))], "slot int, shard int, shard_name string")
+    at = free_name(docs, "at_slot")
+    table = spark.createDataFrame([(i, o, shards[o]) for i, o in enumerate(claim_slots(shards, size))], f"{at} int, shard int, shard_name string")
     digits = F.substring(F.md5(F.coalesce(F.col(key_col).cast("string"), F.lit("")).cast("binary")), 1, 15)
     slot = F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(size)).cast("int")
-    rest = [c for c in docs.columns if c.lower() not in {"slot", "shard", "shard_name"} or c == key_col]
-    return docs.withColumn("_slot", slot).select(*rest, "_slot").withColumnRenamed("_slot", "slot").join(F.broadcast(table), "slot").select(*rest, "slot", "shard", "shard_name")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {"slot", "shard", "shard_name"}]
+    return docs.select(*rest, slot.alias(at)).join(F.broadcast(table), at).select(*rest, F.col(at).alias("slot"), "shard", "shard_name")
 
 
 def write_shards(docs: DataFrame, path: str, shards: list[str], size: int = 8191, key_col: str = "doc_id") -> None:

@@ -5,18 +5,23 @@
    segments, so every code enters one top node per segment: (mask, code & mask). A top node with more than ``node_rows``
    codes is refined exactly: its free bits are cut into ``limit + 1`` segments again, of which one must agree once more.
    So no node is unbounded, whatever the data, and no pair is lost. For a limit over EXACT_LIMIT, segments would be too
-   short to tell codes apart; then the masks are random bit sets, as many as a recall of 0.8 at the limit takes (nearer
-   codes have more), and a node that is too large is cut into blocks, of which each two meet in a task, so it loses no pair.
+   short to tell codes apart; then the masks are random bit sets, as many as a recall of ``recall`` at the limit takes
+   (nearer codes have more), and a node that is too large is cut into blocks, of which each two meet in a task, so it
+   loses no pair. Their number follows the table's size slowly: 40 up to 2**26 codes, about 115 at 2**30.
 3. Codes are dealt by top node and sorted by Gray rank. In each node a binary hierarchy over the Gray order keeps in
    every inner node the bits all its codes share (mask and pattern), children only what their parent lacks. A search
    goes down with accumulated differences and drops a whole subtree when they exceed the limit.
 4. Each node emits a spanning forest of its links, not all pairs; connected components come from alternating large-star
    and small-star joins in checkpointed rounds. Documents join their code's class by ``common.lookup``.
 5. Where links must hold for the texts as well (``verify``), every pair within the limit is a candidate, and only verified
-   links take candidates away: in rounds, each code's nearest candidates are verified by exact shingle sets, and nodes are
-   searched again for pairs that these left apart, until none is left. From the second round on, pairs are passed over that
-   cannot share enough, as the counts of their shingles in ranges of hashes differ by too much: a bound, not an estimate.
-   So a ball of near copies is read about once and not once a pair.
+   links take candidates away. Two rounds verify each code's nearest candidates by a join with exact shingle sets. Codes
+   that still have a candidate which no verified link connects meet in a last search together with their sets, in blocks
+   of a bounded number of shingles; it verifies in the task and emits a spanning forest of what holds. So no plan ever has
+   a row for a pair beyond the four nearest, and nothing is left unverified. From the second round on, pairs are passed
+   over that cannot share enough, as the counts of their shingles in ranges of hashes differ by too much: a bound, not an
+   estimate. A group of many texts that are alike, but less than asked, costs its tasks time in proportion to its pairs.
+6. With ``verify`` a document is a row: rows that repeat a doc_id, or have none, are told apart by ``common.with_row_id``,
+   and one row of each class is marked as kept.
 
 Defined results: a text with fewer words than a shingle is one shingle, without words (null, empty, blank) its
 fingerprint is zero and links like any other; repeated rows have equal fingerprints and appear once each; null doc_ids
@@ -35,15 +40,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import BROADCAST_BYTES, lookup, small_batches, write_table
+from riskloom.llm.common import BROADCAST_BYTES, bounded, free_name, lookup, remove_table, with_row_id, write_table
 from riskloom.llm.lm_scoring import _mix
 
 BITS = 64
 LEAF = 16
 #: Up to this limit top nodes are segments, and no link is lost; above it they are random masks with a stated recall.
 EXACT_LIMIT = 3
-#: From which to which of a code's candidates, nearest first, a round verifies those that are still apart; the first round knows no bins.
-ROUNDS = ((0, 1), (0, 4), (4, 32), (32, None))
+#: Nodes up to so many codes are compared whole.
+SMALL = 64
+#: How many of a code's candidates, nearest first, a round verifies if they are still apart; the first round knows no bins.
+ROUNDS = (1, 4)
+#: Shingles of the sets of one block of the last search, on average (32 MB).
+BLOCK_SHINGLES = 1 << 22
 #: Ranges of hashes in which shingles are counted, a power of two.
 BINS = 256
 
@@ -72,10 +81,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp): fp is the fingerprint as a signed long."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    small_batches(docs.sparkSession)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in bounded(parts):
             found = np.array([fingerprint(x, words) for x in part.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
@@ -103,14 +111,14 @@ def _free(mask: int) -> list[int]:
     return [b for b in range(BITS) if not mask >> b & 1]
 
 
-def table_masks(n: int, limit: int, recall: float = 0.8, seed: int = 11) -> list[int]:
+def table_masks(n: int, limit: int, recall: float = 0.92, seed: int = 11) -> list[int]:
     """Masks (signed) of bits, on one of which two codes at distance ``limit`` agree with that probability; nearer ones with a higher one.
 
-    A mask has 12 bits, or more once a node would hold over 256 of n unrelated codes; the number of masks follows. They
+    A mask has 12 bits, or more once a node would hold over 16,384 of n unrelated codes; the number of masks follows. They
     are runs of random permutations of the bits, so masks of one permutation do not overlap.
     """
     rng = random.Random(seed)
-    size = min(40, max(12, round(math.log2(max(2, n))) - 8))
+    size = min(40, max(12, round(math.log2(max(2, n))) - 14))
     agree = math.prod((BITS - size - i) / (BITS - i) for i in range(limit))
     out: list[int] = []
     while len(out) < math.ceil(math.log(1 - recall) / math.log(1 - agree)):
@@ -126,7 +134,7 @@ def top_nodes(codes: DataFrame, limit: int, node_rows: int) -> DataFrame:
     whole = [F.lit(0).cast("long").alias("task"), F.lit(0).cast("long").alias("side")]
     nodes = codes.select(*codes.columns, F.explode(F.array(*[F.lit(m).cast("long") for m in level])).alias("mask")).select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("value"), *codes.columns)
     if limit > EXACT_LIMIT:
-        return in_blocks(write_table(nodes, "simhash-nodes"), node_rows)
+        return in_blocks(nodes, F.lit(1), node_rows)
     done = []
     while True:
         nodes = write_table(nodes, "simhash-nodes")
@@ -142,13 +150,12 @@ def top_nodes(codes: DataFrame, limit: int, node_rows: int) -> DataFrame:
         nodes = hot.join(cuts, "mask").select(*codes.columns, F.col("child").alias("mask")).select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("value"), *codes.columns).distinct()
 
 
-def in_blocks(nodes: DataFrame, node_rows: int) -> DataFrame:
-    """nodes with task and side: the codes of a larger node fall into blocks by hash, and each two blocks, and each one, meet in a task; no pair is lost."""
-    large = write_table(nodes.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > node_rows), "simhash-large")
+def in_blocks(nodes: DataFrame, weight: Column, most: int) -> DataFrame:
+    """nodes with task and side: the codes of a node that weighs over ``most`` fall into blocks by hash, and each two blocks, and each one, meet in a task; no pair is lost."""
+    large = write_table(nodes.groupBy("mask", "value").agg(F.sum(weight).alias("n")).where(F.col("n") > most), "simhash-large")
     large = F.broadcast(large) if large.count() * 32 <= BROADCAST_BYTES else large
-    blocks = F.ceil(F.coalesce("n", F.lit(1)) / node_rows)
-    own = nodes.join(large, ["mask", "value"], "left").withColumn("blocks", blocks)
-    own = own.withColumn("side", F.pmod(F.xxhash64(*[c for c in nodes.columns if c not in ("mask", "value")]), F.col("blocks")))
+    own = nodes.join(large, ["mask", "value"], "left").withColumn("blocks", F.ceil(F.coalesce("n", F.lit(1)) / most))
+    own = own.withColumn("side", F.pmod(F.xxhash64("fp", *[c for c in ("unit",) if c in nodes.columns]), F.col("blocks")))
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     task = F.shiftleft(F.least("side", "other"), 31) + F.greatest("side", "other")
     return met.select(*nodes.columns, task.alias("task"), "side")
@@ -261,10 +268,10 @@ def _started(parts: list[pa.RecordBatch], keys: int) -> tuple[pa.Table, np.ndarr
 def _node_pairs(codes: np.ndarray, starts: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j), i < j, of codes of one node at distance limit or less; all pairs of an i at once."""
     sizes = np.diff(np.append(starts, len(codes)))
-    small = np.repeat(sizes <= LEAF, sizes)  # one leaf: compare it whole
+    small = np.repeat(sizes <= SMALL, sizes)
     group = np.repeat(np.arange(len(sizes)), sizes)
     out = []
-    for step in range(1, min(LEAF, len(codes))):
+    for step in range(1, min(SMALL, len(codes))):
         near = (group[step:] == group[:-step]) & small[step:]
         if not near.any():
             break
@@ -273,7 +280,7 @@ def _node_pairs(codes: np.ndarray, starts: np.ndarray, limit: int) -> Iterator[t
         out.append((i, i + step))
     if out:
         yield tuple(np.concatenate([x[k] for x in out]) for k in (0, 1))
-    for k in np.nonzero(sizes > LEAF)[0]:
+    for k in np.nonzero(sizes > SMALL)[0]:
         for i, j in GrayTree(codes[starts[k] : starts[k] + sizes[k]]).pairs(limit):
             yield i + starts[k], j + starts[k]
 
@@ -286,11 +293,11 @@ def links(codes: DataFrame, limit: int = 2, node_rows: int = 4096) -> DataFrame:
         for table, starts in _whole_nodes(parts, 3):
             codes_ = table.column(3).to_numpy().view(np.uint64)
             ends = np.append(starts, len(codes_))[1:]
-            small = np.nonzero(ends - starts <= LEAF)[0]
+            small = np.nonzero(ends - starts <= SMALL)[0]
             of = np.concatenate([np.arange(starts[k], ends[k]) for k in small]) if len(small) else np.zeros(0, np.int64)
             lengths = (ends - starts)[small]
             out = [(codes_[of[i]], codes_[of[j]]) for i, j in _node_pairs(codes_[of], np.cumsum(lengths) - lengths, limit)]
-            out += [_node_links(codes_[starts[k] : ends[k]], limit) for k in np.nonzero(ends - starts > LEAF)[0]]
+            out += [_node_links(codes_[starts[k] : ends[k]], limit) for k in np.nonzero(ends - starts > SMALL)[0]]
             if out:
                 a, b = (np.concatenate([x[k] for x in out]).view(np.int64) for k in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
@@ -298,41 +305,47 @@ def links(codes: DataFrame, limit: int = 2, node_rows: int = 4096) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def candidates(nodes: DataFrame, limit: int, first: int, end: int | None, least: float | None) -> DataFrame:
+def _open_pairs(table: pa.Table, starts: np.ndarray, limit: int, least: float | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, rank) of a table of ``candidates``: pairs that meet in this task and can hold, nearest first for each i."""
+    task, side, codes = table.column(2).to_numpy(), table.column(3).to_numpy(), table.column(4).to_numpy().view(np.uint64)
+    single = task >> 31 == task & ((1 << 31) - 1)
+    if least is not None:
+        size = table.column(7).to_numpy()
+        counts = np.frombuffer(b"".join(table.column(8).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+        share = (1 - least) / (1 + least)
+    for i, j in _node_pairs(codes, starts, limit):
+        meet = single[i] | (side[i] != side[j])
+        i, j = i[meet], j[meet]
+        if least is not None:
+            able = np.zeros(len(i), bool)
+            for at in range(0, len(i), 1 << 14):
+                p, q = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+                able[at : at + (1 << 14)] = np.abs(counts[p] - counts[q]).sum(axis=1, dtype=np.int64) <= share * (size[p] + size[q]) + 1e-6
+            i, j = i[able], j[able]
+        order = np.lexsort((j, np.bitwise_count(codes[i] ^ codes[j]), i))
+        i, j = i[order], j[order]
+        yield i, j, np.arange(len(i)) - np.searchsorted(i, i)
+
+
+def _columns(least: float | None) -> list[str]:
+    return ["mask", "value", "task", "side", "fp", "unit", "root", *(["size", "bins"] if least is not None else [])]
+
+
+def candidates(nodes: DataFrame, limit: int, end: int, least: float | None) -> DataFrame:
     """(a, b, nulls): pairs of units of one node, at distance limit or less, whose roots differ; (nulls, mask, value, task): nodes with more.
 
-    nodes: mask, value, task, side, fp, unit, root, and with ``least`` size and bins. Of a unit's pairs with later ones, nearest first, those from ``first`` to ``end`` are taken.
+    nodes: mask, value, task, side, fp, unit, root, and with ``least`` size and bins. Of a unit's pairs with later ones, the ``end`` nearest are taken.
     With ``least`` only pairs count that can share it: two sets differ in as many shingles at least as the counts of their bins do.
     """
-    dealt = _dealt(nodes.select("mask", "value", "task", "side", "fp", "unit", "root", *(["size", "bins"] if least is not None else [])))
-    share = 0.0 if least is None else (1 - least) / (1 + least)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _whole_nodes(parts, 3):
-            mask, value, task, side, codes_, unit, root = (table.column(k).to_numpy() for k in range(7))
-            single = task >> 31 == task & ((1 << 31) - 1)
-            codes_ = codes_.view(np.uint64)
-            if least is not None:
-                size = table.column(7).to_numpy()
-                bins = np.frombuffer(b"".join(table.column(8).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+            mask, value, task, unit, root = (table.column(k).to_numpy() for k in (0, 1, 2, 5, 6))
             more: set[int] = set()
-            for i, j in _node_pairs(codes_, starts, limit):
-                meet = single[i] | (side[i] != side[j])
-                i, j = i[meet], j[meet]
-                if least is not None:
-                    able = np.zeros(len(i), bool)
-                    for at in range(0, len(i), 1 << 14):
-                        p, q = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
-                        able[at : at + (1 << 14)] = np.abs(bins[p] - bins[q]).sum(axis=1, dtype=np.int64) <= share * (size[p] + size[q]) + 1e-6
-                    i, j = i[able], j[able]
-                order = np.lexsort((j, np.bitwise_count(codes_[i] ^ codes_[j]), i))
-                i, j = i[order], j[order]
-                rank = np.arange(len(i)) - np.searchsorted(i, i)
+            for i, j, rank in _open_pairs(table, starts, limit, least):
                 apart = root[i] != root[j]
-                if end is not None:
-                    more.update(np.unique(np.searchsorted(starts, i[apart & (rank >= end)], "right") - 1).tolist())
-                    apart &= rank < end
-                apart &= rank >= first
+                more.update(np.unique(np.searchsorted(starts, i[apart & (rank >= end)], "right") - 1).tolist())
+                apart &= rank < end
                 a, b = unit[i[apart]], unit[j[apart]]
                 if len(a):
                     none = pa.nulls(len(a), pa.int64())
@@ -342,29 +355,87 @@ def candidates(nodes: DataFrame, limit: int, first: int, end: int | None, least:
                 none = pa.nulls(len(at), pa.int64())
                 yield pa.RecordBatch.from_arrays([none, none, pa.array(mask[at]), pa.array(value[at]), pa.array(task[at])], ["a", "b", "mask", "value", "task"])
 
-    return dealt.mapInArrow(run, "a bigint, b bigint, mask bigint, value bigint, task bigint")
+    return _dealt(nodes.select(*_columns(least))).mapInArrow(run, "a bigint, b bigint, mask bigint, value bigint, task bigint")
+
+
+def still_open(nodes: DataFrame, limit: int, least: float) -> DataFrame:
+    """(mask, value, unit): the units of a node that have a candidate of another root; nodes as of ``candidates``."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_nodes(parts, 3):
+            mask, value, unit, root = (table.column(k).to_numpy() for k in (0, 1, 5, 6))
+            mine = np.zeros(len(unit), bool)
+            for i, j, _ in _open_pairs(table, starts, limit, least):
+                apart = root[i] != root[j]
+                mine[i[apart]] = mine[j[apart]] = True
+            if mine.any():
+                yield pa.RecordBatch.from_arrays([pa.array(mask[mine]), pa.array(value[mine]), pa.array(unit[mine])], ["mask", "value", "unit"])
+
+    return _dealt(nodes.select(*_columns(least))).mapInArrow(run, "mask bigint, value bigint, unit bigint").distinct()
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")  # two sorted runs
+    return int((both[1:] == both[:-1]).sum())
+
+
+def verified_forests(nodes: DataFrame, limit: int, least: float) -> DataFrame:
+    """(a, b): links that hold, as few as connect what they connect; nodes as of ``candidates`` with the set s of each unit."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_nodes(parts, 3):
+            unit, sets = table.column(5).to_numpy(), table.column(9).combine_chunks()
+            ends, values = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)
+            _, label = np.unique(table.column(6).to_numpy(), return_inverse=True)
+            a, b = [], []
+            for i, j, _ in _open_pairs(table, starts, limit, least):
+                for at in range(0, len(i), 4096):
+                    p, q = i[at : at + 4096], j[at : at + 4096]
+                    apart = label[p] != label[q]
+                    for x, y in zip(p[apart].tolist(), q[apart].tolist(), strict=True):
+                        if label[x] == label[y]:
+                            continue
+                        one, two = values[ends[x] : ends[x + 1]], values[ends[y] : ends[y + 1]]
+                        n = len(one) + len(two)
+                        if min(len(one), len(two)) >= least * (n / (1 + least)) - 1e-6 and (s := _shared(one, two)) >= least * (n - s):
+                            label[label == label[y]] = label[x]
+                            a.append(unit[x])
+                            b.append(unit[y])
+            if a:
+                a_, b_ = np.array(a), np.array(b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a_, b_)), pa.array(np.minimum(a_, b_))], ["a", "b"])
+
+    return _dealt(nodes.select(*_columns(least), "s")).mapInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b): each node of edges but the smallest of its component, with that smallest one.
 
-    Alternating large-star and small-star rounds; each is two aggregations and two joins on (node), so neither a
-    neighbourhood nor a component ever meets in one task, and each round is checkpointed.
+    Alternating large-star and small-star rounds, each written to a table. The first joins every neighbour with the least
+    neighbour of its node; as one node may have most of all neighbours, that is a ``lookup``. In the second no node
+    has more than a few smaller neighbours.
     """
     edges = write_table(edges.select("a", "b"), "links")
-    seen = None
-    while True:
+    now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    while now[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = both.groupBy("a").agg(F.count("*").alias("n"), F.least(F.min("b"), F.col("a")).alias("m"))
+        low = write_table(low.withColumn("part", F.pmod("a", F.lit(1 << 30))), "links-least")
+        later = both.where("b > a").select(F.pmod("a", F.lit(1 << 30)).alias("part"), "a", "b")
+        large = lookup(later, low, ["part", "a"], 2 * now[0], 48, "inner", F.xxhash64("b"))
+        large = large.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = write_table(small, "links")
+        after = write_table(small, "links")
+        remove_table(edges)
+        remove_table(low)
+        edges, seen = after, now
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen:
-            return edges
-        seen = now
+            break
+    return edges
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -386,40 +457,37 @@ def unit_of(fp: int, shingles: np.ndarray) -> int:
 
 
 def units(docs: DataFrame, words: int, verify_words: int) -> DataFrame:
-    """(doc_id, fp, unit, size, bins): the number of a text's shingles, and how many, to 255, fall into each of BINS ranges of hashes."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    small_batches(docs.sparkSession)
+    """(row_id, doc_id, fp, unit, size, bins): the number of a text's shingles, and how many, to 255, fall into each of BINS ranges of hashes."""
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in ("row_id", "doc_id")}
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in bounded(parts):
             fps, found, sizes, bins = [], [], [], []
-            for text in part.column(1).to_pylist():
+            for text in part.column(2).to_pylist():
                 fp, own = fingerprint(text, words), shingle_set(text, verify_words)
                 fps.append(_signed(fp))
                 found.append(unit_of(fp, own))
                 bins.append(np.bincount((own >> np.uint64(65 - BINS.bit_length())).astype(np.int64), minlength=BINS).clip(max=255).astype(np.uint8).tobytes())
                 sizes.append(len(own))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64()), pa.array(found, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bins, pa.binary())], ["doc_id", "fp", "unit", "size", "bins"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps, pa.int64()), pa.array(found, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bins, pa.binary())], ["row_id", "doc_id", "fp", "unit", "size", "bins"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, fp bigint, unit bigint, size bigint, bins binary")
+    return docs.select("row_id", "doc_id", "text").mapInArrow(run, f"row_id {kinds['row_id']}, doc_id {kinds['doc_id']}, fp bigint, unit bigint, size bigint, bins binary")
 
 
 def linked_sets(wanted: DataFrame, docs: DataFrame, words: int, verify_words: int) -> DataFrame:
-    """(unit, s): the distinct shingle hashes of the wanted units (unit, first); only documents with such a doc_id are read with their text."""
-    ids = write_table(wanted.select(F.col("first").alias("_id")).distinct(), "linked")
+    """(unit, s): the distinct shingle hashes of the wanted units (unit, row: one of its rows); only those rows are read with their text."""
+    ids = write_table(wanted.select(F.col("row").alias("_row")), "linked")
     some = F.broadcast(ids) if ids.count() * 48 <= BROADCAST_BYTES else ids
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in bounded(parts):
             texts = part.column(0).to_pylist()
             sets = [shingle_set(x, verify_words) for x in texts]
             found = [unit_of(fingerprint(x, words), s) for x, s in zip(texts, sets, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["unit", "s"])
 
-    small_batches(docs.sparkSession)
-    sets = docs.join(some, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text").mapInArrow(run, "unit bigint, s array<bigint>")
-    sets = sets.join(wanted.select("unit"), "unit", "left_semi")  # rows may repeat a doc_id with another text
-    return write_table(sets.groupBy("unit").agg(F.max("s").alias("s")), "linked-shingles")
+    rows = docs.join(some, F.col("row_id") == F.col("_row")).select("text")
+    return write_table(rows.mapInArrow(run, "unit bigint, s array<bigint>"), "linked-shingles")
 
 
 def verified(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -430,54 +498,75 @@ def verified(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def verified_components(own: DataFrame, docs: DataFrame, limit: int, node_rows: int, words: int, verify_words: int, least: float) -> DataFrame:
-    """(a, b): the components, as of ``components``, of the units of own (unit, fp, first, size, bins) over all links that hold by ``verified``.
-
-    Rounds: every round verifies some more of the pairs whose ends no verified link connects yet; the last takes all that are left.
-    """
+    """(a, b): the components, as of ``components``, of the units of own (unit, fp, row, size, bins) over all links that hold by ``verified``."""
     nodes = write_table(top_nodes(own.select("fp", "unit"), limit, node_rows), "simhash-units")
     stars = sets = tried = None
-    for k, (first, end) in enumerate(ROUNDS):
-        rows = nodes
-        if stars is not None:
-            rows = rows.join(own.select("unit", "size", "bins"), "unit").join(stars.select(F.col("a").alias("unit"), F.col("b").alias("root")), "unit", "left")
-        root = F.col("unit") if stars is None else F.coalesce("root", "unit")
-        found = write_table(candidates(rows.withColumn("root", root), limit, first, end, least if k else None), "links")
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        return rows.join(own.select("unit", "size", "bins"), "unit").join(stars.select(F.col("a").alias("unit"), F.col("b").alias("root")), "unit", "left").withColumn("root", F.coalesce("root", "unit"))
+
+    def known(ends: DataFrame) -> DataFrame:
+        """The sets known so far and those of the units in ends."""
+        more = ends if sets is None else ends.join(sets.select("unit"), "unit", "left_anti")
+        more = linked_sets(write_table(more.join(own.select("unit", "row"), "unit"), "linked-units"), docs, words, verify_words)
+        return more if sets is None else sets.unionByName(more)
+
+    for k, end in enumerate(ROUNDS):
+        rows = nodes.withColumn("root", F.col("unit")) if stars is None else rooted(nodes)
+        found = write_table(candidates(rows, limit, end, least if k else None), "links")
         pairs = found.where("a IS NOT NULL").select("a", "b").distinct()
         pairs = write_table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "links-apart")
-        ends = pairs.select(F.col("a").alias("unit")).unionByName(pairs.select(F.col("b").alias("unit"))).distinct()
-        ends = ends if sets is None else ends.join(sets.select("unit"), "unit", "left_anti")
-        more = linked_sets(write_table(ends.join(own.select("unit", "first"), "unit"), "linked-units"), docs, words, verify_words)
-        sets, tried = (more, pairs) if sets is None else (sets.unionByName(more), tried.unionByName(pairs))
+        sets = known(pairs.select(F.col("a").alias("unit")).unionByName(pairs.select(F.col("b").alias("unit"))).distinct())
+        tried = pairs if tried is None else tried.unionByName(pairs)
         good = verified(pairs, sets, least)
         stars = components(good if stars is None else stars.unionByName(good))
         left = write_table(found.where("mask IS NOT NULL").select("mask", "value", "task").distinct(), "simhash-left")
         if not left.limit(1).count():
-            break
-        nodes = write_table(nodes.join(left, ["mask", "value", "task"], "left_semi"), "simhash-units")
-    return stars
-
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, limit: int = 2, node_rows: int = 4096, verify: float | None = None, verify_words: int = 5) -> DataFrame:
+            return stars
+        after = write_table(nodes.join(left, ["mask", "value", "task"], "left_semi"), "simhash-units")
+        remove_table(nodes)
+        nodes = after
+    left = write_table(still_open(rooted(nodes), limit, least), "simhash-open")
+    if not left.limit(1).count():
+        return stars
+    sets = known(left.select("unit").distinct())
+    rows = left.join(own.select("unit", "fp", "size"), "unit").select("mask", "value", "fp", "unit", "size")
+    blocks = rooted(write_table(in_blocks(rows, F.col("size") + 16, BLOCK_SHINGLES), "simhash-blocks").drop("size"))
+    return components(stars.unionByName(verified_forests(blocks.join(sets, "unit"), limit, least)))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, limit: int = 2, node_rows: int = 4096, verify: float | None = None, verify_words: int = 5, row_col: str | None = None) -> DataFrame:
     """One row per document: doc_id, fp, component_id (the smallest doc_id reachable over links).
 
     With ``verify``, links between documents that share less of their distinct shingles of ``verify_words`` words are dropped,
-    and the rest connects only what real links connect.
+    the rest connects only what real links connect, and there are two more columns: row_id (the values of ``row_col``, which
+    must tell rows apart; without it, of ``with_row_id``) and kept, true for one row of each class.
     """
     if verify is None:
         marked = write_table(fingerprints(docs, id_col, text_col, words).withColumn("unit", F.col("fp")), "fingerprints")
-        own = write_table(marked.groupBy("unit").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "codes")
+        own = write_table(marked.groupBy("unit").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.lit(0).alias("row")), "codes")
         stars = components(links(own.select(F.col("unit").alias("fp")), limit, node_rows))
     else:
-        texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        row = row_col or free_name(docs, "row_id")
+        docs = docs if row_col else with_row_id(docs, row)
+        texts = docs.select(F.col(row).alias("row_id"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         marked = write_table(units(texts, words, verify_words), "fingerprints")
         # texts of one unit have one fingerprint and one set of shingles
-        own = write_table(marked.groupBy("unit").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("bins").alias("bins")), "codes")
+        first = [F.count("*").alias("n"), F.min("doc_id").alias("first"), F.min("row_id").alias("row"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("bins").alias("bins")]
+        own = write_table(marked.groupBy("unit").agg(*first), "codes")
         stars = verified_components(own, texts, limit, node_rows, words, verify_words, verify)
-    rooted = own.join(stars.withColumnRenamed("a", "unit"), "unit", "left").select("unit", "n", "first", F.coalesce("b", "unit").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root")
-    classes = write_table(named.select(F.pmod("unit", F.lit(1 << 30)).alias("part"), "unit", "n", "component_id"), "classes")
-    keyed = marked.select(F.pmod("unit", F.lit(1 << 30)).alias("part"), "unit", "fp", "doc_id")
-    return lookup(keyed, classes, ["part", "unit"], marked.count(), 48, "left", F.xxhash64("doc_id")).select("doc_id", "fp", "component_id")
+    part = lambda c: F.pmod(c, F.lit(1 << 30)).alias("part")
+    # the least doc_id and row of each class of several units; one unit may be the root of most
+    rooted = stars.select(F.col("a").alias("unit"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("unit"), F.col("b").alias("root")).distinct())
+    rooted = write_table(rooted.join(own.select("unit", "n", "first", "row"), "unit").withColumn("part", part("root")), "rooted")
+    least = rooted.groupBy("part", "root").agg(F.count("*").alias("n"), F.min("first").alias("component_id"), F.min("row").alias("kept_row"))
+    named = lookup(rooted.select("part", "root", "unit"), write_table(least, "classes"), ["part", "root"], rooted.count(), 64, "left", F.xxhash64("unit"))
+    named = own.select("unit", "n", "first", "row").join(named.select("unit", "component_id", "kept_row"), "unit", "left")
+    classes = named.select(part("unit"), "unit", "n", F.when(F.col("kept_row").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("kept_row", "row").alias("kept_row"))
+    more = [] if verify is None else ["row_id"]
+    keyed = marked.select(part("unit"), "unit", "fp", "doc_id", *more)
+    out = lookup(keyed, write_table(classes, "classes"), ["part", "unit"], marked.count(), 64, "left", F.xxhash64("doc_id", *more))
+    return out.select("doc_id", "fp", "component_id", *more, *([] if verify is None else [(F.col("row_id") == F.col("kept_row")).alias("kept")]))
 
 
 def fingerprint_hex(fp: Column) -> Column:

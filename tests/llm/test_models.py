@@ -29,21 +29,21 @@ def test_base_score_equals_brute_force(awkward, known_words):
     rows = awkward_rows()
     counts = Counter(t for r in rows if not held(r[0], 5, 1) for t in tokens(r[1]))
     n, v = sum(counts.values()), len(counts)
-    found = score_texts(awkward, lambda c: held_out_expr(c, 5, 1), bits=20, known_words=known_words).collect()
+    found = score_texts(awkward, lambda c: held_out_expr(c, 5, 1), known_words=known_words).collect()
     want = sorted((str(r[0]), held(r[0], 5, 1), len(tokens(r[1])), sum(counts[t] > 0 for t in tokens(r[1])), n, round(sum(math.log10((counts[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens(r[1])), 6)) for r in rows)
     assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in found) == want
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in found)
 
 
 def test_scores_of_nothing_and_without_training_rows(nothing, awkward):
-    assert score_texts(nothing, lambda c: held_out_expr(c, 5, 1), bits=20).count() == 0
-    out = score_texts(awkward, lambda c: F.lit(True), bits=20).agg(F.max("train_tokens"), F.max("n_known"), F.count("*")).first()
+    assert score_texts(nothing, lambda c: held_out_expr(c, 5, 1)).count() == 0
+    out = score_texts(awkward, lambda c: F.lit(True)).agg(F.max("train_tokens"), F.max("n_known"), F.count("*")).first()
     assert tuple(out) == (0, 0, len(awkward_rows()))
 
 
 def test_scores_beat_the_baseline_on_held_out_text(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    out = score_texts(docs, lambda c: held_out_expr(c, 5, 1), bits=24).where("held_out").agg(F.sum("score").alias("a"), F.sum("base_score").alias("b")).first()
+    out = score_texts(docs, lambda c: held_out_expr(c, 5, 1)).where("held_out").agg(F.sum("score").alias("a"), F.sum("base_score").alias("b")).first()
     assert out["a"] > out["b"]
 
 
@@ -58,10 +58,41 @@ def test_filter_returns_the_level_of_every_count():
     assert (bloom.counts(rng.integers(0, 2**63, 4000, dtype=np.int64).astype(np.uint64)) == 0).mean() > 0.97
 
 
-def test_rare_pairs_give_way_when_the_filter_is_small(awkward):
+def test_rare_pairs_stay_outside_when_the_filter_is_small(awkward):
     counts = lm_scoring._count(awkward.select("text"))
     small, large = lm_scoring._thresholds(counts, 13, 1.5), lm_scoring._thresholds(counts, 26, 1.5)
-    assert large == (1, 2) and small[0] >= 1 and small[1] > 2
+    assert large == (22, 1, 1) and small[0] == 13 and small[1] >= 1 and small[2] > 1
+
+
+def brute_scores(rows, base, prior):
+    """The smoothed scores from exact counts, quantised as the filter does; keyed by the text."""
+    train = [tokens(r[1]) for r in rows if not held(r[0], 5, 1)]
+    ones, twos = Counter(t for d in train for t in d), Counter(p for d in train for p in zip([b" begin", *d], d))  # noqa: B905
+    n, v = sum(ones.values()), len(ones)
+    own = LogFrequencyFilter(16, base)
+    level = lambda c: float(own._middle(LogFrequencyFilter.levels(np.array([c]), base))[0]) if c else 0.0
+    out = {}
+    for text in {r[1] for r in rows}:
+        d, s = tokens(text), 0.0
+        for h, w in zip([b" begin", *d], d):  # noqa: B905
+            ch, chw = level(ones[b" end" if h == b" begin" else h]), level(twos[h, w])
+            s += math.log10((chw + prior * (level(ones[w]) + 0.5) / (n + 0.5 * (v + 1))) / (max(ch, chw) + prior))
+        out[text] = s
+    return out
+
+
+@pytest.mark.parametrize("max_bits", [31, 16])
+def test_score_equals_brute_force(awkward, monkeypatch, max_bits):
+    monkeypatch.setattr(lm_scoring, "PRIORS", (16.0,))
+    monkeypatch.setattr(lm_scoring, "ITEM_BITS", 40)  # next to no false positives, to compare exactly
+    monkeypatch.setattr(lm_scoring, "PROBES", 12)
+    rows = awkward_rows()
+    want = brute_scores(rows, 1.5, 16.0)
+    found = score_texts(awkward, lambda c: held_out_expr(c, 5, 1), max_bits=max_bits).join(awkward.select("doc_id", "text").distinct(), "doc_id").collect()
+    counts = lm_scoring._count(awkward.where(~held_out_expr(F.col("doc_id"), 5, 1)).select("text"))
+    assert (lm_scoring._thresholds(counts, max_bits, 1.5)[2] > 1) == (max_bits == 16)  # small: some pairs stay outside the filter
+    close = [abs(r["score"] - want[r["text"]]) <= 1e-6 + 2e-3 * abs(want[r["text"]]) for r in found]
+    assert len(close) > 70 and sum(close) >= len(close) - 2
 
 
 def test_suffix_automaton_knows_exactly_the_substrings():
@@ -82,21 +113,20 @@ def test_suffix_automaton_knows_exactly_the_substrings():
 
 def test_phrases_equal_a_plain_parse():
     samples = {"x": b"the cat sat on the mat and the hat", "y": b"el gato en la casa de la gata"}
-    parser = CrossParser(samples, 1 << 20, block=16)
 
     def plain(text, ref):
-        n = 0
-        for at in range(0, len(text), 16):
-            block, i = text[at : at + 16], 0
-            while i < len(block):
-                j = i + 1
-                while j < len(block) and block[i : j + 1] in ref:
-                    j += 1
-                n, i = n + 1, j
+        n = i = 0
+        while i < len(text):
+            j = i + 1
+            while j < len(text) and text[i : j + 1] in ref:
+                j += 1
+            n, i = n + 1, j
         return n
 
-    texts = [b"the cat in the casa", b"zzz", b"la gata sat on the gato and the rest of it", b"e"]
-    assert parser.phrases(texts).tolist() == [[plain(t, samples[k]) for t in texts] for k in ("x", "y")]
+    texts = [b"the cat in the casa", b"zzz", b"la gata sat on the gato and the rest of it", b"e", samples["x"], samples["y"] * 3, b"the cat sat on the mat " * 9 + b"???"]
+    want = [[plain(t, samples[k]) for t in texts] for k in ("x", "y")]
+    for block in (3, 7, 16, 1024):  # the phrases are those of the whole text, whatever the block
+        assert CrossParser(samples, 1 << 20, block=block).phrases(texts).tolist() == want
 
 
 def test_language_of_held_out_text(spark):
@@ -155,6 +185,16 @@ def test_toxicity_of_held_out_text(spark):
     assert n.get((1, 1), 0) >= 0.4 * (n.get((1, 0), 0) + n.get((1, 1), 0))
 
 
+def test_features_meet_words_by_a_shuffle_too(spark):
+    docs, labels = spark.read.parquet(f"{SF[:-5]}0.01/documents.parquet"), spark.read.parquet(f"{SF[:-5]}0.01/labels.parquet")
+    a, b = (sorted(map(tuple, score_toxicity(docs, labels, lambda c: held_out_expr(c, 3, 1), bound=x).collect())) for x in (16 << 20, 0))
+    assert [r[:2] + r[3:] for r in a] == [r[:2] + r[3:] for r in b] and all(abs(x[2] - y[2]) < 1e-9 for x, y in zip(a, b, strict=True))
+
+
+def test_long_spans_are_decoded_whole(letters):
+    assert decode("m-o-r-o-n-" * 40, letters) == "moron" * 40
+
+
 def test_toxicity_of_awkward_rows(spark, awkward, nothing):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (3, None), (4, 7)], "doc_id long, toxic int")
     found = score_toxicity(awkward, labels, lambda c: held_out_expr(c, 3, 1)).collect()
@@ -174,7 +214,9 @@ def brute_kneser_ney(texts):
     """log p of each text by the textbook formulas, and its number of tokens."""
     docs = [["<b>", "<b>", *[w.decode() for w in (t or "").encode().lower().split()], "<e>"] for t in texts]
     tri = Counter((d[i - 2], d[i - 1], d[i]) for d in docs for i in range(2, len(d)))
-    bi, uni = Counter((v, w) for _, v, w in tri), Counter()
+    bi, uni = Counter(), Counter()
+    for (_, v, w), n in tri.items():
+        bi[v, w] += n if v == "<b>" else 1  # raw counts after the begin mark
     uni.update(w for _, w in bi)
 
     def discounts(c):
@@ -190,10 +232,14 @@ def brute_kneser_ney(texts):
     n1 = sum(uni.values())
     unknown = sum(less(n, d1) for n in uni.values()) / n1 / (len(uni) + 1)
 
+    by = {}
+    for c in (bi, tri):
+        for k, n in c.items():
+            by.setdefault(k[:-1], []).append(n)
+
     def level(c, history, d):
-        mine = {k: n for k, n in c.items() if k[:-1] == history}
-        total = sum(mine.values())
-        return (total, sum(less(n, d) for n in mine.values()) / total) if total else (0, 1.0)
+        mine = by.get(history, [])
+        return (sum(mine), sum(less(n, d) for n in mine) / sum(mine)) if mine else (0, 1.0)
 
     def p1(w):
         return unknown + ((uni[w] - less(uni[w], d1)) / n1 if w in uni else 0)
@@ -228,22 +274,29 @@ def test_the_shuffled_join_gives_the_same(spark, awkward, monkeypatch):
     want = key(quality.perplexities(docs, values, unknown))
     monkeypatch.setattr(quality, "SHARD_ROWS", 100)
     assert key(quality.perplexities(docs, values, unknown)) == want
-    monkeypatch.setattr(quality, "MAX_SHARDS", 10_000)
+    monkeypatch.setattr(quality, "MODEL_BYTES", 0)
     assert key(quality.perplexities(docs, values, unknown)) == want
 
 
 def test_quality_of_awkward_rows(spark, awkward, nothing):
     labels = spark.createDataFrame([*[(i, 1) for i in range(40)], (41, 0), (None, 1), (42, None)], "doc_id long, quality int")
     found = quality.judge(awkward, labels, least_docs=5)
-    ids = {str(r[0]) for r in awkward_rows()}
     rows = found.collect()
-    assert len(rows) == len(ids) and {str(r["doc_id"]) for r in rows} == ids and any(r["kept"] for r in rows)
-    left = quality.drop_rejected(awkward, found)
-    assert left.columns == awkward.columns
+    assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r[0]) for r in awkward_rows()) and any(r["kept"] for r in rows)
+    assert len({r["row_id"] for r in rows}) == len(rows)
     assert quality.judge(nothing, labels).count() == 0
     assert quality.judge(awkward, labels.limit(0)).where("NOT kept").count() == 0
 
 
+def test_languages_give_their_share_to_the_sample(spark):
+    rows = [(i, i, "en" if i % 3 else "de" if i % 2 else f"x{i % 40}", 100) for i in range(6000)]
+    trusted = spark.createDataFrame(rows, "row_id long, doc_id long, lang string, n long")
+    n = {r["lang"]: r["count"] for r in quality.trusted_sample(trusted, 600, 8000).join(trusted, "row_id").groupBy("lang").count().collect()}
+    assert 450 < sum(n.values()) < 750 and all(10 < x < 60 for x in n.values()) and len(n) == 22
+    assert quality.trusted_sample(trusted, 10**6, 8000).count() == trusted.where(quality.to_train(F.col("doc_id"))).count()
+    assert quality.trusted_sample(trusted.limit(0), 600, 8000).count() == 0
+
+
 def test_quality_keeps_trusted_and_rejects_junk(spark):
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet")

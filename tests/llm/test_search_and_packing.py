@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.llm.decontamination import contained_items, shingle_hashes, signature, width_of, words_of
-from riskloom.llm.packing import Encoder, binary_lengths, pack, vocabulary_path, write_buckets
+from riskloom.llm.packing import SPECIAL, Encoder, binary_lengths, pack, vocabulary_path, write_buckets
 from riskloom.llm.sharding import claim_slots, place
 
 from .conftest import awkward_rows
@@ -73,7 +73,6 @@ def test_packing_round_trip(packed):
     import public_tokenizers
 
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
     by_doc = {}
     for r in packed:
         by_doc.setdefault(r["doc_id"], []).append(r)
@@ -99,13 +98,27 @@ def test_packing_of_nothing_and_of_repeated_rows(nothing, packed):
 def test_long_texts_in_chunks_have_the_ids_of_the_whole():
     import public_tokenizers
 
-    encoder = Encoder(vocabulary_path(), public_tokenizers.PATTERN)
+    encoder = Encoder(vocabulary_path(), public_tokenizers.PATTERN, SPECIAL)
     text = next(r[1] for r in awkward_rows() if r[1] and len(r[1]) > 100_000) + " it's 12,345  naïve\n\n text " * 50
     assert list(encoder.ids(text)) == list(encoder.ids(text, chunk=1000))
-    for odd in ("<|endoftext|> and", "x" * 300_000, " " * 300_000, "é" * 100_000):
+    for odd in ("x" * 300_000, " " * 300_000, "é" * 100_000):
         assert len(encoder.ids(odd)) > 0
 
 
+def test_ids_are_those_of_the_tokenizer_file():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    theirs, ours = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), Encoder(vocabulary_path(), public_tokenizers.PATTERN, SPECIAL)
+    rng = random.Random(1)
+    texts = ["<|endoftext|>", "foo <|endoftext|> bar", "a<|endoftext|><|endoftext|>b ", "<|endoftext|", "x  <|endoftext|>\n y", ""]
+    texts += ["".join(rng.choice(["<|endoftext|>", " ", "  ", "\n", "'s", "it", "É", "½", "١٢", "你好", "\u200b", "\t", "ab1", "😀", "\xa0", "ſ", "ǅ"]) for _ in range(rng.randrange(1, 30))) for _ in range(300)]
+    for t in texts:
+        assert list(ours.ids(t)) == theirs.encode(t, add_special_tokens=False).ids, t
+
+
 def test_buckets_are_written_by_length(awkward, tmp_path, spark):
     write_buckets(pack(awkward), f"file://{tmp_path}/out", 2)
     back = spark.read.parquet(f"file://{tmp_path}/out")
@@ -149,8 +162,9 @@ def test_bad_tables_are_refused(shards, size):
 
 def test_place_keeps_rows_and_columns(awkward, nothing):
     names = [f"s{i}" for i in range(5)]
-    found = place(awkward.withColumn("shard", F.lit("mine")), names, 101)
-    assert found.count() == len(awkward_rows()) and set(awkward.columns) < set(found.columns)
+    found = place(awkward.withColumn("shard", F.lit("mine")).withColumn("at_slot", F.lit(1)).withColumn("_slot", F.lit(2)).withColumn("a.b", F.lit(3)), names, 101)
+    assert found.count() == len(awkward_rows()) and set(awkward.columns) | {"at_slot", "_slot", "a.b"} < set(found.columns)
+    assert found.where("at_slot = 1 AND _slot = 2").count() == found.count()
     assert found.groupBy("doc_id").agg(F.count_distinct("shard").alias("n")).where("n > 1").count() == 0
     assert place(nothing, names, 101).count() == 0
 
