@@ -1,12 +1,13 @@
 """Every registered query of the scoring engine, with its SQL counterpart.
 
-Conventions: an event of type error and an embedding with an odd label are frauds; query sets are every hundredth event
-and every tenth embedding, self excluded; ties go to the smaller id; centroids are at most 64 fixed events, so what is
-broadcast does not grow with the data.
+Conventions: an event of type error and an embedding with an odd label are frauds; query sets are the events whose id
+is divisible by 20 and every tenth embedding, self excluded, against all rows; ties go to the smaller id; centroids are at
+most 64 fixed events or fitted ones, so what is broadcast does not grow with the data.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,6 +19,8 @@ from riskloom.functions import scalars as S
 from riskloom.operators import calibrate, clustering, features, ivf, knn, tree
 from riskloom.plans import scoring
 from riskloom.sources import requests
+from riskloom.sources.index_store import open_index, write_index
+from riskloom.sources.shared import shared_dir, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIMS, WIDE = S.DIMS, 64
@@ -47,7 +50,7 @@ def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.embedding_vectors(_table(spark, sf_dir, "embeddings"))
 
 
-def _queries_of(members: DataFrame, every: int = 100) -> DataFrame:
+def _queries_of(members: DataFrame, every: int = 20) -> DataFrame:
     return members.where(F.col("vec_id") % every == 0)
 
 
@@ -57,12 +60,13 @@ def _centroids(members: DataFrame) -> DataFrame:
 
 
 class _Index:
-    """The event index with its query set. Members are cached, as every plan reads them more than once."""
+    """The event index with its query set. Members are written by cluster, as every plan reads them more than once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.vectors = _events(spark, sf_dir).cache()
+        self.vectors = write_table(_events(spark, sf_dir), "vectors")
         self.centroids = _centroids(self.vectors)
-        self.members = clustering.assign_nearest(self.vectors, self.centroids).cache()
+        members = clustering.assign_nearest(self.vectors, self.centroids)
+        self.members = write_table(members.repartition("cluster_id", F.col("vec_id") % 4), "members", "cluster_id")
         self.clusters = ivf.with_offsets(ivf.cluster_table(self.members, DIMS))
         self.queries = _queries_of(self.vectors)
         self.pairs = ivf.centroid_distances(self.queries, self.centroids, self.clusters, DIMS)
@@ -281,7 +285,7 @@ def kmeans_sse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(f"WITH {Q.EV}, c AS (SELECT * FROM ev WHERE vec_id IN (0, {Q.CENTROID_STEP}, {2 * Q.CENTROID_STEP})) SELECT ev.vec_id, min({Q.distance('ev', 'c')}) AS min_dist FROM ev, c GROUP BY ev.vec_id")
 def min_distance_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _events(spark, sf_dir).cache()
+    vectors = write_table(_events(spark, sf_dir), "vectors")
     chosen = _centroids(vectors).where("cluster_id < 3")
     first = clustering.update_min_distance(vectors, chosen.where("cluster_id = 0"))
     return clustering.update_min_distance(first, chosen.where("cluster_id > 0")).select("vec_id", "min_dist")
@@ -341,7 +345,7 @@ _EXACT = f"WITH {Q.NEAR} SELECT query_id, vec_id, dist, label, rank FROM nn"
 
 @_register(_EXACT)
 def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _events(spark, sf_dir).cache()
+    vectors = write_table(_events(spark, sf_dir), "vectors")
     return knn.knn_exact(_queries_of(vectors), vectors)
 
 
@@ -362,9 +366,14 @@ def bbox_lower_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _Index(spark, sf_dir).pairs.select("query_id", "cluster_id", "lb")
 
 
+def _first_near(index: _Index) -> DataFrame:
+    """The neighbours of each query in its nearest cluster."""
+    first = write_table(ivf.nearest_cluster(index.pairs).select("query_id", "q", "cluster_id"), "first-probe")
+    return knn.rank_neighbours(ivf.scan_best(first, index.members, S.TOP_K), S.TOP_K)
+
+
 def _bounds(index: _Index) -> DataFrame:
-    first = ivf.probes(index.pairs, 1).select("query_id", "q", "cluster_id")
-    return ivf.kth_distance(knn.rank_neighbours(ivf.scan(first, index.members, DIMS), S.TOP_K))
+    return ivf.kth_distance(_first_near(index))
 
 
 @_register(f"WITH {Q.FIRST} SELECT pairs.query_id, count(*) FILTER (lb >= worst) AS pruned, count(*) FILTER (lb < worst) AS kept FROM pairs JOIN bound ON pairs.query_id = bound.query_id WHERE worst IS NOT NULL GROUP BY pairs.query_id")
@@ -380,12 +389,24 @@ def bbox_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.pairs.join(_bounds(index), "query_id").where("lb < worst").select("query_id", "cluster_id", "lb")
 
 
-@_register(f"WITH {Q.EV} SELECT a.vec_id AS query_id, b.vec_id, {Q.distance('a', 'b')} AS dist FROM ev a JOIN ev b ON b.vec_id % 50 = 7 AND a.vec_id % 100 = 0 WHERE {Q.distance('a', 'b')} < 150000000")
+_NEARER = 40_000_000
+
+
+@_register(f"WITH {Q.EV} SELECT a.vec_id AS query_id, count(*) AS n, CAST(sum(b.vec_id) AS BIGINT) AS ids, CAST(sum({Q.distance('a', 'b')}) AS BIGINT) AS dist FROM ev a JOIN ev b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND {Q.distance('a', 'b')} < {_NEARER} GROUP BY a.vec_id")
 def partial_distance_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _events(spark, sf_dir).cache()
-    pairs = vectors.where("vec_id % 50 = 7").select("vec_id", F.col("q").alias("v")).join(_queries_of(vectors).select(F.col("vec_id").alias("query_id"), "q"))
-    near = ivf.prune_blocks(pairs, F.lit(150_000_000), DIMS)
-    return near.select("query_id", "vec_id", S.l2(F.col("q"), F.col("v")).alias("dist"))
+    """All members nearer than a threshold, by boxes and products; a digest of them for each query."""
+    x = _Index(spark, sf_dir)
+    near = ivf.range_search(x.queries, x.members, x.centroids, x.clusters, DIMS, _NEARER)
+    return near.groupBy("query_id").agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids"), F.sum("dist").alias("dist"))
+
+
+@_register(f"WITH {Q.FIRST} SELECT t.query_id, a.vec_id, {Q.distance('x', 'a')} AS dist FROM turns t JOIN bound ON bound.query_id = t.query_id JOIN assigned a ON a.cluster_id = t.cluster_id JOIN ev x ON x.vec_id = t.query_id WHERE turn = 1 AND a.vec_id <> t.query_id AND {Q.distance('x', 'a')} < worst")
+def partial_sums_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of each query's second cluster that beat its bound, by sums over 6, 10 and all dimensions."""
+    x = _Index(spark, sf_dir)
+    second = ivf.probes(x.pairs, 2).where("turn = 1").join(_bounds(x), "query_id").select("query_id", "q", "cluster_id", "worst")
+    both = second.join(x.members.select("cluster_id", "vec_id", F.col("q").alias("v")), "cluster_id").where("vec_id <> query_id")
+    return ivf.prune_blocks(both, F.col("worst"), DIMS).select("query_id", "vec_id", S.l2(F.col("q"), F.col("v"), DIMS).alias("dist"))
 
 
 @_register(f"WITH {Q.PAIRS} SELECT query_id, cluster_id FROM turns WHERE turn >= 33")
@@ -401,16 +422,14 @@ def kth_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(f"WITH {Q.NEAR} SELECT query_id, CAST(sum(label) AS INTEGER) AS n FROM nn GROUP BY query_id")
 def fraud_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _events(spark, sf_dir).cache()
+    vectors = write_table(_events(spark, sf_dir), "vectors")
     queries_ = _queries_of(vectors)
     return knn.vote(knn.knn_exact(queries_, vectors), queries_)
 
 
 @_register(f"WITH {Q.FIRST} SELECT query_id, n = 5 AND worst <= {DIMS * ivf.EARLY_PER_DIM} AS exits, n <= 4 AS repairs FROM bound")
 def early_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = _Index(spark, sf_dir)
-    first = ivf.probes(index.pairs, 1).select("query_id", "q", "cluster_id")
-    near = knn.rank_neighbours(ivf.scan(first, index.members, DIMS), S.TOP_K)
+    near = write_table(_first_near(_Index(spark, sf_dir)), "first-near")
     found = near.groupBy("query_id").agg(F.sum("label").alias("n")).join(ivf.kth_distance(near), "query_id")
     worst = F.coalesce("worst", F.lit((1 << 63) - 1))
     return found.select("query_id", ((F.col("n") == 5) & (worst <= DIMS * ivf.EARLY_PER_DIM)).alias("exits"), (F.col("n") <= 4).alias("repairs"))
@@ -421,7 +440,7 @@ def repair_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fraud_count(spark, sf_dir).where("n <= 4")
 
 
-@_register(None)
+@_register(f"WITH RECURSIVE {Q.cascade('x.vec_id % 20 = 0', DIMS * ivf.EARLY_PER_DIM)} SELECT query_id, n FROM answers")
 def repair_fast_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _Index(spark, sf_dir)
     return ivf.search_cascade(x.queries, x.members, x.centroids, x.clusters, DIMS)
@@ -429,15 +448,49 @@ def repair_fast_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(f"WITH {Q.NEAR} SELECT query_id, CAST(sum(label) AS INTEGER) AS n, sum(label) <= 2 AS approved, sum(label) / 5 AS fraud_score FROM nn GROUP BY query_id")
 def score_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _events(spark, sf_dir).cache()
+    vectors = write_table(_events(spark, sf_dir), "vectors")
     return scoring.score_exact(_queries_of(vectors), vectors).drop("response")
 
 
-@_register(None)
+_STAGED = f"""WITH RECURSIVE {Q.cascade('x.vec_id % 20 = 0', DIMS * ivf.EARLY_PER_DIM)}, {Q.LEAF_TABLES},
+placed AS (SELECT ev.vec_id AS query_id, l.count, l.purity_milli FROM ev JOIN leaves l ON l.leaf_id = {Q.LEAF} WHERE ev.vec_id % 20 = 0),
+voted AS (SELECT p.query_id, CASE WHEN p.purity_milli >= {Q.SAFE_A} THEN p.count ELSE a.n END AS n FROM placed p JOIN answers a ON a.query_id = p.query_id)
+SELECT query_id, n, n <= 2 AS approved, least(n, 5) / 5 AS fraud_score FROM voted"""
+
+
+@_register(_STAGED)
 def score_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _Index(spark, sf_dir)
     leaves = _leaves(x.vectors, spark).withColumn("safe", F.col("purity_milli") >= Q.SAFE_A)
-    return scoring.score_staged(x.queries, x.members, x.centroids, x.clusters, _tree(spark), leaves)
+    return scoring.score_staged(x.queries, x.members, x.centroids, x.clusters, _tree(spark), leaves).drop("response")
+
+
+# ---------------------------------------------------------------- the life of an index
+
+
+def _stored(spark: SparkSession, members: DataFrame, centroids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An index that was written and opened again: (centroids, clusters, members)."""
+    clusters, placed = ivf.build_index(members, centroids, DIMS)
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    write_index(path, centroids, clusters, placed)
+    return open_index(spark, path)
+
+
+@_register(_EXACT)
+def knn_fitted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit by k-means, write, open, search: exact whatever the clusters are."""
+    vectors = write_table(_events(spark, sf_dir), "vectors")
+    centroids, clusters, members = _stored(spark, vectors, clustering.fit_centroids(vectors, 64, DIMS))
+    return ivf.search_exact(_queries_of(vectors), members, centroids, clusters, DIMS)
+
+
+@_register(_EXACT)
+def knn_seeded_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seed by squared distance, two Lloyd rounds, write, open, search."""
+    vectors = write_table(_events(spark, sf_dir), "vectors")
+    fitted = clustering.lloyd(vectors, clustering.seed_centroids(vectors, 8), DIMS, 2)
+    centroids, clusters, members = _stored(spark, vectors, fitted)
+    return ivf.search_exact(_queries_of(vectors), members, centroids, clusters, DIMS)
 
 
 # ---------------------------------------------------------------- tree
@@ -464,23 +517,25 @@ def tree_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(f"WITH {Q.EV} SELECT vec_id, {Q.LEAF} AS leaf_id FROM ev")
 def tree_predict_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = tree.leaf_boxes(_tree(spark), DIMS)
-    inside = F.lit(True)
-    for i in range(DIMS):
-        inside = inside & (F.get("q", i) > F.get("low", i)) & (F.get("q", i) <= F.get("high", i))
-    return _events(spark, sf_dir).join(F.broadcast(boxes), inside).select("vec_id", "leaf_id")
+    return tree.predict_boxes(_events(spark, sf_dir), _tree(spark), DIMS).select("vec_id", "leaf_id")
+
+
+@_register(f"WITH {Q.EV} SELECT vec_id, {Q.large_leaf()} AS leaf_id FROM ev")
+def tree_predict_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of 511 splits, by a fold over its nine levels."""
+    return tree.predict(_events(spark, sf_dir), tree.balanced_tree(spark, *Q.LARGE_TREE)).select("vec_id", "leaf_id")
 
 
 @_register(f"WITH {Q.LEAVES} SELECT ev.vec_id, l.leaf_id, l.count, l.purity_milli, l.n_parts FROM (SELECT vec_id, {Q.LEAF} AS leaf_id FROM ev) ev JOIN leaves l ON ev.leaf_id = l.leaf_id")
 def leaf_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _events(spark, sf_dir).cache()
+    vectors = write_table(_events(spark, sf_dir), "vectors")
     leaves = tree.partition_count(_leaves(vectors, spark)).drop("part_bitset")
     return tree.leaf_lookup(tree.predict(vectors, _tree(spark)), leaves).select("vec_id", "leaf_id", "count", "purity_milli", "n_parts")
 
 
 @_register(f"WITH {Q.LEAVES} SELECT vec_id FROM ev WHERE {Q.LEAF} IN (SELECT leaf_id FROM leaves WHERE purity_milli >= {Q.SAFE_A})")
 def safe_leaf_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _events(spark, sf_dir).cache()
+    vectors = write_table(_events(spark, sf_dir), "vectors")
     safe = _leaves(vectors, spark).where(F.col("purity_milli") >= Q.SAFE_A)
     return tree.predict(vectors, _tree(spark)).join(F.broadcast(safe), "leaf_id", "left_semi").select("vec_id")
 
@@ -490,13 +545,13 @@ def safe_leaf_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(entries, leaves): the query events scored by neighbours, with their leaf; the leaf table."""
-    vectors = _events(spark, sf_dir).cache()
+    vectors = write_table(_events(spark, sf_dir), "vectors")
     entries = _queries_of(vectors)
-    leaves = _leaves(vectors, spark).cache()
+    leaves = write_table(_leaves(vectors, spark), "leaves")
     n = knn.vote(knn.knn_exact(entries, vectors), entries)
     placed = tree.leaf_lookup(tree.predict(entries, _tree(spark)), leaves.select("leaf_id", F.col("count").alias("tree_n"), "purity_milli"))
     rows = placed.join(n, placed["vec_id"] == n["query_id"]).select("query_id", "leaf_id", "n", "tree_n", "purity_milli", (F.col("label") == 0).alias("expected_approved"))
-    return rows.cache(), leaves
+    return write_table(rows, "scored"), leaves
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -580,7 +635,7 @@ def added_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(f"WITH {Q.JUDGED}, {_SHIP_A} SELECT leaf_id FROM a INTERSECT SELECT leaf_id FROM b")
 def safe_ab_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaves = _leaves(_events(spark, sf_dir), spark).cache()
+    leaves = write_table(_leaves(_events(spark, sf_dir), spark), "leaves")
     return _shipped(leaves, Q.SAFE_A).select("leaf_id").intersect(_shipped(leaves, Q.SAFE_B).select("leaf_id"))
 
 
@@ -603,8 +658,8 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register(f"WITH {Q.NEAR_5411} SELECT event_id AS query_id, CASE WHEN event_id % 11 = 5 THEN 0 ELSE coalesce(n, 0) END AS n FROM e LEFT JOIN votes ON e.event_id = votes.query_id")
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch form of request scoring, malformed requests included; the tests hold the stream's result against it."""
-    vectors = _events(spark, sf_dir).cache()
-    bodies = _bodies(spark, sf_dir).where("event_id % 100 = 0 OR event_id % 1100 = 5")
+    vectors = write_table(_events(spark, sf_dir), "vectors")
+    bodies = _bodies(spark, sf_dir).where("event_id % 20 = 0")
     return scoring.score_requests(bodies, "event_id", vectors).select("query_id", "n")
 
 

@@ -96,6 +96,26 @@ def weighted_pick(weighted: DataFrame, share: float, weight: str = "min_dist", b
     return inside.select("vec_id", F.col(weight).alias("weight"), total.alias("running")).where(F.col("running") >= target).orderBy("vec_id").limit(1)
 
 
+def lloyd(members: DataFrame, centroids: DataFrame, dims: int, iterations: int = 15) -> DataFrame:
+    """(cluster_id, q): centroids after so many rounds of assignment and means.
+
+    A cluster that lost all its members is seeded again with one of the members farthest from their centroids.
+    """
+    spark = members.sparkSession
+    rows = {r["cluster_id"]: list(r["q"]) for r in centroids.limit(MAX_CENTROIDS).collect()}
+    for _ in range(iterations):
+        table = spark.createDataFrame(sorted(rows.items()), "cluster_id int, q array<int>")
+        assigned = assign_nearest(members, table)
+        means = {r["cluster_id"]: list(r["q"]) for r in lloyd_step(assigned, dims).collect()}
+        empty = sorted(set(rows) - set(means))
+        far = assigned.where("cdist > 0").orderBy(F.desc("cdist"), "vec_id").select("q").limit(len(empty)).collect() if empty else []
+        after = rows | means | {c: list(r["q"]) for c, r in zip(empty, far, strict=False)}
+        if after == rows:
+            break
+        rows = after
+    return spark.createDataFrame(sorted(rows.items()), "cluster_id int, q array<int>")
+
+
 def fit_centroids(members: DataFrame, k: int, dims: int, iterations: int = 15, sample_rows: int = 500_000, seed: int = 7) -> DataFrame:
     """(cluster_id, q) of a k-means clustering of a sample, with scalable k-means++ seeding."""
     from pyspark.ml.clustering import KMeans

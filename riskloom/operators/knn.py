@@ -1,6 +1,6 @@
 """Exact nearest neighbours of a query set against all rows.
 
-Queries are bounded in blocks; each block is sent to the tasks that read the members, which keep their own k best per
+Queries are cut into blocks of BLOCK_BYTES; each block is sent to the tasks that read the members, which keep their own k best per
 query with one matrix product per batch. Only k candidates per query and task are shuffled, and members never are.
 Distances are sums of squares of whole numbers far below 2**53, so products in double precision are exact.
 Ties go to the smaller vec_id.
@@ -12,11 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that are broadcast at once.
-BLOCK = 8192
+#: Bytes of the queries that are broadcast at once.
+BLOCK_BYTES = 8 << 20
 #: Matrix cells of one product.
 CELLS = 1 << 22
 
@@ -54,7 +54,7 @@ def _scan(parts: Iterator[pa.RecordBatch], qid: np.ndarray, q: np.ndarray, k: in
             near = np.take_along_axis(d, best, 1)
             rows = np.stack([np.repeat(np.arange(len(qid)), best.shape[1]), near.ravel(), ids[to][best].ravel(), labels[to][best].ravel()], axis=1)
             held.append(rows[np.isfinite(rows[:, 1])])
-        if sum(map(len, held)) > 64 * k * len(qid):
+        if sum(map(len, held)) > 4 * k * len(qid) + CELLS // 8:
             held = [_keep(np.concatenate(held), k)]
     if held:
         rows = _keep(np.concatenate(held), k)
@@ -74,16 +74,20 @@ def rank_neighbours(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("rank", turn).where(F.col("rank") <= k)
 
 
+def block_filters(n: int, row_bytes: int, bound: int, key: Column) -> list[Column]:
+    """Conditions that cut n rows into blocks of about ``bound`` bytes by a hash of key."""
+    blocks = max(1, -(-n * row_bytes // bound))
+    return [F.pmod(F.xxhash64(key), F.lit(blocks)) == b for b in range(blocks)]
+
+
 def knn_exact(queries: DataFrame, members: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, vec_id, dist, label, rank). queries: vec_id, q; members: vec_id, label, q. A query is not its own neighbour."""
     members = members.select("vec_id", "label", "q")
     queries = queries.select("vec_id", "q")
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
+    first = queries.select(F.count("*").alias("n"), F.max(F.size("q")).alias("d")).first()
     found = None
-    for b in range(blocks):
-        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        table = some.toArrow().combine_chunks()
+    for some in block_filters(first["n"], 8 * (first["d"] or 1), BLOCK_BYTES, F.col("vec_id")):
+        table = queries.where(some).toArrow().combine_chunks()
         if not table.num_rows:
             continue
         qid, q = table.column(0).to_numpy(), _matrix(table.column(1).combine_chunks())

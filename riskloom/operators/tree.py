@@ -1,8 +1,8 @@
 """Decision-tree tables and their inference as Spark plans.
 
 A tree is a table nodes(node_id, feat, thr, left, right): a row goes left if q[feat] <= thr; a negative child is leaf -1 - child.
-Trees are small (``MAX_NODES``); they become one generated expression, or, where that would be too large a method, a
-table of leaf boxes that is broadcast and joined by range. There is no walk node by node.
+Trees are small (``MAX_NODES``); they become one generated expression, or, where that would be too large a method, a fold
+over the tree's levels that looks up the next node in arrays: as many steps for a row as the tree is deep.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ def leaf_boxes(nodes: DataFrame, dims: int) -> DataFrame:
     return nodes.sparkSession.createDataFrame(sorted(out), "leaf_id int, low array<int>, high array<int>")
 
 
-def predict(rows: DataFrame, nodes: DataFrame, dims: int = 14, q: str = "q") -> DataFrame:
+def predict(rows: DataFrame, nodes: DataFrame, q: str = "q") -> DataFrame:
     """rows with leaf_id."""
     table = rows_of(nodes)
     if len(table) <= MAX_CASES:
@@ -66,6 +66,22 @@ def predict(rows: DataFrame, nodes: DataFrame, dims: int = 14, q: str = "q") ->
             return F.when(F.get(q, feat) <= thr, at(left)).otherwise(at(right))
 
         return rows.withColumn("leaf_id", at(0))
+    order = sorted(table)
+    place = {n: i for i, n in enumerate(order)}
+    column = lambda k: F.array(*[F.lit(table[n][k] if k < 2 or table[n][k] < 0 else place[table[n][k]]) for n in order])
+
+    def depth(levels: list[int]) -> int:
+        below = [c for n in levels for c in table[n][2:] if c >= 0]
+        return 1 + (depth(below) if below else 0)
+
+    feats, thresholds, lefts, rights = (column(k) for k in range(4))
+    step = lambda at, _: F.when(at < 0, at).when(F.get(F.col(q), F.get(feats, at)) <= F.get(thresholds, at), F.get(lefts, at)).otherwise(F.get(rights, at))
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(depth([0]))), F.lit(place[0]), step)
+    return rows.withColumn("leaf_id", -1 - walk)
+
+
+def predict_boxes(rows: DataFrame, nodes: DataFrame, dims: int = 14, q: str = "q") -> DataFrame:
+    """rows with leaf_id, by a range join with the leaves' boxes."""
     inside = F.lit(True)
     for i in range(dims):
         inside = inside & (F.get(q, i) > F.get("low", i)) & (F.get(q, i) <= F.get("high", i))

@@ -24,7 +24,7 @@ def score_exact(queries: DataFrame, members: DataFrame, k: int = 5) -> DataFrame
 
 def score_staged(queries: DataFrame, members: DataFrame, centroids: DataFrame, clusters: DataFrame, nodes: DataFrame, leaves: DataFrame, dims: int = S.DIMS) -> DataFrame:
     """(query_id, n, approved, fraud_score, response). leaves: leaf_id, count, safe. Only rows outside safe leaves are searched."""
-    placed = tree.leaf_lookup(tree.predict(queries, nodes, dims), leaves)
+    placed = tree.leaf_lookup(tree.predict(queries, nodes), leaves)
     quick = placed.where(F.coalesce("safe", F.lit(False)))
     rest = placed.where(~F.coalesce("safe", F.lit(False))).select("vec_id", "q")
     searched = ivf.search_cascade(rest, members, centroids, clusters, dims)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import SCALE
 
-#: Fixed values of the format.
-MAGIC, VERSION = 0x52494E48, 4
+#: The mark of an index of this library, and the version of its layout.
+MAGIC, VERSION = 0x4C4F4F4D, 5
 
 
 def write_index(path: str, centroids: DataFrame, clusters: DataFrame, members: DataFrame) -> None:

@@ -76,7 +76,7 @@ def test_exact_search_in_blocks_and_with_ties(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(i, i % 2, [rng.randrange(3) for _ in range(4)]) for i in range(400)]
     members = spark.createDataFrame(rows, "vec_id long, label int, q array<int>")
-    monkeypatch.setattr(knn, "BLOCK", 30)
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 1000)
     found = {(r["query_id"], r["rank"]): r["vec_id"] for r in knn.knn_exact(members.where("vec_id % 4 = 0"), members).collect()}
     want = {}
     for i, _, q in rows[::4]:
@@ -132,7 +132,7 @@ def test_fitted_centroids_and_trees(index):
     assert all(walk(r["q"]) == r["leaf_id"] for r in placed)
 
 
-def test_large_trees_use_boxes(spark, index, monkeypatch):
+def test_large_trees_are_walked_by_level(spark, index, monkeypatch):
     vectors = index[0].where("vec_id % 37 = 0")
     nodes = tree.balanced_tree(spark, [i % 14 for i in range(31)], [100 * i for i in range(31)])
     want = tree.predict(vectors, nodes).select("vec_id", "leaf_id")
@@ -140,6 +140,40 @@ def test_large_trees_use_boxes(spark, index, monkeypatch):
     assert tree.predict(vectors, nodes).select("vec_id", "leaf_id").exceptAll(want).count() == 0
 
 
+def test_boxes_give_the_same_leaves(spark, index):
+    vectors = index[0].where("vec_id % 37 = 0")
+    nodes = tree.balanced_tree(spark, [i % 14 for i in range(31)], [100 * i for i in range(31)])
+    assert tree.predict_boxes(vectors, nodes).select("vec_id", "leaf_id").exceptAll(tree.predict(vectors, nodes).select("vec_id", "leaf_id")).count() == 0
+
+
+def test_members_keep_their_order_over_ranges(index):
+    rows = index[3].select("cluster_id", "cdist", "vec_id", "pos").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["cluster_id"], []).append((r["cdist"], r["vec_id"], r["pos"]))
+    assert all([p for _, _, p in sorted(v)] == list(range(len(v))) for v in by.values())
+
+
+def test_lloyd_rounds_seed_lost_clusters_again(spark):
+    members = spark.createDataFrame([(i, 0, [i % 3 * 100, i]) for i in range(30)], "vec_id long, label int, q array<int>")
+    start = spark.createDataFrame([(0, [0, 0]), (1, [9000, 9000])], "cluster_id int, q array<int>")
+    fitted = clustering.lloyd(members, start, 2, 4)
+    assert clustering.assign_nearest(members, fitted).select("cluster_id").distinct().count() == 2
+
+
+def test_searches_in_small_blocks_agree(index, monkeypatch):
+    vectors, centroids, clusters, members = index
+    queries = vectors.where("vec_id % 100 = 0")
+    want = ivf.search_exact(queries, members, centroids, clusters, DIMS)
+    cascade = ivf.search_cascade(queries, members, centroids, clusters, DIMS)
+    kept, n = {tuple(r) for r in want.collect()}, {tuple(r) for r in cascade.collect()}
+    monkeypatch.setattr(ivf, "PAIR_BYTES", 400)
+    monkeypatch.setattr(ivf, "CELLS", 256)
+    some = vectors.where("vec_id % 2000 = 0")
+    assert {tuple(r) for r in ivf.search_exact(some, members, centroids, clusters, DIMS).collect()} == {r for r in kept if r[0] % 2000 == 0}
+    assert {tuple(r) for r in ivf.search_cascade(some, members, centroids, clusters, DIMS).collect()} == {r for r in n if r[0] % 2000 == 0}
+
+
 def test_staged_scores_use_safe_leaves(spark, index):
     vectors, centroids, clusters, members = index
     queries = vectors.where("vec_id % 250 = 0")
