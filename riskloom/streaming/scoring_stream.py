@@ -1,9 +1,12 @@
-"""Streaming forms: stateless scoring, daily counts with a watermark, and the 24-hour state that a request would carry."""
+"""Streaming forms: stateless scoring, daily counts with a watermark, and the state per user that a request would carry."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,45 @@ def window_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour")
     return counted.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
+DAY = 86400
+
+
+def user_state(base: DataFrame, late: str = "1 hour") -> DataFrame:
+    """(event_id, user_id, tx_count_24h, last_sec, last_k) of a stream of event_base rows: what ``features.user_history`` says of each.
+
+    The state of a user is the seconds of its events of the last 24 hours, counted by second, and its last event. An
+    event is judged by those before it that have arrived; one that is later than the watermark is dropped, as is the state of
+    a user who was silent for a day and the delay. Events of one second do not count each other.
+    """
+    rows = base.select("event_id", "user_id", "k", "sec", F.col("ts").cast("timestamp").alias("ts"))
+    timed = rows.withWatermark("ts", late)
+    out = "event_id long, user_id long, tx_count_24h long, last_sec long, last_k int"
+    state = "secs array<long>, counts array<long>, last_sec long, last_k int"
+
+    def judge(key: tuple, parts: Iterator[pd.DataFrame], held: Any) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        secs, counts, last_sec, last_k = held.get if held.exists else ([], [], None, None)
+        seen = dict(zip(secs, counts, strict=True))
+        new = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+        rows = []
+        for sec in new["sec"]:
+            seen[sec] = seen.get(sec, 0) + 1
+        order = np.array(sorted(seen))
+        upto = np.concatenate(([0], np.cumsum([seen[x] for x in order])))
+        for event, sec, k in zip(new["event_id"], new["sec"], new["k"], strict=True):
+            n = upto[np.searchsorted(order, sec)] - upto[np.searchsorted(order, sec - DAY)]
+            rows.append((event, key[0], int(n), last_sec, last_k))
+            last_sec, last_k = int(sec), int(k)
+        keep = [int(x) for x in order if x >= order[-1] - 2 * DAY]  # late events still find their day
+        held.update((keep, [int(seen[x]) for x in keep], last_sec, last_k))
+        held.setTimeoutTimestamp(max(int(order[-1] + 2 * DAY) * 1000, held.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=t) for i, (c, t) in enumerate(zip(["event_id", "user_id", "tx_count_24h", "last_sec", "last_k"], ["int64", "int64", "int64", "Int64", "Int32"], strict=True))})
+
+    return timed.groupBy("user_id").applyInPandasWithState(judge, out, state, "append", "EventTimeTimeout")
+
+
 def run_once(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
     """Process all there is and stop; the sink is a Parquet folder, so results are exactly once."""
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -120,3 +120,18 @@ def test_stream_scores_equal_batch_scores(spark, tmp_path):
     found = spark.read.parquet(f"file://{tmp_path}/out").drop("batch")
     want = scoring.score_requests(rows, "event_id", members)
     assert found.count() == 40 and found.select(want.columns).exceptAll(want).count() == 0
+
+
+def test_user_state_equals_the_batch_windows(spark, tmp_path):
+    from riskloom.operators.features import event_base, user_history
+
+    base = event_base(spark.read.parquet(f"{SF}/events.parquet")).where("user_id < 40")
+    cuts = base.approxQuantile("sec", [0.33, 0.66], 0.0)
+    parts = [base.where(f"sec <= {cuts[0]}"), base.where(f"sec > {cuts[0]} AND sec <= {cuts[1]}"), base.where(f"sec > {cuts[1]}")]
+    for i, p in enumerate(parts):
+        p.coalesce(1).write.parquet(f"file://{tmp_path}/in/{i}")
+    source = spark.readStream.schema(base.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"file://{tmp_path}/in")
+    stream.run_once(stream.user_state(source), f"file://{tmp_path}/out", f"file://{tmp_path}/cp")
+    columns = ["event_id", "user_id", "tx_count_24h", "last_sec", "last_k"]
+    found, want = spark.read.parquet(f"file://{tmp_path}/out").select(columns), user_history(base).select(columns)
+    assert found.count() == want.count() and found.exceptAll(want).count() == 0
