@@ -2,41 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.sources.shared import shared_dir, write_table
+
+__all__ = ["BROADCAST_BYTES", "ascii_lower", "bounded", "free_name", "lookup", "remove_table", "shared_dir", "with_row_id", "write_table"]
+
 #: Bytes that a broadcast side may take; beyond it the join shuffles.
 BROADCAST_BYTES = 16 << 20
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which every executor sees; unset, a temporary one in local mode only."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not (conf.get("spark.master") or "").startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='riskloom-')}"
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def write_table(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remove_table(table: DataFrame) -> None:
     """Delete a table of ``write_table`` that nothing will read again."""
     jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
