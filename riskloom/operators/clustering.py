@@ -76,23 +76,31 @@ def update_min_distance(members: DataFrame, chosen: DataFrame) -> DataFrame:
     return now.join(old, "vec_id").select("vec_id", "label", "q", F.least("min_dist", "old").alias("min_dist"))
 
 
-def weighted_pick(weighted: DataFrame, share: float, weight: str = "min_dist", buckets: int = 1024) -> DataFrame:
+def weighted_pick(weighted: DataFrame, share: float, weight: str = "min_dist", buckets: int = 1024, range_rows: int = 1 << 20) -> DataFrame:
     """The first row, by vec_id, at which the running sum of weights reaches ``share`` of their total.
 
-    The running sum goes over sums of hash-free id ranges first, so only one range is ever ordered in one place.
+    The running sum goes over sums of id ranges first; the range that holds the row is cut again until it has
+    ``range_rows`` rows at most (or one id), so no more are ever ordered in one place, however ids are spread.
     """
     span = weighted.agg(F.min("vec_id").alias("lo"), F.max("vec_id").alias("hi"), F.sum(weight).alias("total")).first()
     if span["total"] is None:
         return weighted.select("vec_id", F.col(weight).alias("weight"), F.lit(0).cast("long").alias("running")).limit(0)
-    width = max(1, -(-(span["hi"] - span["lo"] + 1) // buckets))
-    part = F.floor((F.col("vec_id") - span["lo"]) / width).cast("int")
-    sums = weighted.groupBy(part.alias("part")).agg(F.sum(weight).alias("s"))
-    ordered = Window.orderBy("part")  # ``buckets`` rows at most
-    running = sums.withColumn("upto", F.sum("s").over(ordered)).withColumn("before", F.col("upto") - F.col("s"))
     target = share * float(span["total"])
-    hit = running.where(F.col("upto") >= target).orderBy("part").limit(1)
-    inside = weighted.withColumn("part", part).join(F.broadcast(hit.select("part", "before")), "part")
-    total = F.col("before") + F.sum(weight).over(Window.partitionBy("part").orderBy("vec_id"))
+    before, lo, hi = 0, span["lo"], span["hi"]
+    while True:
+        inside = weighted.where(F.col("vec_id").between(lo, hi))
+        width = max(1, -(-(hi - lo + 1) // buckets))
+        part = F.floor((F.col("vec_id") - lo) / width).alias("part")
+        sums = inside.groupBy(part).agg(F.sum(weight).alias("s"), F.count("*").alias("n"), F.min("vec_id").alias("lo"), F.max("vec_id").alias("hi")).orderBy("part").collect()  # ``buckets`` rows at most
+        for r in sums:
+            if before + (r["s"] or 0) >= target:
+                break
+            before += r["s"] or 0
+        lo, hi = r["lo"], r["hi"]
+        if r["n"] <= range_rows or lo == hi:
+            break
+    total = F.lit(before) + F.sum(weight).over(Window.orderBy("vec_id"))
+    inside = weighted.where(F.col("vec_id").between(lo, hi))
     return inside.select("vec_id", F.col(weight).alias("weight"), total.alias("running")).where(F.col("running") >= target).orderBy("vec_id").limit(1)
 
 

@@ -11,6 +11,9 @@ from riskloom.functions.dates import day_of_week, epoch_seconds
 #: Flat columns that ``vectorize`` reads.
 INPUTS = ("amount", "installments", "ts", "customer_avg", "tx_count_24h", "is_known", "risk", "merchant_avg", "is_online", "card_present", "km_from_home", "last_sec", "km_from_last")
 
+#: Users whose histories are split by day, at most: what the broadcast of their ids may hold.
+HEAVY_USERS = 1 << 19
+
 
 def feature_list() -> list[Column]:
     """Features 0..13 as float columns over INPUTS. last_sec is null where there was no transaction before."""
@@ -61,11 +64,27 @@ def merchant_risk(k: Column) -> Column:
     return out
 
 
-def user_history(base: DataFrame) -> DataFrame:
+def user_history(base: DataFrame, heavy_rows: int = 1 << 20) -> DataFrame:
     """What a scoring request says of a user's past, from the events before each event.
 
-    One exchange by user serves all windows (the one by user and merchant included, as it is sorted within users).
+    One exchange by user serves all windows. Users with ``heavy_rows`` events or more, counted first, would each be ordered in one task;
+    they are split by day (``history_by_day``), to the same results. They are told apart by a broadcast of HEAVY_USERS at
+    most: if there are more, those with the most events.
     """
+    counts = base.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") >= heavy_rows)
+    levels = {r["level"]: r["users"] for r in counts.groupBy(F.floor(F.log2("n")).alias("level")).agg(F.count("*").alias("users")).collect()}
+    if not levels:
+        return history_by_user(base)
+    least = min(levels)
+    while sum(users for level, users in levels.items() if level >= least) > HEAVY_USERS:
+        least += 1
+    heavy = F.broadcast(counts.where(F.floor(F.log2("n")) >= least).select(F.col("user_id").alias("heavy_user")))
+    own = F.col("user_id").eqNullSafe(F.col("heavy_user"))
+    return history_by_user(base.join(heavy, own, "left_anti")).unionByName(history_by_day(base.join(heavy, own, "left_semi")))
+
+
+def history_by_user(base: DataFrame) -> DataFrame:
+    """``user_history`` by windows over whole users (the one by user and merchant included, as it is sorted within users)."""
     before = Window.partitionBy("user_id").orderBy("ts", "event_id")
     prior = before.rowsBetween(Window.unboundedPreceding, -1)
     day = Window.partitionBy("user_id").orderBy("sec").rangeBetween(-86400, -1)
@@ -82,6 +101,42 @@ def user_history(base: DataFrame) -> DataFrame:
     )
 
 
+def history_by_day(base: DataFrame) -> DataFrame:
+    """``user_history`` by windows over a user's days, so that a user with a large share of all events is dealt over many tasks.
+
+    What earlier days add comes as rows of their own, which sort before the day's events: yesterday's events for the
+    24-hour count, merchants met on earlier days, and one row with totals and the last event so far. Those rows come from
+    aggregates by day, of which a user has as many as days. Events without a time are a day of their own, before all others.
+    """
+    rows = base.withColumn("day", F.floor(F.col("sec") / 86400))
+    days = rows.groupBy("user_id", "day").agg(F.sum("cents").alias("cents"), F.count("*").alias("n"), F.max_by(F.struct("sec", "k"), F.struct("ts", "event_id")).alias("last"))
+    by_day = Window.partitionBy("user_id").orderBy("day")
+    earlier = by_day.rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.select("user_id", "day", F.sum("cents").over(earlier).alias("cents"), F.sum("n").over(earlier).alias("n"), F.lag("last").over(by_day).alias("last"))
+    carried = carried.where("n > 0").select("user_id", "day", "cents", "n", F.col("last.sec").alias("sec"), F.col("last.k").alias("k"), F.lit(2).alias("turn"))
+    met = rows.groupBy("user_id", "k", "day").agg(F.count("*").alias("n"))
+    met = met.select("user_id", "k", "day", F.row_number().over(Window.partitionBy("user_id", "k").orderBy("day")).alias("nth"))
+    met = met.where("nth > 1").select("user_id", "k", "day", F.lit(1).alias("seen"), F.lit(1).alias("turn"))
+    yesterday = rows.where("day IS NOT NULL").select("user_id", (F.col("day") + 1).alias("day"), "sec", F.lit(1).alias("recent"), F.lit(0).alias("turn"))
+    own = rows.withColumns({"n": F.lit(1).cast("long"), "recent": F.lit(1), "seen": F.lit(1), "turn": F.lit(3)})
+    every = own.unionByName(carried, True).unionByName(met, True).unionByName(yesterday, True)
+    before = Window.partitionBy("user_id", "day").orderBy("turn", "ts", "event_id")
+    prior = before.rowsBetween(Window.unboundedPreceding, -1)
+    last_day = Window.partitionBy("user_id", "day").orderBy("sec").rangeBetween(-86400, -1)
+    same = Window.partitionBy("user_id", "day", "k").orderBy("turn", "ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    found = every.withColumns(
+        {
+            "prior_cents": F.sum("cents").over(prior),
+            "prior_n": F.coalesce(F.sum("n").over(prior), F.lit(0).cast("long")),
+            "last_sec": F.lag("sec").over(before),
+            "last_k": F.lag("k").over(before),
+            "tx_count_24h": F.coalesce(F.sum("recent").over(last_day), F.lit(0).cast("long")),
+            "is_known": F.coalesce(F.sum("seen").over(same) > 0, F.lit(False)),
+        }
+    )
+    return found.where("turn = 3").select(*base.columns, "prior_cents", "prior_n", "last_sec", "last_k", "tx_count_24h", "is_known")
+
+
 def event_transactions(events: DataFrame) -> DataFrame:
     """Flat transactions (INPUTS) with event_id and event_type, one per event."""
     base = event_base(events)
