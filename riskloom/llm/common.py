@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.sources.shared import shared_dir, write_table
 
-__all__ = ["BROADCAST_BYTES", "ascii_lower", "bounded", "free_name", "lookup", "remove_table", "shared_dir", "with_row_id", "write_table"]
+__all__ = ["BROADCAST_BYTES", "ascii_lower", "bounded", "free_name", "lookup", "merged", "remove_table", "shared_dir", "with_row_id", "write_table"]
 
 #: Bytes that a broadcast side may take; beyond it the join shuffles.
 BROADCAST_BYTES = 16 << 20
@@ -77,3 +78,18 @@ def lookup(rows: DataFrame, groups: DataFrame, keys: list[str], n_rows: int, row
     if how == "inner":
         both = both.where(F.col("_hot") | F.col("_cold"))
     return both.select(*rows.columns, *picked)
+
+
+def merged(parts: DataFrame, merge: Callable[[list[bytes]], bytes], blob_bytes: int, most: int = 32 << 20) -> bytes:
+    """All of parts' column blob, one of ``blob_bytes`` a task, as one blob: groups of ``most`` bytes are merged in tasks until one group is left for the driver."""
+    fan = max(8, most // blob_bytes)
+    parts = write_table(parts.select(F.monotonically_increasing_id().alias("key"), "blob"), "merged")
+
+    def run(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows.column("key").to_numpy(), kind="stable")
+        blobs = rows.column("blob").to_pylist()
+        return pa.table({"key": rows.column("key").slice(0, 1), "blob": pa.array([merge([blobs[i] for i in order])], pa.binary())})
+
+    while (n := parts.count()) > fan:
+        parts = write_table(parts.groupBy(F.pmod(F.xxhash64("key"), F.lit(-(-2 * n // fan)))).applyInArrow(run, "key bigint, blob binary"), "merged")
+    return merge([r["blob"] for r in parts.orderBy("key").collect()])

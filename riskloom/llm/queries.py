@@ -14,9 +14,11 @@ from riskloom.llm.line_dedup import dedup_lines
 from riskloom.llm.lm_scoring import held_out_expr, score_texts
 from riskloom.llm.packing import pack
 from riskloom.llm.quality import judge
+from riskloom.llm.resampling import resample
 from riskloom.llm.sharding import claim_slots, place
 from riskloom.llm.simhash import fingerprint_hex, near_dedup
 from riskloom.llm.toxicity import score_toxicity
+from riskloom.llm.whitening import whiten
 
 SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(64)], 8191
 
@@ -67,6 +69,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_dedup(_docs(spark, sf_dir)).drop("row_id")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("n_words")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
@@ -79,6 +89,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_toxicity": op9_toxicity,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_importance_resampling": op12_importance_resampling,
     }
 
 
