@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.decontamination import contained_items
 from riskloom.llm.exact_dedup import radix_dedup
+from riskloom.llm.jaccard import link_classes
 from riskloom.llm.language_id import identify
 from riskloom.llm.line_dedup import dedup_lines
 from riskloom.llm.lm_scoring import held_out_expr, score_texts
@@ -77,6 +78,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("n_words")
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_classes(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
@@ -91,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_exact_dedup": op10_exact_dedup,
         "op11_embedding_whitening": op11_embedding_whitening,
         "op12_importance_resampling": op12_importance_resampling,
+        "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
     }
 
 
@@ -137,5 +143,57 @@ SELECT doc_id, slot, CAST(([{owners}])[slot + 1] AS INTEGER) AS shard FROM d
 """
 
 
+#: The CRC-32 of a feature is the XOR of what each byte adds at its distance from the end, and that of as many zero bytes.
+OP12_SQL = f"""
+WITH RECURSIVE
+byte AS (SELECT CAST(i AS UBIGINT) AS b, CAST(i AS UBIGINT) AS c, 0 AS k FROM range(256) t(i)
+         UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM byte WHERE k < 8),
+step AS MATERIALIZED (SELECT b, c FROM byte WHERE k = 8),
+raw AS (
+    SELECT 'd' AS side, doc_id AS id, list_filter(string_split_regex({_LOWERED}, '[' || chr(1) || '-/:-`{{-' || chr(127) || ']+'), lambda w: w <> '') AS w FROM documents
+    UNION ALL SELECT 'b', item_id, list_filter(string_split_regex({_LOWERED}, '[' || chr(1) || '-/:-`{{-' || chr(127) || ']+'), lambda w: w <> '') FROM benchmark),
+each AS MATERIALIZED (
+    SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' ')), list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) AS f FROM raw),
+feature AS MATERIALIZED (SELECT f, encode(f) AS bytes, row_number() OVER () AS fid FROM (SELECT DISTINCT f FROM each)),
+far AS (SELECT b, c, 0 AS dist FROM step
+        UNION ALL SELECT far.b, xor(far.c >> 8, step.c), dist + 1 FROM far JOIN step ON step.b = far.c & 255 WHERE dist < (SELECT max(octet_length(bytes)) FROM feature)),
+zero AS (SELECT 4294967295::UBIGINT AS c, 0 AS n
+         UNION ALL SELECT xor(zero.c >> 8, step.c), n + 1 FROM zero JOIN step ON step.b = zero.c & 255 WHERE n < (SELECT max(octet_length(bytes)) FROM feature)),
+spread AS (
+    SELECT fid, octet_length(bytes) - i AS dist, CAST('0x' || substr(hex(bytes), CAST(2 * i - 1 AS BIGINT), 2) AS UBIGINT) AS b
+    FROM (SELECT fid, bytes, unnest(range(1, octet_length(bytes) + 1)) AS i FROM feature)),
+crc AS (SELECT fid, bit_xor(far.c) AS c FROM spread JOIN far ON far.b = spread.b AND far.dist = spread.dist GROUP BY fid),
+bucket AS MATERIALIZED (
+    SELECT f, CAST(xor(xor(crc.c, zero.c), 4294967295::UBIGINT) % 10000 AS INTEGER) AS k
+    FROM feature JOIN crc ON crc.fid = feature.fid JOIN zero ON zero.n = octet_length(bytes)),
+held AS MATERIALIZED (SELECT side, id, k FROM each JOIN bucket ON each.f = bucket.f),
+total AS (SELECT count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM held),
+gain AS (
+    SELECT k, CAST(floor(1000 * ln((count(*) FILTER (side = 'b') + 1)::DOUBLE * (any_value(t) + 10000)::DOUBLE / ((count(*) FILTER (side = 'd') + 1)::DOUBLE * (any_value(s) + 10000)::DOUBLE))) AS BIGINT) AS g
+    FROM held, total GROUP BY k),
+weighed AS (SELECT id, count(*) AS n_features, sum(g) AS weight FROM held JOIN gain ON held.k = gain.k WHERE side = 'd' GROUP BY id),
+scored AS (
+    SELECT raw.id AS doc_id, coalesce(n_features, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, len(w) >= 20 AS able,
+           CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || raw.id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+    FROM raw LEFT JOIN weighed ON raw.id = weighed.id WHERE side = 'd'),
+placed AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) FILTER (able) OVER () AS n FROM scored)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CAST(CASE WHEN able AND place <= 5 * n // 100 THEN place END AS BIGINT) AS rank FROM placed
+"""
+
+
+OP13_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS MATERIALIZED (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+h AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM h JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS node, doc_id AS root FROM d UNION SELECT e.y, r.root FROM r JOIN e ON r.node = e.x)
+SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(root) AS component_id
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN r ON r.node = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op4_sharding": op4_sql(), "op5_line_dedup": OP5_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op3_decontamination": OP3_SQL, "op4_sharding": op4_sql(), "op5_line_dedup": OP5_SQL, "op10_exact_dedup": OP10_SQL, "op12_importance_resampling": OP12_SQL, "op13_ngram_jaccard_join": OP13_SQL}
