@@ -8,9 +8,10 @@ Sets that are equal are one row. Two sets of sizes a and b link when they share
    is the same for all; so only these are listed. Here shingles that many sets have come last (``frequent_shingles``, a bounded table; it orders lists, it decides nothing), and
    lists of one set vanish. Light sets near the boundary are in the lists too, for heavy ones to find.
 3. The boundary is the size with the least cost: rows enumerated up to it against list entries scanned above it (``boundary``).
-4. A list of many near copies would be scanned in pairs. Instead two rounds verify each set of a list against one hub only, and what is linked
-   becomes one class. After that only pairs of a list whose classes still differ are left; a bound on what they can share, from counts of their shingles in ranges of hashes,
-   drops most of them unseen, and all others are verified by their whole sets. No pair is dropped otherwise: a link that is left out joins what is already joined.
+4. A list of many near copies would be scanned in pairs. Instead the first rounds verify each set of a list against one other set only: a hub of the
+   list, then the nearest set of another class; what is linked becomes one class. After that only pairs of a list whose classes still differ are left. Two sets differ in as many shingles at least as the parities of
+   their shingles by hash value do (``odd_sketch``, about two bits a shingle): what differs in too many is dropped by this bound, all others are verified by
+   their whole sets. No pair is dropped otherwise: a link that is left out joins what is already joined.
 5. Only texts of sets that have a candidate are read again. Classes come from star joins (``simhash.components``), documents join theirs by ``common.lookup``.
 
 Shingles and sets are named by 64-bit hashes: of n distinct sets two are confused with a chance of about n**2 / 2**65.
@@ -40,10 +41,10 @@ from riskloom.llm.simhash import _dealt, _signed, _whole_nodes, components, in_b
 LIGHT_MOST = 32
 #: Shingles in the table of frequent ones, at most; how often one must be met; shingles that are counted at once.
 FREQUENT, MET, CHUNK = 1 << 17, 32, 1 << 20
-#: Ranges of hashes in which the shingles of a set are counted, to 255.
-RANGES = 64
-#: Rounds with hubs, and entries of a list that one task compares with each other.
-HUB_ROUNDS, LIST_ROWS = 2, 8192
+#: Bits of the folded sketch that travels with list entries, at least and at most, powers of two.
+MINI = (256, 1024)
+#: Rounds that verify a set of a list against its hub, then against the nearest of another class; entries of a list that one task compares with each other.
+HUB_ROUNDS, NEAR_ROUNDS, LIST_ROWS = 1, 2, 8192
 PART = 1 << 30
 
 
@@ -108,8 +109,27 @@ def frequent_shingles(texts: DataFrame, words: int) -> DataFrame:
     return found.where(level >= least)
 
 
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Bytes whose bits tell whether an odd number of shingles has that hash value; a power of two, two bits a shingle at least."""
+    bits = max(MINI[0], 1 << (2 * len(shingles) - 1).bit_length()) if len(shingles) else MINI[0]
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def folded(sketch: np.ndarray, bits: int) -> np.ndarray:
+    """A sketch of fewer bits of the same sets; rows of sketches, or one."""
+    while sketch.shape[-1] * 8 > bits:
+        half = sketch.shape[-1] // 2
+        sketch = sketch[..., :half] ^ sketch[..., half:]
+    return sketch
+
+
+def mini_bits(sketch: np.ndarray) -> int:
+    return min(MINI[1], max(MINI[0], sketch.shape[-1] * 8 // 4))
+
+
 def marked_sets(texts: DataFrame, frequent: DataFrame, words: int, percent: int) -> DataFrame:
-    """(row_id, doc_id, set_id, size, bins, prefix, members): members has all shingles of sets that may be light."""
+    """(row_id, doc_id, set_id, size, sketch, mini, prefix, members): mini is the sketch folded for lists; members has all shingles of sets that may be light."""
     table = frequent.toArrow()
     tokens, n = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
     order = np.argsort(tokens)
@@ -129,7 +149,7 @@ def marked_sets(texts: DataFrame, frequent: DataFrame, words: int, percent: int)
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in bounded(parts):
             sets = [shingle_set(x.as_py(), words) for x in part.column(2)]
-            bins = [np.bincount((s >> np.uint64(65 - RANGES.bit_length())).astype(np.int64), minlength=RANGES).clip(max=255).astype(np.uint8).tobytes() for s in sets]
+            sketches = [odd_sketch(s) for s in sets]
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -137,14 +157,15 @@ def marked_sets(texts: DataFrame, frequent: DataFrame, words: int, percent: int)
                     part.column(1),
                     pa.array([set_name(s) for s in sets], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(bins, pa.binary()),
+                    pa.array([x.tobytes() for x in sketches], pa.binary()),
+                    pa.array([folded(x, mini_bits(x)).tobytes() for x in sketches], pa.binary()),
                     pa.array([prefix(s).view(np.int64) for s in sets], longs),
                     pa.array([s.view(np.int64) if len(s) <= LIGHT_MOST else None for s in sets], longs),
                 ],
-                ["row_id", "doc_id", "set_id", "size", "bins", "prefix", "members"],
+                ["row_id", "doc_id", "set_id", "size", "sketch", "mini", "prefix", "members"],
             )
 
-    schema = f"row_id {kinds['row_id']}, doc_id {kinds['doc_id']}, set_id bigint, size bigint, bins binary, prefix array<bigint>, members array<bigint>"
+    schema = f"row_id {kinds['row_id']}, doc_id {kinds['doc_id']}, set_id bigint, size bigint, sketch binary, mini binary, prefix array<bigint>, members array<bigint>"
     return texts.select("row_id", "doc_id", "text").mapInArrow(run, schema)
 
 
@@ -192,42 +213,70 @@ def sets_of(wanted: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return write_table(texts.join(some, F.col("row_id") == F.col("_row")).select("text").mapInArrow(run, "set_id bigint, s array<bigint>"), "shingle-sets")
 
 
-def open_pairs(lists: DataFrame, light: int, percent: int) -> DataFrame:
-    """(a, b): pairs of one list, not both light, whose classes differ and which can link by their sizes and by the counts of their shingles in ranges.
+def open_pairs(lists: DataFrame, light: int, percent: int, nearest: bool) -> DataFrame:
+    """(a, b): pairs of one list, not both light, whose classes differ and which can link by their sizes and folded sketches; with ``nearest`` about one of each set.
 
-    lists: mask (the list), value, task and side of ``in_blocks``, fp (the set), root, size, bins.
+    lists: mask (the list), value, task and side of ``in_blocks``, fp (the set), root, size, mini.
     """
 
     def pairs(table: pa.Table, start: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         task, side, root, size = (table.column(k).slice(start, end - start).to_numpy() for k in (2, 3, 5, 6))
         if end - start < 2 or (root == root[0]).all():
             return
-        bins = np.frombuffer(b"".join(table.column(7).slice(start, end - start).to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int16)
+        minis = table.column(7).slice(start, end - start).to_pylist()
+        bits = np.array([8 * len(x) for x in minis])
         single = task[0] >> 31 == task[0] & ((1 << 31) - 1)
-        for at in range(0, end - start, 256):
-            some = slice(at, at + 256)
-            able = root[some][:, None] != root[None, :]
-            able &= 100 * np.minimum(size[some][:, None], size[None, :]) >= percent * np.maximum(size[some][:, None], size[None, :])
-            able &= np.maximum(size[some][:, None], size[None, :]) > light
-            able &= np.arange(end - start)[None, :] > np.arange(at, min(at + 256, end - start))[:, None]
-            if not single:
-                able &= side[some][:, None] != side[None, :]
-            i, j = np.nonzero(able)
-            for k in range(0, len(i), 1 << 14):
-                p, q = i[k : k + (1 << 14)] + at, j[k : k + (1 << 14)]
-                apart = np.abs(bins[p] - bins[q]).sum(axis=1, dtype=np.int64)
-                fits = (100 + percent) * apart <= (100 - percent) * (size[p] + size[q])
-                yield start + p[fits], start + q[fits]
+        for width in np.unique(bits):  # sets that link differ in size by less than twice, so in width by one step
+            own = np.nonzero((bits == width) | (bits == 2 * width))[0]
+            words = np.stack([folded(np.frombuffer(minis[k], np.uint8), width) for k in own]).view(np.uint64)
+            small, r, n, t = bits[own] == width, root[own], size[own], side[own]
+            for at in range(0, len(own), 256):
+                x = slice(at, at + 256)
+                able = (r[x, None] != r[None, :]) & (small[x, None] | small[None, :]) & (np.arange(len(own))[None, :] > np.arange(at, min(at + 256, len(own)))[:, None])
+                able &= (100 * np.minimum(n[x, None], n[None, :]) >= percent * np.maximum(n[x, None], n[None, :])) & (np.maximum(n[x, None], n[None, :]) > light)
+                if not single:
+                    able &= t[x, None] != t[None, :]
+                i, j = np.nonzero(able)
+                for k in range(0, len(i), 1 << 14):
+                    p, q = i[k : k + (1 << 14)] + at, j[k : k + (1 << 14)]
+                    apart = np.bitwise_count(words[p] ^ words[q]).sum(axis=1, dtype=np.int64)
+                    fits = np.nonzero(_near_enough(apart, n[p] + n[q], percent))[0]
+                    if nearest and len(fits):
+                        fits = fits[np.lexsort((apart[fits], p[fits]))]
+                        fits = fits[np.append(True, p[fits][1:] != p[fits][:-1])]
+                    yield start + own[p[fits]], start + own[q[fits]]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _whole_nodes(parts, 3):
             own = table.column(4).to_numpy()
-            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
-                for i, j in pairs(table, start, end):
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(own[i], own[j])), pa.array(np.minimum(own[i], own[j]))], ["a", "b"])
+            found = [x for start, end in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True) for x in pairs(table, start, end) if len(x[0])]
+            if found:
+                i, j = (own[np.concatenate([x[k] for x in found])] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(i, j)), pa.array(np.minimum(i, j))], ["a", "b"])
+
+    return _dealt(lists.select("mask", "value", "task", "side", "fp", "root", "size", "mini")).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _near_enough(apart: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets that differ in ``apart`` shingles at least can link; sizes: of both together."""
+    return (100 + percent) * apart <= (100 - percent) * sizes
+
+
+def sketched(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that can link by their whole sketches."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            keep = []
+            for one, two, n in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
+                x, y = np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)
+                bits = 8 * min(len(x), len(y))
+                keep.append(_near_enough(np.bitwise_count(folded(x, bits) ^ folded(y, bits)).sum(dtype=np.int64), n, percent))
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return _dealt(lists.select("mask", "value", "task", "side", "fp", "root", "size", "bins")).mapInArrow(run, "a bigint, b bigint").distinct()
+    one, two = (own.select(F.col("set_id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("size").alias(f"n{x}")) for x in "ab")
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb", (F.col("na") + F.col("nb")).alias("n"))
+    return both.mapInArrow(run, "a bigint, b bigint")
 
 
 class _Verifier:
@@ -238,7 +287,7 @@ class _Verifier:
         self.sets = self.tried = None
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        pairs = write_table(pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = write_table(sketched(pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti"), self.own, self.percent), "pairs")
         self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
         ends = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
         ends = ends if self.sets is None else ends.join(self.sets.select("set_id"), "set_id", "left_anti")
@@ -257,7 +306,7 @@ def heavy_links(own: DataFrame, entries: DataFrame, stars: DataFrame, light: int
     def rooted(rows: DataFrame) -> DataFrame:
         return rows.join(stars.select(F.col("a").alias("set_id"), F.col("b").alias("root")), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
 
-    for k in range(HUB_ROUNDS + 1):
+    for k in range(HUB_ROUNDS + NEAR_ROUNDS + 1):
         rows = write_table(rooted(entries), "entries")
         hub = F.min_by(F.struct("set_id", "size", "root"), F.xxhash64("set_id", F.lit(k))).alias("hub")
         mixed = rows.groupBy("part", "token").agg(F.count("*").alias("n"), hub, F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
@@ -271,7 +320,7 @@ def heavy_links(own: DataFrame, entries: DataFrame, stars: DataFrame, light: int
         else:
             nodes = met.select(F.col("token").alias("mask"), F.lit(0).cast("long").alias("value"), F.col("set_id").alias("fp"), "root", "size")
             nodes = in_blocks(nodes, F.lit(1), LIST_ROWS)
-            pairs = open_pairs(nodes.join(own.select(F.col("set_id").alias("fp"), "bins"), "fp"), light, percent)
+            pairs = open_pairs(nodes.join(own.select(F.col("set_id").alias("fp"), "mini"), "fp"), light, percent, k < HUB_ROUNDS + NEAR_ROUNDS)
         stars = components(stars.unionByName(verifier.links(pairs)))
     return stars
 
@@ -282,7 +331,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = with_row_id(docs, row)
     texts = named.select(F.col(row).alias("row_id"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marked = write_table(marked_sets(texts, frequent_shingles(texts, words), words, percent), "sets")
-    first = [F.count("*").alias("n"), F.min("doc_id").alias("first"), F.min("row_id").alias("row"), *[F.first(c).alias(c) for c in ("size", "bins", "prefix", "members")]]
+    first = [F.count("*").alias("n"), F.min("doc_id").alias("first"), F.min("row_id").alias("row"), *[F.first(c).alias(c) for c in ("size", "sketch", "mini", "prefix", "members")]]
     own = write_table(marked.where("size > 0").groupBy("set_id").agg(*first), "distinct-sets")
     part = lambda c: F.pmod(c, F.lit(PART)).alias("part")
 

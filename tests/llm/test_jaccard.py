@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,19 @@ def test_a_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
     assert {r["component_id"] for r in found} == {0} and sum(seen) < 20 * 600
 
 
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(2)
+    for n, m, both in ((1, 1, 0), (5, 9, 3), (280, 300, 260), (4000, 4700, 3900), (0, 4, 0)):
+        every = np.unique(rng.integers(0, 1 << 63, n + m, dtype=np.uint64))
+        a, b = np.sort(every[:n]), np.sort(np.concatenate((every[:both], every[n : n + m - both])))
+        for bits in (256, 512, 1 << 20):
+            x, y = jaccard.odd_sketch(a), jaccard.odd_sketch(b)
+            w = min(bits, 8 * len(x), 8 * len(y))
+            apart = int(np.bitwise_count(jaccard.folded(x, w) ^ jaccard.folded(y, w)).sum())
+            true = len(np.setxor1d(a, b))
+            assert apart <= true and (w < 4 * n or apart >= 0.8 * true)
+
+
 def test_subsets_are_exact():
     for percent in (60, 85, 95):
         for a in range(1, 30):
