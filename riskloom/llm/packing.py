@@ -9,7 +9,7 @@ deals the pieces by bucket and a salt, so that one bucket is written by many tas
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed again, each for itself; an empty
 table gives an empty result; all other columns are ignored. Texts over ``chunk`` characters are encoded in chunks that
-end where the pre-tokeniser always splits, so the ids are those of the whole text. A special token's string in a text is
+end where the pre-tokeniser always splits, and long runs of white space are encoded apart, so the ids are those of the whole text. A special token's string in a text is
 that token's id, as the tokeniser's own file has it.
 """
 
@@ -29,6 +29,9 @@ from riskloom.llm.common import bounded
 
 #: The pre-tokeniser starts a new piece between a lower-case ASCII letter and one blank with a letter after it.
 _SPLIT = re.compile(r"(?<=[a-z])(?= [A-Za-z])")
+#: Runs of white space from this length on are cut out before the pre-tokeniser sees them, as its look-ahead needs memory for each character of a run.
+LONG_RUN = 4096
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 #: Special tokens of the default vocabulary.
 SPECIAL = {"<|endoftext|>": 50256}
 
@@ -48,11 +51,23 @@ class Encoder:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        self.piece = tiktoken.Encoding("packing-piece", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        self.special = tuple(special)
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.encoding.encode(text, allowed_special="all", disallowed_special=()), np.uint32)
 
     def ids(self, text: str, chunk: int = 1 << 18) -> np.ndarray:
+        """The ids of a text. Of a run of white space all but its last character is one piece; at the end of the text, or before a special token, all of it."""
+        out, at = [], 0
+        for run in _BLANKS.finditer(text) if len(text) >= LONG_RUN else ():
+            start, end = run.span()
+            stop = end if end == len(text) or (self.special and text.startswith(self.special, end)) else end - 1
+            out += [self._parts(text[at:start], chunk), np.array(self.piece.encode_ordinary(text[start:stop]), np.uint32)]
+            at = stop
+        return np.concatenate([*out, self._parts(text[at:], chunk)]) if out else self._parts(text, chunk)
+
+    def _parts(self, text: str, chunk: int) -> np.ndarray:
         if len(text) <= chunk:
             return self._encode(text)
         out, at = [], 0

@@ -119,6 +119,25 @@ def test_ids_are_those_of_the_tokenizer_file():
         assert list(ours.ids(t)) == theirs.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize("run", [" ", "\n", " \n", "\u3000", "中", "x", "7", "!"])
+def test_long_runs_have_the_ids_of_the_tokenizer_file(run):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    encoder = Encoder(vocabulary_path(), public_tokenizers.PATTERN, SPECIAL)
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for n in (4096, 1_000_000 if run in " \n" else 50_000):
+        some = run * (n // len(run))
+        for text in (f"ab{some}cd", some, f"{some}<|endoftext|>{some[:4500]}z", f"a{some[:-1]}.\t{some[:4096]}"):
+            assert encoder.ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_a_document_of_blanks_is_packed(spark):
+    docs = spark.createDataFrame([(1, " " * 1_000_000), (2, "a" + "\n" * 1_500_000 + "b")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n"] for r in pack(docs, with_ids=False).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert got == {1: 1_000_001, 2: 750_003}
+
+
 def test_buckets_are_written_by_length(awkward, tmp_path, spark):
     write_buckets(pack(awkward), f"file://{tmp_path}/out", 2)
     back = spark.read.parquet(f"file://{tmp_path}/out")
