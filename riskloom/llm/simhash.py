@@ -8,10 +8,10 @@
    short to tell codes apart; then the masks are random bit sets, as many as a recall of ``recall`` at the limit takes
    (nearer codes have more), and a node that is too large is cut into blocks, of which each two meet in a task, so it
    loses no pair. Their number follows the table's size slowly: 40 up to 2**26 codes, about 115 at 2**30.
-3. Codes are dealt by top node and sorted by Gray rank. In each node a binary hierarchy over the Gray order keeps in
-   every inner node the bits all its codes share (mask and pattern), children only what their parent lacks. A search
-   goes down with accumulated differences and drops a whole subtree when they exceed the limit.
-4. Each node emits a spanning forest of its links, not all pairs; connected components come from alternating large-star
+3. Top nodes deal the codes to tasks. What a task holds of a mask's nodes is one binary hierarchy over their Gray order, the mask's bits first: every
+   inner node keeps the bits all its codes share (mask and pattern), children only what their parent lacks. A search goes down with accumulated
+   differences and drops a whole subtree when they exceed the limit; nothing else compares codes.
+4. Each hierarchy emits a spanning forest of its links, not all pairs; connected components come from alternating large-star
    and small-star joins in checkpointed rounds. Documents join their code's class by ``common.lookup``.
 5. Where links must hold for the texts as well (``verify``), every pair within the limit is a candidate, and only verified
    links take candidates away. Two rounds verify each code's nearest candidates by a join with exact shingle sets. Codes
@@ -47,8 +47,6 @@ BITS = 64
 LEAF = 16
 #: Up to this limit top nodes are segments, and no link is lost; above it they are random masks with a stated recall.
 EXACT_LIMIT = 3
-#: Nodes up to so many codes are compared whole.
-SMALL = 64
 #: How many of a code's candidates, nearest first, a round verifies if they are still apart; the first round knows no bins.
 ROUNDS = (1, 4)
 #: Shingles of the sets of one block of the last search, on average (32 MB).
@@ -185,30 +183,69 @@ class GrayTree:
         self.pattern = ones
         self.own = [self.shared[0]] + [s & ~np.repeat(p, 2) for p, s in zip(self.shared, self.shared[1:], strict=False)]
 
-    def pairs(self, limit: int, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions (i, j), i < j, of codes at distance limit or less."""
-        flat = self.codes.reshape(-1)
+    def pairs(self, limit: int, block: int = 512, fixed: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions (i, j), i < j, of codes at distance limit or less that agree on the bits of ``fixed``; all of an i at once.
+
+        ``dropped`` counts the subtrees that are left because what differs above them, or a fixed bit, is already too much; ``compared`` the codes that are looked at.
+        """
+        flat, fixed_, self.dropped = self.codes.reshape(-1), np.uint64(fixed), 0
+        self.compared = 0
+
+        def differing(x: np.ndarray) -> np.ndarray:
+            n = np.bitwise_count(x).astype(np.int64)
+            return n + (limit + 1) * ((x & fixed_) != 0) if fixed else n
+
         for at in range(0, self.size, block):
             query = np.arange(at, min(at + block, self.size))
             node = np.zeros(len(query), np.int64)
-            apart = np.bitwise_count((flat[query] ^ self.pattern[0][0]) & self.own[0][0]).astype(np.int64)
+            apart = differing((flat[query] ^ self.pattern[0][0]) & self.own[0][0])
             for k in range(1, len(self.own)):
                 keep = apart <= limit
+                self.dropped += int((~keep).sum())
                 query, apart = np.repeat(query[keep], 2), np.repeat(apart[keep], 2)
                 node = np.repeat(node[keep] * 2, 2)
                 node[1::2] += 1
-                apart = apart + np.bitwise_count((flat[query] ^ self.pattern[k][node]) & self.own[k][node])
                 later = (node + 1) * (LEAF << (len(self.own) - 1 - k)) > query  # only codes after the query
                 query, node, apart = query[later], node[later], apart[later]
+                apart = apart + differing((flat[query] ^ self.pattern[k][node]) & self.own[k][node])
             keep = apart <= limit
+            self.dropped += int((~keep).sum())
             query, node = query[keep], node[keep]
-            near = np.bitwise_count(flat[query][:, None] ^ self.codes[node]) <= limit
+            near = differing(flat[query][:, None] ^ self.codes[node]) <= limit
+            self.compared += near.size
             q, c = np.nonzero(near)
             i, j = query[q], node[q] * LEAF + c
             real = (j > i) & (j < self.size)
             yield i[real], j[real]
 
 
+def _mask_first(codes: np.ndarray, mask: int) -> tuple[np.ndarray, int]:
+    """codes with the bits of mask moved to the top, and those bits there."""
+    order = [b for b in range(BITS) if not mask >> b & 1] + [b for b in range(BITS) if mask >> b & 1]
+    out = np.zeros(len(codes), np.uint64)
+    for place, b in enumerate(order):
+        out |= (codes >> np.uint64(b) & np.uint64(1)) << np.uint64(place)
+    n = bin(mask & (2**64 - 1)).count("1")
+    return out, (2**64 - 1) ^ (2 ** (64 - n) - 1)
+
+
+def gray_order(codes: np.ndarray) -> np.ndarray:
+    """The order of codes by Gray rank."""
+    rank = codes.copy()
+    for shift in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(shift)
+    return np.argsort(rank, kind="stable")
+
+
+def hierarchies(codes: np.ndarray, mask: np.ndarray) -> Iterator[tuple[np.ndarray, GrayTree, int]]:
+    """(positions, hierarchy, the mask's bits in it) of the codes of each mask: all that a task holds of its nodes, in one Gray order, the mask's bits first."""
+    for m in np.unique(mask).tolist():
+        rows = np.nonzero(mask == m)[0]
+        moved, fixed = _mask_first(codes[rows], m)
+        order = gray_order(moved)
+        yield rows[order], GrayTree(moved[order]), fixed
+
+
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For each of n positions the smallest position of its component under the links (i, j)."""
     label = np.arange(n)
@@ -222,13 +259,14 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return label
 
 
-def _node_links(codes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    label = np.arange(len(codes))
-    for i, j in GrayTree(codes).pairs(limit):  # only the forest is kept from block to block
-        linked = np.nonzero(label != np.arange(len(codes)))[0]
-        label = _forest(len(codes), np.concatenate([i, linked]), np.concatenate([j, label[linked]]))
-    linked = np.nonzero(label != np.arange(len(codes)))[0]
-    return codes[linked], codes[label[linked]]
+def _tree_links(tree: GrayTree, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as positions (i, j), of all links within a hierarchy."""
+    label = np.arange(tree.size)
+    for i, j in tree.pairs(limit):  # only the forest is kept from block to block
+        linked = np.nonzero(label != np.arange(tree.size))[0]
+        label = _forest(tree.size, np.concatenate([i, linked]), np.concatenate([j, label[linked]]))
+    linked = np.nonzero(label != np.arange(tree.size))[0]
+    return linked, label[linked]
 
 
 def _dealt(nodes: DataFrame) -> DataFrame:
@@ -265,55 +303,45 @@ def _started(parts: list[pa.RecordBatch], keys: int) -> tuple[pa.Table, np.ndarr
     return table, np.concatenate(([0], np.nonzero((names[1:] != names[:-1]).any(axis=1))[0] + 1))
 
 
-def _node_pairs(codes: np.ndarray, starts: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (i, j), i < j, of codes of one node at distance limit or less; all pairs of an i at once."""
-    sizes = np.diff(np.append(starts, len(codes)))
-    small = np.repeat(sizes <= SMALL, sizes)
-    group = np.repeat(np.arange(len(sizes)), sizes)
-    out = []
-    for step in range(1, min(SMALL, len(codes))):
-        near = (group[step:] == group[:-step]) & small[step:]
-        if not near.any():
-            break
-        near &= np.bitwise_count(codes[step:] ^ codes[:-step]) <= limit
-        i = np.nonzero(near)[0]
-        out.append((i, i + step))
-    if out:
-        yield tuple(np.concatenate([x[k] for x in out]) for k in (0, 1))
-    for k in np.nonzero(sizes > SMALL)[0]:
-        for i, j in GrayTree(codes[starts[k] : starts[k] + sizes[k]]).pairs(limit):
-            yield i + starts[k], j + starts[k]
+def _node_pairs(codes: np.ndarray, mask: np.ndarray, starts: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j) of codes of one node at distance limit or less, each pair once, all pairs of an i at once."""
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(codes))))
+    for rows, tree, fixed in hierarchies(codes, mask):
+        for i, j in tree.pairs(limit, fixed=fixed):
+            i, j = rows[i], rows[j]
+            same = group[i] == group[j]
+            yield i[same], j[same]
 
 
 def links(codes: DataFrame, limit: int = 2, node_rows: int = 4096) -> DataFrame:
-    """(a, b): a spanning forest, per top node, of the links between codes; a > b as signed longs."""
+    """(a, b): a spanning forest, per hierarchy, of the links between codes; a > b as signed longs.
+
+    Nodes deal the work, so that each linked pair meets in some task; what a task holds of a mask is one hierarchy, which is searched without regard to nodes.
+    """
     dealt = _dealt(top_nodes(codes, limit, node_rows).select("mask", "value", "task", "fp"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in _whole_nodes(parts, 3):
-            codes_ = table.column(3).to_numpy().view(np.uint64)
-            ends = np.append(starts, len(codes_))[1:]
-            small = np.nonzero(ends - starts <= SMALL)[0]
-            of = np.concatenate([np.arange(starts[k], ends[k]) for k in small]) if len(small) else np.zeros(0, np.int64)
-            lengths = (ends - starts)[small]
-            out = [(codes_[of[i]], codes_[of[j]]) for i, j in _node_pairs(codes_[of], np.cumsum(lengths) - lengths, limit)]
-            out += [_node_links(codes_[starts[k] : ends[k]], limit) for k in np.nonzero(ends - starts > SMALL)[0]]
-            if out:
-                a, b = (np.concatenate([x[k] for x in out]).view(np.int64) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+        for table, _ in _whole_nodes(parts, 3):
+            own = table.column(3).to_numpy().view(np.uint64)
+            for rows, tree, _ in hierarchies(own, table.column(0).to_numpy()):
+                i, j = _tree_links(tree, limit)
+                a, b = own[rows[i]].view(np.int64), own[rows[j]].view(np.int64)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
 
 
 def _open_pairs(table: pa.Table, starts: np.ndarray, limit: int, least: float | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, rank) of a table of ``candidates``: pairs that meet in this task and can hold, nearest first for each i."""
-    task, side, codes = table.column(2).to_numpy(), table.column(3).to_numpy(), table.column(4).to_numpy().view(np.uint64)
+    mask, task, side, codes = (table.column(k).to_numpy() for k in (0, 2, 3, 4))
+    codes = codes.view(np.uint64)
     single = task >> 31 == task & ((1 << 31) - 1)
     if least is not None:
         size = table.column(7).to_numpy()
         counts = np.frombuffer(b"".join(table.column(8).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
         share = (1 - least) / (1 + least)
-    for i, j in _node_pairs(codes, starts, limit):
+    for i, j in _node_pairs(codes, mask, starts, limit):
         meet = single[i] | (side[i] != side[j])
         i, j = i[meet], j[meet]
         if least is not None:

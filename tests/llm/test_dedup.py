@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.llm import common
 from riskloom.llm.exact_dedup import radix_dedup
 from riskloom.llm.line_dedup import LineRuns, dedup_lines, line_hashes
-from riskloom.llm.simhash import GrayTree, components, fingerprint, links, near_dedup
+from riskloom.llm.simhash import GrayTree, components, fingerprint, hierarchies, links, near_dedup
 
 from .conftest import awkward_rows
 
@@ -209,6 +209,28 @@ def test_gray_tree_finds_every_pair():
     assert found == want and want
 
 
+@pytest.mark.parametrize(("limit", "held"), [(2, False), (3, False), (12, True)])
+def test_hierarchies_drop_subtrees_and_lose_no_pair(limit, held):
+    """2,000 random codes and near ones of theirs; with ``held`` only pairs that agree on the mask count."""
+    import numpy as np
+
+    rng = np.random.default_rng(limit)
+    own = rng.integers(0, 1 << 64, 2000, dtype=np.uint64)
+    near = own[:500].copy()
+    for _ in range(limit):
+        near ^= np.uint64(1) << rng.integers(0, 64, 500, dtype=np.uint64)
+    codes = rng.permutation(np.concatenate((own, near)))
+    masks = [0xFFF, 0xFFF << 30, -(1 << 52)]
+    for rows, tree, fixed in hierarchies(np.tile(codes, 3), np.repeat(masks, len(codes))):
+        mask = np.uint64(masks[rows[0] // len(codes)] & (2**64 - 1))
+        assert bin(fixed).count("1") == 12
+        got = {frozenset((int(rows[i]) % len(codes), int(rows[j]) % len(codes))) for a, b in tree.pairs(limit, fixed=fixed if held else 0) for i, j in zip(a, b, strict=True)}
+        apart = np.bitwise_count(codes[:, None] ^ codes[None, :])
+        linked = (apart <= limit) & ((((codes[:, None] ^ codes[None, :]) & mask) == 0) | (not held))
+        assert got == {frozenset((int(i), int(j))) for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True)} and got
+        assert tree.dropped > 5 * len(codes) and tree.compared < len(codes) ** 2 / 3
+
+
 def test_components_of_long_chains(spark):
     edges = [(i + 1, i) for i in range(300)] + [(1000 + i, 1000) for i in range(1, 50)]
     found = {r["a"]: r["b"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
