@@ -9,18 +9,23 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom import catalog_sql as Q
 from riskloom.functions import dates as D
 from riskloom.functions import scalars as S
-from riskloom.operators import calibrate, clustering, features, ivf, knn, tree
+from riskloom.operators import blocks, boxtree, calibrate, clustering, features, ivf, knn, tree
 from riskloom.plans import scoring
-from riskloom.sources import requests
+from riskloom.sources import json_array, lenient, requests
 from riskloom.sources.index_store import open_index, write_index
 from riskloom.sources.shared import shared_dir, write_table
+from riskloom.streaming import connections
+from riskloom.streaming import scoring_stream as stream
+from riskloom.streaming.user_state import user_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIMS, WIDE = S.DIMS, 64
@@ -60,16 +65,43 @@ def _centroids(members: DataFrame) -> DataFrame:
 
 
 class _Index:
-    """The event index with its query set. Members are written by cluster, as every plan reads them more than once."""
+    """The event index with its query set; each table is written when it is first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.vectors = write_table(_events(spark, sf_dir), "vectors")
         self.centroids = _centroids(self.vectors)
-        members = clustering.assign_nearest(self.vectors, self.centroids)
-        self.members = write_table(members.repartition("cluster_id", F.col("vec_id") % 4), "members", "cluster_id")
-        self.clusters = ivf.with_offsets(ivf.cluster_table(self.members, DIMS))
+        self.assigned = clustering.assign_nearest(self.vectors, self.centroids)
         self.queries = _queries_of(self.vectors)
-        self.pairs = ivf.centroid_distances(self.queries, self.centroids, self.clusters, DIMS)
+
+    @cached_property
+    def clusters(self) -> DataFrame:
+        return write_table(ivf.with_offsets(ivf.cluster_table(self.assigned, DIMS)), "clusters")
+
+    @cached_property
+    def pages(self) -> DataFrame:
+        return write_table(blocks.to_pages(ivf.member_layout(self.assigned)), "pages")
+
+    @cached_property
+    def tree(self) -> boxtree.BoxTree:
+        return boxtree.box_tree(self.centroids, self.clusters)
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return ivf.centroid_distances(self.queries, self.tree)
+
+    @cached_property
+    def first(self) -> DataFrame:
+        return ivf.first_probe(self.queries, self.tree)
+
+    @cached_property
+    def first_near(self) -> DataFrame:
+        """The neighbours of each query in its nearest cluster."""
+        return write_table(knn.rank_neighbours(blocks.scan_pages(self.first, self.pages, DIMS), S.TOP_K), "first-near")
+
+    @cached_property
+    def bounded(self) -> DataFrame:
+        """(query_id, q, bound, done) of queries that have a bound after their first probe."""
+        return write_table(ivf.first_bounds(self.first, self.first_near).where("bound IS NOT NULL"), "bounded")
 
 
 def _items(q: Column, dims: int) -> list[Column]:
@@ -120,6 +152,14 @@ def l2_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "vec_id").select("vec_id", S.l2(F.col("q"), F.col("v"), WIDE).alias("dist"))
 
 
+@_register("SELECT a.vec_id, list_reduce(list_prepend(0::FLOAT, list_transform(range(1, 65), lambda i: (a.embedding[i] - b.embedding[i]) * (a.embedding[i] - b.embedding[i]))), lambda s, x: (s + x)::FLOAT) AS dist FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def l2_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances in single precision, to the last bit."""
+    a = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("v"))
+    return a.join(b, "vec_id").select("vec_id", S.l2_single(F.col("embedding"), F.col("v")).alias("dist"))
+
+
 @_register("SELECT event_id, least(n, 5) / 5 AS fraud_score, n <= 2 AS approved FROM (SELECT event_id, event_id % 8 AS n FROM events)")
 def score_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id") % 8
@@ -220,6 +260,57 @@ def http_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.read_http(rows.select("event_id", F.get(kinds, (F.col("event_id") % 4).cast("int")).alias("value"))).select("event_id", "route", "body")
 
 
+_SINGLE = "CAST(split_part({0}, '.', 1)::FLOAT + (split_part({0}, '.', 2)::FLOAT / pow(10, len(split_part({0}, '.', 2)))::FLOAT)::FLOAT AS FLOAT)".format("CAST(CAST(value AS FLOAT) AS VARCHAR)")
+
+
+@_register(f"WITH {Q.EV} SELECT event_id, event_id % 11 = 5 AS malformed, CASE WHEN event_id % 11 <> 5 THEN {_SINGLE} ELSE 0 END AS amount, CASE WHEN event_id % 11 <> 5 THEN event_id % 12 + 1 ELSE 0 END AS installments, event_id % 11 <> 5 AND seen AS is_known, CASE WHEN event_id % 11 <> 5 THEN coalesce(last_sec, -1) ELSE -1 END AS last_sec, CASE WHEN event_id % 11 <> 5 THEN CAST(k * 10 AS FLOAT) ELSE 0 END AS km_from_home FROM hist")
+def lenient_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests without commas, with unknown members, or in another order, by the lenient reader."""
+    part = lambda name: F.concat(F.lit(f'"{name}":'), F.coalesce(F.get_json_object("body", f"$.{name}"), F.lit("null")))
+    shuffled = F.concat(F.lit("{"), *[part(n) for n in ("terminal", "last_transaction", "merchant", "customer", "transaction")], F.lit("} and more"))
+    extra = F.regexp_replace("body", "^[{]", '{"extra":{"a":[1,{"b":"x"}]},"note":"n,}",')
+    odd = F.when(F.col("event_id") % 3 == 0, F.replace("body", F.lit(',"'), F.lit(' "'))).when(F.col("event_id") % 3 == 1, extra).otherwise(shuffled)
+    rows = _bodies(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 11 == 5, F.col("body")).otherwise(odd).alias("body"))
+    flat = requests.flatten_payload(lenient.parse_lenient(rows))
+    return flat.select("event_id", "malformed", "amount", "installments", "is_known", F.coalesce("last_sec", F.lit(-1)).alias("last_sec"), "km_from_home")
+
+
+_ARRAY_SQL = "SELECT vec_id, 14 AS n, embedding[1] AS first, embedding[14] AS last, CAST(label % 2 AS INTEGER) AS is_fraud FROM embeddings WHERE vec_id % 7 <> 0"
+
+
+def _vector_array(spark: SparkSession, sf_dir: str, compression: str) -> DataFrame:
+    """The embeddings written as JSON arrays and read back by byte ranges; those without a label are left out."""
+    label = F.when(F.col("label") % 2 == 1, "fraud").otherwise("legit")
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 7 != 0, label).alias("label"), F.lit('a }] "b" \\').alias("note"), F.col("embedding").alias("vector"))
+    path = f"{shared_dir(spark)}/array-{uuid.uuid4().hex}"
+    json_array.write_json_array(rows, path, compression)
+    found = json_array.read_json_array(spark, path, T.StructType([T.StructField("vec_id", T.LongType()), *requests.VECTORS]))
+    kept = found.where(F.col("vector").isNotNull() & F.col("label").isNotNull()).select("vec_id", S.pad_truncate(F.col("vector")).alias("v"), S.label_encode(F.col("label")).alias("is_fraud"))
+    return kept.select("vec_id", F.size("v").alias("n"), F.get("v", 0).alias("first"), F.get("v", 13).alias("last"), "is_fraud")
+
+
+@_register(_ARRAY_SQL)
+def json_array_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vector_array(spark, sf_dir, "none")
+
+
+@_register(_ARRAY_SQL)
+def json_array_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vector_array(spark, sf_dir, "gzip")
+
+
+@_register("SELECT event_id // 16 AS conn, row_number() OVER (PARTITION BY event_id // 16 ORDER BY event_id) - 1 AS turn, CASE WHEN event_id % 5 = 2 THEN 'ready' WHEN event_id % 5 = 4 THEN 'other' ELSE 'score' END AS route, CASE WHEN event_id % 5 NOT IN (2, 4) THEN props END AS body FROM events")
+def pipelined_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen requests to a connection, cut into chunks of 37 bytes of which every other one comes late, put together by a stream that is started twice."""
+    post = F.concat(F.lit("POST /fraud-score HTTP/1.1\r\nContent-Length:  "), F.octet_length("props").cast("string"), F.lit("\r\n\r\n"), F.col("props"))
+    text = F.when(F.col("event_id") % 5 == 2, "GET /ready HTTP/1.1\r\n\r\n").when(F.col("event_id") % 5 == 4, "PUT /x HTTP/1.1\r\n\r\n").otherwise(post)
+    sent = _table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 16).alias("conn"), F.struct("event_id", text.alias("text")).alias("request"))
+    whole = sent.groupBy("conn").agg(F.array_join(F.transform(F.array_sort(F.collect_list("request")), lambda r: r["text"]), "").cast("binary").alias("bytes"))
+    chunks = whole.select("conn", "bytes", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("bytes") - 1) / 37).cast("int"))).alias("seq"))
+    chunks = chunks.select("conn", F.col("seq").cast("long").alias("seq"), F.substring("bytes", F.col("seq") * 37 + 1, F.lit(37)).alias("chunk"))
+    return stream.run_in_steps([chunks.where("seq % 2 = 1"), chunks.where("seq % 2 = 0")], connections.reassembled, f"{shared_dir(spark)}/connections-{uuid.uuid4().hex}")
+
+
 # ---------------------------------------------------------------- features
 
 
@@ -254,33 +345,43 @@ def tx_count_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.user_history(features.event_base(_table(spark, sf_dir, "events"))).select("event_id", F.col("tx_count_24h").alias("n"))
 
 
+def _jitter(i: int) -> str:
+    return f"least(greatest(q{i} + CAST('0x' || substr(md5('jitter:{i}:' || vec_id), 1, 15) AS BIGINT) % 401 - 200, -10000), 10000)"
+
+
+@_register(f"WITH {Q.EV} SELECT vec_id, {', '.join(f'CAST({_jitter(i)} AS INTEGER) AS q{i}' for i in range(DIMS))} FROM ev WHERE vec_id % 20 = 0")
+def synthetic_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries beside the query events, by a hash instead of a generator's state."""
+    return features.jittered(_queries_of(_events(spark, sf_dir)), DIMS, 200).select("vec_id", *_items(F.col("q"), DIMS))
+
+
 # ---------------------------------------------------------------- index build
 
 
 @_register(f"WITH {Q.ASSIGNED} SELECT vec_id, cluster_id, cdist FROM assigned")
 def assign_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _Index(spark, sf_dir).members.select("vec_id", "cluster_id", "cdist")
+    return _Index(spark, sf_dir).assigned.select("vec_id", "cluster_id", "cdist")
 
 
 @_register(f"WITH {Q.ASSIGNED} SELECT cluster_id, count(*) AS n FROM assigned GROUP BY cluster_id")
 def cluster_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _Index(spark, sf_dir).members.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    return _Index(spark, sf_dir).assigned.groupBy("cluster_id").agg(F.count("*").alias("n"))
 
 
 @_register(f"WITH {Q.ASSIGNED} SELECT cluster_id, {', '.join(f'min(q{i}) AS lo{i}, max(q{i}) AS hi{i}' for i in range(DIMS))} FROM assigned GROUP BY cluster_id")
 def cluster_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = ivf.cluster_table(_Index(spark, sf_dir).members, DIMS)
+    boxes = ivf.cluster_table(_Index(spark, sf_dir).assigned, DIMS)
     return boxes.select("cluster_id", *[F.get(c, i).alias(f"{n}{i}") for c, n in (("bbox_min", "lo"), ("bbox_max", "hi")) for i in range(DIMS)])
 
 
 @_register(f"WITH {Q.ASSIGNED} SELECT cluster_id, {', '.join(f'CAST(floor(sum(q{i}) / count(*)) AS INTEGER) AS q{i}' for i in range(DIMS))} FROM assigned GROUP BY cluster_id")
 def lloyd_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.lloyd_step(_Index(spark, sf_dir).members, DIMS).select("cluster_id", *_items(F.col("q"), DIMS))
+    return clustering.lloyd_step(_Index(spark, sf_dir).assigned, DIMS).select("cluster_id", *_items(F.col("q"), DIMS))
 
 
 @_register(f"WITH {Q.ASSIGNED} SELECT count(*) AS n, CAST(sum(cdist) AS BIGINT) AS total, sum(cdist) / count(*) AS mean FROM assigned")
 def kmeans_sse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.sse(_Index(spark, sf_dir).members)
+    return clustering.sse(_Index(spark, sf_dir).assigned)
 
 
 @_register(f"WITH {Q.EV}, c AS (SELECT * FROM ev WHERE vec_id IN (0, {Q.CENTROID_STEP}, {2 * Q.CENTROID_STEP})) SELECT ev.vec_id, min({Q.distance('ev', 'c')}) AS min_dist FROM ev, c GROUP BY ev.vec_id")
@@ -293,7 +394,7 @@ def min_distance_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(f"WITH {Q.ASSIGNED}, s AS (SELECT vec_id, cdist, sum(cdist) OVER (ORDER BY vec_id) AS running, sum(cdist) OVER () AS total FROM assigned) SELECT vec_id, cdist AS weight, CAST(running AS BIGINT) AS running FROM s WHERE running >= 0.375 * total ORDER BY vec_id LIMIT 1")
 def weighted_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.weighted_pick(_Index(spark, sf_dir).members, 0.375, "cdist")
+    return clustering.weighted_pick(_Index(spark, sf_dir).assigned, 0.375, "cdist")
 
 
 @_register(f"WITH {Q.ASSIGNED}, sizes AS (SELECT cluster_id, count(*) AS n FROM assigned GROUP BY cluster_id) SELECT cluster_id, n, CAST(ceil(n / 8) AS BIGINT) AS n_blocks, CAST(coalesce(sum(ceil(n / 8)) OVER (ORDER BY cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS block_offset FROM sizes")
@@ -301,17 +402,72 @@ def block_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _Index(spark, sf_dir).clusters.select("cluster_id", "n", "n_blocks", "block_offset")
 
 
+_HASH = "CAST('0x' || substr(md5('{0}:' || vec_id), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496"
+_SAMPLED = 777
+
+
+@_register(f"SELECT event_id AS vec_id FROM (SELECT event_id, event_id AS vec_id FROM events) ORDER BY {_HASH.format('sample')}, vec_id LIMIT {_SAMPLED}")
+def sample_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.sample_exact(_table(spark, sf_dir, "events").select(F.col("event_id").alias("vec_id")), _SAMPLED)
+
+
+@_register(f"SELECT vec_id FROM (SELECT event_id AS vec_id, value FROM events) WHERE value > 0 ORDER BY -ln(greatest({_HASH.format('heavy')}, pow(2, -53))) / value, vec_id LIMIT {_SAMPLED}")
+def sample_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of exactly so many events, in which one of twice the value is about twice as likely."""
+    return clustering.sample_exact(_table(spark, sf_dir, "events").select(F.col("event_id").alias("vec_id"), "value"), _SAMPLED, "heavy", "value").select("vec_id")
+
+
+_PER_ROUND, _SEED_ROUNDS = 24, 3
+
+
+def _seeding_sql() -> str:
+    parts = [f"c0 AS MATERIALIZED (SELECT * FROM ev ORDER BY {_HASH.format('seeds')}, vec_id LIMIT 1)"]
+    for k in range(_SEED_ROUNDS + 1):
+        parts.append(f"n{k} AS MATERIALIZED (SELECT ev.vec_id, min({Q.distance('ev', f'c{k}')}) AS d FROM ev, c{k} GROUP BY ev.vec_id), s{k} AS MATERIALIZED (SELECT CAST(sum(d) AS BIGINT) AS cost FROM n{k})")
+        parts.append(f"c{k + 1} AS MATERIALIZED (SELECT * FROM c{k} UNION ALL SELECT ev.* FROM n{k} JOIN ev ON ev.vec_id = n{k}.vec_id, s{k} WHERE {_HASH.format(f'seeds:{k}').replace('vec_id', 'ev.vec_id')} * cost::DOUBLE < {_PER_ROUND}::DOUBLE * d)")
+    return f"WITH {Q.EV}, " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT {k} AS round, (SELECT count(*) FROM c{k}) AS n_centres, cost FROM s{k}" for k in range(_SEED_ROUNDS + 1))
+
+
+@_register(_seeding_sql())
+def parallel_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centres and cost of each round of k-means||."""
+    vectors = write_table(_events(spark, sf_dir), "vectors")
+    log = clustering.parallel_seeds(vectors, _PER_ROUND, _SEED_ROUNDS)[1]
+    return spark.createDataFrame(log, "round int, n_centres long, cost long")
+
+
+_LLOYD_ROUNDS = 3
+
+
+def _lloyd_sql() -> str:
+    parts = [f"c0 AS MATERIALIZED (SELECT cluster_id, {Q.Q_LIST} FROM c)"]
+    for k in range(_LLOYD_ROUNDS):
+        d = Q.distance("ev", f"c{k}")
+        parts.append(f"a{k} AS MATERIALIZED (SELECT ev.*, cluster_id, {d} AS cdist FROM ev, c{k} QUALIFY row_number() OVER (PARTITION BY ev.vec_id ORDER BY {d}, cluster_id) = 1)")
+        means = ", ".join(f"CAST(floor(sum(q{i}) / count(*)) AS INTEGER) AS q{i}" for i in range(DIMS))
+        parts.append(f"c{k + 1} AS MATERIALIZED (SELECT cluster_id, {means} FROM a{k} GROUP BY cluster_id)")
+    return f"WITH {Q.ASSIGNED}, " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT {k} AS round, CAST(sum(cdist) AS BIGINT) AS error FROM a{k}" for k in range(_LLOYD_ROUNDS))
+
+
+@_register(_lloyd_sql())
+def lloyd_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error of each round of Lloyd's algorithm from the fixed centroids."""
+    vectors = write_table(_events(spark, sf_dir), "vectors")
+    log = clustering.lloyd_rounds(vectors, _centroids(vectors), DIMS, _LLOYD_ROUNDS)[1]
+    return spark.createDataFrame(log, "round int, error long")
+
+
 _LAYOUT = f"WITH {Q.ASSIGNED}, l AS (SELECT vec_id, cluster_id, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY cdist, vec_id) - 1 AS INTEGER) AS pos FROM assigned) "
 
 
 @_register(_LAYOUT + "SELECT vec_id, cluster_id, CAST(pos // 8 AS INTEGER) AS block, CAST(pos % 8 AS INTEGER) AS lane FROM l")
 def block_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ivf.member_layout(_Index(spark, sf_dir).members).select("vec_id", "cluster_id", "block", "lane")
+    return ivf.member_layout(_Index(spark, sf_dir).assigned).select("vec_id", "cluster_id", "block", "lane")
 
 
 @_register(_LAYOUT + "SELECT vec_id, cluster_id, pos FROM l")
 def cluster_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ivf.member_layout(_Index(spark, sf_dir).members).select("vec_id", "cluster_id", "pos")
+    return ivf.member_layout(_Index(spark, sf_dir).assigned).select("vec_id", "cluster_id", "pos")
 
 
 @_register(f"WITH {Q.ASSIGNED} SELECT cluster_id FROM c WHERE cluster_id IN (SELECT cluster_id FROM assigned)")
@@ -337,7 +493,7 @@ def topk_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def probe_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _Index(spark, sf_dir)
     wanted = ivf.probes(index.pairs, 2).select("query_id", "q", "cluster_id")
-    return ivf.scan(wanted, index.members, DIMS).select("query_id", "vec_id", "dist")
+    return ivf.scan(wanted, index.assigned, DIMS).select("query_id", "vec_id", "dist")
 
 
 _EXACT = f"WITH {Q.NEAR} SELECT query_id, vec_id, dist, label, rank FROM nn"
@@ -358,7 +514,7 @@ def knn_exact_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register(_EXACT)
 def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _Index(spark, sf_dir)
-    return ivf.search_exact(x.queries, x.members, x.centroids, x.clusters, DIMS)
+    return ivf.search_exact(x.queries, x.pages, x.tree, DIMS)
 
 
 @_register(f"WITH {Q.PAIRS} SELECT query_id, cluster_id, lb FROM pairs")
@@ -366,27 +522,27 @@ def bbox_lower_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _Index(spark, sf_dir).pairs.select("query_id", "cluster_id", "lb")
 
 
-def _first_near(index: _Index) -> DataFrame:
-    """The neighbours of each query in its nearest cluster."""
-    first = write_table(ivf.nearest_cluster(index.pairs).select("query_id", "q", "cluster_id"), "first-probe")
-    return knn.rank_neighbours(ivf.scan_best(first, index.members, S.TOP_K), S.TOP_K)
-
-
-def _bounds(index: _Index) -> DataFrame:
-    return ivf.kth_distance(_first_near(index))
-
-
 @_register(f"WITH {Q.FIRST} SELECT pairs.query_id, count(*) FILTER (lb >= worst) AS pruned, count(*) FILTER (lb < worst) AS kept FROM pairs JOIN bound ON pairs.query_id = bound.query_id WHERE worst IS NOT NULL GROUP BY pairs.query_id")
 def bbox_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = _Index(spark, sf_dir)
-    both = index.pairs.join(_bounds(index).where("worst IS NOT NULL"), "query_id")
-    return both.groupBy("query_id").agg(F.count_if(F.col("lb") >= F.col("worst")).alias("pruned"), F.count_if(F.col("lb") < F.col("worst")).alias("kept"))
+    x = _Index(spark, sf_dir)
+    kept = boxtree.walk_within(x.bounded.withColumn("done", F.lit(None).cast("int")), x.tree).groupBy("query_id").agg(F.count("*").alias("kept"))
+    every = x.bounded.select("query_id").join(kept, "query_id", "left")
+    return every.select("query_id", (F.lit(len(x.tree.names)) - F.coalesce("kept", F.lit(0))).alias("pruned"), F.coalesce("kept", F.lit(0)).cast("long").alias("kept"))
 
 
-@_register(f"WITH {Q.FIRST} SELECT pairs.query_id, cluster_id, lb FROM pairs JOIN bound ON pairs.query_id = bound.query_id AND lb < worst")
+@_register(f"WITH {Q.BOUND} SELECT p.query_id, cluster_id, lb FROM pairs p JOIN bound b ON p.query_id = b.query_id WHERE lb < worst")
 def bbox_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = _Index(spark, sf_dir)
-    return index.pairs.join(_bounds(index), "query_id").where("lb < worst").select("query_id", "cluster_id", "lb")
+    x = _Index(spark, sf_dir)
+    return boxtree.walk_within(x.bounded.withColumn("done", F.lit(None).cast("int")), x.tree).select("query_id", "cluster_id", "lb")
+
+
+@_register(f"WITH {Q.BOUND} SELECT count(DISTINCT p.query_id) AS n_queries, count(*) AS n_pairs, count(*) FILTER (lb < worst) AS n_formed, true AS saves FROM pairs p JOIN bound b ON p.query_id = b.query_id WHERE worst IS NOT NULL")
+def bbox_rows_formed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs of a query and a cluster there are, and how many of them the walk makes a row of; it tests fewer boxes than there are pairs and groups."""
+    x = _Index(spark, sf_dir)
+    found = boxtree.walk_counts(x.bounded, x.tree)
+    most = F.col("n_pairs") + F.col("n_queries") * len(x.tree.first)
+    return found.select("n_queries", "n_pairs", "n_formed", (F.col("n_tested") < most).alias("saves"))
 
 
 _NEARER = 40_000_000
@@ -396,28 +552,49 @@ _NEARER = 40_000_000
 def partial_distance_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All members nearer than a threshold, by boxes and products; a digest of them for each query."""
     x = _Index(spark, sf_dir)
-    near = ivf.range_search(x.queries, x.members, x.centroids, x.clusters, DIMS, _NEARER)
+    near = ivf.range_search(x.queries, x.pages, x.tree, DIMS, _NEARER)
     return near.groupBy("query_id").agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids"), F.sum("dist").alias("dist"))
 
 
-@_register(f"WITH {Q.FIRST} SELECT t.query_id, a.vec_id, {Q.distance('x', 'a')} AS dist FROM turns t JOIN bound ON bound.query_id = t.query_id JOIN assigned a ON a.cluster_id = t.cluster_id JOIN ev x ON x.vec_id = t.query_id WHERE turn = 1 AND a.vec_id <> t.query_id AND {Q.distance('x', 'a')} < worst")
+def _beyond_first(x: _Index) -> DataFrame:
+    """The clusters within each query's bound, without its first."""
+    wanted = boxtree.walk_within(x.bounded, x.tree).select("query_id", "q", "cluster_id").join(x.bounded.select("query_id", "bound"), "query_id")
+    return write_table(wanted, "wanted")
+
+
+_WANTED = f"WITH {Q.BOUND}, wanted AS (SELECT t.query_id, t.cluster_id, worst FROM turns t JOIN bound b ON t.query_id = b.query_id WHERE turn > 0 AND lb < worst)"
+
+
+@_register(_WANTED + f" SELECT w.query_id, a.vec_id, {Q.distance('x', 'a')} AS dist FROM wanted w JOIN assigned a ON a.cluster_id = w.cluster_id JOIN ev x ON x.vec_id = w.query_id WHERE a.vec_id <> w.query_id AND {Q.distance('x', 'a')} < worst")
 def partial_sums_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of each query's second cluster that beat its bound, by sums over 6, 10 and all dimensions."""
+    """The members of all clusters within each query's bound that beat it, by blocks of eight lanes that are left after 6, 10 or all dimensions."""
     x = _Index(spark, sf_dir)
-    second = ivf.probes(x.pairs, 2).where("turn = 1").join(_bounds(x), "query_id").select("query_id", "q", "cluster_id", "worst")
-    both = second.join(x.members.select("cluster_id", "vec_id", F.col("q").alias("v")), "cluster_id").where("vec_id <> query_id")
-    return ivf.prune_blocks(both, F.col("worst"), DIMS).select("query_id", "vec_id", S.l2(F.col("q"), F.col("v"), DIMS).alias("dist"))
+    return blocks.prune_pages(_beyond_first(x), x.pages, DIMS).select("query_id", "vec_id", "dist")
+
+
+_LANES = _WANTED + f""", l AS (SELECT *, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY cdist, vec_id) - 1 AS INTEGER) // 8 AS block FROM assigned),
+d AS (SELECT w.query_id, w.cluster_id, block, worst, a.vec_id <> w.query_id AS other, {Q.distance('x', 'a', 6)} AS d6, {Q.distance('x', 'a', 10)} AS d10, {Q.distance('x', 'a')} AS d14
+      FROM wanted w JOIN l a ON a.cluster_id = w.cluster_id JOIN ev x ON x.vec_id = w.query_id),
+b AS (SELECT query_id, any_value(worst) AS worst, min(d6) FILTER (other) AS d6, min(d10) FILTER (other) AS d10, min(d14) FILTER (other) AS d14 FROM d GROUP BY query_id, cluster_id, block)
+SELECT query_id, count(*) AS n_blocks, count(*) FILTER (d6 IS NULL OR d6 >= worst) AS left_0, count(*) FILTER (d6 < worst AND d10 >= worst) AS left_1, count(*) FILTER (d10 < worst AND d14 >= worst) AS left_2 FROM b GROUP BY query_id"""
+
+
+@_register(_LANES)
+def block_prune_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per query, the blocks of the clusters within its bound, and how many of them the scan leaves after 6, 10 and all dimensions."""
+    x = _Index(spark, sf_dir)
+    return blocks.blocks_left(_beyond_first(x), x.pages, DIMS)
 
 
 @_register(f"WITH {Q.PAIRS} SELECT query_id, cluster_id FROM turns WHERE turn >= 33")
 def unprobed_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _Index(spark, sf_dir).pairs
+    pairs = write_table(_Index(spark, sf_dir).pairs.select("query_id", "cluster_id", "turn"), "pairs")
     return pairs.select("query_id", "cluster_id").join(ivf.probes(pairs).select("query_id", "cluster_id"), ["query_id", "cluster_id"], "left_anti")
 
 
 @_register(f"WITH {Q.FIRST} SELECT query_id, n_found, worst FROM bound")
 def kth_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bounds(_Index(spark, sf_dir)).select("query_id", "n_found", "worst")
+    return ivf.kth_distance(_Index(spark, sf_dir).first_near).select("query_id", "n_found", "worst")
 
 
 @_register(f"WITH {Q.NEAR} SELECT query_id, CAST(sum(label) AS INTEGER) AS n FROM nn GROUP BY query_id")
@@ -429,7 +606,7 @@ def fraud_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(f"WITH {Q.FIRST} SELECT query_id, n = 5 AND worst <= {DIMS * ivf.EARLY_PER_DIM} AS exits, n <= 4 AS repairs FROM bound")
 def early_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = write_table(_first_near(_Index(spark, sf_dir)), "first-near")
+    near = _Index(spark, sf_dir).first_near
     found = near.groupBy("query_id").agg(F.sum("label").alias("n")).join(ivf.kth_distance(near), "query_id")
     worst = F.coalesce("worst", F.lit((1 << 63) - 1))
     return found.select("query_id", ((F.col("n") == 5) & (worst <= DIMS * ivf.EARLY_PER_DIM)).alias("exits"), (F.col("n") <= 4).alias("repairs"))
@@ -443,7 +620,7 @@ def repair_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register(f"WITH RECURSIVE {Q.cascade('x.vec_id % 20 = 0', DIMS * ivf.EARLY_PER_DIM)} SELECT query_id, n FROM answers")
 def repair_fast_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _Index(spark, sf_dir)
-    return ivf.search_cascade(x.queries, x.members, x.centroids, x.clusters, DIMS)
+    return ivf.search_cascade(x.queries, x.pages, x.tree, DIMS)
 
 
 @_register(f"WITH {Q.NEAR} SELECT query_id, CAST(sum(label) AS INTEGER) AS n, sum(label) <= 2 AS approved, sum(label) / 5 AS fraud_score FROM nn GROUP BY query_id")
@@ -462,26 +639,25 @@ SELECT query_id, n, n <= 2 AS approved, least(n, 5) / 5 AS fraud_score FROM vote
 def score_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _Index(spark, sf_dir)
     leaves = _leaves(x.vectors, spark).withColumn("safe", F.col("purity_milli") >= Q.SAFE_A)
-    return scoring.score_staged(x.queries, x.members, x.centroids, x.clusters, _tree(spark), leaves).drop("response")
+    return scoring.score_staged(x.queries, x.pages, x.tree, _tree(spark), leaves).drop("response")
 
 
 # ---------------------------------------------------------------- the life of an index
 
 
-def _stored(spark: SparkSession, members: DataFrame, centroids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """An index that was written and opened again: (centroids, clusters, members)."""
-    clusters, placed = ivf.build_index(members, centroids, DIMS)
+def _stored(spark: SparkSession, members: DataFrame, centroids: DataFrame) -> tuple[DataFrame, boxtree.BoxTree]:
+    """An index that was written and opened again: (pages, tree)."""
     path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-    write_index(path, centroids, clusters, placed)
-    return open_index(spark, path)
+    write_index(path, centroids, *ivf.build_index(members, centroids, DIMS))
+    centroids, clusters, pages = open_index(spark, path)
+    return pages, boxtree.box_tree(centroids, clusters)
 
 
 @_register(_EXACT)
 def knn_fitted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit by k-means, write, open, search: exact whatever the clusters are."""
     vectors = write_table(_events(spark, sf_dir), "vectors")
-    centroids, clusters, members = _stored(spark, vectors, clustering.fit_centroids(vectors, 64, DIMS))
-    return ivf.search_exact(_queries_of(vectors), members, centroids, clusters, DIMS)
+    return ivf.search_exact(_queries_of(vectors), *_stored(spark, vectors, clustering.fit_centroids(vectors, 64, DIMS)), DIMS)
 
 
 @_register(_EXACT)
@@ -489,8 +665,7 @@ def knn_seeded_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seed by squared distance, two Lloyd rounds, write, open, search."""
     vectors = write_table(_events(spark, sf_dir), "vectors")
     fitted = clustering.lloyd(vectors, clustering.seed_centroids(vectors, 8), DIMS, 2)
-    centroids, clusters, members = _stored(spark, vectors, fitted)
-    return ivf.search_exact(_queries_of(vectors), members, centroids, clusters, DIMS)
+    return ivf.search_exact(_queries_of(vectors), *_stored(spark, vectors, fitted), DIMS)
 
 
 # ---------------------------------------------------------------- tree
@@ -505,9 +680,34 @@ def _leaves(vectors: DataFrame, spark: SparkSession) -> DataFrame:
     return tree.leaf_statistics(placed.select("leaf_id", (F.col("label") * 5).alias("n"), (F.col("vec_id") % 256).cast("int").alias("part")))
 
 
-@_register("SELECT * FROM (VALUES " + ", ".join(map(str, Q.tree_rows())) + ") AS t(node_id, feat, thr, \"left\", \"right\")")
+_SPLITS, _DEPTH = 511, 26
+
+
+def _deep_sql() -> str:
+    """Common tables up to nodes: the uneven tree whose thresholds are quantiles of the events."""
+    shape = ", ".join(f"({i}, {(5 * i + 3) % DIMS}, {37 * i % 97}, {a}, {b})" for i, (a, b) in enumerate(tree.uneven_shape(_SPLITS, _DEPTH)))
+    each = " UNION ALL ".join(f"SELECT {i} AS feat, q{i} AS x FROM ev" for i in range(DIMS))
+    return f"""{Q.EV},
+shape(node_id, feat, part, "left", "right") AS (VALUES {shape}),
+upto AS MATERIALIZED (SELECT feat, x, sum(count(*)) OVER (PARTITION BY feat ORDER BY x) AS upto, sum(count(*)) OVER (PARTITION BY feat) AS total FROM ({each}) GROUP BY feat, x),
+nodes AS MATERIALIZED (
+    SELECT node_id, s.feat, min(x) AS thr, any_value("left") AS "left", any_value("right") AS "right"
+    FROM shape s JOIN upto u ON u.feat = s.feat WHERE upto * 97 >= greatest(part * total, 1) GROUP BY node_id, s.feat)"""
+
+
+@_register(f"WITH {_deep_sql()} SELECT * FROM nodes")
 def tree_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tree(spark)
+    """A tree of 511 splits and depth 26 whose thresholds come from the events."""
+    return tree.quantile_tree(_events(spark, sf_dir), DIMS, _SPLITS, _DEPTH).select("node_id", "feat", "thr", "left", "right")
+
+
+@_register(f"""WITH RECURSIVE {_deep_sql()},
+walk AS (SELECT vec_id, [{Q.Q_LIST}] AS q, 0 AS node FROM ev
+         UNION ALL SELECT vec_id, q, CASE WHEN q[feat + 1] <= thr THEN "left" ELSE "right" END FROM walk JOIN nodes ON node_id = node WHERE node >= 0)
+SELECT vec_id, CAST(-1 - node AS INTEGER) AS leaf_id FROM walk WHERE node < 0""")
+def tree_predict_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = write_table(_events(spark, sf_dir), "vectors")
+    return tree.predict(vectors, tree.quantile_tree(vectors, DIMS, _SPLITS, _DEPTH)).select("vec_id", "leaf_id")
 
 
 @_register(f"WITH {Q.EV} SELECT vec_id, {Q.LEAF} AS leaf_id FROM ev")
@@ -543,15 +743,23 @@ def safe_leaf_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- calibration
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(entries, leaves): the query events scored by neighbours, with their leaf; the leaf table."""
+def _scored(spark: SparkSession, sf_dir: str, observation: Observation | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entries, leaves): the query events scored by neighbours, with their leaf; the leaf table. An observation sees the scores as they are written."""
     vectors = write_table(_events(spark, sf_dir), "vectors")
     entries = _queries_of(vectors)
     leaves = write_table(_leaves(vectors, spark), "leaves")
     n = knn.vote(knn.knn_exact(entries, vectors), entries)
     placed = tree.leaf_lookup(tree.predict(entries, _tree(spark)), leaves.select("leaf_id", F.col("count").alias("tree_n"), "purity_milli"))
     rows = placed.join(n, placed["vec_id"] == n["query_id"]).select("query_id", "leaf_id", "n", "tree_n", "purity_milli", (F.col("label") == 0).alias("expected_approved"))
-    return write_table(rows, "scored"), leaves
+    return write_table(rows if observation is None else calibrate.observed(rows, observation, Q.SAFE_A), "scored"), leaves
+
+
+@_register(f"WITH {Q.SCORED} SELECT count(*) AS n_all, count(*) FILTER (purity_milli >= {Q.SAFE_A}) AS n_pure, count(*) FILTER (tree_n = n) AS n_agree, count(*) FILTER (n > 2 AND NOT expected_approved) AS tp, count(*) FILTER (n <= 2 AND expected_approved) AS tn, count(*) FILTER (n > 2 AND expected_approved) AS fp, count(*) FILTER (n <= 2 AND NOT expected_approved) AS fn FROM scored")
+def observed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage and confusion, gathered in the scoring pass itself, without a job of their own."""
+    seen = Observation("scoring")
+    _scored(spark, sf_dir, seen)
+    return spark.createDataFrame([seen.get], ", ".join(f"{c} long" for c in ("n_all", "n_pure", "n_agree", "tp", "tn", "fp", "fn")))
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -627,10 +835,11 @@ def union_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate.union_safe(_shipped(leaves, Q.SAFE_A), calibrate.safe_leaves(judged))
 
 
-@_register(f"WITH {Q.JUDGED}, {_SHIP_A} SELECT leaf_id FROM found EXCEPT SELECT leaf_id FROM a")
+@_register(f"WITH {Q.JUDGED} SELECT leaf_id FROM judged WHERE reason IS NULL EXCEPT SELECT leaf_id FROM leaves WHERE purity_milli >= {Q.SAFE_B} AND purity_milli < 1000")
 def added_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Safe leaves that a table of nearly pure leaves, shipped before, does not have."""
     judged, leaves = _judged(spark, sf_dir)
-    return calibrate.added_safe(_shipped(leaves, Q.SAFE_A), calibrate.safe_leaves(judged))
+    return calibrate.added_safe(_shipped(leaves.where("purity_milli < 1000"), Q.SAFE_B), calibrate.safe_leaves(judged))
 
 
 @_register(f"WITH {Q.JUDGED}, {_SHIP_A} SELECT leaf_id FROM a INTERSECT SELECT leaf_id FROM b")
@@ -647,20 +856,45 @@ def emit_safe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- streaming
 
 
+def _streamed(spark: SparkSession, rows: DataFrame, make: Callable[[DataFrame], DataFrame], ended: bool = True) -> DataFrame:
+    """What a stream over rows, in three steps of time, has written to its sink; it is started again from its checkpoint for each step."""
+    return stream.run_in_steps(stream.in_time_steps(write_table(rows, "stream-source"), 3, ended), make, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}")
+
+
 @_register("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The batch form of the daily windows; the tests hold the stream's result against it."""
-    from riskloom.streaming.scoring_stream import window_counts
+    return _streamed(spark, _table(spark, sf_dir, "events"), stream.window_counts)
+
+
+@_register("SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') - INTERVAL '6 hours' * s.i AS start, event_type, count(*) AS n FROM events, range(4) s(i) GROUP BY ALL")
+def stream_sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, _table(spark, sf_dir, "events"), stream.sliding_counts)
+
+
+@_register("""WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w > INTERVAL '12 hours', true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM g)
+SELECT user_id, min(ts)::TIMESTAMP AS start, (max(ts) + INTERVAL '12 hours')::TIMESTAMP AS "end", count(*) AS n FROM s GROUP BY user_id, run""")
+def stream_session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, _table(spark, sf_dir, "events"), stream.session_counts).where("user_id IS NOT NULL")
+
 
-    return window_counts(_table(spark, sf_dir, "events"))
+@_register(f"WITH {Q.EV} SELECT event_id, user_id, n24 AS tx_count_24h, coalesce(last_sec, -1) AS last_sec, coalesce(CAST(last_k AS INTEGER), -1) AS last_k FROM hist")
+def stream_user_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The past of each event's user, as the state of a stream that is started three times knows it."""
+    found = _streamed(spark, features.event_base(_table(spark, sf_dir, "events")), user_state, False)
+    return found.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("last_sec", "last_k")})
 
 
 @_register(f"WITH {Q.NEAR_5411} SELECT event_id AS query_id, CASE WHEN event_id % 11 = 5 THEN 0 ELSE coalesce(n, 0) END AS n FROM e LEFT JOIN votes ON e.event_id = votes.query_id")
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The batch form of request scoring, malformed requests included; the tests hold the stream's result against it."""
+    """Requests, malformed ones included, scored as a stream against the static members; it stops half way and goes on from its checkpoint."""
     vectors = write_table(_events(spark, sf_dir), "vectors")
-    bodies = _bodies(spark, sf_dir).where("event_id % 20 = 0")
-    return scoring.score_requests(bodies, "event_id", vectors).select("query_id", "n")
+    bodies, folder = _bodies(spark, sf_dir).where("event_id % 20 = 0"), f"{shared_dir(spark)}/scores-{uuid.uuid4().hex}"
+    for half in (bodies.where("event_id % 40 = 0"), bodies.where("event_id % 40 = 20")):
+        half.write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(bodies.schema).parquet(f"{folder}/in")
+        stream.score_stream(source, vectors, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out").select("query_id", "n")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,8 +23,8 @@ def code(x: str) -> str:
     return f"CAST(CASE WHEN {scaled} >= 0 THEN floor({scaled} + 0.5) ELSE ceil({scaled} - 0.5) END AS INTEGER)"
 
 
-def distance(a: str, b: str) -> str:
-    return "CAST(" + " + ".join(f"({a}.q{i}::BIGINT - {b}.q{i}) * ({a}.q{i}::BIGINT - {b}.q{i})" for i in range(DIMS)) + " AS BIGINT)"
+def distance(a: str, b: str, dims: int = DIMS) -> str:
+    return "CAST(" + " + ".join(f"({a}.q{i}::BIGINT - {b}.q{i}) * ({a}.q{i}::BIGINT - {b}.q{i})" for i in range(dims)) + " AS BIGINT)"
 
 
 def wide_distance(a: str, b: str) -> str:
@@ -88,6 +88,12 @@ near1 AS MATERIALIZED (
     QUALIFY row_number() OVER (PARTITION BY t.query_id ORDER BY {distance("x", "a")}, a.vec_id) <= 5),
 bound AS MATERIALIZED (SELECT query_id, count(*) AS n_found, CASE WHEN count(*) >= 5 THEN max(dist) END AS worst, sum(label) AS n FROM near1 GROUP BY query_id)"""
 
+#: The bound alone, as an aggregate of the first cluster's distances.
+BOUND = f"""{PAIRS},
+bound AS MATERIALIZED (
+    SELECT t.query_id, CASE WHEN count(*) >= 5 THEN min({distance("x", "a")}, 5)[5] END AS worst
+    FROM turns t JOIN assigned a ON a.cluster_id = t.cluster_id JOIN ev x ON x.vec_id = t.query_id WHERE turn = 0 AND a.vec_id <> t.query_id GROUP BY t.query_id)"""
+
 
 def _near(vectors: str, queries: str, d: str) -> str:
     return f"""cand AS (SELECT x.vec_id AS query_id, y.vec_id, {d} AS dist, y.label FROM {vectors} x JOIN {vectors} y ON x.vec_id <> y.vec_id WHERE {queries}),

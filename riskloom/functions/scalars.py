@@ -89,6 +89,11 @@ def l2(q: Column, v: Column, dims: int = DIMS) -> Column:
     return F.aggregate(F.zip_with(q, v, lambda a, b: (a.cast("long") - b) * (a.cast("long") - b)), F.lit(0).cast("long"), lambda s, x: s + x)
 
 
+def l2_single(a: Column, b: Column) -> Column:
+    """The squared distance of two float arrays in single precision, added up dimension by dimension."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), f32(0), lambda s, x: s + x)
+
+
 def bbox_lower_bound(q: Column, low: Column, high: Column, dims: int = DIMS) -> Column:
     """The least squared distance of q to any point of the box low..high."""
     out = None

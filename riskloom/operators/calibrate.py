@@ -6,7 +6,7 @@ are aggregations by leaf, so they are as small as the tree.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import approved
@@ -20,6 +20,21 @@ def confusion(scored: DataFrame, n: str = "n") -> DataFrame:
     return scored.agg(F.count_if(~ok & ~want).alias("tp"), F.count_if(ok & want).alias("tn"), F.count_if(~ok & want).alias("fp"), F.count_if(ok & ~want).alias("fn"))
 
 
+def observed(scored: DataFrame, observation: Observation, pure: int, n: str = "n") -> DataFrame:
+    """scored, which fills the observation when it is written: entries, those in leaves of ``pure`` thousandths or more, those whose leaf agrees, and the confusion."""
+    ok, want = approved(F.col(n)), F.col("expected_approved")
+    return scored.observe(
+        observation,
+        F.count(F.lit(1)).alias("n_all"),
+        F.count_if(F.col("purity_milli") >= pure).alias("n_pure"),
+        F.count_if(F.col("tree_n") == F.col(n)).alias("n_agree"),
+        F.count_if(~ok & ~want).alias("tp"),
+        F.count_if(ok & want).alias("tn"),
+        F.count_if(~ok & want).alias("fp"),
+        F.count_if(ok & ~want).alias("fn"),
+    )
+
+
 def leaf_counts(scored: DataFrame) -> DataFrame:
     return scored.groupBy("leaf_id").agg(F.count("*").alias("n_obs"))
 

@@ -10,10 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.operators.knn import _matrix
+from riskloom.sources.shared import write_table
 
 MAX_CENTROIDS = 65536
 
@@ -104,37 +105,131 @@ def weighted_pick(weighted: DataFrame, share: float, weight: str = "min_dist", b
     return inside.select("vec_id", F.col(weight).alias("weight"), total.alias("running")).where(F.col("running") >= target).orderBy("vec_id").limit(1)
 
 
-def lloyd(members: DataFrame, centroids: DataFrame, dims: int, iterations: int = 15) -> DataFrame:
-    """(cluster_id, q): centroids after so many rounds of assignment and means.
+def unit_hash(seed: str) -> Column:
+    """A number from 0 to 1 of each vec_id, the same on any cluster: 52 bits of an MD5."""
+    text = F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def least_rows(rows: DataFrame, key: str, n: int, most: int = 1 << 16) -> DataFrame:
+    """The n rows with the least (key, vec_id), without a shuffle of rows: the range that holds the n-th is cut until it has ``most`` rows at most.
 
-    A cluster that lost all its members is seeded again with one of the members farthest from their centroids.
+    key is a double. Rows that are equal in both are taken or left together.
+    """
+    low = high = None
+    skip, inside = 0, rows
+    while True:
+        span = inside.agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).first()
+        if span["n"] + skip <= n:
+            return rows if high is None else rows.where(F.col(key) <= high)
+        low, high = span["low"], span["high"]
+        if span["n"] <= most or low == high:
+            break
+        part = F.least(F.floor((F.col(key) - low) / (high - low) * 4096), F.lit(4095)).alias("part")
+        for r in inside.groupBy(part).agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).orderBy("part").collect():  # 4096 rows at most
+            if skip + r["n"] >= n:
+                break
+            skip += r["n"]
+        if (r["low"], r["high"]) == (low, high):
+            break
+        low, high = r["low"], r["high"]
+        inside = rows.where(F.col(key).between(low, high))
+    if n <= skip:
+        return rows.where(F.col(key) < low)
+    last = inside.select(key, "vec_id").orderBy(key, "vec_id").limit(n - skip).agg(F.max(F.struct(key, "vec_id")).alias("last")).first()["last"]
+    return rows.where((F.col(key) < last[0]) | ((F.col(key) == last[0]) & (F.col("vec_id") <= last[1])))
+
+
+def sample_exact(members: DataFrame, n: int, seed: str = "sample", weight: str | None = None) -> DataFrame:
+    """Exactly n members (or all, if fewer), the same for the same seed; with a weight, each with a chance that grows with it (exponential keys: the least of -ln(u) / weight)."""
+    u = unit_hash(seed)
+    key = u if weight is None else F.when(F.col(weight) > 0, -F.log(F.greatest(u, F.lit(2.0**-53))) / F.col(weight))
+    keyed = members.withColumn("_key", key.cast("double"))
+    return least_rows(keyed.where("_key IS NOT NULL"), "_key", n).drop("_key")
+
+
+def parallel_seeds(members: DataFrame, per_round: int, rounds: int = 4, seed: str = "seeds") -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """k-means||: (candidates (cluster_id, q), [(round, number of centres, cost)]).
+
+    It starts with the member of least hash; each round costs one pass and takes every member with a chance of ``per_round`` times its share of
+    the cost, all at once. Candidates are about rounds * per_round, and MAX_CENTROIDS at most.
     """
     spark = members.sparkSession
-    rows = {r["cluster_id"]: list(r["q"]) for r in centroids.limit(MAX_CENTROIDS).collect()}
-    for _ in range(iterations):
+    first = least_rows(members.withColumn("_key", unit_hash(seed)), "_key", 1).select("q").limit(1).collect()
+    centres, log = [list(r["q"]) for r in first], []
+    for k in range(rounds + 1):
+        if not centres:
+            break
+        near = assign_nearest(members, spark.createDataFrame(list(enumerate(centres)), "cluster_id int, q array<int>"))
+        cost = near.agg(F.sum("cdist")).first()[0]
+        log.append((k, len(centres), int(cost)))
+        if k == rounds or not cost:
+            break
+        chosen = near.where(unit_hash(f"{seed}:{k}") * F.lit(float(cost)) < F.lit(float(per_round)) * F.col("cdist"))
+        centres += [list(r["q"]) for r in chosen.select("q").orderBy("vec_id").limit(MAX_CENTROIDS - len(centres) + 1).collect()]
+        if len(centres) > MAX_CENTROIDS:
+            raise ValueError(f"more than {MAX_CENTROIDS} centroids")
+    return spark.createDataFrame(list(enumerate(centres)), "cluster_id int, q array<int>"), log
+
+
+def reclustered(candidates: np.ndarray, weights: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarray:
+    """k centres of weighted candidates, a bounded table: k-means++ seeding and Lloyd rounds with weights."""
+    rng, far = np.random.default_rng(seed), np.full(len(candidates), np.inf)
+    picked = [int(rng.choice(len(candidates), p=weights / weights.sum()))]
+    while len(picked) < k:
+        far = np.minimum(far, ((candidates - candidates[picked[-1]]) ** 2).sum(axis=1))
+        share = weights * far
+        if not share.sum():
+            break
+        picked.append(int(rng.choice(len(candidates), p=share / share.sum())))
+    centres = candidates[picked]
+    for _ in range(rounds):
+        d = (candidates * candidates).sum(axis=1)[:, None] + (centres * centres).sum(axis=1)[None, :] - 2 * candidates @ centres.T
+        own = d.argmin(axis=1)
+        total = np.bincount(own, weights, len(centres))
+        sums = np.stack([np.bincount(own, weights * candidates[:, i], len(centres)) for i in range(candidates.shape[1])], axis=1)
+        centres = np.where(total[:, None] > 0, sums / np.maximum(total, 1e-300)[:, None], centres)
+    return np.floor(centres + 0.5)
+
+
+def lloyd_rounds(members: DataFrame, centroids: DataFrame, dims: int, iterations: int = 15) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """((cluster_id, q) after so many rounds of assignment and means, [(round, sum of squared distances before its means)]); fewer rounds if nothing moves.
+
+    One pass a round gives error and means. A cluster that lost all its members is seeded again with one of the members farthest from their centroids.
+    """
+    spark, log = members.sparkSession, []
+    ids, c = _centroid_matrix(centroids)
+    rows = {int(i): [int(x) for x in q] for i, q in zip(ids, c, strict=True)}
+    for k in range(iterations):
         table = spark.createDataFrame(sorted(rows.items()), "cluster_id int, q array<int>")
         assigned = assign_nearest(members, table)
-        means = {r["cluster_id"]: list(r["q"]) for r in lloyd_step(assigned, dims).collect()}
+        sums = assigned.groupBy("cluster_id").agg(F.sum("cdist").alias("d"), F.array(*[F.floor(F.sum(F.get("q", i).cast("long")) / F.count("*")).cast("int") for i in range(dims)]).alias("q")).collect()  # a row a cluster
+        log.append((k, sum(r["d"] for r in sums)))
+        means = {r["cluster_id"]: list(r["q"]) for r in sums}
         empty = sorted(set(rows) - set(means))
         far = assigned.where("cdist > 0").orderBy(F.desc("cdist"), "vec_id").select("q").limit(len(empty)).collect() if empty else []
-        after = rows | means | {c: list(r["q"]) for c, r in zip(empty, far, strict=False)}
+        after = rows | means | {x: list(r["q"]) for x, r in zip(empty, far, strict=False)}
         if after == rows:
             break
         rows = after
-    return spark.createDataFrame(sorted(rows.items()), "cluster_id int, q array<int>")
+    return spark.createDataFrame(sorted(rows.items()), "cluster_id int, q array<int>"), log
 
 
-def fit_centroids(members: DataFrame, k: int, dims: int, iterations: int = 15, sample_rows: int = 500_000, seed: int = 7) -> DataFrame:
-    """(cluster_id, q) of a k-means clustering of a sample, with scalable k-means++ seeding."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    n = members.count()
-    some = members if n <= sample_rows else members.sample(True, sample_rows / n, seed)
-    vectors = some.select(array_to_vector(F.transform("q", lambda x: x.cast("double"))).alias("features"))
-    model = KMeans(k=k, maxIter=iterations, tol=0.0, seed=seed).fit(vectors)
-    rows = [(i, [int(np.floor(x + 0.5)) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return members.sparkSession.createDataFrame(rows, "cluster_id int, q array<int>")
+def lloyd(members: DataFrame, centroids: DataFrame, dims: int, iterations: int = 15) -> DataFrame:
+    return lloyd_rounds(members, centroids, dims, iterations)[0]
+
+
+def fit_centroids(members: DataFrame, k: int, dims: int, iterations: int = 15, sample_rows: int = 500_000) -> DataFrame:
+    """(cluster_id, q) of a k-means clustering of an exact-size sample: k-means|| seeds, weighted by how many members each is nearest to, then Lloyd rounds."""
+    some = write_table(sample_exact(members, sample_rows), "sample")
+    candidates, _ = parallel_seeds(some, 2 * k)
+    weights = assign_nearest(some, candidates).groupBy("cluster_id").agg(F.count("*").alias("n"))
+    rows = candidates.join(weights, "cluster_id").orderBy("cluster_id").toArrow().combine_chunks()  # MAX_CENTROIDS rows at most
+    if not rows.num_rows:
+        return candidates
+    centres = reclustered(_matrix(rows.column(1).combine_chunks()), rows.column(2).to_numpy().astype(np.float64), k)
+    table = [(i, [int(x) for x in q]) for i, q in enumerate(np.unique(centres, axis=0))]
+    return lloyd(some, members.sparkSession.createDataFrame(table, "cluster_id int, q array<int>"), dims, iterations)
 
 
 def seed_centroids(members: DataFrame, k: int, seed: int = 7) -> DataFrame:

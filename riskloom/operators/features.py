@@ -141,7 +141,7 @@ def event_transactions(events: DataFrame) -> DataFrame:
     """Flat transactions (INPUTS) with event_id and event_type, one per event."""
     base = event_base(events)
     merchants = base.groupBy("k").agg((F.sum("cents") / F.count("*") / 100).alias("merchant_avg"))
-    rows = user_history(base).join(merchants, "k")
+    rows = user_history(base).join(merchants, "k", "left")  # an event without a merchant has no average
     return rows.select(
         "event_id",
         "event_type",
@@ -176,3 +176,15 @@ def random_vectors(spark: SparkSession, n: int, dims: int = S.DIMS, seed: int =
     """(vec_id, q): n synthetic queries with codes in -10000..9999, the same for the same seed on any cluster."""
     codes = F.array(*[(F.pmod(F.xxhash64("id", F.lit(i), F.lit(seed)), F.lit(20000)) - 10000).cast("int") for i in range(dims)])
     return spark.range(n).select(F.col("id").alias("vec_id"), codes.alias("q"))
+
+
+def jittered(queries: DataFrame, dims: int, spread: int, seed: str = "jitter") -> DataFrame:
+    """(vec_id, q): queries with each code moved by -spread .. spread, the same for the same seed on any cluster."""
+
+    def moved(i: int) -> Column:
+        text = F.concat(F.lit(f"{seed}:{i}:"), F.col("vec_id").cast("string"))
+        h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+        code = F.get("q", i) + F.pmod(h, F.lit(2 * spread + 1)) - spread
+        return F.least(F.greatest(code, F.lit(-int(S.SCALE))), F.lit(int(S.SCALE))).cast("int")
+
+    return queries.select("vec_id", F.array(*[moved(i) for i in range(dims)]).alias("q"))

@@ -1,32 +1,27 @@
 """Clustered vector index: layout, probes, bounding-box pruning, exact and staged search.
 
-The index is three tables: centroids, clusters (box, count, offset) and members (by cluster). Centroids and clusters are
-bounded by the number of clusters and checked. A search sends its queries in blocks of a bounded size to the tasks that read
-the members; these multiply each cluster's rows only with the queries that want the cluster, and pass on k rows a query.
-So members are never shuffled, no pair is a row, and what a bound or an early exit excludes is not computed. Of members
-that are written by cluster_id only the clusters that some query wants are read.
+The index is three tables: centroids, clusters (box, count, offset) and pages of members (``blocks``). Centroids and clusters are
+bounded by the number of clusters and checked; they make a box tree (``boxtree``) that is broadcast and walked where queries are read, so a
+pair of a query and a cluster becomes a row only if the search wants it. Wanted queries are dealt to the pages of their cluster in blocks, and a
+task multiplies a page with a block. So members are never shuffled while the wanted queries can be broadcast, nothing passes through the driver but the tree, no
+pair of a query and a member is a row, and what a bound or an early exit excludes is not computed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import scalars as S
-from riskloom.operators.clustering import MAX_CENTROIDS, assign_nearest
-from riskloom.operators.knn import CELLS, _best, _matrix, block_filters, rank_neighbours
+from riskloom.operators.blocks import LANES, scan_pages, to_pages
+from riskloom.operators.boxtree import BoxTree, box_tree, walk_nearest, walk_within
+from riskloom.operators.clustering import assign_nearest
+from riskloom.operators.knn import rank_neighbours
 from riskloom.sources.shared import write_table
 
-#: Fixed values of the search: probes kept, rows of a block, early exit per dimension.
+#: Fixed values of the search: probes kept, early exit per dimension.
 MAX_PROBES = 33
-LANES = 8
 EARLY_PER_DIM = 1000 * 1000
-#: Bytes of the (query, cluster) pairs of a block that are sent to the tasks.
-PAIR_BYTES = 64 << 20
 
 
 def cluster_table(assigned: DataFrame, dims: int) -> DataFrame:
@@ -43,34 +38,36 @@ def with_offsets(clusters: DataFrame) -> DataFrame:
     return blocks.withColumn("block_offset", F.coalesce(F.sum("n_blocks").over(before), F.lit(0)))
 
 
-def member_layout(assigned: DataFrame, width: int = 1 << 20) -> DataFrame:
+def member_layout(assigned: DataFrame) -> DataFrame:
     """Members with their place in their cluster: pos by (distance to the centroid, vec_id), block and lane.
 
-    A cluster may own most members, so it is ordered range by range of distances (``width`` wide at the nearest, doubling),
-    and the ranges before are counted.
+    All members are sorted by ranges of (cluster, distance, vec_id), so neither a cluster that owns most members nor one with most members at one
+    distance is ordered in one task. A row's pos is its place in its range, and what earlier ranges hold of its cluster: a row a cluster and range.
     """
-    ring = F.floor(F.log2(F.col("cdist") / width + 1) * 8).cast("int")
-    rows = assigned.withColumn("ring", ring)
-    counts = rows.groupBy("cluster_id", "ring").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("cluster_id").orderBy("ring").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select("cluster_id", "ring", F.coalesce(before, F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("cluster_id", "ring").orderBy("cdist", "vec_id")) - 1
-    pos = (F.col("before") + F.col("inside")).cast("int")
-    placed = rows.withColumn("inside", inside).join(counts, ["cluster_id", "ring"]).withColumn("pos", pos)
+    keys = ["cluster_id", "cdist", "vec_id"]
+    parts = int(assigned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = assigned.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("place", F.monotonically_increasing_id())
+    rows = write_table(rows, "layout").withColumn("range", F.shiftright("place", 33))
+    runs = rows.groupBy("cluster_id", "range").agg(F.min("place").alias("start"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("cluster_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select("cluster_id", "range", (F.col("start") - F.coalesce(before, F.lit(0))).alias("zero"))
+    placed = rows.join(F.broadcast(runs), ["cluster_id", "range"]).withColumn("pos", (F.col("place") - F.col("zero")).cast("int"))
     return placed.select(*assigned.columns, "pos").withColumn("block", F.floor(F.col("pos") / LANES).cast("int")).withColumn("lane", F.col("pos") % LANES)
 
 
-def centroid_distances(queries: DataFrame, centroids: DataFrame, clusters: DataFrame, dims: int) -> DataFrame:
-    """(query_id, q, cluster_id, cdist, lb): every query with every cluster that has members, by one broadcast of MAX_CENTROIDS rows at most."""
-    sides = clusters.select("cluster_id", "bbox_min", "bbox_max").join(centroids.select("cluster_id", F.col("q").alias("c")), "cluster_id")
-    pairs = queries.select(F.col("vec_id").alias("query_id"), "q").join(F.broadcast(sides.limit(MAX_CENTROIDS)), F.lit(True))
-    return pairs.select("query_id", "q", "cluster_id", S.l2(F.col("q"), F.col("c"), dims).alias("cdist"), S.bbox_lower_bound(F.col("q"), F.col("bbox_min"), F.col("bbox_max"), dims).alias("lb"))
+def _unbounded(queries: DataFrame) -> DataFrame:
+    none = F.lit(None)
+    return queries.select(F.col("vec_id").alias("query_id"), "q", none.cast("long").alias("bound"), none.cast("int").alias("done"))
+
+
+def centroid_distances(queries: DataFrame, tree: BoxTree) -> DataFrame:
+    """(query_id, q, cluster_id, turn, cdist, lb): every query with every cluster that has members, made where the query is read."""
+    return walk_within(_unbounded(queries), tree, turns=True)
 
 
 def probes(distances: DataFrame, most: int = MAX_PROBES) -> DataFrame:
-    """distances of the ``most`` nearest clusters of each query, with their turn from 0."""
-    turn = F.row_number().over(Window.partitionBy("query_id").orderBy("cdist", "cluster_id")) - 1
-    return distances.withColumn("turn", turn).where(F.col("turn") < most)
+    """distances of the ``most`` nearest clusters of each query; turn is their place by (cdist, cluster_id) from 0."""
+    return distances.where(F.col("turn") < most)
 
 
 def scan(wanted: DataFrame, members: DataFrame, dims: int) -> DataFrame:
@@ -79,105 +76,11 @@ def scan(wanted: DataFrame, members: DataFrame, dims: int) -> DataFrame:
     return both.withColumn("dist", S.l2(F.col("q"), F.col("v"), dims)).drop("v")
 
 
-def _kept(rows: list[np.ndarray], k: int, by_cluster: bool) -> list[np.ndarray]:
-    """The k best rows (query, cluster, vec_id, label, dist) of each query, or of each query and cluster."""
-    order = np.lexsort((rows[2], rows[4], *([rows[1]] if by_cluster else []), rows[0]))
-    rows = [x[order] for x in rows]
-    new = rows[0][1:] != rows[0][:-1]
-    new = new | (rows[1][1:] != rows[1][:-1]) if by_cluster else new
-    starts = np.concatenate(([0], np.nonzero(new)[0] + 1))
-    rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
-    return [x[rank < k] for x in rows]
-
-
-def _scanner(sent, k: int, by_cluster: bool, limit: float | None) -> Callable:  # noqa: ANN001
-    """For mapInArrow over (cluster_id, vec_id, label, q): a task's k best rows of what is wanted, or all nearer than limit."""
-
-    def products(part: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
-        qid, q, by = sent.value
-        norm = (q * q).sum(axis=1)
-        cluster, ids, labels, m = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2).to_numpy(), _matrix(part.column(3))
-        for c in np.unique(cluster).tolist():
-            who = by.get(c)
-            if who is None:
-                continue
-            rows = np.nonzero(cluster == c)[0]
-            for at in range(0, len(who), max(1, CELLS // len(rows))):
-                some = who[at : at + max(1, CELLS // len(rows))]
-                d = norm[some][:, None] + (m[rows] * m[rows]).sum(axis=1)[None, :] - 2.0 * (q[some] @ m[rows].T)
-                d[qid[some][:, None] == ids[rows][None, :]] = np.inf
-                if limit is None:
-                    best = _best(d, ids[rows], k)
-                    i, j = np.repeat(np.arange(len(some)), best.shape[1]), best.ravel()
-                    real = np.isfinite(d[i, j])
-                    i, j = i[real], j[real]
-                else:
-                    i, j = np.nonzero(d < limit)
-                yield [some[i], np.full(len(i), c), ids[rows][j], labels[rows][j], d[i, j]]
-
-    def made(rows: list[np.ndarray]) -> pa.RecordBatch:
-        q, c, v, y, d = rows
-        return pa.RecordBatch.from_arrays([pa.array(sent.value[0][q]), pa.array(c.astype(np.int32)), pa.array(v), pa.array(y.astype(np.int32)), pa.array(d.astype(np.int64))], ["query_id", "cluster_id", "vec_id", "label", "dist"])
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        size, after = 0, CELLS
-        for part in parts:
-            for rows in products(part):
-                if limit is not None:
-                    yield made(rows)
-                    continue
-                held.append(rows)
-                size += len(rows[0])
-            if size > after:
-                held = [_kept([np.concatenate(x) for x in zip(*held, strict=True)], k, by_cluster)]
-                size = len(held[0][0])
-                after = CELLS + 2 * size
-        if held:
-            yield made(_kept([np.concatenate(x) for x in zip(*held, strict=True)], k, by_cluster))
-
-    return run
-
-
-def scan_best(wanted: DataFrame, members: DataFrame, k: int = 5, by_cluster: bool = False, limit: float | None = None) -> DataFrame:
-    """(query_id, cluster_id, vec_id, label, dist): per task the k best of each query among its wanted clusters.
-
-    wanted (query_id, q, cluster_id) should be a written table: it is counted, and sent in blocks of PAIR_BYTES at most. With by_cluster the k best of
-    each of them; with ``limit`` all that are nearer.
-    """
-    spark = members.sparkSession
-    schema = "query_id bigint, cluster_id int, vec_id bigint, label int, dist bigint"
-    rows = members.select("cluster_id", "vec_id", "label", "q")
-    found = None
-    for some in block_filters(wanted.count(), 16, PAIR_BYTES, F.col("query_id")):
-        table = wanted.where(some).groupBy("query_id").agg(F.first("q").alias("q"), F.collect_list("cluster_id").alias("clusters")).toArrow().combine_chunks()
-        if not table.num_rows:
-            continue
-        lists = table.column(2).combine_chunks()
-        owner = np.repeat(np.arange(table.num_rows), np.diff(lists.offsets.to_numpy()))
-        flat = lists.flatten().to_numpy()
-        order = np.argsort(flat, kind="stable")
-        names, starts = np.unique(flat[order], return_index=True)
-        by = dict(zip(names.tolist(), np.split(owner[order], starts[1:]), strict=True))
-        sent = spark.sparkContext.broadcast((table.column(0).to_numpy(), _matrix(table.column(1).combine_chunks()), by))
-        near = rows.where(F.col("cluster_id").isin(names.tolist())) if len(names) <= 1024 else rows
-        near = near.mapInArrow(_scanner(sent, k, by_cluster, limit), schema)
-        found = near if found is None else found.unionByName(near)
-    return spark.createDataFrame([], schema) if found is None else found
-
-
-def prune_blocks(scanned: DataFrame, threshold: Column, dims: int, v: str = "v") -> DataFrame:
-    """Rows whose partial distances over the first 6, then 10, then all dimensions stay below a threshold."""
-    out = scanned
-    for last in [d for d in (6, 10, dims) if d <= dims]:
-        out = out.where(S.partial_l2(F.col("q"), F.col(v), 0, last) < threshold)
-    return out
-
-
-def range_search(queries: DataFrame, members: DataFrame, centroids: DataFrame, clusters: DataFrame, dims: int, below: int) -> DataFrame:
+def range_search(queries: DataFrame, pages: DataFrame, tree: BoxTree, dims: int, below: int) -> DataFrame:
     """(query_id, vec_id, dist): all members nearer than ``below``; only clusters whose box comes as near are read."""
-    wanted = centroid_distances(queries, centroids, clusters, dims).where(F.col("lb") < below).select("query_id", "q", "cluster_id")
-    return scan_best(write_table(wanted, "wanted"), members, limit=float(below)).select("query_id", "vec_id", "dist")
+    bounded = _unbounded(queries).withColumn("bound", F.lit(below).cast("long"))
+    wanted = write_table(walk_within(bounded, tree).select("query_id", "q", "cluster_id").withColumn("bound", F.lit(below).cast("long")), "wanted")
+    return scan_pages(wanted, pages, dims, None).select("query_id", "vec_id", "dist")
 
 
 def kth_distance(neighbours: DataFrame, k: int = 5) -> DataFrame:
@@ -186,26 +89,29 @@ def kth_distance(neighbours: DataFrame, k: int = 5) -> DataFrame:
     return out.withColumn("worst", F.when(F.col("n_found") >= k, F.col("worst")))
 
 
-def nearest_cluster(pairs: DataFrame) -> DataFrame:
-    """(query_id, q, cluster_id, lb): the first probe of each query."""
-    best = F.min(F.struct("cdist", "cluster_id", "lb")).alias("b")
-    return pairs.groupBy("query_id").agg(F.first("q").alias("q"), best).select("query_id", "q", "b.cluster_id", "b.lb")
+def first_probe(queries: DataFrame, tree: BoxTree) -> DataFrame:
+    """(query_id, q, cluster_id, bound): each query's nearest cluster, without a bound; a written table."""
+    return write_table(walk_nearest(queries, tree).withColumn("bound", F.lit(None).cast("long")), "first-probe")
 
 
-def search_exact(queries: DataFrame, members: DataFrame, centroids: DataFrame, clusters: DataFrame, dims: int, k: int = 5) -> DataFrame:
+def search_exact(queries: DataFrame, pages: DataFrame, tree: BoxTree, dims: int, k: int = 5) -> DataFrame:
     """The k nearest of each query, by boxes: (query_id, vec_id, dist, label, rank).
 
-    The nearest cluster gives a bound on the k-th distance; then only clusters whose box comes as near are read.
+    The nearest cluster gives a bound on the k-th distance; then only clusters whose box comes as near are read, for members that do.
     """
-    pairs = centroid_distances(queries, centroids, clusters, dims)
-    first = write_table(nearest_cluster(pairs).select("query_id", "q", "cluster_id"), "first-probe")
-    near = write_table(rank_neighbours(scan_best(first, members, k), k), "first-near")
-    bound = kth_distance(near, k).select("query_id", "worst").join(first.select("query_id", F.col("cluster_id").alias("done")), "query_id", "right")
-    more = pairs.join(bound, "query_id").where((F.col("cluster_id") != F.col("done")) & (F.col("worst").isNull() | (F.col("lb") <= F.col("worst"))))
-    found = scan_best(write_table(more.select("query_id", "q", "cluster_id"), "wanted"), members, k)
+    first = first_probe(queries, tree)
+    near = write_table(rank_neighbours(scan_pages(first, pages, dims, k), k), "first-near")
+    wanted = write_table(walk_within(first_bounds(first, near, k), tree, strict=False).drop("turn", "cdist", "lb").join(kth_distance(near, k).select("query_id", F.col("worst").alias("bound")), "query_id", "left"), "wanted")
+    found = scan_pages(wanted, pages, dims, k)
     return rank_neighbours(near.drop("rank").unionByName(found).select("query_id", "vec_id", "dist", "label"), k)
 
 
+def first_bounds(first: DataFrame, near: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, q, bound, done): what a walk needs after the first probe; near: its k best."""
+    bound = kth_distance(near, k).select("query_id", F.col("worst").alias("bound"))
+    return first.select("query_id", "q", F.col("cluster_id").alias("done")).join(bound, "query_id", "left").select("query_id", "q", "bound", "done")
+
+
 def _frauds(best: Column) -> Column:
     return F.aggregate(best, F.lit(0), lambda s, x: s + x["label"])
 
@@ -242,7 +148,7 @@ def fold_probes(lists: DataFrame, early: int, k: int = 5) -> DataFrame:
     return lists.select("query_id", F.aggregate("steps", start, step).alias("a")).select("query_id", "a.best", "a.stopped")
 
 
-def search_cascade(queries: DataFrame, members: DataFrame, centroids: DataFrame, clusters: DataFrame, dims: int, k: int = 5, early: int | None = None, most: int = MAX_PROBES) -> DataFrame:
+def search_cascade(queries: DataFrame, pages: DataFrame, tree: BoxTree, dims: int, k: int = 5, early: int | None = None, most: int = MAX_PROBES) -> DataFrame:
     """(query_id, n): frauds among the neighbours that the staged search finds; not always the exact ones, by its rules.
 
     Stage 1 reads the nearest cluster, and queries whose neighbours are all frauds and near enough leave. Stage 2 reads, for the
@@ -250,27 +156,24 @@ def search_cascade(queries: DataFrame, members: DataFrame, centroids: DataFrame,
     folds them in order. Stage 3 reads, for those with fewer than k frauds, the clusters beyond the probes that can matter.
     """
     early = dims * EARLY_PER_DIM if early is None else early
-    pairs = centroid_distances(queries, centroids, clusters, dims)
-    none = F.array().cast(_KIND)
-    first = write_table(nearest_cluster(pairs).select("query_id", "q", "cluster_id"), "first-probe")
-    near = near_lists(scan_best(first, members, k), ["query_id"], k)
+    none, unbound = F.array().cast(_KIND), (1 << 63) - 1
+    first = first_probe(queries, tree)
+    near = near_lists(scan_pages(first, pages, dims, k), ["query_id"], k)
     one = first.join(near, "query_id", "left").select("query_id", "q", F.col("cluster_id").alias("done"), F.coalesce("near", none).alias("best"))
     leaves = (_frauds(F.col("best")) >= k) & (_worst(F.col("best"), k) <= early)
-    one = write_table(one.withColumn("worst", _worst(F.col("best"), k)).withColumn("exited", leaves), "stage-1")
-    going = one.where(~F.col("exited")).select("query_id", "best", "worst", "done")
-    turns = probes(pairs, 1 << 30).drop("q")
-    turns = turns.join(going.drop("best"), "query_id").where((F.col("turn") > 0) & (F.col("lb") < F.col("worst")))
-    turns = write_table(turns.select("query_id", "cluster_id", "turn", "lb"), "stage-2")
-    ask = turns.join(one.select("query_id", "q"), "query_id")
-    probe = write_table(ask.where(F.col("turn") < most), "stage-2-probes")
-    lists = near_lists(scan_best(probe.select("query_id", "q", "cluster_id"), members, k, True), ["query_id", "cluster_id"], k)
-    steps = probe.join(lists, ["query_id", "cluster_id"]).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("turn", "lb", "near"))).alias("steps"))
+    one = write_table(one.withColumn("bound", _worst(F.col("best"), k)).withColumn("exited", leaves), "stage-1")
+    going = one.where(~F.col("exited"))
+    turns = write_table(walk_within(going.select("query_id", "q", F.nullif("bound", F.lit(unbound)).alias("bound"), "done"), tree, turns=True).drop("cdist"), "stage-2")
+    turns = turns.join(going.select("query_id", "bound"), "query_id")
+    probe = write_table(turns.where(F.col("turn") < most), "stage-2-probes")
+    lists = near_lists(scan_pages(probe.select("query_id", "q", "cluster_id", "bound"), pages, dims, k), ["query_id", "cluster_id"], k)
+    steps = probe.select("query_id", "cluster_id", "turn", "lb").join(lists, ["query_id", "cluster_id"]).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("turn", "lb", "near"))).alias("steps"))
     empty = F.array().cast(f"array<struct<turn:int,lb:bigint,near:{_KIND}>>")
     folded = fold_probes(going.join(steps, "query_id", "left").select("query_id", "best", F.coalesce("steps", empty).alias("steps")), early, k)
     folded = write_table(folded.withColumn("n", _frauds(F.col("best"))).withColumn("worst", _worst(F.col("best"), k)), "stage-2-folded")
     repair = folded.where(F.col("n") < k).select("query_id", "worst")
-    rest = ask.where(F.col("turn") >= most).join(repair, "query_id").where(F.col("lb") < F.col("worst")).select("query_id", "q", "cluster_id")
-    more = scan_best(write_table(rest, "stage-3"), members, k).select("query_id", "dist", "vec_id", "label")
+    rest = turns.where(F.col("turn") >= most).drop("bound").join(repair, "query_id").where(F.col("lb") < F.col("worst")).select("query_id", "q", "cluster_id", F.col("worst").alias("bound"))
+    more = scan_pages(write_table(rest, "stage-3"), pages, dims, k).select("query_id", "dist", "vec_id", "label")
     kept = folded.where(F.col("n") < k).select("query_id", F.explode("best").alias("b")).select("query_id", "b.*")
     repaired = rank_neighbours(kept.unionByName(more), k).groupBy("query_id").agg(F.sum("label").cast("int").alias("repaired"))
     out = one.select("query_id", F.when(F.col("exited"), F.lit(k)).alias("left")).join(folded.select("query_id", "n"), "query_id", "left").join(repaired, "query_id", "left")
@@ -279,6 +182,10 @@ def search_cascade(queries: DataFrame, members: DataFrame, centroids: DataFrame,
 
 
 def build_index(members: DataFrame, centroids: DataFrame, dims: int) -> tuple[DataFrame, DataFrame]:
-    """(clusters with offsets, members with layout)."""
+    """(clusters with offsets, pages of members); both written."""
     assigned = assign_nearest(members, centroids)
-    return with_offsets(cluster_table(assigned, dims)), member_layout(assigned)
+    return write_table(with_offsets(cluster_table(assigned, dims)), "clusters"), write_table(to_pages(member_layout(assigned)), "pages")
+
+
+def index_tree(centroids: DataFrame, clusters: DataFrame) -> BoxTree:
+    return box_tree(centroids, clusters)

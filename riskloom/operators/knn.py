@@ -40,32 +40,59 @@ def _best(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+class _Nearest:
+    """The k best (dist, vec_id) of each query so far, in separate arrays, as ids need all their 64 bits."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.rows, self.size, self.worst, self.after = k, [], 0, np.full(n, np.inf), 4 * k * n + CELLS // 8
+
+    def add(self, query: np.ndarray, d: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> None:
+        self.rows.append((query, d, ids, labels))
+        self.size += len(query)
+        if self.size > self.after or np.isinf(self.worst).any():
+            self.kept()
+
+    def kept(self) -> tuple[np.ndarray, ...]:
+        rows = tuple(np.concatenate(x) for x in zip(*self.rows, strict=True))
+        order = np.lexsort((rows[2], rows[1], rows[0]))
+        rows = tuple(x[order] for x in rows)
+        rank = np.arange(len(order)) - np.searchsorted(rows[0], rows[0], "left")
+        last = rank == self.k - 1
+        self.worst[rows[0][last]] = rows[1][last]
+        self.rows = [tuple(x[rank < self.k] for x in rows)]
+        self.size = len(self.rows[0][0])
+        return self.rows[0]
+
+
+def _own(qid: np.ndarray, order: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, member) positions of equal ids; order sorts qid."""
+    low, high = (np.searchsorted(qid, ids, side, sorter=order) for side in ("left", "right"))
+    n = high - low
+    column = np.repeat(np.arange(len(ids)), n)
+    return order[np.arange(len(column)) - np.repeat(np.cumsum(n) - n, n) + low[column]], column
+
+
 def _scan(parts: Iterator[pa.RecordBatch], qid: np.ndarray, q: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    norm = (q * q).sum(axis=1)
-    held: list[np.ndarray] = []  # rows of (query, d, vec_id, label)
+    """The k best of each query of a task's members (vec_id, label, q). Once a query has k, only what is no farther than its k-th is looked at."""
+    norm, order, found = (q * q).sum(axis=1), np.argsort(qid, kind="stable"), _Nearest(len(qid), k)
+    step = max(1, CELLS // max(1, len(qid)))
     for part in parts:
         ids, labels, m = part.column(0).to_numpy(), part.column(1).to_numpy(), _matrix(part.column(2))
-        for at in range(0, len(ids), max(1, CELLS // max(1, len(qid)))):
-            to = slice(at, at + max(1, CELLS // max(1, len(qid))))
+        for at in range(0, len(ids), step):
+            to = slice(at, at + step)
             d = norm[:, None] + (m[to] * m[to]).sum(axis=1)[None, :] - 2.0 * (q @ m[to].T)
-            own = qid[:, None] == ids[to][None, :]
-            d[own] = np.inf
-            best = _best(d, ids[to], k)
-            near = np.take_along_axis(d, best, 1)
-            rows = np.stack([np.repeat(np.arange(len(qid)), best.shape[1]), near.ravel(), ids[to][best].ravel(), labels[to][best].ravel()], axis=1)
-            held.append(rows[np.isfinite(rows[:, 1])])
-        if sum(map(len, held)) > 4 * k * len(qid) + CELLS // 8:
-            held = [_keep(np.concatenate(held), k)]
-    if held:
-        rows = _keep(np.concatenate(held), k)
-        n = rows[:, 0].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(qid[n]), pa.array(rows[:, 2].astype(np.int64)), pa.array(rows[:, 1].astype(np.int64)), pa.array(rows[:, 3].astype(np.int32))], ["query_id", "vec_id", "dist", "label"])
-
-
-def _keep(rows: np.ndarray, k: int) -> np.ndarray:
-    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
-    starts = np.searchsorted(rows[:, 0], rows[:, 0], "left")
-    return rows[np.arange(len(rows)) - starts < k]
+            d[_own(qid, order, ids[to])] = np.inf
+            if np.isinf(found.worst).any():
+                j = _best(d, ids[to], k)
+                i, j = np.repeat(np.arange(len(qid)), j.shape[1]), j.ravel()
+                real = np.isfinite(d[i, j])
+                i, j = i[real], j[real]
+            else:
+                i, j = np.nonzero(d <= found.worst[:, None])
+            found.add(i, d[i, j], ids[to][j], labels[to][j])
+    if found.rows:
+        n, d, ids, labels = found.kept()
+        yield pa.RecordBatch.from_arrays([pa.array(qid[n]), pa.array(ids), pa.array(d.astype(np.int64)), pa.array(labels.astype(np.int32))], ["query_id", "vec_id", "dist", "label"])
 
 
 def rank_neighbours(candidates: DataFrame, k: int) -> DataFrame:

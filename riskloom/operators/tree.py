@@ -7,7 +7,7 @@ over the tree's levels that looks up the next node in arrays: as many steps for
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import bitset_popcount
@@ -32,6 +32,54 @@ def balanced_tree(spark: SparkSession, feats: list[int], thresholds: list[int])
     return spark.createDataFrame([(i, feats[i], thresholds[i], child(2 * i + 1), child(2 * i + 2)) for i in range(n)], NODES)
 
 
+def uneven_shape(splits: int, depth: int) -> list[tuple[int, int]]:
+    """(left, right) of each node of a tree with that many splits and that depth: a spine of right children, whose left children are complete trees, as large as is left."""
+    out: list[list[int]] = [[0, 0] for _ in range(splits)]
+    leaves, free = 0, depth
+
+    def child(todo: list[int], node: int, side: int, more: int) -> int:
+        nonlocal leaves, free
+        if more and free < splits:
+            out[node][side] = free
+            todo.append(free)
+            free += 1
+        else:
+            out[node][side] = -1 - leaves
+            leaves += 1
+        return free
+
+    for node in range(depth):
+        if node + 1 < depth:
+            out[node][1] = node + 1
+        else:
+            child([], node, 1, 0)
+        level: list[int] = []
+        child(level, node, 0, depth - 1 - node)
+        below = depth - 2 - node
+        while level:
+            after: list[int] = []
+            for x in level:
+                child(after, x, 0, below)
+                child(after, x, 1, below)
+            level, below = after, below - 1
+    return [(a, b) for a, b in out]
+
+
+def quantile_tree(rows: DataFrame, dims: int, splits: int = 511, depth: int = 26) -> DataFrame:
+    """nodes of an uneven tree whose thresholds come from the rows: node i splits feature (5i + 3) % dims at one of its 97-quantiles, the (37i % 97)-th."""
+    shape = uneven_shape(splits, depth)
+    wanted = sorted({((5 * i + 3) % dims, 37 * i % 97) for i in range(splits)})
+    each = rows.select(F.posexplode("q").alias("feat", "x")).groupBy("feat", "x").agg(F.count("*").alias("n"))  # as many rows as codes
+    total = F.sum("n").over(Window.partitionBy("feat"))
+    upto = F.sum("n").over(Window.partitionBy("feat").orderBy("x"))
+    placed = each.withColumn("upto", upto).withColumn("total", total)
+    asks = rows.sparkSession.createDataFrame(wanted, "feat int, part int")
+    least = placed.join(F.broadcast(asks), "feat").where(F.col("upto") * 97 >= F.greatest(F.col("part") * F.col("total"), F.lit(1))).groupBy("feat", "part").agg(F.min("x").alias("thr"))
+    nodes = [(i, (5 * i + 3) % dims, 37 * i % 97, a, b) for i, (a, b) in enumerate(shape)]
+    table = rows.sparkSession.createDataFrame(nodes, "node_id int, feat int, part int, left int, right int")
+    return table.join(F.broadcast(least), ["feat", "part"]).select("node_id", "feat", "thr", "left", "right")
+
+
 def rows_of(nodes: DataFrame) -> dict[int, tuple[int, int, int, int]]:
     rows = nodes.select("node_id", "feat", "thr", "left", "right").limit(MAX_NODES + 1).collect()
     if len(rows) > MAX_NODES:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import scalars as S
 from riskloom.operators import ivf, tree
+from riskloom.operators.boxtree import BoxTree
 from riskloom.operators.features import vectorize
 from riskloom.operators.knn import knn_exact, vote
 from riskloom.sources.requests import flatten_payload, parse_payload
@@ -22,12 +23,12 @@ def score_exact(queries: DataFrame, members: DataFrame, k: int = 5) -> DataFrame
     return respond(vote(knn_exact(queries, members, k), queries))
 
 
-def score_staged(queries: DataFrame, members: DataFrame, centroids: DataFrame, clusters: DataFrame, nodes: DataFrame, leaves: DataFrame, dims: int = S.DIMS) -> DataFrame:
+def score_staged(queries: DataFrame, pages: DataFrame, index: BoxTree, nodes: DataFrame, leaves: DataFrame, dims: int = S.DIMS) -> DataFrame:
     """(query_id, n, approved, fraud_score, response). leaves: leaf_id, count, safe. Only rows outside safe leaves are searched."""
     placed = tree.leaf_lookup(tree.predict(queries, nodes), leaves)
     quick = placed.where(F.coalesce("safe", F.lit(False)))
     rest = placed.where(~F.coalesce("safe", F.lit(False))).select("vec_id", "q")
-    searched = ivf.search_cascade(rest, members, centroids, clusters, dims)
+    searched = ivf.search_cascade(rest, pages, index, dims)
     return respond(quick.select(F.col("vec_id").alias("query_id"), F.col("count").cast("int").alias("n")).unionByName(searched))
 
 

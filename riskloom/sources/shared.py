@@ -14,7 +14,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    if not (conf.get("spark.master") or "").startswith("local["):
+    master = conf.get("spark.master") or ""
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = f"file://{tempfile.mkdtemp(prefix='riskloom-')}"
     spark.sparkContext.setCheckpointDir(made)

@@ -1,12 +1,10 @@
-"""Streaming forms: stateless scoring, daily counts with a watermark, and the state per user that a request would carry."""
+"""Streaming forms: stateless scoring, and counts by tumbling, sliding and session windows with a watermark."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
+from datetime import timedelta
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,43 +25,50 @@ def window_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour")
     return counted.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
-DAY = 86400
+def sliding_counts(events: DataFrame, width: str = "1 day", slide: str = "6 hours", late: str = "1 hour") -> DataFrame:
+    """(start, event_type, n): windows that overlap; an event is in as many as fit into a width."""
+    rows = events.withColumn("at", F.col("ts").cast("timestamp"))
+    timed = rows.withWatermark("at", late) if rows.isStreaming else rows
+    counted = timed.groupBy(F.window("at", width, slide), "event_type").agg(F.count("*").alias("n"))
+    return counted.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+def session_counts(events: DataFrame, gap: str = "12 hours", late: str = "1 hour") -> DataFrame:
+    """(user_id, start, end, n): runs of a user's events of which each follows the one before within the gap; end is a gap after the last."""
+    rows = events.withColumn("at", F.col("ts").cast("timestamp"))
+    timed = rows.withWatermark("at", late) if rows.isStreaming else rows
+    counted = timed.groupBy(F.session_window("at", gap), "user_id").agg(F.count("*").alias("n"))
+    return counted.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), F.col("session_window.end").cast("timestamp_ntz").alias("end"), "n")
 
 
-def user_state(base: DataFrame, late: str = "1 hour") -> DataFrame:
-    """(event_id, user_id, tx_count_24h, last_sec, last_k) of a stream of event_base rows: what ``features.user_history`` says of each.
+def run_in_steps(steps: list[DataFrame], make: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """Feed a stream step by step and return its sink: after each step the query has ended, and starts again from its checkpoint.
 
-    The state of a user is the seconds of its events of the last 24 hours, counted by second, and its last event. An
-    event is judged by those before it that have arrived; one that is later than the watermark is dropped, as is the state of
-    a user who was silent for a day and the delay. Events of one second do not count each other.
+    Each step appends files to the source's folder; they are read by as many tasks as they have splits.
     """
-    rows = base.select("event_id", "user_id", "k", "sec", F.col("ts").cast("timestamp").alias("ts"))
-    timed = rows.withWatermark("ts", late)
-    out = "event_id long, user_id long, tx_count_24h long, last_sec long, last_k int"
-    state = "secs array<long>, counts array<long>, last_sec long, last_k int"
-
-    def judge(key: tuple, parts: Iterator[pd.DataFrame], held: Any) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
-        secs, counts, last_sec, last_k = held.get if held.exists else ([], [], None, None)
-        seen = dict(zip(secs, counts, strict=True))
-        new = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        rows = []
-        for sec in new["sec"]:
-            seen[sec] = seen.get(sec, 0) + 1
-        order = np.array(sorted(seen))
-        upto = np.concatenate(([0], np.cumsum([seen[x] for x in order])))
-        for event, sec, k in zip(new["event_id"], new["sec"], new["k"], strict=True):
-            n = upto[np.searchsorted(order, sec)] - upto[np.searchsorted(order, sec - DAY)]
-            rows.append((event, key[0], int(n), last_sec, last_k))
-            last_sec, last_k = int(sec), int(k)
-        keep = [int(x) for x in order if x >= order[-1] - 2 * DAY]  # late events still find their day
-        held.update((keep, [int(seen[x]) for x in keep], last_sec, last_k))
-        held.setTimeoutTimestamp(max(int(order[-1] + 2 * DAY) * 1000, held.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=t) for i, (c, t) in enumerate(zip(["event_id", "user_id", "tx_count_24h", "last_sec", "last_k"], ["int64", "int64", "int64", "Int64", "Int32"], strict=True))})
-
-    return timed.groupBy("user_id").applyInPandasWithState(judge, out, state, "append", "EventTimeTimeout")
+    spark = steps[0].sparkSession
+    for step in steps:
+        step.write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(steps[0].schema).parquet(f"{folder}/in")
+        run_once(make(source), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out")
+
+
+def in_time_steps(events: DataFrame, steps: int = 3, ended: bool = True) -> list[DataFrame]:
+    """events in ranges of ts, and, if ``ended``, one row without a user far behind the last, which closes all windows."""
+    span = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    if span["low"] is None:
+        return [events]
+    cuts = [span["low"] + (span["high"] - span["low"]) * i / steps for i in range(1, steps)]
+    at = F.lit(0)
+    for cut in cuts:
+        at = at + (F.col("ts") > F.lit(cut)).cast("int")
+    parts = [events.where(F.coalesce(at, F.lit(0)) == i) for i in range(steps)]
+    if ended:
+        one = events.sparkSession.range(1)
+        mark = {f.name: F.lit(None).cast(f.dataType) for f in events.schema} | {"ts": F.lit(span["high"] + timedelta(days=400)).cast(events.schema["ts"].dataType)}
+        parts.append(one.select(*[mark[c].alias(c) for c in events.columns]))
+    return parts
 
 
 def run_once(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:

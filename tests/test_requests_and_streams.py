@@ -1,5 +1,6 @@
 """Edge cases of requests, file readers, and streams against batches."""
 
+import gzip
 import json
 
 import pytest
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 from riskloom.functions import dates, scalars
 from riskloom.operators.features import event_vectors
 from riskloom.plans import scoring
-from riskloom.sources import requests
+from riskloom.sources import json_array, lenient, requests
+from riskloom.streaming import connections
 from riskloom.streaming import scoring_stream as stream
 
 SF = "/root/testdata/sf0.001"
@@ -122,16 +124,99 @@ def test_stream_scores_equal_batch_scores(spark, tmp_path):
     assert found.count() == 40 and found.select(want.columns).exceptAll(want).count() == 0
 
 
-def test_user_state_equals_the_batch_windows(spark, tmp_path):
-    from riskloom.operators.features import event_base, user_history
+def test_a_user_away_for_a_week_keeps_the_last_event(spark, tmp_path):
+    from riskloom.operators.features import user_history
+    from riskloom.streaming.user_state import user_state
 
-    base = event_base(spark.read.parquet(f"{SF}/events.parquet")).where("user_id < 40")
-    cuts = base.approxQuantile("sec", [0.33, 0.66], 0.0)
-    parts = [base.where(f"sec <= {cuts[0]}"), base.where(f"sec > {cuts[0]} AND sec <= {cuts[1]}"), base.where(f"sec > {cuts[1]}")]
-    for i, p in enumerate(parts):
-        p.coalesce(1).write.parquet(f"file://{tmp_path}/in/{i}")
-    source = spark.readStream.schema(base.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"file://{tmp_path}/in")
-    stream.run_once(stream.user_state(source), f"file://{tmp_path}/out", f"file://{tmp_path}/cp")
+    day, start = 86400, 1_700_000_000
+    secs = {1: [0, 10, day, 8 * day, 8 * day + 5], 2: [5, 3 * day, 3 * day, 20 * day], 3: [4 * day], None: [day]}
+    rows = [(i, u, t) for i, (u, t) in enumerate((u, t) for u, each in secs.items() for t in each)]
+    base = spark.createDataFrame([(i, u, i % 7, start + t) for i, u, t in rows], "event_id long, user_id long, k int, sec long")
+    base = base.withColumns({"ts": F.timestamp_seconds("sec").cast("timestamp_ntz"), "cents": F.lit(100).cast("long")})
+    found = stream.run_in_steps(stream.in_time_steps(base, 5, False), user_state, f"file://{tmp_path}")
     columns = ["event_id", "user_id", "tx_count_24h", "last_sec", "last_k"]
-    found, want = spark.read.parquet(f"file://{tmp_path}/out").select(columns), user_history(base).select(columns)
+    found, want = found.select(columns), user_history(base).select(columns)
     assert found.count() == want.count() and found.exceptAll(want).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 10_000])
+def test_requests_come_whole_out_of_any_chunks(spark, tmp_path, size):
+    score = b"POST /fraud-score HTTP/1.1\r\ncontent-length: 3\r\n\r\n{1}"
+    flows = {1: score + b"GET /ready HTTP/1.1\r\n\r\n" + score, 2: score + b"POST /fraud-score HTTP/1.1\r\n\r\n" + score, 3: b"GET / HTTP/1.1\r\n\r\n" + score[:-1], 4: b""}
+    want = {1: ["score", "ready", "score"], 2: ["score", "bad"], 3: ["other"]}
+    chunks = [(c, k, data[at : at + size]) for c, data in flows.items() for k, at in enumerate(range(0, len(data), size))]
+    rows = spark.createDataFrame(chunks, "conn int, seq long, chunk binary")
+    late = [rows.where("seq % 3 = 1"), rows.where("seq % 3 = 2"), rows.where("seq % 3 = 0")]
+    found = stream.run_in_steps(late, connections.reassembled, f"file://{tmp_path}").orderBy("conn", "turn").collect()
+    assert {c: [r["route"] for r in found if r["conn"] == c] for c in want} == want and len(found) == 6
+    assert {r["body"] for r in found} == {"{1}", None} and [r["turn"] for r in found] == [0, 1, 2, 0, 1, 0]
+
+
+def test_streams_of_nothing(spark, tmp_path):
+    none = spark.read.parquet(f"{SF}/events.parquet").limit(0)
+    assert stream.run_in_steps(stream.in_time_steps(none), stream.window_counts, f"file://{tmp_path}").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (json.dumps(GOOD), True),
+        (json.dumps(GOOD).replace(",", " "), True),
+        (json.dumps(GOOD).replace(",", " , "), True),
+        (json.dumps(GOOD | {"x": {"y": ["}", {"z": 1}]}, "w": "a b", "v": -1.5e3}) + "rest", True),
+        (json.dumps(dict(reversed(GOOD.items()))), True),
+        ("[1]", False),
+        (None, False),
+        ("", False),
+        (json.dumps(GOOD)[:-1], False),
+        (json.dumps(GOOD).replace("500.0", "null"), False),
+        (json.dumps(GOOD).replace('"installments": 6', '"installments": 6.5'), False),
+        (json.dumps(GOOD).replace("false", "0"), False),
+    ],
+)
+def test_lenient_requests(spark, body, want):
+    rows = spark.createDataFrame([(1, body)], "id long, body string")
+    r = lenient.parse_lenient(rows).first()
+    assert r["malformed"] != want
+    if want:
+        flat = requests.flatten_payload(lenient.parse_lenient(rows)).first()
+        assert (flat["amount"], flat["installments"], flat["is_known"], flat["km_from_home"]) == (500.0, 6, True, pytest.approx(29.23))
+
+
+def test_lenient_numbers_and_members():
+    read = lambda x: lenient.read_request(b'{"transaction":{"amount":' + x + b"}}")
+    assert read(b"-1.25")["transaction"]["amount"] == -1.25 and read(b"1.5e2")["transaction"]["amount"] == 150.0 and read(b".5")["transaction"]["amount"] == 0.5
+    assert read(b"x") is None and read(b"1e") is None and read(b"true") is None
+    twice = b'{"merchant":{"id":"a" "mcc":"1"} "merchant":{"id":"b"} "last_transaction":null}'
+    assert lenient.read_request(twice) == {"merchant": {"id": "b", "mcc": "1"}, "last_transaction": None}
+    assert lenient.read_request(b'{"customer":{"known_merchants":["A" "B", "C"]}}')["customer"]["known_merchants"] == ["A", "B", "C"]
+    assert lenient.read_request(b'{"transaction":{"installments":4294967297}}')["transaction"]["installments"] == 1
+
+
+@pytest.mark.parametrize("split", ["64", "300", "1m"])
+def test_json_arrays_are_read_by_byte_ranges(spark, tmp_path, split):
+    odd = ['a } b', 'q " { [', "back\\slash", "", "line\nbreak", "é}]"]
+    rows = [{"vec": [i, -1.5], "name": odd[i % 6], "in": {"deep": [{"x": i}]} if i % 4 == 0 else None} for i in range(60)]
+    (tmp_path / "a.json").write_text(" [ " + ",\n".join(json.dumps(r, ensure_ascii=i % 2 == 0) for i, r in enumerate(rows)) + " ] \n")
+    (tmp_path / "e.json").write_text(json.dumps({"about": {"n": [1]}, "entries": rows, "tail": "}"}))
+    with gzip.open(tmp_path / "z.json.gz", "wt") as f:
+        json.dump(rows, f)
+    want = sorted(json.dumps(r, sort_keys=True) for r in rows)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for name, level in (("a.json", 1), ("e.json", 2), ("z.json.gz", 1)):
+            found = json_array.array_elements(spark, f"file://{tmp_path}/{name}", level)
+            assert sorted(json.dumps(json.loads(r["text"]), sort_keys=True) for r in found.collect()) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_one_bad_number_fails_an_array(spark, tmp_path):
+    (tmp_path / "bad.json").write_text('[{"vector": [1.0], "label": "fraud"}, {"vector": ["x"], "label": "fraud"}]')
+    (tmp_path / "none.json").write_text(" [ ] ")
+    assert json_array.read_json_array(spark, f"file://{tmp_path}/none.json", requests.VECTORS).count() == 0
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        json_array.read_json_array(spark, f"file://{tmp_path}/bad.json", requests.VECTORS).collect()

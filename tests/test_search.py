@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import clustering, ivf, knn, tree
+from riskloom.operators import blocks, clustering, ivf, knn, tree
+from riskloom.operators.boxtree import BoxTree, box_tree
 from riskloom.operators.features import event_vectors
 from riskloom.plans import scoring
 from riskloom.sources.index_store import open_index, write_index
@@ -17,8 +19,8 @@ SF, DIMS = "/root/testdata/sf0.01", 14
 def index(spark):
     vectors = event_vectors(spark.read.parquet(f"{SF}/events.parquet")).cache()
     centroids = vectors.where("vec_id % 157 = 0").select((F.col("vec_id") / 157).cast("int").alias("cluster_id"), "q").cache()
-    clusters, members = ivf.build_index(vectors, centroids, DIMS)
-    return vectors, centroids, clusters.cache(), members.cache()
+    clusters, pages = ivf.build_index(vectors, centroids, DIMS)
+    return vectors, centroids, clusters, pages, box_tree(centroids, clusters)
 
 
 def l2(a, b):
@@ -52,23 +54,23 @@ def plain_cascade(query, centroids, clusters, members, early, k=5, most=33):
 
 @pytest.mark.parametrize("early", [DIMS * 1000 * 1000, 60_000_000, 0])
 def test_cascade_equals_its_definition(index, early):
-    vectors, centroids, clusters, members = index
+    vectors, centroids, clusters, pages, boxes_ = index
     queries = vectors.where("vec_id % 50 = 0")
-    found = {r["query_id"]: r["n"] for r in ivf.search_cascade(queries, members, centroids, clusters, DIMS, early=early).collect()}
+    found = {r["query_id"]: r["n"] for r in ivf.search_cascade(queries, pages, boxes_, DIMS, early=early).collect()}
     c = {r["cluster_id"]: r["q"] for r in centroids.collect()}
     boxes = {r["cluster_id"]: (r["bbox_min"], r["bbox_max"]) for r in clusters.collect()}
     by = {}
-    for r in members.collect():
+    for r in clustering.assign_nearest(vectors, centroids).collect():
         by.setdefault(r["cluster_id"], []).append((r["vec_id"], r["q"], r["label"]))
     want = {r["vec_id"]: plain_cascade((r["vec_id"], r["q"]), c, boxes, by, early) for r in queries.collect()}
     assert found == want and len(set(want.values())) > 2
 
 
 def test_exact_searches_agree(index):
-    vectors, centroids, clusters, members = index
+    vectors, _, _, pages, boxes = index
     queries = vectors.where("vec_id % 100 = 0")
     a = knn.knn_exact(queries, vectors)
-    b = ivf.search_exact(queries, members, centroids, clusters, DIMS)
+    b = ivf.search_exact(queries, pages, boxes, DIMS)
     assert a.select(sorted(a.columns)).exceptAll(b.select(sorted(a.columns))).count() == 0 and a.count() == b.count() == 500
 
 
@@ -94,22 +96,61 @@ def test_search_of_few_members(spark):
 
 
 def test_index_on_disk(spark, index, tmp_path):
-    vectors, centroids, clusters, members = index
-    write_index(f"file://{tmp_path}/i", centroids, clusters, members)
-    c, b, m = open_index(spark, f"file://{tmp_path}/i")
+    vectors, centroids, clusters, pages, boxes = index
+    write_index(f"file://{tmp_path}/i", centroids, clusters, pages)
+    c, b, p = open_index(spark, f"file://{tmp_path}/i")
     queries = vectors.where("vec_id % 500 = 0")
-    a = ivf.search_exact(queries, m, c, b, DIMS)
-    assert a.exceptAll(ivf.search_exact(queries, members, centroids, clusters, DIMS)).count() == 0 and a.count() == 100
+    a = ivf.search_exact(queries, p, box_tree(c, b), DIMS)
+    assert a.exceptAll(ivf.search_exact(queries, pages, boxes, DIMS)).count() == 0 and a.count() == 100
+    assert "PushedFilters: [IsNotNull(cluster_id), EqualTo(cluster_id,7)]" in p.where("cluster_id = 7")._jdf.queryExecution().executedPlan().toString()
     spark.read.parquet(f"file://{tmp_path}/i/index_meta").withColumn("version", F.lit(3)).write.parquet(f"file://{tmp_path}/j/index_meta")
     with pytest.raises(ValueError, match="version"):
         open_index(spark, f"file://{tmp_path}/j")
 
 
-def test_members_are_pruned_by_partition(spark, index, tmp_path):
-    _, centroids, clusters, members = index
-    write_index(f"file://{tmp_path}/p", centroids, clusters, members)
-    one = open_index(spark, f"file://{tmp_path}/p")[2].where("cluster_id = 7")
-    assert "PartitionFilters: [isnotnull(cluster_id" in one._jdf.queryExecution().executedPlan().toString()
+def test_ids_keep_all_their_bits(spark, index):
+    big = [(1 << 60) + 3 * i + 1 for i in range(30)]
+    rows = [(v, i % 2, [i, i * i % 7]) for i, v in enumerate(big)]
+    members = spark.createDataFrame(rows, "vec_id long, label int, q array<int>")
+    found = knn.knn_exact(members.where(f"vec_id < {big[3]}"), members).collect()
+    want = set()
+    for v, _, q in rows[:3]:
+        near = sorted((l2(q, w), u) for u, _, w in rows if u != v)[:5]
+        want |= {(v, u, d, r + 1) for r, (d, u) in enumerate(near)}
+    assert {(r["query_id"], r["vec_id"], r["dist"], r["rank"]) for r in found} == want
+    centroids = members.where(f"vec_id IN ({big[5]}, {big[20]})").select((F.col("vec_id") % 2).cast("int").alias("cluster_id"), "q")
+    clusters, pages = ivf.build_index(members, centroids, 2)
+    again = ivf.search_exact(members.where(f"vec_id < {big[3]}"), pages, box_tree(centroids, clusters), 2).collect()
+    assert {(r["query_id"], r["vec_id"], r["dist"], r["rank"]) for r in again} == want
+
+
+def test_box_walks_equal_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    c = rng.integers(-50, 50, (300, 5)).astype(float)
+    low, high = c - rng.integers(0, 9, c.shape), c + rng.integers(0, 9, c.shape)
+    boxes = BoxTree(np.arange(300) * 3, c, low, high)
+    q = rng.integers(-60, 60, (80, 5)).astype(float)
+    bound = np.append(rng.integers(0, 2000, 79), 1 << 62).astype(float)
+    gap = np.maximum(np.maximum(low[None] - q[:, None], q[:, None] - high[None]), 0)
+    lb = (gap**2).sum(axis=2)
+    for strict in (True, False):
+        i, j, found, tested = boxes.within(q, bound, strict)
+        near = lb < bound[:, None] if strict else lb <= bound[:, None]
+        assert {(a, int(boxes.names[b]) // 3) for a, b in zip(i.tolist(), j.tolist(), strict=True)} == set(zip(*(x.tolist() for x in np.nonzero(near)), strict=True))
+        assert all(lb[a, boxes.names[b] // 3] == x for a, b, x in zip(i, j, found, strict=True)) and tested < lb.size
+    d = ((q[:, None] - c[None]) ** 2).sum(axis=2)
+    assert boxes.names[boxes.nearest(q)].tolist() == (d.argmin(axis=1) * 3).tolist()
+
+
+def test_searches_without_clusters_or_queries(spark, index):
+    vectors, _, _, pages, boxes = index
+    none = vectors.limit(0)
+    assert ivf.search_exact(none, pages, boxes, DIMS).count() == 0 and ivf.search_cascade(none, pages, boxes, DIMS).count() == 0
+    clusters, no_pages = ivf.build_index(none, index[1], DIMS)
+    empty = box_tree(index[1], clusters)
+    some = vectors.where("vec_id < 3")
+    assert ivf.search_exact(some, no_pages, empty, DIMS).count() == 0
+    assert {r["n"] for r in ivf.search_cascade(some, no_pages, empty, DIMS).collect()} == {0}
 
 
 def test_fitted_centroids_and_trees(index):
@@ -146,12 +187,14 @@ def test_boxes_give_the_same_leaves(spark, index):
     assert tree.predict_boxes(vectors, nodes).select("vec_id", "leaf_id").exceptAll(tree.predict(vectors, nodes).select("vec_id", "leaf_id")).count() == 0
 
 
-def test_members_keep_their_order_over_ranges(index):
-    rows = index[3].select("cluster_id", "cdist", "vec_id", "pos").collect()
+def test_members_keep_their_order_over_ranges(spark):
+    """One cluster owns most members, most of them at one distance."""
+    rows = [(i, 0, [0], 7, 5 if i % 3 else i) for i in range(3000)] + [(5000 + i, 0, [0], i % 4, i) for i in range(50)]
+    placed = ivf.member_layout(spark.createDataFrame(rows, "vec_id long, label int, q array<int>, cluster_id int, cdist long").repartition(7)).collect()
     by = {}
-    for r in rows:
-        by.setdefault(r["cluster_id"], []).append((r["cdist"], r["vec_id"], r["pos"]))
-    assert all([p for _, _, p in sorted(v)] == list(range(len(v))) for v in by.values())
+    for r in placed:
+        by.setdefault(r["cluster_id"], []).append((r["cdist"], r["vec_id"], r["pos"], r["block"] * 8 + r["lane"]))
+    assert len(placed) == len(rows) and all([(p, b) for _, _, p, b in sorted(v)] == [(k, k) for k in range(len(v))] for v in by.values())
 
 
 def test_lloyd_rounds_seed_lost_clusters_again(spark):
@@ -162,25 +205,26 @@ def test_lloyd_rounds_seed_lost_clusters_again(spark):
 
 
 def test_searches_in_small_blocks_agree(index, monkeypatch):
-    vectors, centroids, clusters, members = index
-    queries = vectors.where("vec_id % 100 = 0")
-    want = ivf.search_exact(queries, members, centroids, clusters, DIMS)
-    cascade = ivf.search_cascade(queries, members, centroids, clusters, DIMS)
-    kept, n = {tuple(r) for r in want.collect()}, {tuple(r) for r in cascade.collect()}
-    monkeypatch.setattr(ivf, "PAIR_BYTES", 400)
-    monkeypatch.setattr(ivf, "CELLS", 256)
-    some = vectors.where("vec_id % 2000 = 0")
-    assert {tuple(r) for r in ivf.search_exact(some, members, centroids, clusters, DIMS).collect()} == {r for r in kept if r[0] % 2000 == 0}
-    assert {tuple(r) for r in ivf.search_cascade(some, members, centroids, clusters, DIMS).collect()} == {r for r in n if r[0] % 2000 == 0}
+    vectors, centroids, clusters, pages, boxes = index
+    queries = vectors.where("vec_id % 400 = 0")
+    want = {tuple(r) for r in ivf.search_exact(queries, pages, boxes, DIMS).collect()}
+    n = {tuple(r) for r in ivf.search_cascade(queries, pages, boxes, DIMS).collect()}
+    monkeypatch.setattr(blocks, "SENT_BYTES", 0)
+    monkeypatch.setattr(blocks, "QUERY_ROWS", 3)
+    monkeypatch.setattr(blocks, "PAGE_BLOCKS", 2)
+    small = blocks.to_pages(ivf.member_layout(clustering.assign_nearest(vectors, centroids))).cache()
+    assert small.agg(F.max("n")).first()[0] == 16
+    assert {tuple(r) for r in ivf.search_exact(queries, small, boxes, DIMS).collect()} == want
+    assert {tuple(r) for r in ivf.search_cascade(queries, small, boxes, DIMS).collect()} == n
 
 
 def test_staged_scores_use_safe_leaves(spark, index):
-    vectors, centroids, clusters, members = index
+    vectors, _, _, pages, boxes = index
     queries = vectors.where("vec_id % 250 = 0")
     nodes = tree.balanced_tree(spark, [9], [5000])
     leaves = spark.createDataFrame([(0, 4, True), (1, 0, False)], "leaf_id int, count int, safe boolean")
-    found = {r["query_id"]: r["n"] for r in scoring.score_staged(queries, members, centroids, clusters, nodes, leaves).collect()}
-    searched = {r["query_id"]: r["n"] for r in ivf.search_cascade(queries, members, centroids, clusters, DIMS).collect()}
+    found = {r["query_id"]: r["n"] for r in scoring.score_staged(queries, pages, boxes, nodes, leaves).collect()}
+    searched = {r["query_id"]: r["n"] for r in ivf.search_cascade(queries, pages, boxes, DIMS).collect()}
     assert found == {r["vec_id"]: 4 if r["q"][9] <= 5000 else searched[r["vec_id"]] for r in queries.collect()}
 
 
@@ -199,3 +243,51 @@ def test_synthetic_queries_repeat(spark, index):
     a, b = random_vectors(spark, 50).collect(), random_vectors(spark, 50).repartition(7).orderBy("vec_id").collect()
     assert a == b and all(-10000 <= x < 10000 for r in a for x in r["q"])
     assert knn.knn_exact(random_vectors(spark, 20), index[0]).groupBy("query_id").count().where("count = 5").count() == 20
+
+
+def test_samples_have_an_exact_size(spark, monkeypatch):
+    rows = spark.range(20_000).select(F.col("id").alias("vec_id"), (F.col("id") % 5).cast("double").alias("w")).repartition(9)
+    whole = [r["vec_id"] for r in rows.withColumn("u", clustering.unit_hash("s")).orderBy("u", "vec_id").limit(3000).collect()]
+    least = clustering.least_rows
+    monkeypatch.setattr(clustering, "least_rows", lambda r, key, n: least(r, key, n, 100))  # the branch of large tables
+    assert {r["vec_id"] for r in clustering.sample_exact(rows, 3000, "s").collect()} == set(whole)
+    assert clustering.sample_exact(rows, 30_000, "s").count() == 20_000 and clustering.sample_exact(rows, 0, "s").count() == 0
+    heavy = clustering.sample_exact(rows, 2000, "s", "w").groupBy("w").count().collect()
+    share = {r["w"]: r["count"] for r in heavy}
+    assert sum(share.values()) == 2000 and 0.0 not in share and 3 < share[4.0] / share[1.0] < 5
+    assert clustering.sample_exact(rows.limit(0), 5, "s").count() == 0
+
+
+def test_parallel_seeds_beat_the_first_members(spark, index):
+    vectors = index[0]
+    found, log = clustering.parallel_seeds(vectors, 20, 3)
+    assert [k for k, _, _ in log] == [0, 1, 2, 3] and all(a[2] > b[2] for a, b in zip(log, log[1:], strict=False)) and found.count() == log[-1][1]
+    fitted = clustering.fit_centroids(vectors, 16, DIMS, iterations=3, sample_rows=4000)
+    first = vectors.orderBy("vec_id").limit(16).select((F.col("vec_id")).cast("int").alias("cluster_id"), "q")
+    cost = lambda c: clustering.sse(clustering.assign_nearest(vectors, c)).first()["total"]
+    assert fitted.count() <= 16 and cost(fitted) < 0.8 * cost(first)
+    same = spark.createDataFrame([(i, 0, [1, 1]) for i in range(9)], "vec_id long, label int, q array<int>")
+    assert clustering.fit_centroids(same, 4, 2).collect()[0]["q"] == [1, 1]
+
+
+def test_uneven_trees_have_their_shape():
+    for splits, depth in ((1, 1), (5, 5), (26, 26), (100, 9), (511, 26)):
+        shape = tree.uneven_shape(splits, depth)
+        leaves, levels, todo = [], 0, [(0, 1)]
+        while todo:
+            node, level = todo.pop()
+            levels = max(levels, level)
+            for child in shape[node]:
+                leaves.append(-1 - child) if child < 0 else todo.append((child, level + 1))
+        assert levels == depth and sorted(leaves) == list(range(splits + 1))
+
+
+def test_pruned_scans_leave_blocks(spark, index):
+    vectors, _, _, pages, boxes = index
+    queries = vectors.where("vec_id % 1000 = 0").select(F.col("vec_id").alias("query_id"), "q")
+    wanted = queries.crossJoin(spark.createDataFrame([(int(c),) for c in boxes.names], "cluster_id int")).withColumn("bound", F.lit(30_000_000).cast("long")).cache()
+    a = blocks.prune_pages(wanted, pages, DIMS).select("query_id", "vec_id", "dist")
+    b = blocks.scan_pages(wanted, pages, DIMS, None).select("query_id", "vec_id", "dist")
+    assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
+    left = blocks.blocks_left(wanted, pages, DIMS).agg(F.sum("n_blocks"), F.sum("left_0"), F.sum("left_1"), F.sum("left_2")).first()
+    assert left[0] > sum(left[1:]) > left[0] / 2 and left[1] > 0 and left[2] > 0
