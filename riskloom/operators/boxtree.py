@@ -26,7 +26,7 @@ class BoxTree:
     """names, centroids, low, high by cluster, in the order of groups; first and last of each group, and the groups' boxes."""
 
     def __init__(self, names: np.ndarray, centroids: np.ndarray, low: np.ndarray, high: np.ndarray):
-        size, todo, leaves = max(1, round(len(names) ** 0.5)), [np.argsort(names)], []
+        size, todo, leaves = max(1, round(len(names) ** 0.5)), [np.argsort(names)] * (len(names) > 0), []
         while todo:
             own = todo.pop()
             if len(own) <= size:

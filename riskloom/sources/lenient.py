@@ -3,7 +3,7 @@
 Members may come in any order and without commas, a name may come twice (the last counts), what is unknown is skipped, and what follows
 the outermost object is not looked at. A string ends at the next quote. A whole number is a run of digits; another number without an exponent is its
 whole part plus its fraction, each in single precision. An object, list, name or known value of another form makes the request malformed.
-What is skipped must be closed by a comma or bracket if it is neither text, object nor list.
+What is skipped ends at its own closing bracket, those in strings counted, or, if it is neither text, object nor list, at a comma or bracket.
 """
 
 from __future__ import annotations

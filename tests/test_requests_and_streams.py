@@ -163,7 +163,7 @@ def test_streams_of_nothing(spark, tmp_path):
         (json.dumps(GOOD), True),
         (json.dumps(GOOD).replace(",", " "), True),
         (json.dumps(GOOD).replace(",", " , "), True),
-        (json.dumps(GOOD | {"x": {"y": ["}", {"z": 1}]}, "w": "a b", "v": -1.5e3}) + "rest", True),
+        (json.dumps(GOOD | {"x": {"y": ["]", {"z": 1}]}, "w": "a } b", "v": -1.5e3}) + "rest", True),
         (json.dumps(dict(reversed(GOOD.items()))), True),
         ("[1]", False),
         (None, False),
