@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import BROADCAST_BYTES, bounded, free_name, lookup, with_row_id, write_table
 from riskloom.llm.lm_scoring import _mix
-from riskloom.llm.simhash import _dealt, _signed, _whole_nodes, components, in_blocks, shingle_set
+from riskloom.llm.simhash import _signed, _whole_nodes, components, shingle_set
 
 #: Sets up to so many shingles may be light.
 LIGHT_MOST = 32
@@ -43,8 +43,10 @@ LIGHT_MOST = 32
 FREQUENT, MET, CHUNK = 1 << 17, 32, 1 << 20
 #: Bits of the folded sketch that travels with list entries, at least and at most, powers of two.
 MINI = (256, 1024)
-#: Rounds that verify a set of a list against its hub, then against the nearest of another class; entries of a list that one task compares with each other.
-HUB_ROUNDS, NEAR_ROUNDS, LIST_ROWS = 1, 2, 8192
+#: Rounds that verify a set of a list against the nearest of another class only; entries of a list that one task compares with each other; lists up to so many are compared together.
+NEAR_ROUNDS, LIST_ROWS, SHORT = 3, 8192, 64
+#: Bytes of the table of lists up to which it is broadcast.
+LISTS_BYTES = 48 << 20
 PART = 1 << 30
 
 
@@ -213,48 +215,94 @@ def sets_of(wanted: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return write_table(texts.join(some, F.col("row_id") == F.col("_row")).select("text").mapInArrow(run, "set_id bigint, s array<bigint>"), "shingle-sets")
 
 
+class _Entries:
+    """The entries of whole lists in a task, and which pairs of them can link."""
+
+    def __init__(self, table: pa.Table, starts: np.ndarray, light: int, percent: int):
+        self.own, self.root, self.size, self.side, task = (table.column(c).to_numpy() for c in ("fp", "root", "size", "side", "task"))
+        self.single = (task >> 31) == (task & ((1 << 31) - 1))
+        self.starts, self.ends = starts, np.append(starts[1:], len(self.own))
+        self.group = np.repeat(np.arange(len(starts)), self.ends - starts)
+        self.light, self.percent = light, percent
+        minis = table.column("mini").to_pylist()
+        self.bits = np.array([8 * len(x) for x in minis])
+        self.words: dict[int, np.ndarray] = {}
+        self.at: dict[int, np.ndarray] = {}
+        widths = np.unique(self.bits).tolist()
+        for w in widths:  # sets that link differ in size by less than twice, so in width by one step
+            parts, self.at[w] = [], np.zeros(len(minis), np.int64)
+            n = 0
+            for wide in (w, 2 * w):
+                rows = np.nonzero(self.bits == wide)[0]
+                if len(rows):
+                    parts.append(folded(np.frombuffer(b"".join([minis[k] for k in rows]), np.uint8).reshape(len(rows), -1), w).copy())
+                    self.at[w][rows] = n + np.arange(len(rows))
+                    n += len(rows)
+            self.words[w] = np.concatenate(parts).view(np.uint64)
+
+    def able(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, how much they differ at least) of those that can link and are not linked yet."""
+        a, b = self.size[i], self.size[j]
+        keep = (self.root[i] != self.root[j]) & (100 * np.minimum(a, b) >= self.percent * np.maximum(a, b)) & (np.maximum(a, b) > self.light)
+        keep &= self.single[i] | (self.side[i] != self.side[j])
+        i, j = i[keep], j[keep]
+        apart = np.zeros(len(i), np.int64)
+        width = np.minimum(self.bits[i], self.bits[j])
+        for w, words in self.words.items():
+            k = np.nonzero(width == w)[0]
+            for at in range(0, len(k), 1 << 15):
+                some = k[at : at + (1 << 15)]
+                apart[some] = np.bitwise_count(words[self.at[w][i[some]]] ^ words[self.at[w][j[some]]]).sum(axis=1, dtype=np.int64)
+        fits = _near_enough(apart, self.size[i] + self.size[j], self.percent)
+        return i[fits], j[fits], apart[fits]
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """What ``able`` leaves of all pairs (i, j) of a list; all of an i at once."""
+        n = self.ends - self.starts
+        short, found = (n <= SHORT)[self.group], []
+        for step in range(1, min(SHORT, len(self.own))):
+            i = np.nonzero((self.group[step:] == self.group[:-step]) & short[step:])[0]
+            if not len(i):
+                break
+            found.append(self.able(i, i + step))
+        if found:
+            yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        for k in np.nonzero(n > SHORT)[0]:
+            start, end = self.starts[k], self.ends[k]
+            for at in range(start, end, 128):
+                i, j = np.nonzero((self.root[at : min(at + 128, end), None] != self.root[None, start:end]) & (np.arange(start, end)[None, :] > np.arange(at, min(at + 128, end))[:, None]))
+                yield self.able(i + at, j + start)
+
+
 def open_pairs(lists: DataFrame, light: int, percent: int, nearest: bool) -> DataFrame:
-    """(a, b): pairs of one list, not both light, whose classes differ and which can link by their sizes and folded sketches; with ``nearest`` about one of each set.
+    """(a, b, token): pairs of one list, not both light, whose classes differ and which can link by their sizes and folded sketches; with ``nearest`` one of each set and list.
 
-    lists: mask (the list), value, task and side of ``in_blocks``, fp (the set), root, size, mini.
+    lists: token, task and side (see ``in_list_blocks``), fp (the set), root, size, mini.
     """
 
-    def pairs(table: pa.Table, start: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        task, side, root, size = (table.column(k).slice(start, end - start).to_numpy() for k in (2, 3, 5, 6))
-        if end - start < 2 or (root == root[0]).all():
-            return
-        minis = table.column(7).slice(start, end - start).to_pylist()
-        bits = np.array([8 * len(x) for x in minis])
-        single = task[0] >> 31 == task[0] & ((1 << 31) - 1)
-        for width in np.unique(bits):  # sets that link differ in size by less than twice, so in width by one step
-            own = np.nonzero((bits == width) | (bits == 2 * width))[0]
-            words = np.stack([folded(np.frombuffer(minis[k], np.uint8), width) for k in own]).view(np.uint64)
-            small, r, n, t = bits[own] == width, root[own], size[own], side[own]
-            for at in range(0, len(own), 256):
-                x = slice(at, at + 256)
-                able = (r[x, None] != r[None, :]) & (small[x, None] | small[None, :]) & (np.arange(len(own))[None, :] > np.arange(at, min(at + 256, len(own)))[:, None])
-                able &= (100 * np.minimum(n[x, None], n[None, :]) >= percent * np.maximum(n[x, None], n[None, :])) & (np.maximum(n[x, None], n[None, :]) > light)
-                if not single:
-                    able &= t[x, None] != t[None, :]
-                i, j = np.nonzero(able)
-                for k in range(0, len(i), 1 << 14):
-                    p, q = i[k : k + (1 << 14)] + at, j[k : k + (1 << 14)]
-                    apart = np.bitwise_count(words[p] ^ words[q]).sum(axis=1, dtype=np.int64)
-                    fits = np.nonzero(_near_enough(apart, n[p] + n[q], percent))[0]
-                    if nearest and len(fits):
-                        fits = fits[np.lexsort((apart[fits], p[fits]))]
-                        fits = fits[np.append(True, p[fits][1:] != p[fits][:-1])]
-                    yield start + own[p[fits]], start + own[q[fits]]
-
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in _whole_nodes(parts, 3):
-            own = table.column(4).to_numpy()
-            found = [x for start, end in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True) for x in pairs(table, start, end) if len(x[0])]
-            if found:
-                i, j = (own[np.concatenate([x[k] for x in found])] for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(i, j)), pa.array(np.minimum(i, j))], ["a", "b"])
-
-    return _dealt(lists.select("mask", "value", "task", "side", "fp", "root", "size", "mini")).mapInArrow(run, "a bigint, b bigint").distinct()
+        for table, starts in _whole_nodes(parts, 2):
+            token, entries = table.column("token").to_numpy(), _Entries(table, starts, light, percent)
+            for i, j, apart in entries.pairs():
+                if nearest and len(i):
+                    order = np.lexsort((apart, i))
+                    order = order[np.append(True, i[order][1:] != i[order][:-1])]
+                    i, j = i[order], j[order]
+                if len(i):
+                    one, two = entries.own[i], entries.own[j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two)), pa.array(token[i])], ["a", "b", "token"])
+
+    parts = max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = lists.select("token", "task", "side", "fp", "root", "size", "mini").repartition(parts, "token", "task").sortWithinPartitions("token", "task")
+    return dealt.mapInArrow(run, "a bigint, b bigint, token bigint")
+
+
+def in_list_blocks(entries: DataFrame, large: DataFrame) -> DataFrame:
+    """entries with task and side: those of large lists (token, n) fall into blocks by hash, and each two blocks, and each one, meet in a task; no pair is lost."""
+    large = F.broadcast(large) if large.count() * 32 <= BROADCAST_BYTES else large
+    own = entries.join(large, "token", "left").withColumn("blocks", F.ceil(F.coalesce("n", F.lit(1)) / LIST_ROWS))
+    own = own.withColumn("side", F.pmod(F.xxhash64("set_id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return own.withColumn("task", F.shiftleft(F.least("side", "other"), 31) + F.greatest("side", "other")).drop("n", "blocks", "other")
 
 
 def _near_enough(apart: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -299,29 +347,21 @@ class _Verifier:
         return both.where(100 * shared >= self.percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
-def heavy_links(own: DataFrame, entries: DataFrame, stars: DataFrame, light: int, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Classes as of ``components`` under the given stars and all links that the lists (entries: part, token, set_id, size) show."""
-    verifier, n = _Verifier(own, texts, words, percent), entries.count()
-
-    def rooted(rows: DataFrame) -> DataFrame:
-        return rows.join(stars.select(F.col("a").alias("set_id"), F.col("b").alias("root")), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-
-    for k in range(HUB_ROUNDS + NEAR_ROUNDS + 1):
-        rows = write_table(rooted(entries), "entries")
-        hub = F.min_by(F.struct("set_id", "size", "root"), F.xxhash64("set_id", F.lit(k))).alias("hub")
-        mixed = rows.groupBy("part", "token").agg(F.count("*").alias("n"), hub, F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
-        mixed = write_table(mixed.select("part", "token", "n", F.col("hub.set_id").alias("h"), F.col("hub.size").alias("hsize"), F.col("hub.root").alias("hroot")), "lists")
-        if not mixed.limit(1).count():
+def heavy_links(own: DataFrame, entries: DataFrame, large: DataFrame, stars: DataFrame, light: int, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Classes as of ``components`` under the given stars and all links that the lists (entries: token, set_id, size; large: those that are cut) show."""
+    verifier = _Verifier(own, texts, words, percent)
+    for k in range(NEAR_ROUNDS + 1):
+        roots = stars.select(F.col("a").alias("set_id"), F.col("b").alias("root"))
+        sets = own.select("set_id", "mini").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        lists = in_list_blocks(entries, large).join(sets, "set_id").withColumnRenamed("set_id", "fp")
+        found = write_table(open_pairs(lists, light, percent, k < NEAR_ROUNDS), "open-pairs")
+        if not found.limit(1).count():
             return stars
-        met = lookup(rows, mixed, ["part", "token"], n, 64, "inner", F.xxhash64("set_id"))
-        if k < HUB_ROUNDS:
-            able = (F.col("root") != F.col("hroot")) & (100 * F.least("size", "hsize") >= percent * F.greatest("size", "hsize")) & (F.greatest("size", "hsize") > light)
-            pairs = met.where(able).select(F.greatest("set_id", "h").alias("a"), F.least("set_id", "h").alias("b")).distinct()
-        else:
-            nodes = met.select(F.col("token").alias("mask"), F.lit(0).cast("long").alias("value"), F.col("set_id").alias("fp"), "root", "size")
-            nodes = in_blocks(nodes, F.lit(1), LIST_ROWS)
-            pairs = open_pairs(nodes.join(own.select(F.col("set_id").alias("fp"), "mini"), "fp"), light, percent, k < HUB_ROUNDS + NEAR_ROUNDS)
-        stars = components(stars.unionByName(verifier.links(pairs)))
+        stars = components(stars.unionByName(verifier.links(found.select("a", "b").distinct())))
+        if k < NEAR_ROUNDS:  # the other lists have no pair that can link
+            still = write_table(found.select("token").distinct(), "open-lists")
+            still = F.broadcast(still) if still.count() * 32 <= LISTS_BYTES else still
+            entries = write_table(entries.join(still, "token", "left_semi"), "entries")
     return stars
 
 
@@ -342,8 +382,9 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     light = boundary(sizes, met / max(1, total) + 1, percent)
     stars = components(light_links(own, light, percent))
     near = entries.where(F.col("size") * 100 >= percent * (light + 1))  # those that a heavy set may link to
-    shared = lookup(near, lists, ["part", "token"], total, 32, "inner", F.xxhash64("set_id")).select("part", "token", "set_id", "size")
-    stars = heavy_links(own, write_table(shared, "entries"), stars, light, texts, words, percent)
+    shared = lookup(near, lists, ["part", "token"], total, 32, "inner", F.xxhash64("set_id"), LISTS_BYTES).select("token", "set_id", "size")
+    large = lists.where(F.col("n") > LIST_ROWS).select("token", "n")
+    stars = heavy_links(own, write_table(shared, "entries"), large, stars, light, texts, words, percent)
 
     rooted = stars.select(F.col("a").alias("set_id"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("set_id"), F.col("b").alias("root")).distinct())
     rooted = write_table(rooted.join(own.select("set_id", "n", "first"), "set_id").withColumn("part", part("root")), "rooted")
