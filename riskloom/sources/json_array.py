@@ -114,10 +114,10 @@ def array_elements(spark: SparkSession, path: str, level: int = 1) -> DataFrame:
     return found.where("turn IS NULL").select("text").unionByName(joined.select("text"))
 
 
-def read_json_array(spark: SparkSession, path: str, schema: T.StructType, level: int = 1) -> DataFrame:
-    """The elements as rows; one value of another kind fails the read."""
+def read_json_array(spark: SparkSession, path: str, schema: T.StructType, level: int = 1, mode: str = "FAILFAST") -> DataFrame:
+    """The elements as rows; one value of another kind fails the read, unless the mode is PERMISSIVE."""
     rows = array_elements(spark, path, level)
-    return rows.select(F.from_json("text", schema, {"mode": "FAILFAST"}).alias("o")).select("o.*")
+    return rows.select(F.from_json("text", schema, {"mode": mode}).alias("o")).select("o.*")
 
 
 def write_json_array(rows: DataFrame, path: str, compression: str = "none") -> None:

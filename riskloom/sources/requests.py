@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from riskloom.functions import scalars as S
 from riskloom.functions.dates import epoch_seconds, parse_ts
+from riskloom.sources.json_array import read_json_array
 
 
 def _struct(**fields: T.DataType) -> T.StructType:
@@ -36,9 +37,8 @@ _NOT_NULL = [
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """(vector of 14 floats, is_fraud) from a JSON array file; plain or gzip. Objects without vector or label are left out; any bad value fails the read."""
-    rows = spark.read.schema(VECTORS).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return labelled_vectors(rows)
+    """(vector of 14 floats, is_fraud) from a JSON array file, by byte ranges; plain or gzip. Objects without vector or label are left out; any bad value fails the read."""
+    return labelled_vectors(read_json_array(spark, path, VECTORS))
 
 
 def labelled_vectors(rows: DataFrame) -> DataFrame:
@@ -47,8 +47,8 @@ def labelled_vectors(rows: DataFrame) -> DataFrame:
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    """(request, expected_approved, expected_fraud_score), one row per calibration entry."""
-    return spark.read.schema(ENTRIES).option("multiLine", True).json(path).select(F.explode("entries").alias("e")).select("e.*")
+    """(request, expected_approved, expected_fraud_score), one row per calibration entry, by byte ranges."""
+    return read_json_array(spark, path, ENTRIES["entries"].dataType.elementType, 2, "PERMISSIVE")
 
 
 def read_http(rows: DataFrame) -> DataFrame:
