@@ -167,10 +167,9 @@ bucket AS MATERIALIZED (
     SELECT f, CAST(xor(xor(crc.c, zero.c), 4294967295::UBIGINT) % 10000 AS INTEGER) AS k
     FROM feature JOIN crc ON crc.fid = feature.fid JOIN zero ON zero.n = octet_length(bytes)),
 held AS MATERIALIZED (SELECT side, id, k FROM each JOIN bucket ON each.f = bucket.f),
-total AS (SELECT count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM held),
-gain AS (
-    SELECT k, CAST(floor(1000 * ln((count(*) FILTER (side = 'b') + 1)::DOUBLE * (any_value(t) + 10000)::DOUBLE / ((count(*) FILTER (side = 'd') + 1)::DOUBLE * (any_value(s) + 10000)::DOUBLE))) AS BIGINT) AS g
-    FROM held, total GROUP BY k),
+counts AS MATERIALIZED (SELECT k, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM held GROUP BY k),
+total AS MATERIALIZED (SELECT sum(s)::DOUBLE AS all_s, sum(t)::DOUBLE AS all_t FROM counts),
+gain AS MATERIALIZED (SELECT k, CAST(floor(1000 * ln((t + 1)::DOUBLE * (all_s + 10000::DOUBLE) / ((s + 1)::DOUBLE * (all_t + 10000::DOUBLE)))) AS BIGINT) AS g FROM counts, total),
 weighed AS (SELECT id, count(*) AS n_features, sum(g) AS weight FROM held JOIN gain ON held.k = gain.k WHERE side = 'd' GROUP BY id),
 scored AS (
     SELECT raw.id AS doc_id, coalesce(n_features, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, len(w) >= 20 AS able,
