@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.scalars import SCALE
 
 #: The mark of an index of this library, and the version of its layout.
-MAGIC, VERSION = 0x4C4F4F4D, 6
+MAGIC, VERSION = 0x4C4F4F4D, 7
 
 
 def write_index(path: str, centroids: DataFrame, clusters: DataFrame, pages: DataFrame) -> None:

@@ -291,3 +291,28 @@ def test_pruned_scans_leave_blocks(spark, index):
     assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
     left = blocks.blocks_left(wanted, pages, DIMS).agg(F.sum("n_blocks"), F.sum("left_0"), F.sum("left_1"), F.sum("left_2")).first()
     assert left[0] > sum(left[1:]) > left[0] / 2 and left[1] > 0 and left[2] > 0
+
+
+def test_pages_keep_scans_to_the_members_near_a_query(spark, index):
+    vectors = index[0]
+    few, many = vectors.where("vec_id < 2500"), vectors
+    pairs = []
+    for members in (few, many):
+        pages = blocks.to_pages(members.select(F.lit(0).alias("cluster_id"), F.lit(0).alias("pos"), "vec_id", "label", "q")).cache()
+        wanted = members.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "q", F.lit(0).alias("cluster_id"), F.lit(None).cast("long").alias("bound"))
+        trees = blocks.PageTrees(pages)
+        bounded = blocks.with_bounds(wanted, pages, trees, DIMS, 5).cache()
+        assert pages.agg(F.sum("n")).first()[0] == members.count() and bounded.where("bound IS NULL").count() == 0
+        pairs.append(blocks.paged(bounded, trees).join(pages.select("page", "n"), "page").agg(F.sum("n")).first()[0] / (bounded.count() * members.count()))
+    assert pairs[1] < 0.9 * pairs[0] and pairs[1] < 0.75  # brute force has 1
+
+
+def test_nearest_members_equal_brute_force_with_copies(spark, index, monkeypatch):
+    monkeypatch.setattr(blocks, "PAGE_BLOCKS", 4)
+    monkeypatch.setattr(blocks, "GROUP_PAGES", 2)
+    monkeypatch.setattr(blocks, "SENT_BYTES", 0)
+    one = index[0].where("vec_id < 1500").select("vec_id", "label", "q")
+    members = one.unionByName(one.select((F.col("vec_id") + 10_000).alias("vec_id"), "label", "q")).unionByName(spark.range(20_000, 21_000).select(F.col("id").alias("vec_id"), F.lit(1).alias("label"), F.array(*[F.lit(5)] * DIMS).alias("q"))).cache()
+    queries = members.where("vec_id % 100 = 0")
+    found, want = blocks.nearest_members(queries, members, DIMS), knn.knn_exact(queries, members)
+    assert found.count() == want.count() == 5 * queries.count() and found.exceptAll(want.select(found.columns)).count() == 0
