@@ -18,36 +18,41 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class UserPast(StatefulProcessor):
-    """A map of the user's recent seconds, each with its events and a timer that removes it, and one value that never expires: the last event."""
+    """One value a user: the last event, which never expires, and its recent seconds with their events. It is read and written once a batch;
+    seconds go when they are too old for any event that may still come, those of a user who falls silent by one timer."""
 
     def init(self, handle: Any) -> None:
         self.handle = handle
-        self.seconds = handle.getMapState("seconds", "sec long", "n long")
-        self.last = handle.getValueState("last", "us long, event_id long, sec long, k int")
+        self.past = handle.getValueState("past", "us long, event_id long, sec long, k int, seconds array<long>, n array<long>")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = pd.concat(list(rows)).sort_values(["us", "event_id"])
-        seen = {sec[0]: n[0] for sec, n in self.seconds.iterator()}
-        fresh = new.groupby("sec").size()
-        for sec, n in fresh.items():
-            if sec not in seen:
-                self.handle.registerTimer(int(sec + KEPT) * 1000)
-            seen[int(sec)] = seen.get(int(sec), 0) + int(n)
-            self.seconds.updateValue((int(sec),), (seen[int(sec)],))
-        order = np.array(sorted(seen))
-        upto = np.concatenate(([0], np.cumsum([seen[x] for x in order])))
-        n24 = upto[np.searchsorted(order, new["sec"])] - upto[np.searchsorted(order, new["sec"] - DAY)]
-        last = self.last.get() if self.last.exists() else None
-        names = ["us", "event_id", "sec", "k"]
-        before = pd.DataFrame([last if last is not None else [None] * 4], columns=names)
-        past = pd.concat([before, new[names].iloc[:-1]], ignore_index=True)
-        latest = tuple(int(x) for x in new[names].iloc[-1])
-        if last is None or latest[:2] > tuple(last)[:2]:
-            self.last.update(latest)
-        yield pd.DataFrame({"event_id": new["event_id"].to_numpy(), "user_id": key[0], "tx_count_24h": n24, "last_sec": past["sec"].astype("Int64"), "last_k": past["k"].astype("Int32")})
+        parts = list(rows)
+        us, event_id, sec, k = (np.concatenate([p[c].to_numpy() for p in parts]) for c in ("us", "event_id", "sec", "k"))
+        order = np.lexsort((event_id, us))
+        us, event_id, sec, k = us[order], event_id[order], sec[order], k[order]
+        old = self.past.get()
+        kept = ([], []) if old is None else (old[4], old[5])
+        seconds, at = np.unique(np.concatenate([np.array(kept[0], np.int64), sec]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([np.array(kept[1], np.int64), np.ones(len(sec), np.int64)]), len(seconds)).astype(np.int64)
+        upto = np.concatenate(([0], np.cumsum(n)))
+        n24 = upto[np.searchsorted(seconds, sec)] - upto[np.searchsorted(seconds, sec - DAY)]
+        first = np.arange(len(sec)) == 0
+        none, last = first & (old is None), (0, 0, 0, 0) if old is None else old[:4]
+        last_sec, last_k = np.concatenate(([last[2]], sec[:-1])), np.concatenate(([last[3] or 0], k[:-1]))
+        latest = (int(us[-1]), int(event_id[-1]), int(sec[-1]), None if pd.isna(k[-1]) else int(k[-1]))
+        if old is not None and latest[:2] < tuple(old[:2]):
+            latest = tuple(old[:4])
+        live = seconds + KEPT > timerValues.getCurrentWatermarkInMs() // 1000
+        self.past.update((*latest, seconds[live].tolist(), n[live].tolist()))
+        self.handle.registerTimer(int(seconds[-1] + KEPT) * 1000)
+        unknown = none | pd.isna(last_k) | (first & (last[3] is None))
+        numbers = np.where(unknown, 0, last_k).astype(np.int32)
+        yield pd.DataFrame({"event_id": event_id, "user_id": key[0], "tx_count_24h": n24, "last_sec": pd.arrays.IntegerArray(last_sec.astype(np.int64), none), "last_k": pd.arrays.IntegerArray(numbers, unknown)})
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.seconds.removeKey((expiredTimerInfo.getExpiryTimeInMs() // 1000 - KEPT,))
+        old = self.past.get()
+        live = [x + KEPT > expiredTimerInfo.getExpiryTimeInMs() // 1000 for x in old[4]]
+        self.past.update((*old[:4], *([x for x, keep in zip(old[j], live, strict=True) if keep] for j in (4, 5))))
         return iter([])
 
     def close(self) -> None:

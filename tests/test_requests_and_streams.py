@@ -220,3 +220,26 @@ def test_one_bad_number_fails_an_array(spark, tmp_path):
     assert json_array.read_json_array(spark, f"file://{tmp_path}/none.json", requests.VECTORS).count() == 0
     with pytest.raises(Exception, match="(?i)malformed|parse"):
         json_array.read_json_array(spark, f"file://{tmp_path}/bad.json", requests.VECTORS).collect()
+
+
+def test_state_of_a_user_is_touched_once_a_batch():
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from riskloom.streaming.user_state import DAY, KEPT, UserPast
+
+    calls, held = [], [None]
+    value = SimpleNamespace(get=lambda: calls.append("get") or held[0], update=lambda x: calls.append("update") or held.__setitem__(0, x))
+    handle = SimpleNamespace(getValueState=lambda *_: value, registerTimer=calls.append)
+    user = UserPast()
+    user.init(handle)
+    rows = pd.DataFrame({"event_id": range(100), "us": [i * 10**6 for i in range(100)], "sec": range(100), "k": 1})
+    none = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    assert list(user.handleInputRows((7,), iter([rows]), none))[0]["tx_count_24h"].tolist() == list(range(100))
+    assert calls == ["get", "update", (99 + KEPT) * 1000]
+    late = rows.head(1).assign(event_id=200, sec=DAY + 50, us=(DAY + 50) * 10**6)
+    out = list(user.handleInputRows((7,), iter([late]), none))[0]
+    assert out["tx_count_24h"].tolist() == [50] and out["last_sec"].tolist() == [99]
+    user.handleExpiredTimer((7,), none, SimpleNamespace(getExpiryTimeInMs=lambda: (99 + KEPT) * 1000))
+    assert held[0][4] == [DAY + 50] and held[0][2] == DAY + 50
