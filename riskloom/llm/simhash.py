@@ -360,30 +360,32 @@ def _columns(least: float | None) -> list[str]:
 
 
 def candidates(nodes: DataFrame, limit: int, end: int, least: float | None) -> DataFrame:
-    """(a, b, nulls): pairs of units of one node, at distance limit or less, whose roots differ; (nulls, mask, value, task): nodes with more.
+    """(a, b, nulls): pairs of units of one node, at distance limit or less, whose roots differ; (nulls, mask, value, task, side, fp, unit): the units of each node with more.
 
-    nodes: mask, value, task, side, fp, unit, root, and with ``least`` size and bins. Of a unit's pairs with later ones, the ``end`` nearest are taken.
+    nodes: mask, value, task, side, fp, unit, root, and with ``least`` size and bins. Of a unit's pairs with later ones, the ``end`` nearest are taken; both units of every other pair
+    are named, so that a next round needs no other rows of the node.
     With ``least`` only pairs count that can share it: two sets differ in as many shingles at least as the counts of their bins do.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _whole_nodes(parts, 3):
-            mask, value, task, unit, root = (table.column(k).to_numpy() for k in (0, 1, 2, 5, 6))
-            more: set[int] = set()
+            unit, root = (table.column(k).to_numpy() for k in (5, 6))
+            more = np.zeros(len(unit), bool)
             for i, j, rank in _open_pairs(table, starts, limit, least):
                 apart = root[i] != root[j]
-                more.update(np.unique(np.searchsorted(starts, i[apart & (rank >= end)], "right") - 1).tolist())
+                later = apart & (rank >= end)
+                more[i[later]] = more[j[later]] = True
                 apart &= rank < end
                 a, b = unit[i[apart]], unit[j[apart]]
                 if len(a):
-                    none = pa.nulls(len(a), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), none, none, none], ["a", "b", "mask", "value", "task"])
-            if more:
-                at = starts[sorted(more)]
-                none = pa.nulls(len(at), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(mask[at]), pa.array(value[at]), pa.array(task[at])], ["a", "b", "mask", "value", "task"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), *[pa.nulls(len(a), pa.int64())] * 6], ["a", "b", *names])
+            for at in range(0, int(more.sum()), 1 << 17):
+                some = pa.array(np.nonzero(more)[0][at : at + (1 << 17)])
+                own = [table.column(k).take(some).combine_chunks() for k in range(6)]
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(some), pa.int64())] * 2, *own], ["a", "b", *names])
 
-    return _dealt(nodes.select(*_columns(least))).mapInArrow(run, "a bigint, b bigint, mask bigint, value bigint, task bigint")
+    names = _columns(None)[:6]
+    return _dealt(nodes.select(*_columns(least))).mapInArrow(run, ", ".join(f"{c} bigint" for c in ("a", "b", *names)))
 
 
 def still_open(nodes: DataFrame, limit: int, least: float) -> DataFrame:
@@ -548,12 +550,11 @@ def verified_components(own: DataFrame, docs: DataFrame, limit: int, node_rows:
         tried = pairs if tried is None else tried.unionByName(pairs)
         good = verified(pairs, sets, least)
         stars = components(good if stars is None else stars.unionByName(good))
-        left = write_table(found.where("mask IS NOT NULL").select("mask", "value", "task").distinct(), "simhash-left")
-        if not left.limit(1).count():
-            return stars
-        after = write_table(nodes.join(left, ["mask", "value", "task"], "left_semi"), "simhash-units")
+        after = write_table(found.where("mask IS NOT NULL").select(nodes.columns), "simhash-units")
         remove_table(nodes)
         nodes = after
+        if not nodes.limit(1).count():
+            return stars
     left = write_table(still_open(rooted(nodes), limit, least), "simhash-open")
     if not left.limit(1).count():
         return stars
