@@ -56,7 +56,8 @@ def reassembled(chunks: DataFrame) -> DataFrame:
             pieces.append(bytes(stock.pop(at)))
             at += 1
         found, rest, bad = ([], b"", True) if closed else cut_requests(b"".join(pieces))
-        yield pd.DataFrame({"conn": key[0], "turn": range(turn, turn + len(found)), "route": [r for r, _ in found], "body": [b.decode("utf-8", "replace") if r == "score" else None for r, b in found]}, columns=["conn", "turn", "route", "body"])
+        if found:
+            yield pd.DataFrame({"conn": key[0], "turn": range(turn, turn + len(found)), "route": [r for r, _ in found], "body": [b.decode("utf-8", "replace") if r == "score" else None for r, b in found]})
         held.update((at, turn + len(found), rest, closed or bad, list(stock), list(stock.values())))
 
     rows = chunks.select("conn", "seq", F.col("chunk").cast("binary").alias("chunk"))
