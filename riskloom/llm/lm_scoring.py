@@ -7,8 +7,7 @@
    segments, so that each is built by one task from its own n-grams and the driver gets the filter's bytes and nothing else.
 3. A count is read back by membership probes for 1, 2, ... until one fails. Probabilities are smoothed by a Dirichlet
    prior: p(w|h) = (c(hw) + m p(w)) / (c(h) + m), p(w) with 0.5 added to each count. The weight m is the best of
-   a grid for the leave-one-out likelihood of about ``tune_docs`` training documents, a share by hash: a documented bound
-   of that one number's fit, which uses no label.
+   a grid for the leave-one-out likelihood of all training documents, summed up in the tasks.
 4. All pairs count, those seen once too. Where they are more than ``max_bits`` hold, a histogram of counts over all data says
    which rare ones stay outside (least counts first, pairs before words). Pairs outside are not lost: a document's pairs
    that the filter does not know meet the outside pairs, with their quantised counts, by a shuffle, and what they add to
@@ -45,7 +44,6 @@ PRIORS = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0, 16384.0, 65536.0)
 _hash = xxhash.xxh3_64_intdigest
 END, BEGIN = _hash(b" end"), _hash(b" begin")  # no word holds a blank
 _ONE = np.uint64(1)
-_END_GRAM = int(np.array(END & ~1, np.uint64).view(np.int64))
 
 
 def held_out_expr(doc_id: Column, modulus: int, remainder: int) -> Column:
@@ -231,7 +229,7 @@ def _segment_rows(made: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([made[k].tobytes() for k in some], pa.binary())], ["segment", "data"])
 
 
-def score_texts(docs: DataFrame, held_out: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text", max_bits: int = 31, base: float = 1.5, known_words: int = 1 << 22, tune_docs: int = 2000) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text", max_bits: int = 31, base: float = 1.5, known_words: int = 1 << 22) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
     held_out: of a doc_id column, whether the row is kept from training. The broadcasts take 2**max_bits / 8 and
@@ -243,7 +241,7 @@ def score_texts(docs: DataFrame, held_out: Callable[[Column], Column], id_col: s
     train = marked.where(~F.col("held_out")).select("text")
     counts = write_table(_count(train).select("gram", "n"), "ngram-counts")
     words = counts.where("gram % 2 = 0")
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("gram") == _END_GRAM, F.col("n"))), F.lit(0)).alias("docs")).first()
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, v = int(total["n"]), int(total["v"])
     bits, *kept = _thresholds(counts, max_bits, base)
     bloom = spark.sparkContext.broadcast(build_filter(counts.where(_inside(kept)), bits, base).data)
@@ -277,13 +275,12 @@ def score_texts(docs: DataFrame, held_out: Callable[[Column], Column], id_col: s
         for part in bounded(parts):
             c, ch, chw, _, _, _, starts = parts_of(part.column(0).to_pylist())
             if len(starts):
-                p = (np.maximum(c - 1, 0) + 0.5) / floor
-                sums += [np.log10((np.maximum(chw - 1, 0) + m * p) / (np.maximum(np.maximum(ch - 1, 0), np.maximum(chw - 1, 0)) + m)).sum() for m in PRIORS]
+                p, pair = (np.maximum(c - 1, 0) + 0.5) / floor, np.maximum(chw - 1, 0)
+                before = np.maximum(np.maximum(ch - 1, 0), pair)
+                sums += [np.log10((pair + m * p) / (before + m)).sum() for m in PRIORS]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(PRIORS)), pa.int32()), pa.array(sums)], ["k", "s"])
 
-    share = min(1 << 30, (tune_docs << 30) // max(1, int(total["docs"])))
-    tuned = marked.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", F.lit("tune")), F.lit(1 << 30)) < share)).select("text")
-    tried = {r["k"]: r["s"] for r in tuned.mapInArrow(likelihoods, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()}
+    tried = {r["k"]: r["s"] for r in train.mapInArrow(likelihoods, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()}
     prior = PRIORS[max(tried, key=lambda k: tried[k])] if tried else PRIORS[-1]
     rest = [("lost", least > 0), ("open", outside is not None)]  # what the broadcasts do not tell
     rest = [name for name, there in rest if there]
