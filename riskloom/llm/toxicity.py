@@ -3,7 +3,7 @@
 1. Noisy channel: a word with leetspeak, separators or repeated letters, and a run of single spaced letters, is a
    lattice: each character may stand for letters it is known to replace, may be a separator to drop, or may repeat the
    letter before it. Viterbi decoding under a character trigram model picks the restored letters.
-2. The character model is trained on a bounded sample of labelled training rows (``model_docs`` of each label, as a share by hash).
+2. The character model counts the trigrams of all labelled training rows; where they are more than MODEL_GRAMS, those with the least counts, told by a histogram, are left to the smoothing.
 3. Evidence: how many toxic and how many other labelled training documents hold each restored word, counted over all of
    them by Spark, and the same for word beginnings. A feature's strength is its smoothed share of toxic documents;
    features with too little support keep near the prior. Only features that speak for toxicity are kept: those above
@@ -49,6 +49,8 @@ PREFIXES = (4, 5, 6)
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:[ .\-_*]{1,2}(?:[^\W_]|[@$!|+])){2,}(?!\S)")
 _TRIPLE = re.compile(r"(.)\1\1")
 _CACHE = 300_000
+#: Trigrams of the character model, which is broadcast.
+MODEL_GRAMS = 1 << 19
 
 
 class CharModel:
@@ -168,24 +170,38 @@ def _labelled(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], C
     return docs.where(~held_out(F.col("doc_id"))).join(own, "doc_id")
 
 
-def char_model(train: DataFrame, model_docs: int, totals: dict[int, int]) -> CharModel:
-    """From about model_docs rows of each label, by a hash of doc_id; totals: how many rows each label has. They stay in their tasks."""
+def char_model(train: DataFrame) -> CharModel:
+    """From all rows of train. Texts stay in their tasks; a task counts words, whose trigrams are counted once for each distinct word."""
 
     def grams(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[str] = Counter()
-        for part in parts:
+        words: Counter[str] = Counter()
+
+        def add() -> None:
+            for token, n in words.items():
+                token = token.strip(".,;:!?")
+                if token.isalpha():
+                    for gram in CharModel.grams(token):
+                        found[gram] += n
+            words.clear()
+
+        for part in bounded(parts):
             for text in part.column(0).to_pylist():
-                for token in (text or "").lower().split():
-                    token = token.strip(".,;:!?")
-                    if token.isalpha():
-                        found.update(CharModel.grams(token))
+                words.update((text or "").lower().split())
+                if len(words) > _CACHE:
+                    add()
+        add()
         keys = list(found)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([found[k] for k in keys], pa.int64())], ["gram", "n"])
 
-    turn = F.pmod(F.xxhash64("doc_id", F.lit("model")), F.lit(1 << 30))
-    share = [min(1 << 30, (model_docs << 30) // max(1, totals.get(k, 0))) for k in (0, 1)]
-    some = train.where(turn < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])).select("text")
-    sums = some.mapInArrow(grams, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    sums = train.select("text").mapInArrow(grams, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    sums = write_table(sums, "character-counts")
+    least, room = 64, MODEL_GRAMS
+    sizes = {r["k"]: r["n"] for r in sums.groupBy(F.floor(F.log2("n") + 1e-9).alias("k")).agg(F.count("*").alias("n")).collect()}  # 64 rows at most
+    while least and room >= sizes.get(least - 1, 0):
+        least -= 1
+        room -= sizes.get(least, 0)
+    sums = sums.where(F.col("n") >= (1 << least))
     return CharModel({r["gram"]: r["n"] for r in sums.toLocalIterator()})
 
 
@@ -320,14 +336,14 @@ def cell_shares(cells: dict[tuple[int, int], tuple[int, int]], prior: float, wei
     return out
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text", model_docs: int = 1000, weight: float = 4.0, least: float = 0.3, support: int = 4, threshold: float = 0.7, bound: int = BROADCAST_BYTES) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text", weight: float = 4.0, least: float = 0.3, support: int = 4, threshold: float = 0.7, bound: int = BROADCAST_BYTES) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     train = _labelled(docs, labels, held_out)
     totals = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     prior = (totals.get(1, 0) + 1) / (sum(totals.values()) + 2)
-    model = char_model(train, model_docs, totals)
+    model = char_model(train)
     strong = write_table(strong_features(evidence(train, model), prior, weight, least, support), "toxic-features")
     rows = docs if strong.count() * 64 <= bound else with_row_id(docs, "row_id")  # rows that meet features by a shuffle need a name
     rows = rows if "row_id" in rows.columns else rows.withColumn("row_id", F.lit(0))

@@ -304,3 +304,19 @@ def test_quality_keeps_trusted_and_rejects_junk(spark):
     n = {(r["quality"], r["kept"]): r["count"] for r in found.groupBy("quality", "kept").count().collect()}
     assert n[1, True] >= 0.97 * (n[1, True] + n.get((1, False), 0))
     assert n.get((0, False), 0) >= 0.4 * (n.get((0, False), 0) + n.get((0, True), 0))
+
+
+def test_character_model_counts_all_rows(spark):
+    from riskloom.llm.toxicity import char_model
+
+    train = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("abc, abc").alias("text"), F.lit(0).alias("toxic"))
+    assert char_model(train).tri["abc"] == 6000
+
+
+def test_weight_of_the_prior_is_fitted_on_all_training_rows(spark):
+    """Rows that a sample of 2,000 by hash left out decide it: with a small weight, what follows a word in them is nearly sure."""
+    out = F.pmod(F.xxhash64("doc_id", F.lit("tune")), F.lit(1 << 30)) >= (1 << 29)
+    rows = spark.range(4000).select(F.col("id").alias("doc_id")).withColumn("text", F.when(out, F.repeat(F.lit("p q "), 20)).otherwise(F.concat(F.lit("w"), F.col("doc_id"))))
+    rows = rows.unionByName(spark.createDataFrame([(-1, "p q p q p q")], "doc_id long, text string"))
+    score = score_texts(rows, lambda c: c < 0).where("doc_id = -1").first()["score"]
+    assert score > -2.5
