@@ -40,6 +40,8 @@ PROBES = 5
 #: Bits an inserted item takes at the target load: five probes then err in about one of a hundred cases.
 ITEM_BITS = 10
 FLUSH = 2_000_000
+#: Texts that are looked at together; what a task holds beside the broadcasts is a few numbers for each of their tokens.
+BATCH = 128
 PRIORS = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0, 16384.0, 65536.0)
 _hash = xxhash.xxh3_64_intdigest
 END, BEGIN = _hash(b" end"), _hash(b" begin")  # no word holds a blank
@@ -61,11 +63,11 @@ def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nd
     out, sizes = [], []
     for text in texts:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        out.extend(map(_hash, words))
-        out.append(END)
+        out += words
+        out.append(b" end")
         sizes.append(len(words) + 1)
     starts = np.cumsum([0, *sizes[:-1]]) if sizes else np.array([], np.int64)
-    words = np.array(out, np.uint64)
+    words = np.fromiter(map(_hash, out), np.uint64, len(out))
     before = np.empty_like(words)
     before[1:] = words[:-1]
     before[starts] = BEGIN
@@ -132,6 +134,46 @@ class LogFrequencyFilter:
         return np.where(level > 0, np.sqrt(low * high), 0.0)
 
 
+def tally(held: list[np.ndarray], rows: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(n-grams, counts) of all held arrays, so many rows at a time; held is emptied, as the sorted copy takes its place."""
+    grams = np.concatenate(held)
+    held.clear()
+    grams.sort()
+    starts = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, np.int64)
+    for at in range(0, len(starts), rows):
+        own = starts[at : at + rows]
+        after = starts[at + rows] if at + rows < len(starts) else len(grams)
+        yield grams[own], np.diff(np.append(own, after))
+
+
+class WordCounts:
+    """Counts that a filter tells of words, kept for a task's next texts: frequent words have many levels to probe. At most ``most`` words are kept."""
+
+    def __init__(self, own: LogFrequencyFilter, most: int = 1 << 18):
+        self.own, self.most = own, most
+        self.names, self.known = np.zeros(0, np.uint64), np.zeros(0)
+
+    def __call__(self, each: np.ndarray) -> np.ndarray:
+        """The counts of sorted distinct words."""
+        place = np.searchsorted(self.names, each)
+        new = np.append(self.names, _ONE)[place] != each  # no word is odd
+        out = np.empty(len(each))
+        out[~new] = self.known[place[~new]]
+        out[new] = self.own.counts(each[new])
+        if len(self.names) + new.sum() > self.most:
+            self.names, self.known = each[: self.most], out[: self.most]
+        elif new.any():
+            self.names, self.known = np.insert(self.names, place[new], each[new]), np.insert(self.known, place[new], out[new])
+        return out
+
+
+def log_sums(top: np.ndarray, bottom: np.ndarray) -> float:
+    """The sum of log10(top / bottom); ratios, each between 1e-38 and 1, are multiplied by eights first, as logarithms take longer."""
+    ratio = np.ones(-(-len(top) // 8) * 8)
+    np.divide(top, bottom, out=ratio[: len(top)])
+    return float(np.log10(ratio.reshape(-1, 8).prod(axis=1)).sum())
+
+
 def _count(docs: DataFrame) -> DataFrame:
     """(segment, gram, n): the counts of all words and pairs of docs; words have an even gram."""
 
@@ -140,17 +182,15 @@ def _count(docs: DataFrame) -> DataFrame:
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            grams, n = np.unique(np.concatenate(held), return_counts=True)
-            for at in range(0, len(grams), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(grams[at : at + (1 << 18)].view(np.int64)), pa.array(n[at : at + (1 << 18)].astype(np.int32))], ["gram", "n"])
+            for grams, n in tally(held):
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int32))], ["gram", "n"])
 
-        for part in bounded(parts):
+        for part in bounded(parts, BATCH):
             words, pairs, _ = token_hashes(part.column(0).to_pylist())
             held += [words, pairs]
             size += len(words)
             if size >= FLUSH:
                 yield from flush()
-                held.clear()
                 size = 0
         if size:
             yield from flush()
@@ -257,27 +297,26 @@ def score_texts(docs: DataFrame, held_out: Callable[[Column], Column], id_col: s
     del table, names, n
     floor = n_train + 0.5 * (v + 1)
 
-    def parts_of(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    def parts_of(texts: list[str | None], told: WordCounts) -> tuple[np.ndarray, ...]:
         """For each token c(w), c(h), c(hw) from the filter, the distinct words and which is the token's, and its pair; where texts start."""
-        own = LogFrequencyFilter(bits, base, bloom.value)
         words_, pairs, starts = token_hashes(texts)
         each, at = np.unique(words_, return_inverse=True)
-        c = own.counts(each)
+        c = told(each)
         two, at2 = np.unique(pairs, return_inverse=True)
         before = np.empty_like(at)
         before[1:] = at[:-1]
         end = np.searchsorted(each, np.uint64(END) & ~_ONE)
         before[starts] = end
-        return c[at], c[before], own.counts(two)[at2], each, at, pairs, starts
+        return c[at], c[before], told.own.counts(two)[at2], each, at, pairs, starts
 
     def likelihoods(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(PRIORS))
-        for part in bounded(parts):
-            c, ch, chw, _, _, _, starts = parts_of(part.column(0).to_pylist())
+        sums, told = np.zeros(len(PRIORS)), WordCounts(LogFrequencyFilter(bits, base, bloom.value))
+        for part in bounded(parts, BATCH):
+            c, ch, chw, _, _, _, starts = parts_of(part.column(0).to_pylist(), told)
             if len(starts):
                 p, pair = (np.maximum(c - 1, 0) + 0.5) / floor, np.maximum(chw - 1, 0)
                 before = np.maximum(np.maximum(ch - 1, 0), pair)
-                sums += [np.log10((pair + m * p) / (before + m)).sum() for m in PRIORS]
+                sums += [log_sums(pair + m * p, before + m) for m in PRIORS]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(PRIORS)), pa.int32()), pa.array(sums)], ["k", "s"])
 
     tried = {r["k"]: r["s"] for r in train.mapInArrow(likelihoods, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()}
@@ -290,8 +329,9 @@ def score_texts(docs: DataFrame, held_out: Callable[[Column], Column], id_col: s
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, exact = known.value
-        for part in bounded(parts):
-            c, ch, chw, each, at, pairs, starts = parts_of(part.column(1).to_pylist())
+        told = WordCounts(LogFrequencyFilter(bits, base, bloom.value))
+        for part in bounded(parts, BATCH):
+            c, ch, chw, each, at, pairs, starts = parts_of(part.column(1).to_pylist(), told)
             signed = each.view(np.int64)
             place = np.minimum(np.searchsorted(names, signed), max(len(names) - 1, 0))
             found = names[place] == signed if len(names) else np.zeros(len(each), bool)
@@ -324,9 +364,9 @@ def score_texts(docs: DataFrame, held_out: Callable[[Column], Column], id_col: s
 
     more = {"lost": "lost array<bigint>", "open": "open array<struct<gram:bigint,p:double,ch:double>>"}
     schema = ", ".join([f"row_id {kinds['row_id']}, doc_id {kinds['doc_id']}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double", *(more[x] for x in rest)])
-    out = rows.select("row_id", "text", "doc_id", "held_out").mapInArrow(score, schema)
-    if rest:
-        out = write_table(out, "lm-scores")
+    out = write_table(rows.select("row_id", "text", "doc_id", "held_out").mapInArrow(score, schema), "lm-scores")
+    bloom.destroy()  # all that needs them is written: neither the driver nor an executor holds them beside those of a next call
+    known.destroy()
     if "lost" in rest:
         rare = words.where(F.col("n") < (1 << least))
         each = out.select("row_id", F.explode("lost").alias("gram")).groupBy("row_id", "gram").agg(F.count("*").alias("tf"))

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -58,6 +59,46 @@ def test_filter_returns_the_level_of_every_count():
     assert (bloom.counts(rng.integers(0, 2**63, 4000, dtype=np.int64).astype(np.uint64)) == 0).mean() > 0.97
 
 
+def test_counting_n_grams_takes_little_beside_them():
+    """Sorted in place and told run by run: less than twice their own bytes, which a whole ``unique`` with counts exceeds."""
+    rng = np.random.default_rng(3)
+    held = [rng.integers(0, 1 << 62, 1 << 17).astype(np.uint64) | np.uint64(k % 2) for k in range(16)] + [np.arange(5, dtype=np.uint64)] * 3
+    want = dict(zip(*(x.tolist() for x in np.unique(np.concatenate(held), return_counts=True)), strict=True))
+    size = sum(x.nbytes for x in held)
+    tracemalloc.start()
+    found = {}
+    n_rows = 0
+    for grams, n in lm_scoring.tally(held, 1 << 12):
+        n_rows += len(grams)
+        if grams[0] == 0:
+            found |= dict(zip(grams.tolist(), n.tolist(), strict=True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * size and not held and n_rows == len(want) and all(want[k] == v for k, v in found.items()) and found[4] == 3
+    assert list(lm_scoring.tally([np.array([], np.uint64)])) == []
+
+
+def test_kept_word_counts_and_grouped_logarithms():
+    rng = np.random.default_rng(3)
+    words, counts = rng.integers(0, 2**62, 900, dtype=np.int64).astype(np.uint64) << np.uint64(1), rng.integers(1, 5000, 900)
+    bloom = LogFrequencyFilter(22, 1.5)
+    bloom.insert(words[:700], counts[:700])
+    for most in (4, 300, 1 << 18):
+        told = lm_scoring.WordCounts(bloom, most)
+        for k in range(0, 900, 90):
+            each = np.unique(np.concatenate([words[k : k + 90], words[:40]]))
+            assert (told(each) == bloom.counts(each)).all() and len(told.names) <= most
+    assert (lm_scoring.WordCounts(bloom)(np.zeros(0, np.uint64))).size == 0
+    low = 10.0 ** rng.uniform(-38, -30, 1001)
+    assert math.isclose(lm_scoring.log_sums(low, np.ones(1001)), np.log10(low).sum(), rel_tol=1e-12)
+
+
+def test_scores_hold_no_broadcast(awkward):
+    """What is returned is written: neither the filter nor the words are needed to read it, so calls do not add up."""
+    out = score_texts(awkward, lambda c: held_out_expr(c, 5, 1))
+    assert "MapInArrow" not in out._jdf.queryExecution().toString() and out.count() == awkward.count()
+
+
 def test_rare_pairs_stay_outside_when_the_filter_is_small(awkward):
     counts = lm_scoring._count(awkward.select("text"))
     small, large = lm_scoring._thresholds(counts, 13, 1.5), lm_scoring._thresholds(counts, 26, 1.5)
