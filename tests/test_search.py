@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import blocks, clustering, ivf, knn, tree
+from riskloom.operators import blocks, boxtree, clustering, ivf, knn, tree
 from riskloom.operators.boxtree import BoxTree, box_tree
 from riskloom.operators.features import event_vectors
 from riskloom.plans import scoring
@@ -316,3 +316,20 @@ def test_nearest_members_equal_brute_force_with_copies(spark, index, monkeypatch
     queries = members.where("vec_id % 100 = 0")
     found, want = blocks.nearest_members(queries, members, DIMS), knn.knn_exact(queries, members)
     assert found.count() == want.count() == 5 * queries.count() and found.exceptAll(want.select(found.columns)).count() == 0
+
+
+def test_a_walk_carries_the_bound_and_sums_of_first_dimensions_keep_what_is_nearer(spark):
+    rng = np.random.default_rng(5)
+    m, q = rng.integers(0, 60, (blocks.LANES * 20 - 3, DIMS)), rng.integers(0, 60, (70, DIMS))
+    padded = np.zeros((20 * blocks.LANES, DIMS), "<i4")
+    padded[: len(m)] = m
+    page = padded.reshape(-1, blocks.LANES, DIMS).transpose(0, 2, 1)
+    d = ((q[:, None, :] - m[None, :, :]) ** 2).cumsum(axis=2)
+    bound = np.sort(d[:, :, -1], axis=1)[:, 9]
+    found = [x for part in blocks._held(page, np.arange(len(m)), np.full(len(q), -1), bound, q.astype(float)) for x in zip(*part, strict=True)]
+    stops = [*blocks.STOPS, DIMS]
+    want = {(i, j): sum(bool(d[i, j, s - 1] < bound[i]) for s in stops) for i, j in zip(*np.nonzero(d[:, :, stops[0] - 1] < bound[:, None]), strict=True)}
+    assert {(i, j): h for i, j, _, h in found} == want and all(t == d[i, j, -1] for i, j, t, h in found if h == len(stops))
+    box = boxtree.BoxTree(np.array([3]), np.zeros((1, 2)), np.zeros((1, 2)), np.ones((1, 2)))
+    walked = boxtree.walk_within(spark.createDataFrame([(1, [4, 0], 10, None), (2, [4, 0], None, None), (3, [4, 0], 9, None)], "query_id long, q array<int>, bound long, done int"), box)
+    assert {(r["query_id"], r["lb"], r["bound"]) for r in walked.collect()} == {(1, 9, 10), (2, 9, None)}
