@@ -243,3 +243,20 @@ def test_state_of_a_user_is_touched_once_a_batch():
     assert out["tx_count_24h"].tolist() == [50] and out["last_sec"].tolist() == [99]
     user.handleExpiredTimer((7,), none, SimpleNamespace(getExpiryTimeInMs=lambda: (99 + KEPT) * 1000))
     assert held[0][4] == [DAY + 50] and held[0][2] == DAY + 50
+
+
+def test_stream_scores_by_pages_that_are_made_once(spark, tmp_path, monkeypatch):
+    """A stream reads the members once, whatever its batches, and gets the votes that all pairs give."""
+    from riskloom.operators import blocks, knn
+    from riskloom.plans.scoring import request_vectors
+
+    made, to_pages = [], blocks.to_pages
+    monkeypatch.setattr(blocks, "to_pages", lambda layout: made.append(1) or to_pages(layout))
+    rows = spark.createDataFrame([(i, changed(transaction__amount=7.0 * i)) for i in range(30)], "event_id long, body string").repartition(3)
+    rows.write.parquet(f"file://{tmp_path}/in")
+    members = event_vectors(spark.read.parquet(f"{SF}/events.parquet")).cache()
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    stream.score_stream(source, members, f"file://{tmp_path}/out", f"file://{tmp_path}/cp")
+    found = {r["query_id"]: r["n"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    asked = request_vectors(rows, "event_id").select("vec_id", "q")
+    assert len(made) == 1 and found == {r["query_id"]: r["n"] for r in knn.vote(knn.knn_exact(asked, members), asked).collect()}
