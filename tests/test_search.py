@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import blocks, boxtree, clustering, ivf, knn, tree
+from riskloom.operators import blocks, boxtree, clustering, ivf, knn, sweeps, tree
 from riskloom.operators.boxtree import BoxTree, box_tree
 from riskloom.operators.features import event_vectors
 from riskloom.plans import scoring
@@ -333,3 +333,60 @@ def test_a_walk_carries_the_bound_and_sums_of_first_dimensions_keep_what_is_near
     box = boxtree.BoxTree(np.array([3]), np.zeros((1, 2)), np.zeros((1, 2)), np.ones((1, 2)))
     walked = boxtree.walk_within(spark.createDataFrame([(1, [4, 0], 10, None), (2, [4, 0], None, None), (3, [4, 0], 9, None)], "query_id long, q array<int>, bound long, done int"), box)
     assert {(r["query_id"], r["lb"], r["bound"]) for r in walked.collect()} == {(1, 9, 10), (2, 9, None)}
+
+
+def _small_sheets(monkeypatch):
+    for name, value in {"SHEET_ROWS": 100, "RUN_ROWS": 16, "RUNS": 2, "GROUP_ROWS": 64, "PART_ROWS": 10}.items():
+        monkeypatch.setattr(sweeps, name, value)
+
+
+def _never_paged(monkeypatch):
+    """A row for each query and page is what fills the disk on larger tables."""
+    monkeypatch.setattr(blocks, "paged", lambda *a, **k: pytest.fail("rows of queries and pages"))
+
+
+def test_blocks_are_counted_without_rows_of_queries_and_pages(spark, index, monkeypatch):
+    vectors, centroids, clusters, pages, boxes = index
+    layout = ivf.member_layout(clustering.assign_nearest(vectors, centroids))
+    bounded = vectors.where("vec_id % 40 = 0").select(F.col("vec_id").alias("query_id"), "q", (F.col("vec_id") * 9000).cast("long").alias("bound"), (F.col("vec_id") % 64).cast("int").alias("done")).cache()
+    wanted = boxtree.walk_within(bounded, boxes).select("query_id", "q", "cluster_id", "bound").cache()
+    want = blocks.blocks_left(wanted, pages, DIMS).cache()
+    assert want.where("left_0 < n_blocks AND left_1 > 0 AND left_2 > 0").count() > 10
+    _small_sheets(monkeypatch)
+    _never_paged(monkeypatch)
+    groups = sweeps.layout_groups(layout, clusters, DIMS).cache()
+    assert groups.count() > clusters.count()  # clusters are cut
+    found = sweeps.blocks_swept(bounded, groups, DIMS)
+    assert found.count() == want.count() and found.exceptAll(want).count() == 0
+    assert sweeps.blocks_swept(bounded.limit(0), groups, DIMS).count() == 0 == sweeps.blocks_swept(bounded, groups.limit(0), DIMS).count()
+
+
+def test_sums_below_a_bound_without_rows_of_queries_and_pages(spark, index, monkeypatch):
+    vectors, pages = index[0], index[3]
+    far = vectors.where("vec_id < 900").withColumn("vec_id", F.col("vec_id") + (1 << 40))
+    pages = pages.unionByName(blocks.to_pages(far.select(F.lit(99).alias("cluster_id"), F.lit(0).alias("pos"), "vec_id", "label", "q"))).cache()
+    rows = vectors.unionByName(far).select("vec_id", "q").collect()
+    ids, m = np.array([r["vec_id"] for r in rows]), np.array([r["q"] for r in rows], np.int64)
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "q", F.lit(40_000_000).alias("bound"), F.lit(None).alias("done")).cache()
+    want = {}
+    for r in queries.collect():
+        d = ((m - np.array(r["q"])) ** 2).sum(axis=1)
+        near = (d < 40_000_000) & (ids != r["query_id"])
+        if near.any():
+            want[r["query_id"]] = int(near.sum()), int(ids[near].sum()), int(d[near].sum())
+    _small_sheets(monkeypatch)
+    _never_paged(monkeypatch)
+    found = {r["query_id"]: (r["n"], r["ids"], r["dist"]) for r in sweeps.sums_below(queries, pages, DIMS).collect()}
+    assert found == want and len(want) > 100
+
+
+def test_pairs_of_clusters_are_formed_without_a_shuffle_of_queries(spark, index, monkeypatch):
+    vectors, _, _, pages, boxes = index
+    queries = vectors.where("vec_id % 400 = 0")
+    wanted = ivf.probes(ivf.centroid_distances(queries, boxes), 2).select("query_id", "q", "cluster_id").cache()
+    members = pages.selectExpr("cluster_id", "explode(ids) AS vec_id").join(vectors, "vec_id")
+    want = ivf.scan(wanted, members, DIMS).select("query_id", "vec_id", "dist").cache()
+    _small_sheets(monkeypatch)
+    monkeypatch.setattr(blocks, "dealt", lambda *a, **k: pytest.fail("blocks of queries joined to pages"))
+    found = sweeps.pairs_of_clusters(wanted, pages, DIMS)
+    assert found.count() == want.count() > 1000 and found.exceptAll(want).count() == 0
