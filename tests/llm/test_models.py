@@ -361,3 +361,18 @@ def test_weight_of_the_prior_is_fitted_on_all_training_rows(spark):
     rows = rows.unionByName(spark.createDataFrame([(-1, "p q p q p q")], "doc_id long, text string"))
     score = score_texts(rows, lambda c: c < 0).where("doc_id = -1").first()["score"]
     assert score > -2.5
+
+
+def test_quality_trains_on_all_trusted_text_of_its_half(spark):
+    """What is trusted beyond 2,000 documents, or in a document of over 8,000 characters, is known to the model."""
+    trained = quality.to_train(F.col("doc_id"))
+    one = spark.range(9000).select(F.col("id").alias("doc_id")).where(trained).limit(4000).withColumn("text", F.concat(F.lit("alpha beta w"), F.col("doc_id").cast("string"), F.lit(" gamma delta")))
+    long_id = spark.range(9000, 9100).select(F.col("id").alias("doc_id")).where(trained).first()["doc_id"]
+    words = " ".join(f"rare{i} word{i} here{i}" for i in range(600))
+    docs = one.unionByName(spark.createDataFrame([(long_id, words)], "doc_id long, text string")).withColumn("lang", F.lit("en"))
+    docs = docs.unionByName(docs.select((F.col("doc_id") + 100_000).alias("doc_id"), "text", "lang"))  # unlabelled twins
+    labels = docs.where("doc_id < 100000").select("doc_id", F.lit(1).alias("quality"))
+    unseen = spark.createDataFrame([(300_000, " ".join(f"never{i} seen{i}" for i in range(900)), "en"), (300_001, "alpha beta zzz gamma delta", "en")], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["log_perplexity"] for r in quality.judge(docs.unionByName(unseen), labels).collect()}
+    assert found[long_id + 100_000] < found[300_000] / 2
+    assert max(v for k, v in found.items() if 100_000 <= k < 109_000) < found[300_001]
